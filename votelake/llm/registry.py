@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import lines, sharding, simhash
+from . import lines, mixing, quality, sharding, simhash, urls
 
 
 def queries() -> dict:
     return {
+        "op3_quality": quality.op3_quality,
+        "op5_urls": urls.op5_urls,
         "op6_sharding": sharding.op6_sharding,
+        "op7_mixing": mixing.op7_mixing,
         "op9_simhash": simhash.op9_simhash,
         "op10_line_dedup": lines.op10_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": lines.SQL}
+    return {"op5_urls": urls.SQL, "op10_line_dedup": lines.SQL}
