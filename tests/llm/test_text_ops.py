@@ -1,0 +1,281 @@
+import hashlib
+import re
+from collections import Counter, defaultdict
+
+import pytest
+import xxhash
+
+from votelake.llm import licenses, lines, mixing, pii, quality, sharding, simhash
+
+from . import data
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@pytest.fixture(scope="module", params=["rows", "empty"])
+def sf(request, spark, tmp_path_factory):
+    return data.save(spark, tmp_path_factory.mktemp(request.param), None if request.param == "rows" else [])
+
+
+def docs(spark, sf):
+    return [r.asDict() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+
+
+def bag(rows):
+    return Counter(rows)
+
+
+def test_licenses(spark, sf):
+    want = []
+    for d in docs(spark, sf):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (d["text"] or "").translate(LOWER))
+        at = [(i, lab) for p, lab in licenses.BASE for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
+        want.append((d["doc_id"], len(words), len(at), min(at)[0] if at else None, max(at)[0] if at else None, ",".join(sorted({x for _, x in at}))))
+    got = licenses.op1_licenses(spark, sf).collect()
+    assert bag((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in got) == bag(want)
+    for r in got:
+        assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
+
+
+def test_license_ranks_and_covers(spark):
+    rows = [(1, "This is licensed under the Apache License, Version 2.0."), (2, "Released under the MIT License. MIT license"), (3, "all rights reserved"), (4, "no such words here")]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].labels == ["apache-2.0"] and got[2].labels == ["mit"] and len(got[2].detections) == 2
+    assert got[3].labels == ["reserved"] and got[4].labels == [] and got[4].score == 0
+    assert [(d.first, d.last) for d in got[1].detections] == [(2, 8)]
+    assert len(licenses.rules()) > 300
+
+
+def test_quality(spark, sf):
+    want = []
+    for d in docs(spark, sf):
+        text = d["text"] or ""
+        w = WORD.findall(text)
+        many = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        rep = {j for i in range(len(w) - 2) if many[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+        ls = [x for x in text.split("\n") if WORD.search(x)]
+        failed = len(w) < 50 or 100 * len(rep) > 50 * len(w)
+        want.append((d["doc_id"], len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(ls) - len(set(ls)), len(rep), failed))
+    got = quality.op3_quality(spark, sf).collect()
+    assert bag((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got) == bag(want)
+    assert not any(r.kept and r.base_failed for r in got)
+    assert quality.keep_good(data.make(spark)).columns == data.make(spark).columns
+
+
+def test_quality_cutoffs_follow_the_corpus(spark):
+    plain = [" ".join(f"word{(i * 31 + j * 17) % 1009}" for j in range(80)) for i in range(300)]
+    rows = [(i, t, "en", "a") for i, t in enumerate(plain)] + [(1000, " ".join(f"###{j}***" for j in range(80)), "en", "a")]
+    out = quality.keep_good(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    assert {r.doc_id for r in out.collect()} == set(range(300))
+
+
+def test_quality_bucket_edges(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(0, 5000).select("id", quality.bucket(F.col("id")).alias("b")).withColumn("low", quality.lower_edge(F.col("b"))).orderBy("id").collect()
+    assert all(r.low <= r.id <= max(r.low * 17 / 16, r.low + 1) for r in rows) and [r.b for r in rows] == sorted(r.b for r in rows)
+
+
+def test_sharding(spark, sf):
+    got = sharding.op6_sharding(spark, sf).collect()
+    import zlib
+
+    enc = [(d["doc_id"], (d["text"] or "").encode()) for d in docs(spark, sf)]
+    assert bag((r.doc_id, r["size"], r.text_crc32) for r in got) == bag((i, len(t) + 1, zlib.crc32(t)) for i, t in enc)
+    by = defaultdict(list)
+    for r in got:
+        by[r.shard].append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+    if got:
+        assert set(by) == set(range(8)) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
+
+
+def test_feistel_permutes(spark):
+    from pyspark.sql import functions as F
+
+    for n in (1, 2, 3, 5, 10, 97, 1000, 4999):
+        got = [r[0] for r in spark.range(n).select(sharding.permuted(F.col("id"), n, 5)).collect()]
+        assert sorted(got) == list(range(n))
+
+    def hashed(x, salt):
+        h = xxhash.xxh64_intdigest(x.to_bytes(8, "little"), 42)
+        h = xxhash.xxh64_intdigest(salt.to_bytes(8, "little"), h)
+        return h - (1 << 64) if h >> 63 else h
+
+    n = 1000
+    a, b = sharding.domain(n)
+
+    def once(x):
+        left, right = x % a, x // a
+        for i in range(sharding.ROUNDS):
+            if i % 2 == 0:
+                left = (left + hashed(right, 5 + i) % a) % a
+            else:
+                right = (right + hashed(left, 5 + i) % b) % b
+        return left + a * right
+
+    want = []
+    for x in range(n):
+        y = once(x)
+        while y >= n:
+            y = once(y)
+        want.append(y)
+    assert want == [r[0] for r in spark.range(n).select(sharding.permuted(F.col("id"), n, 5)).collect()]
+
+
+def test_mixing(spark, sf):
+    got = mixing.op7_mixing(spark, sf).collect()
+    rows = docs(spark, sf)
+    sizes = [(d["doc_id"], len(WORD.findall(d["text"] or "")), d["source"]) for d in rows]
+    assert bag((r.doc_id, r["size"]) for r in got) == bag((i, n) for i, n, _ in sizes)
+    assert bag((r.doc_id, r.taken) for r in got) == bag((r.doc_id, r.taken) for r in mixing.op7_mixing(spark, sf).collect())
+    assert all(r.taken <= 2 * r["size"] for r in got)
+    total = Counter()
+    for _, n, s in sizes:
+        total[s] += n
+    names = sorted(total, key=lambda s: (s is None, s or ""))
+    w = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+    goal, left, open_ = {}, 1.5 * sum(total.values()), set(names)
+    while open_:
+        per = left / sum(w[s] for s in open_)
+        over = [s for s in open_ if w[s] * per > 2 * total[s]]
+        for s in over or open_:
+            goal[s] = 2.0 * total[s] if over else w[s] * per
+        if not over:
+            break
+        left -= sum(2.0 * total[s] for s in over)
+        open_ -= set(over)
+    by_size = {total[s]: goal[s] for s in names}
+    assert all(abs(r.target - by_size[r.source_size]) < 1e-6 * max(1, r.target) for r in got)
+
+
+def test_cube_sampling_balances(spark):
+    rows = [(i, "ab"[i % 2], i, 10 + (i * 7919) % 500) for i in range(4000)]
+    made, goal = mixing.mixed(spark.createDataFrame(rows, "doc_id long, source string, th long, size long"), block=300)
+    goals = {r.source: r.target for r in goal.collect()}
+    taken = Counter()
+    for r in made.collect():
+        taken[r.source] += r.n * r["size"]
+    assert all(abs(taken[s] - goals[s]) <= 1000 for s in goals)
+
+
+def test_mix_keeps_columns(spark):
+    got = mixing.mix(data.make(spark))
+    assert got.columns == data.make(spark).columns
+    got.collect()
+
+
+def test_pii(spark, sf):
+    email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    card, phone = re.compile(r"[0-9]([ -]?[0-9])+"), re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+
+    def ok_card(s):
+        d = [int(c) for c in s if c.isdigit()]
+        return 13 <= len(d) <= 19 and sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(reversed(d))) % 10 == 0
+
+    want = []
+    for d in docs(spark, sf):
+        t = d["text"] or ""
+        s = {"email": [m.span() for m in email.finditer(t)] if len(t) < 2000 else [], "ip": [m.span() for m in ip.finditer(t) if all(int(x) <= 255 for x in m[0].split("."))]}
+        s["card"] = [m.span() for m in card.finditer(t) if ok_card(m[0])]
+        s["phone"] = [m.span() for m in phone.finditer(t) if 9 <= sum(c.isdigit() for c in m[0]) <= 15]
+        said = ",".join(f"{k}:{a}:{b}" for k in ("email", "ip", "card", "phone") for a, b in s[k])
+        want.append((d["doc_id"], *(len(s[k]) for k in ("email", "ip", "card", "phone")), hashlib.sha256(said.encode()).hexdigest()))
+    got = pii.op8_pii(spark, sf).collect()
+    assert bag(tuple(r)[:6] for r in got) == bag(want)
+
+
+def test_pii_emails_linear():
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    for t in ["a@b.c", "@a@b.cc x@y", "a@b.co_x@y.zz", "a@b.c.@d.e", "a@@b.c", "x.y@z", "é@a.b c%@-.-", "a@b..c d@e.f"]:
+        assert pii.emails(t) == [m.span() for m in email.finditer(t)], t
+    assert pii.base_spans("7" * 200_000 + "a" * 200_000 + "@")["email"] == []
+
+
+def test_pii_model_separates():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(2000, 4))
+    y = (x[:, 0] * x[:, 1] > 0.1) & (x[:, 2] > -1)
+    model = pii.Selector(x[:1500], y[:1500], 0.9)
+    picked = model.chance(x[1500:]) >= model.threshold
+    assert picked.sum() > 50 and y[1500:][picked].mean() > 0.85
+
+
+def test_simhash(spark, sf):
+    def mark(text):
+        w = WORD.findall((text or "").translate(LOWER))
+        if not w:
+            return 0
+        sh = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))]
+        hs = [xxhash.xxh64_intdigest(s.encode(), 42) for s in sh]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+    rows = [(d["doc_id"], mark(d["text"])) for d in docs(spark, sf)]
+    comp = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if (rows[i][1] ^ rows[j][1]).bit_count() <= 2:
+                a, b = comp[i], comp[j]
+                comp = [min(a, b) if c in (a, b) else c for c in comp]
+    least = {c: min([rows[k][0] for k in range(len(rows)) if comp[k] == c and rows[k][0] is not None], default=None) for c in comp}
+    want = bag((i, f"{f:016x}", least[c]) for (i, f), c in zip(rows, comp))
+    assert bag(tuple(r) for r in simhash.op9_simhash(spark, sf).collect()) == want
+
+
+def test_bit_slices_against_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    marks = [rng.getrandbits(64) for _ in range(300)]
+    marks += [m ^ (1 << rng.randrange(64)) for m in marks[:150] for _ in range(3)] + [m ^ (1 << 63) ^ (1 << rng.randrange(63)) for m in marks[150:250]]
+    marks += [7 ^ (1 << i) ^ (1 << j) for i in range(40, 64) for j in range(40, i)]
+    marks = sorted(set(marks))
+    comp = list(range(len(marks)))
+
+    def top(i):
+        while comp[i] != i:
+            i = comp[i]
+        return i
+
+    for r in (2, 3):
+        comp[:] = range(len(marks))
+        for i in range(len(marks)):
+            for j in range(i):
+                if (marks[i] ^ marks[j]).bit_count() <= r:
+                    a, b = sorted((top(i), top(j)))
+                    comp[b] = a
+        want = {tuple(sorted(marks[k] for k in range(len(marks)) if top(k) == c)) for c in map(top, range(len(marks)))}
+        signed = [m - (1 << 64) if m >> 63 else m for m in marks]
+        fps = spark.createDataFrame([(m,) for m in signed], "fp long")
+        found = {x.node: x.root for x in simhash.connected(simhash.links(fps, r, chunk=16)).collect()}
+        groups = defaultdict(list)
+        for m in signed:
+            groups[found.get(m, m)].append(m % (1 << 64))
+        assert {tuple(sorted(g)) for g in groups.values()} == want
+
+
+def test_one_of_each(spark):
+    kept = simhash.one_of_each(data.make(spark))
+    assert kept.columns == data.make(spark).columns
+    ids = [r.doc_id for r in kept.collect()]
+    assert Counter(i for i in ids if i is not None).most_common(1)[0][1] == 1 and 0 in ids and 1 not in ids and 2 not in ids
+
+
+def test_lines(spark, sf):
+    rows = docs(spark, sf)
+    blank = " \t\n\x0b\x0c\r"
+    last = 2**63 - 1
+    held = defaultdict(set)
+    for d in rows:
+        for x in (d["text"] or "").split("\n"):
+            held[x.strip(blank).translate(LOWER)].add(last if d["doc_id"] is None else d["doc_id"])
+    want = []
+    for d in rows:
+        ls = (d["text"] or "").split("\n")
+        me = last if d["doc_id"] is None else d["doc_id"]
+        keep = [x for x in ls if len(k := x.strip(blank).translate(LOWER)) < 10 or len(held[k]) < 2 or min(held[k]) == me]
+        want.append((d["doc_id"], len(ls), len(ls) - len(keep), hashlib.sha256("\n".join(keep).encode()).hexdigest()))
+    assert bag(tuple(r) for r in lines.op10_line_dedup(spark, sf).collect()) == bag(want)

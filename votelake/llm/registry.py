@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import lines, mixing, quality, sharding, simhash, urls
+from . import licenses, lines, mixing, pii, quality, sharding, simhash, urls
 
 
 def queries() -> dict:
     return {
+        "op1_licenses": licenses.op1_licenses,
         "op3_quality": quality.op3_quality,
         "op5_urls": urls.op5_urls,
         "op6_sharding": sharding.op6_sharding,
         "op7_mixing": mixing.op7_mixing,
+        "op8_pii": pii.op8_pii,
         "op9_simhash": simhash.op9_simhash,
         "op10_line_dedup": lines.op10_line_dedup,
     }

@@ -47,7 +47,7 @@ def walks(n: int) -> int:
     """Steps that end every walk: all values too many, or so many that 1 in 10^40 walks is longer."""
     a, b = domain(n)
     over = a * b - n
-    if over == 0:
+    if over == 0 or n <= 1:
         return 0
     return min(over, math.ceil(40 / math.log10(a * b / over)))
 
