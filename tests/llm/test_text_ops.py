@@ -43,7 +43,7 @@ def test_license_ranks_and_covers(spark):
     got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1].labels == ["apache-2.0"] and got[2].labels == ["mit"] and len(got[2].detections) == 2
     assert got[3].labels == ["reserved"] and got[4].labels == [] and got[4].score == 0
-    assert [(d.first, d.last) for d in got[1].detections] == [(2, 8)]
+    assert [(d.first, d.last) for d in got[1].detections] == [(2, 9)]
     assert len(licenses.rules()) > 300
 
 

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from . import licenses, lines, mixing, pii, quality, sharding, simhash, urls
+import corpus_pipeline
+
+from . import decontamination, licenses, lines, mixing, pii, quality, sharding, simhash, substrings, urls
 
 
 def queries() -> dict:
     return {
         "op1_licenses": licenses.op1_licenses,
+        "op2_decontamination": decontamination.op2_decontamination,
         "op3_quality": quality.op3_quality,
+        "op4_substrings": substrings.op4_substrings,
         "op5_urls": urls.op5_urls,
         "op6_sharding": sharding.op6_sharding,
         "op7_mixing": mixing.op7_mixing,
         "op8_pii": pii.op8_pii,
         "op9_simhash": simhash.op9_simhash,
         "op10_line_dedup": lines.op10_line_dedup,
+        "pipeline": corpus_pipeline.run,
     }
 
 
