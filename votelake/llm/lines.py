@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut_wide, id_or_last, small_batches, table
+from .common import cut, cut_wide, id_or_last, small_batches, table
 
 BLANKS = " \t\n\x0b\x0c\r"
 MIN_CHARS = 10
@@ -76,7 +76,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
         held = keys.groupBy("k1", "k2").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
     else:
         held = keys.distinct().groupBy("k1", "k2").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter(F.col("n") >= min_docs)
-    lost = keys.join(held.select("k1", "k2", "first"), ["k1", "k2"]).filter("id > first")
+    held = cut(held.select("k1", "k2", "first"))  # so that the join deals both sides anew and can split a hot line's rows
+    lost = keys.join(held, ["k1", "k2"]).filter("id > first")
     lists = lost.groupBy("id").agg(F.collect_list(F.struct("k1", "k2")).alias("k")).select("id", F.col("k.k1").alias("k1"), F.col("k.k2").alias("k2"))
     return own.join(lists, "id", "left").select("doc_id", "text", "k1", "k2").mapInArrow(without(min_chars), "doc_id long, text string, n_lines long, n_dropped long")
 

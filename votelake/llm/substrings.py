@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut_wide, id_or_last, small_batches, table, utf8
+from .common import cut, cut_wide, id_or_last, small_batches, table, utf8
 
 LENGTH = 200
 ANCHOR = 48
@@ -189,7 +189,7 @@ def repeats_of(length: int, anchor: int):
         _, end = np.nonzero(edge == -1)
         place = np.array([r[3] for r in rows], np.int64)[at] - side
         pick = lambda k: pa.array(np.array([r[k] for r in rows], np.int64)[at])
-        return pa.RecordBatch.from_arrays([pick(1), pick(2), pa.array((place + begin).astype(np.int32)), pa.array((place + end - 1 + length).astype(np.int32))], names=["id", "th", "s", "e"])
+        return pa.RecordBatch.from_arrays([pick(1), pick(2).cast(pa.int32()), pa.array((place + begin).astype(np.int32)), pa.array((place + end - 1 + length).astype(np.int32))], names=["id", "th", "s", "e"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -217,7 +217,7 @@ def contexts_of(length: int, anchor: int):
                 out += [(a["g"], i, th, a["at"], a["once"], min(a["at"], side), raw[max(0, a["at"] - side) : a["at"] + length]) for a in asked]
             for k in range(0, len(out), 8192):
                 cols = list(zip(*out[k : k + 8192]))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.binary())
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["g", "id", "th", "at", "once", "left", "raw"])
 
     return run
@@ -248,9 +248,11 @@ def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the kept bytes: a row for each row of docs."""
     small_batches(docs.sparkSession)
-    own = docs.select(id_or_last(F.col("doc_id")).cast("long").alias("id"), F.xxhash64("text").alias("th"), "text", F.col("doc_id").cast("long").alias("doc_id"))
-    places = cut_wide(own.select("id", "th", "text").mapInArrow(anchors_of(length, anchor), "id long, th long, at int, g long, c long"))
+    own = docs.select(id_or_last(F.col("doc_id")).cast("long").alias("id"), F.hash("text").alias("th"), "text", F.col("doc_id").cast("long").alias("doc_id"))
+    places = cut_wide(own.select("id", "th", "text").mapInArrow(anchors_of(length, anchor), "id long, th int, at int, g long, c long"))
+    # cut, so that the join deals both sides anew and can split the rows of a hot anchor
     twice = places.groupBy("g").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).filter("n > 1").select("g", (F.col("low") != F.col("high")).alias("mixed"))
+    twice = cut(twice)
     found = cut_wide(places.join(twice, "g"))
     contexts = found.filter("mixed").groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "at")).alias("one"))
     contexts = cut_wide(contexts.select("g", "c", (F.col("n") == 1).alias("once"), "one"))
@@ -259,8 +261,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     spans = whole.select("id", "th", (F.col("at") - side).alias("s"), (F.col("at") + length).alias("e"))
     asked = contexts.groupBy(F.col("one.id").alias("id"), F.col("one.th").alias("th")).agg(F.collect_list(F.struct(F.col("g"), F.col("one.at").alias("at"), F.col("once"))).alias("asked"))
     texts = own.select("id", "th", "text").join(asked, ["id", "th"]).dropDuplicates(["id", "th"])
-    short = texts.select("id", "th", "text", "asked").mapInArrow(contexts_of(length, anchor), "g long, id long, th long, at int, once boolean, left int, raw binary")
-    met = short.repartition("g").sortWithinPartitions("g").mapInArrow(repeats_of(length, anchor), "id long, th long, s int, e int")
+    short = texts.select("id", "th", "text", "asked").mapInArrow(contexts_of(length, anchor), "g long, id long, th int, at int, once boolean, left int, raw binary")
+    met = short.repartition("g").sortWithinPartitions("g").mapInArrow(repeats_of(length, anchor), "id long, th int, s int, e int")
     lists = spans.unionByName(met).groupBy("id", "th").agg(F.collect_list(F.struct("s", "e")).alias("x")).select("id", "th", F.col("x.s").alias("s"), F.col("x.e").alias("e"))
     rest = own.join(lists, ["id", "th"], "left").select("doc_id", "text", "s", "e")
     return rest.mapInArrow(without, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
