@@ -184,7 +184,7 @@ query("a8_top_categories", "SELECT * FROM (SELECT user_id, category, round(propo
 query("a9_over_folds", "SELECT user_id, score, round(avg(value), 6) AS value, round(stddev_pop(value), 6) AS std FROM res GROUP BY ALL")(lambda t: rounded(R.average_over_folds(t.res.withColumn("combination_idx", F.lit(0))).drop("combination_idx")))
 query("a10_over_users", "SELECT combination_idx, score, round(avg(value), 6) AS value, round(stddev_samp(value), 6) AS std FROM res GROUP BY ALL")(lambda t: rounded(R.average_over_users(t.res)))
 query("a10_median_over_users", "SELECT combination_idx, score, round(median(value), 6) AS value, round(stddev_samp(value), 6) AS std FROM res GROUP BY ALL")(lambda t: rounded(R.average_over_users(t.res, True)))
-query("a11_over_seeds", "SELECT user_id, combination_idx, score, round(avg(value), 6) AS value FROM (SELECT * FROM res UNION ALL SELECT user_id, combination_idx, score, value / 2 FROM res) GROUP BY ALL")(lambda t: rounded(R.average_over_seeds([t.res, t.res.withColumn("value", F.col("value") / 2)])))
+query("a11_over_seeds", "SELECT user_id, combination_idx, score, round(avg(value), 9) AS value FROM (SELECT * FROM res UNION ALL SELECT user_id, combination_idx, score, value / 2 FROM res) GROUP BY ALL")(lambda t: rounded(R.average_over_seeds([t.res, t.res.withColumn("value", F.col("value") / 2)]), 9))
 query("a12_extreme_users", "SELECT combination_idx, score, round(avg(value), 6) AS value, round(stddev_samp(value), 6) AS std FROM (SELECT *, row_number() OVER (PARTITION BY combination_idx, score ORDER BY value, user_id) AS i FROM res) WHERE i <= 10 GROUP BY ALL")(lambda t: rounded(R.average_extreme_users(t.res, 10)))
 INFO = ["n_posrated", "n_negrated", "n_sessions"]
 query("a13_info_summary", ", info AS (SELECT user_id, count(*) FILTER (rating = 1) AS n_posrated, count(*) FILTER (rating = 0) AS n_negrated, count(DISTINCT session_id) AS n_sessions FROM rat GROUP BY 1) SELECT statistic, min(value)::DOUBLE AS low, max(value)::DOUBLE AS high, median(value) AS median, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std FROM (UNPIVOT info ON n_posrated, n_negrated, n_sessions INTO NAME statistic VALUE value) GROUP BY 1")(lambda t: rounded(R.users_info_summary(P.user_info(t.rat), INFO)))
