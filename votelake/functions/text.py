@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,3 +49,35 @@ def mean_tfidf_by_group(weights: DataFrame, groups: DataFrame) -> DataFrame:
     sizes = groups.groupBy("group").agg(F.countDistinct("paper_id").alias("n"))
     sums = groups.distinct().join(weights, "paper_id").groupBy("group", "term").agg(F.sum("weight").alias("w"))
     return sums.join(sizes, "group").select("group", "term", (F.col("w") / F.col("n")).alias("weight"))
+
+
+def scaled_difference(means: DataFrame, a: str, b: str) -> DataFrame:
+    """term, difference: the weights of group a minus those of b, over the largest absolute difference."""
+    d = means.groupBy("term").agg(F.sum(F.when(F.col("group") == a, F.col("weight")).when(F.col("group") == b, -F.col("weight")).otherwise(0.0)).alias("d"))
+    top = d.agg(F.max(F.abs("d")).alias("top"))
+    return d.crossJoin(F.broadcast(top)).select("term", (F.col("d") / F.when(F.col("top") == 0, 1.0).otherwise(F.col("top"))).alias("difference"))
+
+
+def score_words(words: list[str], scores: dict[str, float], longest: int) -> tuple[float, int]:
+    """Sum and number of greedy matches from the left, the longest phrase first; words without a match score 0."""
+    total, found, i = 0.0, 0, 0
+    while i < len(words):
+        for n in range(min(longest, len(words) - i), 0, -1):
+            score = scores.get(" ".join(words[i : i + n]))
+            if score is not None:
+                total, found, i = total + score, found + 1, i + n
+                break
+        else:
+            i += 1
+    return total, found
+
+
+def score_text(words: Column, scores: dict[str, float]) -> Column:
+    """struct(total, matches) of an array of words; scores is a vocabulary of bounded size."""
+    longest = max((len(t.split(" ")) for t in scores), default=0)
+
+    @F.pandas_udf("total double, matches long")
+    def run(batch: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([score_words(list(w) if w is not None else [], scores, longest) for w in batch], columns=["total", "matches"])
+
+    return run(words)

@@ -93,3 +93,64 @@ def category_centroids(embeddings: DataFrame, papers: DataFrame, reference: str,
     means = mean_vectors(embeddings.join(papers.select("paper_id", level).filter(F.col(level).isNotNull()), "paper_id"), [level], "embedding")
     ref = means.filter(F.col(level) == reference).select(F.col("mean").alias("ref"))
     return means.crossJoin(F.broadcast(ref)).select(level, "n", norm("mean").alias("length"), (dot("mean", "ref") / (norm("mean") * norm("ref"))).alias("cosine"))
+
+
+def merge_embedding_batches(*batches: DataFrame) -> DataFrame:
+    """All batches as one table; repeated_ids shows what they must not share."""
+    out = batches[0].select("paper_id", "embedding")
+    for b in batches[1:]:
+        out = out.unionByName(b.select("paper_id", "embedding"))
+    return out
+
+
+def repeated_ids(embeddings: DataFrame) -> DataFrame:
+    return embeddings.groupBy("paper_id").agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def filter_embeddings(embeddings: DataFrame, ids: DataFrame) -> DataFrame:
+    return embeddings.join(ids.select("paper_id"), "paper_id", "left_semi")
+
+
+def compare_embeddings(before: DataFrame, after: DataFrame, papers: DataFrame, level: str = "l1") -> DataFrame:
+    """Cohesion of each category before and after, and the difference."""
+    a, b = (category_cohesion(e, papers, level).select(level, F.col("cosine").alias(n)) for e, n in ((before, "before"), (after, "after")))
+    return a.join(b, level, "full").select(level, "before", "after", (F.col("after") - F.col("before")).alias("difference"))
+
+
+def cluster_similarity(embeddings: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """Per cluster: mean cosine inside, mean cosine to all other clusters, and (inside - outside) / the larger. From sums; clusters are few."""
+    rows = embeddings.join(labels.select("paper_id", label).filter(F.col(label).isNotNull()), "paper_id")
+    unit = rows.select(label, l2_normalize("embedding").alias("u"), (norm("embedding") > 0).cast("long").alias("nz"))
+    sums = vector_sums(unit, [label], "u").join(unit.groupBy(label).agg(F.sum("nz").alias("nz")), label)
+    whole = vector_sums(unit.withColumn("_g", F.lit(1)), ["_g"], "u").select(F.col("n").alias("_n"), F.col("sum").alias("_s"))
+    n, rest = F.col("n"), F.col("_n") - F.col("n")
+    own = dot("sum", "sum")
+    out = sums.crossJoin(F.broadcast(whole)).select(label, "n", F.when(n > 1, (own - F.col("nz")) / (n * (n - 1))).alias("inside"), F.when(rest > 0, (dot("sum", "_s") - own) / (n * rest)).alias("outside"))
+    return out.withColumn("score", (F.col("inside") - F.col("outside")) / F.greatest("inside", "outside"))
+
+
+def category_vectors(words: DataFrame, vectors: DataFrame, norm_to: str = "none") -> DataFrame:
+    """category, vec: weighted sums of word vectors (words: category, word, weight; vectors: word, vec), as they are (none), of length 1 (unit) or 0.5 (half). A word without a vector adds nothing."""
+    parts = words.join(vectors, "word").select("category", F.transform("vec", lambda x: x * F.col("weight")).alias("v"))
+    sums = vector_sums(parts, ["category"], "v").select("category", F.col("sum").alias("vec"))
+    if norm_to == "none":
+        return sums
+    size = {"unit": 1.0, "half": 0.5}[norm_to]
+    return sums.withColumn("vec", F.transform(l2_normalize("vec"), lambda x: x * size))
+
+
+def pca(df: DataFrame, fit: DataFrame, v: str, dim: int) -> DataFrame:
+    """df with v centred by fit's mean, projected on fit's first dim components and of length 1; as it is where dim isn't below the width.
+
+    Spark's PCA sums a covariance as large as the width squared; the sign of a component is free.
+    """
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    first = fit.select(F.size(v).alias("w")).first()
+    if first is None or dim >= first["w"]:
+        return df
+    mean = mean_vectors(fit.withColumn("_g", F.lit(1)), ["_g"], v).select(F.col("mean").alias("_m"))
+    centred = lambda d: d.crossJoin(F.broadcast(mean)).withColumn("_c", array_to_vector(F.zip_with(v, "_m", lambda x, m: x - m)))
+    model = PCA(k=dim, inputCol="_c", outputCol="_p").fit(centred(fit))
+    return model.transform(centred(df)).withColumn(v, l2_normalize(vector_to_array("_p"))).drop("_m", "_c", "_p")

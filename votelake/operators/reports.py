@@ -83,3 +83,83 @@ def first_vs_other_sessions(sessions: DataFrame, value: str) -> DataFrame:
     """Mean over users of the first session's value and of the later sessions' mean."""
     per = sessions.groupBy("user_id").agg(F.avg(F.when(F.col("session_id") == 0, F.col(value))).alias("a"), F.avg(F.when(F.col("session_id") > 0, F.col(value))).alias("b"))
     return per.agg(F.avg("a").alias("first"), F.avg("b").alias("others"), F.count("b").alias("n_users"))
+
+
+def session_position_scores(metrics: DataFrame, value: str) -> DataFrame:
+    """Per user over sessions (user_id, session_id, value): the first, middle (index n // 2) and last one, mean, median and deviation."""
+    order = Window.partitionBy("user_id").orderBy("session_id")
+    rows = metrics.withColumn("_i", F.row_number().over(order) - 1).withColumn("_n", F.count("*").over(Window.partitionBy("user_id")))
+    at = lambda c: F.max(F.when(F.col("_i") == c, F.col(value)))
+    return rows.groupBy("user_id").agg(at(F.lit(0)).alias("first"), at(F.floor(F.col("_n") / 2)).alias("middle"), at(F.col("_n") - 1).alias("last"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.stddev_samp(value).alias("std"))
+
+
+def metrics_by_bins(metrics: DataFrame, axis: str, width: int, top: int, value: str) -> DataFrame:
+    """bin = axis // width, at most top: mean over users of their means, and the number of users."""
+    per = metrics.withColumn("bin", F.least(F.floor(F.col(axis) / width), F.lit(top).cast("long"))).groupBy("bin", "user_id").agg(F.avg(value).alias("v"))
+    return per.groupBy("bin").agg(F.avg("v").alias("mean"), F.count("*").alias("n_users"))
+
+
+def best_k_summary(results: DataFrame, score: str) -> DataFrame:
+    """results (user_id, k, score, value): each user's best k (the smaller at equal value), then users and mean best value for each best k."""
+    own = results.filter(F.col("score") == score).groupBy("user_id").agg(F.max(F.struct("value", (-F.col("k")).alias("k"))).alias("b"))
+    return own.groupBy((-F.col("b.k")).alias("best_k")).agg(F.count("*").alias("n_users"), F.avg("b.value").alias("value"))
+
+
+def category_mode_match(votes: DataFrame, level: str = "l1") -> DataFrame:
+    """Per user: 1 if up-votes and down-votes have the same most frequent category (the smallest name at equal count), else 0."""
+    counts = votes.filter((F.col("rating") <= 1) & F.col(level).isNotNull()).groupBy("user_id", "rating", level).agg(F.count("*").alias("n"))
+    mode = counts.groupBy("user_id", "rating").agg(F.min(F.struct((-F.col("n")).alias("n"), level)).alias("m"))
+    sides = mode.groupBy("user_id").agg(F.max(F.when(F.col("rating") == 1, F.col(f"m.{level}"))).alias("a"), F.max(F.when(F.col("rating") == 0, F.col(f"m.{level}"))).alias("b"))
+    return sides.select("user_id", F.coalesce((F.col("a") == F.col("b")).cast("int"), F.lit(0)).alias("matches"))
+
+
+def hyperparameter_curve(means: DataFrame, grid: DataFrame, x: str) -> DataFrame:
+    """Scores along x for each setting of the other hyperparameters; curve numbers these settings from 0. The grid is small."""
+    others = [c for c in grid.columns if c not in ("combination_idx", x)]
+    curve = (F.dense_rank().over(Window.orderBy(*others)) - 1) if others else F.lit(0)
+    return means.join(F.broadcast(grid.withColumn("curve", curve)), "combination_idx").select("curve", x, "score", "value", "std")
+
+
+def user_groups(users: DataFrame, score: str, columns: list[str], n: int | None = None) -> DataFrame:
+    """group, user_id: head and tail by score, and the users with the largest and smallest of each column; users of is_other as `other`.
+
+    n: 75 of 500 users or more, else a sixth (one at least); one count of users.
+    """
+    if n is None:
+        total = users.count()
+        n = 75 if total >= 500 else max(1, int(total * 0.16667))
+    out = users.filter("is_other").select(F.lit("other").alias("group"), "user_id")
+    for c in [score, *columns]:
+        for label, order in (("high", F.desc(c)), ("low", F.asc(c))):
+            out = out.unionByName(users.orderBy(order, "user_id").limit(n).select(F.lit(f"{c}_{label}").alias("group"), "user_id"))
+    return out
+
+
+def extreme_predictions(predictions: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """The n most and n least probable papers of each outcome of a user, with titles. predictions: user_id, paper_id, t, proba, outcome."""
+    w = Window.partitionBy("user_id", "outcome")
+    rows = predictions.withColumn("_a", F.row_number().over(w.orderBy(F.desc("proba"), "paper_id", "t"))).withColumn("_b", F.row_number().over(w.orderBy("proba", "paper_id", "t")))
+    side = F.explode(F.array_compact(F.array(F.when(F.col("_a") <= n, F.struct(F.lit("high").alias("side"), F.col("_a").alias("place"))), F.when(F.col("_b") <= n, F.struct(F.lit("low").alias("side"), F.col("_b").alias("place"))))))
+    rows = rows.filter((F.col("_a") <= n) | (F.col("_b") <= n)).select("user_id", "outcome", "paper_id", "t", "proba", side.alias("_s"))
+    return rows.join(texts.select("paper_id", "title"), "paper_id", "left").select("user_id", "outcome", "_s.side", "_s.place", "paper_id", "title", "proba")
+
+
+def worst_users(results: DataFrame, score: str, sizes: list[int]) -> DataFrame:
+    """combination_idx and the mean of its worst users' scores, for each size."""
+    order = Window.partitionBy("combination_idx").orderBy("value", "user_id")
+    rows = results.filter(F.col("score") == score).withColumn("_i", F.row_number().over(order))
+    return rows.groupBy("combination_idx").agg(*[F.avg(F.when(F.col("_i") <= k, F.col("value"))).alias(f"worst_{k}") for k in sizes])
+
+
+def attach_metrics_to_sessions(sessions: DataFrame, runs: list[DataFrame], value: str) -> DataFrame:
+    """Sessions with the value averaged over runs (user_id, session_id, value); NULL where no run has one."""
+    both = runs[0]
+    for r in runs[1:]:
+        both = both.unionByName(r)
+    return sessions.join(both.groupBy("user_id", "session_id").agg(F.avg(value).alias(value)), ["user_id", "session_id"], "left")
+
+
+def validation_summary(results: DataFrame, groups: DataFrame) -> DataFrame:
+    """group, score: mean over the group's users and over all of them (group `all`)."""
+    everyone = results.select("user_id").distinct().select(F.lit("all").alias("group"), "user_id")
+    return group_score_table(results, groups.select("group", "user_id").unionByName(everyone)).select("group", "score", "value", "n")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .splits import draw
@@ -85,9 +85,11 @@ def exclude_papers(cache: DataFrame, used: DataFrame) -> DataFrame:
     return cache.join(used.select("user_id", "paper_id").distinct(), ["user_id", "paper_id"], "left_anti")
 
 
-def user_cache(users: DataFrame, cache: DataFrame, used: DataFrame) -> DataFrame:
-    """The shared cache for each user without what the user has rated or been given. cache: of a fixed, small size."""
-    return exclude_papers(users.select("user_id").distinct().crossJoin(F.broadcast(cache.select("paper_id"))), used)
+def user_cache(users: DataFrame, cache: DataFrame, used: DataFrame, extras: DataFrame | None = None) -> DataFrame:
+    """The shared cache and the user's extras (user_id, paper_id) without what the user has rated or been given. cache: of a fixed, small size."""
+    rows = users.select("user_id").distinct().crossJoin(F.broadcast(cache.select("paper_id")))
+    rows = rows if extras is None else rows.unionByName(extras.select("user_id", "paper_id")).distinct()
+    return exclude_papers(rows, used)
 
 
 def cache_papers(papers: DataFrame, n: int, seed: int) -> DataFrame:
@@ -109,3 +111,81 @@ def relevant_papers(*parts: DataFrame) -> DataFrame:
 
 def missing_embeddings(wanted: DataFrame, embeddings: DataFrame) -> DataFrame:
     return wanted.select("paper_id").distinct().join(embeddings.select("paper_id"), "paper_id", "left_anti")
+
+
+def stratified_eval_users(users: DataFrame, n_other: int, n_ends: int, n_rest: int, seed: int) -> DataFrame:
+    """user_id, selection of users (user_id, n_val_sessions, is_other): val and test each get n_other users of is_other,
+    n_ends with the most and n_ends with the fewest sessions, and n_rest drawn ones; a user taken once isn't taken again;
+    all others are `other`. Each pick is a distributed top-k; only picks of fixed size are ranked in one task."""
+    left = users.withColumn("_d", draw(seed, "eval", "user_id"))
+    picks = None
+    for own, n, order in (("is_other", n_other, ["_d"]), (None, n_ends, [F.desc("n_val_sessions")]), (None, n_ends, [F.asc("n_val_sessions")]), (None, n_rest, ["_d"])):
+        pool = left if picks is None else left.join(picks.select("user_id"), "user_id", "left_anti")
+        pick = (pool.filter(own) if own else pool).orderBy(*order, "user_id").limit(2 * n)
+        pick = pick.withColumn("_i", F.row_number().over(Window.orderBy(*order, "user_id")))
+        pick = pick.select("user_id", F.when(F.col("_i") % 2 == 1, "val").otherwise("test").alias("selection"))
+        picks = pick if picks is None else picks.unionByName(pick)
+    return users.select("user_id").join(picks, "user_id", "left").select("user_id", F.coalesce("selection", F.lit("other")).alias("selection"))
+
+
+def capped_category_negatives(papers: DataFrame, most: int, seed: int, exclude: DataFrame) -> DataFrame:
+    """At most `most` drawn papers of each l1, none of them excluded."""
+    quota = papers.filter("l1 IS NOT NULL").select(F.col("l1").alias("category")).distinct().withColumn("quota", F.lit(most).cast("long"))
+    return sample_by_category(papers, quota, seed, exclude)
+
+
+def training_groups(votes: DataFrame, m: int, seed: int, k: int = 4) -> DataFrame:
+    """Per user one drawn up-vote of the m most recent, and k drawn of the m down-votes nearest to it in time."""
+    user = Window.partitionBy("user_id")
+    ups = votes.filter("rating = 1").withColumn("_i", F.row_number().over(user.orderBy(F.desc("t"), F.desc("paper_id")))).filter(F.col("_i") <= m)
+    one = ups.withColumn("_k", F.row_number().over(user.orderBy(draw(seed, "up", "user_id", "paper_id", "t"), "paper_id", "t"))).filter("_k = 1").select("user_id", "paper_id", "t")
+    near = closest_negatives(votes, m).join(one, ["user_id", "paper_id", "t"], "left_semi")
+    order = user.orderBy(draw(seed, "down", "user_id", "neg_paper_id", "neg_t"), "neg_paper_id", "neg_t")
+    return near.withColumn("slot", F.row_number().over(order)).filter(F.col("slot") <= k).select("user_id", "paper_id", "t", "neg_paper_id", "neg_t", "slot")
+
+
+def bounded_user_samples(votes: DataFrame, n: int, min_pos: int, min_neg: int, seed: int) -> DataFrame:
+    """n rated votes of each user in drawn order, with at least min_pos up-votes and min_neg down-votes; users that can't give them go."""
+    user = Window.partitionBy("user_id")
+    key = draw(seed, "sample", "user_id", "paper_id", "t")
+    rows = votes.filter("rating <> 2").withColumn("_k", key)
+    up = F.col("rating") == 1
+    rows = rows.withColumn("_i", F.row_number().over(user.orderBy("_k", "paper_id", "t"))).withColumn("_j", F.row_number().over(Window.partitionBy("user_id", "rating").orderBy("_k", "paper_id", "t")))
+    rows = rows.withColumn("_p", F.count_if(up).over(user)).withColumn("_n", F.count_if(~up).over(user)).withColumn("_c", F.count_if(up & (F.col("_i") <= n)).over(user))
+    low, high = F.greatest(F.lit(min_pos), n - F.col("_n")), F.least(F.col("_p"), F.lit(n - min_neg))
+    take = F.greatest(low, F.least(high, F.col("_c")))
+    kept = rows.filter(low <= high).filter(F.col("_j") <= F.when(up, take).otherwise(n - take))
+    return kept.select("user_id", "paper_id", "rating", "t")
+
+
+def uniform(key: Column) -> Column:
+    """[0, 1) from the first 32 bits of a drawn key."""
+    return F.conv(F.substring(key, 1, 8), 16, 10).cast("long") / F.lit(2.0**32)
+
+
+def category_weighted_draw(papers: DataFrame, ratios: DataFrame, n: int, seed: int) -> DataFrame:
+    """n draws with replacement: draw, category (by ratio), paper_id (uniform within it).
+
+    A paper's number within its category is an offset of its drawn bucket (of 256) and its place there, so no task
+    numbers a whole category. ratios: a row for each category; those without papers are left out.
+    """
+    rows = papers.filter("l1 IS NOT NULL").select("paper_id", F.col("l1").alias("category"), F.substring(draw(seed, "row", "paper_id"), 1, 2).alias("b"))
+    before = Window.partitionBy("category").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("category", "b").agg(F.count("*").alias("c")).withColumn("off", F.coalesce(F.sum("c").over(before), F.lit(0))).withColumn("size", F.sum("c").over(Window.partitionBy("category")))
+    numbered = rows.join(F.broadcast(sizes), ["category", "b"]).withColumn("i", F.col("off") + F.row_number().over(Window.partitionBy("category", "b").orderBy("paper_id")) - 1)
+    held = ratios.join(F.broadcast(sizes.select("category", "size").distinct()), "category")
+    total = F.sum("ratio").over(Window.partitionBy(F.lit(0)))
+    upto = F.sum("ratio").over(Window.orderBy("category").rowsBetween(Window.unboundedPreceding, 0))
+    edges = held.select("category", "size", ((upto - F.col("ratio")) / total).alias("lo"), (upto / total).alias("hi"), (F.row_number().over(Window.orderBy(F.desc("category"))) == 1).alias("last"))
+    draws = papers.sparkSession.range(n).select(F.col("id").alias("draw"), uniform(draw(seed, "cat", "id")).alias("u"), uniform(draw(seed, "within", "id")).alias("x"))
+    met = draws.join(F.broadcast(edges), (F.col("u") >= F.col("lo")) & ((F.col("u") < F.col("hi")) | F.col("last")))
+    met = met.select("draw", "category", F.floor(F.col("x") * F.col("size")).alias("i"))
+    return met.join(numbered.select("category", "i", "paper_id"), ["category", "i"]).select("draw", "category", "paper_id")
+
+
+def training_examples(split: DataFrame, selection: DataFrame, papers: DataFrame) -> DataFrame:
+    """Votes of the training users and of the training part of validation users, with categories and second; place: up-votes first, then down-votes, in time order."""
+    rows = split.filter("rating <> 2").join(selection, "user_id").filter("selection = 'train' OR (selection = 'val' AND split = 'train')")
+    rows = rows.join(papers.select("paper_id", "l1", "l2"), "paper_id", "left").withColumn("second", F.floor(F.col("t") / 1_000_000))
+    order = Window.partitionBy("user_id").orderBy(F.desc("rating"), "t", "paper_id")
+    return rows.select("user_id", "paper_id", "rating", "l1", "l2", "second", F.row_number().over(order).alias("place"))
