@@ -117,3 +117,30 @@ def test_mode_ties_go_to_the_smaller_name(spark):
     rows = [(1, 1, "b"), (1, 1, "a"), (1, 0, "a"), (2, 1, "a"), (3, 1, "a"), (3, 0, "b")]
     got = R.category_mode_match(spark.createDataFrame(rows, "user_id long, rating int, l1 string"))
     assert {r.user_id: r.matches for r in got.collect()} == {1: 1, 2: 0, 3: 0}
+
+
+def test_best_k_path_is_bounded_by_steps(spark):
+    nan = float("nan")
+    value = np.array([[0.1, 0.2, 0.9], [0.9, 0.5, 0.5], [nan, nan, nan], [0.4, 0.4 + 1e-8, 0.1]])
+    logit = np.array([[0, 0, 0], [0, 0, 0], [0.1, 0.3, 0.2], [0, 0, 0]], float)
+    assert H.choose_path([1, 3, 5], value, logit, 1, 1) == [2, 2, 2, 1]
+    rows = [(1, s, k, None if np.isnan(value[s, i]) else float(value[s, i]), float(logit[s, i])) for s in range(4) for i, k in enumerate((1, 3, 5))]
+    got = H.best_k_path(spark.createDataFrame(rows, "user_id long, session_id long, k long, value double, logit double"), [1, 3, 5]).orderBy("session_id").collect()
+    assert [r.best_k for r in got] == [5, 5, 5, 3]
+
+
+def test_encoding_halves_failing_batches_and_skips_known(spark):
+    sizes = []
+
+    def encode(texts):
+        sizes.append(len(texts))
+        if len(texts) > 2:
+            raise RuntimeError
+        return [[float(len(t))] for t in texts]
+
+    assert T.encode_in_batches(["a", "bb", "ccc", "", "e"], encode, 8, 20) == [[1.0], [2.0], [3.0], [0.0], [1.0]] and sizes == [5, 4, 2, 2, 1]
+    with pytest.raises(RuntimeError):
+        T.encode_in_batches(["a"] * 9, encode, 8, 0)
+    texts = spark.createDataFrame([(1, "red fox"), (2, None), (3, "red fox"), (4, "x")], "paper_id long, abstract string")
+    got = {r.paper_id: r.embedding for r in T.encode_texts(texts, "abstract", known=texts.filter("paper_id = 4")).collect()}
+    assert set(got) == {1, 2, 3} and got[1] == got[3] and set(got[2]) == {0.0} and abs(sum(x * x for x in got[1]) - 1) < 1e-12

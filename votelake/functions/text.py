@@ -81,3 +81,47 @@ def score_text(words: Column, scores: dict[str, float]) -> Column:
         return pd.DataFrame([score_words(list(w) if w is not None else [], scores, longest) for w in batch], columns=["total", "matches"])
 
     return run(words)
+
+
+def hashing_encoder(width: int = 64):
+    """Texts to vectors of signed counts of hashed words, of length 1; no model."""
+    import zlib
+
+    def encode(texts: list[str]) -> list[list[float]]:
+        out = []
+        for text in texts:
+            v = [0.0] * width
+            for word in text.lower().split():
+                h = zlib.crc32(word.encode())
+                v[(h >> 1) % width] += 1.0 if h & 1 else -1.0
+            size = sum(x * x for x in v) ** 0.5
+            out.append([x / size for x in v] if size else v)
+        return out
+
+    return encode
+
+
+def encode_in_batches(texts: list[str], encode, batch: int, tries: int) -> list[list[float]]:
+    """All vectors; a failing batch is tried again at half the size, at most `tries` times."""
+    out: list[list[float]] = []
+    while len(out) < len(texts):
+        try:
+            out += encode(texts[len(out) : len(out) + batch])
+        except (MemoryError, RuntimeError):
+            tries, batch = tries - 1, max(1, batch // 2)
+            if tries < 0:
+                raise
+    return out
+
+
+def encode_texts(texts: DataFrame, column: str, encode=None, known: DataFrame | None = None, batch: int = 256, tries: int = 20) -> DataFrame:
+    """paper_id, embedding of the papers that `known` has no vector of. A NULL text counts as empty."""
+    encode = encode or hashing_encoder()
+    rows = texts.select("paper_id", F.coalesce(F.col(column), F.lit("")).alias("text"))
+    rows = rows if known is None else rows.join(known.select("paper_id"), "paper_id", "left_anti")
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"paper_id": pdf.paper_id, "embedding": encode_in_batches(pdf.text.tolist(), encode, batch, tries)})
+
+    return rows.mapInPandas(run, "paper_id long, embedding array<double>")

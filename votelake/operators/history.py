@@ -103,3 +103,30 @@ def user_geometry(split: DataFrame, embeddings: DataFrame) -> DataFrame:
         here = with_vectors(val.filter(F.col("i") == at), embeddings)
         out = out.join(mean_cosine_between(train, here, ["user_id"], "embedding").withColumnRenamed("cosine", f"train_to_{name}"), "user_id")
     return out
+
+
+def choose_path(ks: list[int], value: np.ndarray, logit: np.ndarray, up: int, down: int) -> list[int]:
+    """A place in ks for each row (session): the best value within the steps from the place before; values 1e-6 apart
+    are equal, and of equal ones the nearest to the place before stays, then the smaller. A row without a value (NaN)
+    takes the lowest logit."""
+    out: list[int] = []
+    for v, x in zip(value, logit):
+        at = range(len(ks)) if not out else range(max(0, out[-1] - down), min(len(ks), out[-1] + up + 1))
+        score = -x if np.isnan(v).all() else np.where(np.isnan(v), -np.inf, v)
+        top = max(score[i] for i in at)
+        out.append(min((i for i in at if score[i] >= top - 1e-6), key=lambda i: (abs(i - out[-1]) if out else 0, i)))
+    return out
+
+
+def best_k_path(metrics: DataFrame, ks: list[int], up: int = 1, down: int = 1) -> DataFrame:
+    """user_id, session_id, best_k from metrics (user_id, session_id, k, value, logit), one row for each session and k.
+
+    Each session's choice bounds the next one's, so a user's sessions go in order; a group holds sessions times ks small rows.
+    """
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        wide = pdf.pivot(index="session_id", columns="k").sort_index()
+        pick = choose_path(ks, wide["value"].reindex(columns=ks).to_numpy(float), wide["logit"].reindex(columns=ks).to_numpy(float), up, down)
+        return pd.DataFrame({"user_id": key[0], "session_id": wide.index.to_numpy(), "best_k": [ks[i] for i in pick]})
+
+    return metrics.select("user_id", "session_id", "k", "value", "logit").groupBy("user_id").applyInPandas(run, "user_id long, session_id long, best_k long")

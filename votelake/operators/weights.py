@@ -67,14 +67,19 @@ def max_pooling_scores(pairs: DataFrame, likes: DataFrame, embeddings: DataFrame
     return best.withColumn("logit", F.coalesce("logit", F.lit(0.0)))
 
 
-def knn_score(pairs: DataFrame, votes: DataFrame, embeddings: DataFrame, k: int = 3, alpha: float = 1.0) -> DataFrame:
-    """pairs with knn = alpha * (softmax-weighted mean of the k largest cosines to up-votes minus the same for down-votes); a missing side counts 0."""
+def knn_scores(pairs: DataFrame, votes: DataFrame, embeddings: DataFrame, ks: list[int], alpha: float = 1.0) -> DataFrame:
+    """pairs with k and knn for each k: alpha * (softmax-weighted mean of the k largest cosines to up-votes minus the same for down-votes); a missing side counts 0. Cosines are ranked once."""
     unit = embeddings.select("paper_id", l2_normalize("embedding").alias("_u"))
     cand = pairs.join(unit, "paper_id")
     known = votes.filter("rating <> 2").select("user_id", "paper_id", F.col("rating").alias("_r")).distinct().join(unit.withColumnRenamed("_u", "_o"), "paper_id").drop("paper_id")
     sims = cand.join(known, "user_id").select(*pairs.columns, "_r", dot("_u", "_o").alias("_s"))
     order = Window.partitionBy(*pairs.columns, "_r").orderBy(F.desc("_s"))
-    near = sims.withColumn("_i", F.row_number().over(order)).filter(F.col("_i") <= k)
-    side = near.groupBy(*pairs.columns, "_r").agg((F.sum(F.exp("_s") * F.col("_s")) / F.sum(F.exp("_s"))).alias("_m"))
-    both = side.groupBy(*pairs.columns).agg(F.sum(F.when(F.col("_r") == 1, F.col("_m")).otherwise(-F.col("_m"))).alias("knn"))
+    near = sims.withColumn("_i", F.row_number().over(order)).filter(F.col("_i") <= max(ks))
+    near = near.withColumn("k", F.explode(F.array(*[F.lit(k).cast("long") for k in ks]))).filter(F.col("_i") <= F.col("k"))
+    side = near.groupBy(*pairs.columns, "k", "_r").agg((F.sum(F.exp("_s") * F.col("_s")) / F.sum(F.exp("_s"))).alias("_m"))
+    both = side.groupBy(*pairs.columns, "k").agg(F.sum(F.when(F.col("_r") == 1, F.col("_m")).otherwise(-F.col("_m"))).alias("knn"))
     return both.withColumn("knn", alpha * F.col("knn"))
+
+
+def knn_score(pairs: DataFrame, votes: DataFrame, embeddings: DataFrame, k: int = 3, alpha: float = 1.0) -> DataFrame:
+    return knn_scores(pairs, votes, embeddings, [k], alpha).drop("k")

@@ -96,3 +96,18 @@ query("e7_filter_embeddings", "SELECT paper_id, round(v[1], 6) AS first FROM emb
 query("e9_pca")(lambda t: V.pca(t.emb, t.emb.filter("paper_id % 4 = 0"), "embedding", 16))
 query("e12_compare", ", c AS (SELECT p.l1, avg(list_dot_product(x.u, y.u)) AS a, avg(list_dot_product(list_transform(x.v, lambda e: e + 0.1::DOUBLE), list_transform(y.v, lambda e: e + 0.1::DOUBLE)) / x.n / y.n) AS b FROM papers p JOIN papers q ON p.l1 = q.l1 AND p.paper_id < q.paper_id JOIN (SELECT paper_id, v, u, sqrt(list_dot_product(list_transform(v, lambda e: e + 0.1::DOUBLE), list_transform(v, lambda e: e + 0.1::DOUBLE))) AS n FROM emb JOIN unitv USING (paper_id)) x ON x.paper_id = p.paper_id JOIN (SELECT paper_id, v, u, sqrt(list_dot_product(list_transform(v, lambda e: e + 0.1::DOUBLE), list_transform(v, lambda e: e + 0.1::DOUBLE))) AS n FROM emb JOIN unitv USING (paper_id)) y ON y.paper_id = q.paper_id GROUP BY 1) SELECT l1, round(a, 6) AS before, round(b, 6) AS after, round(b - a, 6) AS difference FROM c")(lambda t: rounded(V.compare_embeddings(t.emb, t.emb.withColumn("embedding", F.transform("embedding", lambda x: x + 0.1)), t.papers)))
 query("e16_cluster_similarity", ", u AS (SELECT paper_id, l1, u FROM unitv JOIN papers USING (paper_id) WHERE l1 IS NOT NULL), c AS (SELECT a.l1, count(DISTINCT a.paper_id) AS n, avg(list_dot_product(a.u, b.u)) FILTER (a.l1 = b.l1) AS i, avg(list_dot_product(a.u, b.u)) FILTER (a.l1 <> b.l1) AS o FROM u a JOIN u b ON a.paper_id <> b.paper_id GROUP BY 1) SELECT l1, n, round(i, 6) AS inside, round(o, 6) AS outside, round((i - o) / greatest(i, o), 6) AS score FROM c")(lambda t: rounded(V.cluster_similarity(t.emb, t.papers, "l1")))
+query("e4_encode_texts")(lambda t: T.encode_texts(D.texts_of(t.spark, t.dir), "abstract", known=t.emb))
+
+
+def by_k(t: Tables):
+    """Mean nDCG and mean score of each validation session for scorers by the k nearest votes."""
+    val = t.split.filter("split = 'val'").select("user_id", "session_id", "paper_id", "t", F.col("rating").alias("label"))
+    rows = W.knn_scores(val, t.split.filter("split = 'train'"), t.emb, [1, 3, 5, 7]).withColumn("logit", F.round("knn", 9)).drop("knn")
+    session = ["user_id", "session_id", "k"]
+    ups = rows.filter("label = 1").select(*session, "paper_id", "t", "logit")
+    ranked = M.rank_positives(ups, rows.filter("label = 0").select(*session, "logit"), session)
+    value = ranked.groupBy(*session).agg(F.avg(1 / F.log2(F.col("rank") + 1)).alias("value"))
+    return rows.groupBy(*session).agg(F.avg("logit").alias("logit")).join(value, session, "left")
+
+
+query("m14_best_k_path")(lambda t: H.best_k_path(by_k(t), [1, 3, 5, 7]))
