@@ -7,9 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from votelake.llm import decontamination, mixing, quality, sharding, simhash
 from votelake.llm.common import cut_wide, small_batches, table
 
-#: Shingles of five words. Copies that differ in a fifth of their shingles are further apart than any radius that blocks can
-#: search; texts within this one share 0.8 of their shingles and more.
-WIDTH, RADIUS = 5, 3
+#: Near copies share this much of their shingles of so many words.
+WIDTH, SIMILARITY = 5, 0.8
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +18,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return simhash.one_of_each(docs, WIDTH, RADIUS)
+    return simhash.one_of_each(docs, WIDTH, SIMILARITY)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -264,6 +264,36 @@ def test_one_of_each(spark):
     assert Counter(i for i in ids if i is not None).most_common(1)[0][1] == 1 and 0 in ids and 1 not in ids and 2 not in ids
 
 
+def test_similar_texts_against_brute_force(spark, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    words = [f"w{i}é" for i in range(4000)]
+    texts = []
+    for _ in range(80):
+        base = [rng.choice(words) for _ in range(rng.randint(50, 400))]
+        texts.append(base)
+        for _ in range(rng.choice([0, 1, 2, 6])):
+            texts.append([w if rng.random() > rng.choice([0, 0.005, 0.02, 0.04, 0.1]) else rng.choice(words) for w in base])
+    texts += [[], ["a"], ["a", "b"], texts[0], ["a", "b"], ["z"] * 90]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(len(texts), None)]
+    sets = [{tuple(t[k : k + 5]) for k in range(max(1, len(t) - 4))} if t else {()} for t in [*texts, []]]
+    comp = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and comp[i] != comp[j]:
+                a, b = sorted((comp[i], comp[j]))
+                comp = [a if c == b else c for c in comp]
+    want = {i: c for i, c in enumerate(comp) if c != i}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for chunk, most in ((512, 1 << 25), (2, 1 << 25), (512, 4000)):  # groups whole, and cut by rows or by bytes
+        monkeypatch.setattr(simhash, "GROUP_BYTES", most)
+        got = {r.node: r.root for r in simhash.similar(docs, 5, 0.8, chunk).collect()}
+        assert set(got) <= set(want) and len(got) >= 0.98 * len(want)
+    ids = {r.doc_id for r in simhash.one_of_each(docs).collect()}
+    assert ids == set(range(len(rows))) - set(got)
+
+
 def test_lines(spark, sf):
     rows = docs(spark, sf)
     blank = " \t\n\x0b\x0c\r"

@@ -8,6 +8,12 @@ adds the planes that differ into carry-save counters for 64 distances at once an
 as soon as all of them exceed the radius. Links become local components at once (a row for
 each linked fingerprint, not for each pair), and stars of minima join these into components.
 
+For a similarity of shingle sets (`one_of_each`) 64 bits are too few: sets that share 0.8 differ in 10 of 64 bits on
+average. There, fingerprints have 256 bits over distinct shingles, the radius is `RADIUS`, and the buckets come from
+as many drawn bit positions as keep buckets near `FILL` members, in so many tables that a pair at the similarity shares
+a bucket with a chance of `RECALL`. The components of these links are candidate groups only. In them shingle sets
+are compared exactly, and groups are the components of the pairs that reach the similarity.
+
 Buckets over `CHUNK` members are cut into chunks and each pair of chunks is a bucket of its
 own, so no task holds a large bucket and no link is lost.
 
@@ -17,39 +23,54 @@ part in links; a component of null ids alone has a null id.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, small_batches, table, utf8
+from .common import cut, cut_wide, small_batches, table, utf8
 
 BITS = 64
 SEED = 42
 CHUNK = 2048
+WORDS = 4  # of the wide fingerprints, 64 bits each
+#: Sets that share 0.8 have a cosine of 0.89 at least, which turns 0.15 of the bits, 38 of 256; 55 is three deviations more.
+RADIUS = 55
+#: One deviation more than the mean: tables are enough for pairs that differ in so many bits.
+TURNED = 0.173
+RECALL = 0.995
+FILL = 1024
+GROUP_BYTES = 1 << 25
+MIX = [(0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9), (0xC2B2AE3D27D4EB4F, 0x94D049BB133111EB), (0x165667B19E3779F9, 0xD6E8FEB86659FD93), (0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD)]
 ONE = np.uint64(1)
 
 
-def fingerprint(text: str | None, width: int) -> int:
-    """64 bits, unsigned."""
-    words = utf8(text).lower().split()
-    if not words:
-        return 0
-    if len(words) <= width:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
+def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
+    """XXH64 of each run of width words, repeats included; of the whole sequence if it is shorter."""
     joined = b" ".join(words)
+    if len(words) <= width:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)] if words else [], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = len(words) - width + 1
     hash_of = xxhash.xxh64_intdigest
-    h = np.fromiter((hash_of(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[width - 1 :].tolist())), np.uint64, n)
+    return np.fromiter((hash_of(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[width - 1 :].tolist())), np.uint64, n)
+
+
+def majority(h: np.ndarray) -> int:
+    """64 bits, unsigned: those that over half the hashes have."""
     on = np.zeros(BITS, np.int64)
-    for k in range(0, n, 8192):
+    for k in range(0, len(h), 8192):
         on += np.unpackbits(h[k : k + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(on * 2 > n, bitorder="little").tobytes(), "little")
+    return int.from_bytes(np.packbits(on * 2 > len(h), bitorder="little").tobytes(), "little")
+
+
+def fingerprint(text: str | None, width: int) -> int:
+    return majority(shingle_hashes(utf8(text).lower().split(), width))
 
 
 def fingerprints_of(width: int):
@@ -69,14 +90,14 @@ def fingerprints(docs: DataFrame, width: int) -> DataFrame:
 
 def planes_of(fps: np.ndarray, slot: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Bit p of all members, as words of 64 members; slot: a member's bit; first: where words begin."""
-    out = np.empty((BITS, len(first)), np.uint64)
-    for p in range(BITS):
-        out[p] = np.add.reduceat(((fps >> np.uint64(p)) & ONE) << slot, first)
+    out = np.empty((BITS * fps.shape[1], len(first)), np.uint64)
+    for p in range(len(out)):
+        out[p] = np.add.reduceat(((fps[:, p // BITS] >> np.uint64(p % BITS)) & ONE) << slot, first)
     return out
 
 
 def close_pairs(fps: np.ndarray, bucket: np.ndarray, radius: int, block: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs i < j of one bucket within the radius. bucket is sorted."""
+    """Index pairs i < j of one bucket within the radius. fps: a row of 64-bit words for each; bucket is sorted."""
     n = len(fps)
     if n < 2:
         return
@@ -104,14 +125,16 @@ def close_pairs(fps: np.ndarray, bucket: np.ndarray, radius: int, block: int = 1
         keep = live != 0
         q, w, live = q[keep], w[keep], live[keep]
         counters = [np.zeros(len(q), np.uint64) for _ in range(radius.bit_length())]
-        for p in range(BITS):
+        for p in range(len(planes)):
             if not len(q):
                 break
-            carry = (planes[p][w] ^ (np.uint64(0) - ((fps[q] >> np.uint64(p)) & ONE))) & live
+            carry = (planes[p][w] ^ (np.uint64(0) - ((fps[q, p // BITS] >> np.uint64(p % BITS)) & ONE))) & live
             for c in counters:
                 c ^= carry
                 carry &= ~c  # the bits that went from one to nought
             live &= ~carry
+            if p % 8 < 7:
+                continue
             over = np.zeros(len(q), np.uint64)
             equal = ~over
             for b, c in reversed(list(enumerate(counters))):
@@ -121,7 +144,7 @@ def close_pairs(fps: np.ndarray, bucket: np.ndarray, radius: int, block: int = 1
                     over |= equal & c
                     equal &= ~c
             live &= ~over
-            if p % 8 == 7 and not (keep := live != 0).all():
+            if not (keep := live != 0).all():
                 q, w, live = q[keep], w[keep], live[keep]
                 counters = [c[keep] for c in counters]
         for b in range(64):
@@ -147,30 +170,32 @@ def components(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.nda
     return to
 
 
-def links_of(radius: int):
-    """Sorted rows of (bucket, fp) to links (fp, the smallest-index fp of its local component)."""
+def links_of(radius: int, first: int):
+    """Sorted rows of (t, v, p, node, ..., words of bits from column `first` on) to links (node, the first node of its local component)."""
 
-    def solve(bucket: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-        to = components(len(fps), close_pairs(fps.view(np.uint64), bucket, radius))
-        at = np.flatnonzero(to != np.arange(len(fps)))
-        return pa.RecordBatch.from_arrays([pa.array(fps[at]), pa.array(fps[to[at]])], names=["a", "b"])
+    def solve(bucket: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+        to = components(len(rows), close_pairs(rows[:, first - 3 :].view(np.uint64), bucket, radius))
+        at = np.flatnonzero(to != np.arange(len(rows)))
+        return pa.RecordBatch.from_arrays([pa.array(rows[at, 0]), pa.array(rows[to[at], 0])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, fps = np.empty((0, 3), np.int64), np.empty(0, np.int64)
+        held: list[np.ndarray] = []
         for batch in batches:
-            cols = [batch.column(i).to_numpy() for i in range(4)]
-            key, fps = np.concatenate((key, np.stack(cols[:3], 1))), np.concatenate((fps, cols[3]))
-            if len(fps) >= 1 << 17:
-                change = np.flatnonzero((key[1:] != key[:-1]).any(1))
+            held.append(np.stack([c.to_numpy() for c in batch.columns], 1))
+            if sum(map(len, held)) >= 1 << 17:
+                rows = np.concatenate(held)
+                held = [rows]
+                change = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(1))
                 if len(change):
                     end = int(change[-1]) + 1
-                    yield solve(numbers(key[:end]), fps[:end])
-                    key, fps = key[end:], fps[end:]
-        if len(fps):
-            yield solve(numbers(key), fps)
+                    yield solve(numbers(rows[:end]), np.ascontiguousarray(rows[:end, 3:]))
+                    held = [rows[end:]]
+        if held:
+            rows = np.concatenate(held)
+            yield solve(numbers(rows), np.ascontiguousarray(rows[:, 3:]))
 
-    def numbers(key: np.ndarray) -> np.ndarray:
-        return np.concatenate(([0], np.cumsum((key[1:] != key[:-1]).any(1))))
+    def numbers(rows: np.ndarray) -> np.ndarray:
+        return np.concatenate(([0], np.cumsum((rows[1:, :3] != rows[:-1, :3]).any(1))))
 
     return run
 
@@ -181,16 +206,26 @@ def blocks(radius: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
+def paired(rows: DataFrame, by: list[str], members: Column, salt: str) -> DataFrame:
+    """rows with p: a row for each pair of chunks that its chunk is in. members: aggregate, the chunks that a bucket needs."""
+    large = rows.groupBy(*by).agg(F.count("*").alias("n"), members.alias("c")).filter("n > 1")
+    rows = rows.join(large.select(*by, "c"), by)
+    own = F.pmod(F.xxhash64(salt), F.col("c"))
+    pair = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("c") - 1), lambda o: F.least(o, own) * F.col("c") + F.greatest(o, own)))
+    return rows.withColumn("p", pair).drop("c")
+
+
+def bucket_links(rows: DataFrame, node: str, words: list[str], radius: int, chunk: int) -> DataFrame:
+    """Links a, b that join all nodes within the radius that share a bucket. rows: t, v, node and words (node may be one)."""
+    ready = paired(rows, ["t", "v"], F.ceil(F.count("*") / chunk).cast("long"), node).repartition("t", "v", "p").sortWithinPartitions("t", "v", "p", node)
+    extra = [w for w in words if w != node]
+    return ready.select("t", "v", "p", node, *extra).mapInArrow(links_of(radius, 4 if extra == words else 3), "a long, b long")
+
+
 def links(fps: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
     """Links a, b between the distinct longs of fps (column fp) that join all within the radius."""
     probes = F.array(*[F.struct(F.lit(i).cast("long").alias("t"), F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << w) - 1)).alias("v")) for i, (a, w) in enumerate(blocks(radius))])
-    rows = fps.select("fp", F.explode(probes).alias("k")).select("k.t", "k.v", "fp")
-    large = rows.groupBy("t", "v").agg(F.count("*").alias("n")).filter("n > 1").withColumn("c", F.ceil(F.col("n") / chunk).cast("long"))
-    rows = rows.join(large.select("t", "v", "c"), ["t", "v"])
-    own = F.pmod(F.xxhash64("fp"), F.col("c"))
-    pair = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("c") - 1), lambda o: F.least(o, own) * F.col("c") + F.greatest(o, own)))
-    rows = rows.select("t", "v", "fp", pair.alias("p"))
-    return rows.repartition("t", "v", "p").sortWithinPartitions("t", "v", "p", "fp").select("t", "v", "p", "fp").mapInArrow(links_of(radius), "a long, b long")
+    return bucket_links(fps.select("fp", F.explode(probes).alias("k")).select("k.t", "k.v", "fp"), "fp", ["fp"], radius, chunk)
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -223,15 +258,123 @@ def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 2) -> DataFra
     return own.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, width: int = 5, radius: int = 2) -> DataFrame:
-    """The rows of docs with the smallest id of each group; of rows that repeat it, one. Null ids form no group and stay."""
-    found = near_duplicates(docs, width, radius)
-    twice = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
-    keep = found.filter("doc_id = component_id").select(F.col("doc_id")).distinct()
-    kept = docs.join(keep, "doc_id", "left_semi")
-    if twice:
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id IS NULL"))
+def wide_fingerprints_of(width: int):
+    """Texts to their bytes, a 128-bit hash of their words and 256 bits over their distinct shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.zeros((batch.num_rows, 3 + WORDS), np.uint64)
+            for row, text in zip(out, batch.column(1).to_pylist()):
+                raw = utf8(text)
+                words = raw.lower().split()
+                key = xxhash.xxh3_128_intdigest(b" ".join(words))
+                row[:3] = len(raw), key >> 64, key & (1 << 64) - 1
+                h = np.unique(shingle_hashes(words, width))
+                for k, (a, b) in enumerate(MIX):
+                    g = (h ^ np.uint64(a)) * np.uint64(b)
+                    g = (g ^ (g >> np.uint64(32))) * np.uint64(a)
+                    row[3 + k] = majority(g ^ (g >> np.uint64(29)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in out.view(np.int64).T)], names=["doc_id", "size", "k1", "k2", *WIDE])
+
+    return run
+
+
+WIDE = [f"f{k}" for k in range(WORDS)]
+
+
+def drawn_bits(n: int) -> np.ndarray:
+    """tables x positions: what n fingerprints need for buckets of about FILL members and the recall."""
+    width = max(8, math.ceil(math.log2(max(n, 1) / FILL + 1)))
+    tables = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - TURNED) ** width))
+    rng = np.random.default_rng(SEED)
+    return np.stack([rng.choice(BITS * WORDS, width, replace=False) for _ in range(tables)])
+
+
+def probes_of(drawn: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.stack([c.to_numpy() for c in batch.columns[1:]], 1)
+            bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8), axis=1, bitorder="little")
+            for t, at in enumerate(drawn):
+                v = bits[:, at].astype(np.int64) @ (1 << np.arange(len(at)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), t, np.int64)), pa.array(v), *batch.columns], names=["t", "v", "node", *WIDE])
+
+    return run
+
+
+def alike(sets: list[np.ndarray], similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of sets whose intersection is the given share of their union."""
+    size = np.array([len(x) for x in sets])
+    _, at, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    who, shared = np.repeat(np.arange(len(sets)), size), many > 1
+    keep = shared[at]
+    who, at = who[keep], (np.cumsum(shared) - 1)[at[keep]]
+    order = np.argsort(at, kind="stable")
+    who, at = who[order], at[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for k in range(0, int(shared.sum()), 4096):
+        a, b = np.searchsorted(at, (k, k + 4096))
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[who[a:b], at[a:b] - k] = 1
+        both += part @ part.T
+    i, j = np.nonzero(both >= similarity * (size[:, None] + size - both) - 1e-6 * size)
+    yield i[i < j], j[i < j]
+
+
+def verified(width: int, similarity: float):
+    """Rows (root, p, id, text), sorted by root and p, to links of ids whose texts reach the similarity."""
+
+    def solve(ids: list[int], texts: list[str]) -> pa.RecordBatch:
+        sets = [np.unique(shingle_hashes(utf8(t).lower().split(), width)) for t in texts]
+        to, own = components(len(sets), alike(sets, similarity)), np.array(ids, np.int64)
+        at = np.flatnonzero(to != np.arange(len(sets)))
+        return pa.RecordBatch.from_arrays([pa.array(own[at]), pa.array(own[to[at]])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, ids, texts = None, [], []
+        for batch in batches:
+            for root, p, i, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if (root, p) != last and len(ids) > 1:
+                    yield solve(ids, texts)
+                if (root, p) != last:
+                    last, ids, texts = (root, p), [], []
+                ids.append(i)
+                texts.append(text)
+        if len(ids) > 1:
+            yield solve(ids, texts)
+
+    return run
+
+
+def similar(docs: DataFrame, width: int, similarity: float, chunk: int) -> DataFrame:
+    """node, root: ids that aren't the smallest of their group, with the smallest. docs: doc_id, text; ids are unique and not null."""
+    small_batches(docs.sparkSession)
+    bits = ", ".join(f"{f} long" for f in WIDE)
+    own = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(wide_fingerprints_of(width), f"doc_id long, size long, k1 long, k2 long, {bits}"))
+    first = F.min(F.struct("doc_id", "size", *WIDE)).alias("x")
+    texts = cut(own.groupBy("k1", "k2").agg(first).select("k1", "k2", "x.*").withColumn("node", F.xxhash64(*WIDE)))
+    nodes = texts.groupBy("node").agg(*[F.min(f).alias(f) for f in WIDE])
+    rows = nodes.mapInArrow(probes_of(drawn_bits(texts.count())), f"t long, v long, node long, {bits}")
+    near = connected(bucket_links(rows, "node", WIDE, RADIUS, CHUNK))
+    groups = cut(texts.join(near, "node", "left").select(F.coalesce("root", "node").alias("root"), "doc_id", "size"))
+    need = F.greatest(F.ceil(F.count("*") / chunk), F.ceil(F.sum("size") / GROUP_BYTES)).cast("long")
+    asked = paired(groups, ["root"], need, "doc_id").select("root", "p", "doc_id")
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asked, "doc_id").select("root", "p", "doc_id", "text")
+    linked = held.repartition("root", "p").sortWithinPartitions("root", "p", "doc_id").mapInArrow(verified(width, similarity), "a long, b long")
+    copies = own.select("doc_id", "k1", "k2").join(texts.select("k1", "k2", F.col("doc_id").alias("least")), ["k1", "k2"]).filter("doc_id != least").select(F.col("doc_id").alias("node"), F.col("least").alias("root"))
+    return copies.unionByName(connected(linked))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, chunk: int = 512) -> DataFrame:
+    """The rows of docs with the smallest id of each group; of rows that repeat it, one. Null ids form no group and stay.
+
+    Texts of one word sequence are copies, those without words too.
+    """
+    rows = docs.filter("doc_id IS NOT NULL")
+    if rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
+        rows = cut_wide(rows.dropDuplicates(["doc_id"]))
+    gone = similar(rows.select("doc_id", "text"), width, similarity, chunk).select(F.col("node").alias("doc_id"))
+    return rows.join(gone, "doc_id", "left_anti").select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
