@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
+from ..operators import clusters as C
 from ..operators import history as H
 from ..operators import prepare as P
 from ..operators import reports as R
@@ -111,3 +112,27 @@ def by_k(t: Tables):
 
 
 query("m14_best_k_path")(lambda t: H.best_k_path(by_k(t), [1, 3, 5, 7]))
+
+
+def cluster_counts(t: Tables):
+    """Votes in and out of the first category, and a cache of 20."""
+    inside = F.col("l1") == "C0"
+    rows = t.split.join(t.papers.select("paper_id", "l1"), "paper_id")
+    kinds = [F.count_if((F.col("rating") == r) & i).alias(f"n_{k}_{w}") for r, k in ((1, "pos"), (0, "neg")) for i, w in ((inside, "in"), (~inside, "out"))]
+    return rows.groupBy("user_id").agg(*kinds).withColumn("n_cache", F.lit(20).cast("long"))
+
+
+COUNTED = """, k0 AS (SELECT user_id, count(*) FILTER (rating = 1 AND l1 = 'C0') AS n_pos_in, count(*) FILTER (rating = 1 AND l1 <> 'C0') AS n_pos_out, count(*) FILTER (rating = 0 AND l1 = 'C0') AS n_neg_in, count(*) FILTER (rating = 0 AND l1 <> 'C0') AS n_neg_out, 20::BIGINT AS n_cache FROM split JOIN papers USING (paper_id) GROUP BY ALL),
+k AS (SELECT *, (n_pos_in + n_pos_out + n_neg_in + n_neg_out + n_cache)::DOUBLE AS whole, 0.9::DOUBLE * (n_neg_in + n_neg_out) + 0.1::DOUBLE * n_cache AS low FROM k0)"""
+SPLIT_SQL = """, s AS (SELECT *, CASE WHEN n_pos_in = 0 THEN 0 WHEN n_pos_out = 0 THEN 1 ELSE {pos} END AS sp, {neg} AS sn FROM k)
+SELECT user_id, n_pos_in, n_pos_out, n_neg_in, n_neg_out, n_cache, round(CASE WHEN n_pos_in > 0 THEN whole * 0.5 * sp / n_pos_in ELSE 0 END, 9) AS w_pos_in, round(CASE WHEN n_pos_out > 0 THEN whole * 0.5 * (1 - sp) / n_pos_out ELSE 0 END, 9) AS w_pos_out,
+ round(CASE WHEN n_neg_in > 0 THEN whole * 0.5 * 0.9 * (n_neg_in + n_neg_out) / low * sn / n_neg_in ELSE 0 END, 9) AS w_neg_in, round(CASE WHEN n_neg_out > 0 THEN whole * 0.5 * 0.9 * (n_neg_in + n_neg_out) / low * (1 - sn) / n_neg_out ELSE 0 END, 9) AS w_neg_out, round(whole * 0.5 * 0.1 / low, 9) AS w_cache FROM s"""
+query("m5_cluster_weights_absolute", COUNTED + SPLIT_SQL.format(pos="greatest(n_pos_in / (n_pos_in + 3.0::DOUBLE), n_pos_in / (n_pos_in + n_pos_out))", neg="CASE WHEN n_neg_in = 0 THEN 0 WHEN n_neg_out = 0 THEN 1 ELSE CASE WHEN n_pos_in = 0 THEN 0 WHEN n_pos_out = 0 THEN 1 ELSE greatest(n_pos_in / (n_pos_in + 3.0::DOUBLE), n_pos_in / (n_pos_in + n_pos_out)) END END"))(
+    lambda t: rounded(C.cluster_weights(cluster_counts(t), "absolute", "same_ratio", 3.0), 9)
+)
+query("m5_cluster_weights_relative", COUNTED + SPLIT_SQL.format(pos="0.8::DOUBLE * n_pos_in / (0.8::DOUBLE * n_pos_in + 0.2::DOUBLE * n_pos_out)", neg="CASE WHEN n_neg_in = 0 THEN 0 WHEN n_neg_out = 0 THEN 1 ELSE 0.8::DOUBLE * n_neg_in / (0.8::DOUBLE * n_neg_in + 0.2::DOUBLE * n_neg_out) END"))(
+    lambda t: rounded(C.cluster_weights(cluster_counts(t), "relative", "same_alpha", 0.8), 9)
+)
+query("m11_cluster_scores")(lambda t: C.cluster_scores(C.cluster_user_models(t.split.filter("split = 'train'"), t.emb, k=3, least=2, limits=(8, 100_000)), t.split.filter("split = 'val'").select("user_id", "paper_id", "session_id"), t.emb).withColumn("logit", F.round("logit", 6)))
+query("m12_dbscan_user_clusters")(lambda t: C.dbscan_user_clusters(t.sess, t.emb, eps=0.75))
+query("t9_multi_interest_users")(lambda t: C.multi_interest_users(t.sess, t.papers, t.emb, 100, papers_each=2, clusters=1, eps=0.75))
