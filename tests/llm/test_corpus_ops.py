@@ -34,7 +34,9 @@ def test_substrings_awkward(spark, tmp_path):
     assert Counter(tuple(r) for r in substrings.op4_substrings(spark, sf).collect()) == brute([(r[0], r[1]) for r in given], 200)
 
 
-def test_substrings_random(spark):
+@pytest.mark.parametrize("group", [substrings.GROUP, 3, 0])  # groups whole, by ranges, by windows
+def test_substrings_random(spark, monkeypatch, group):
+    monkeypatch.setattr(substrings, "GROUP", group)
     rng = random.Random(2)
     words = ["".join(rng.choice("abcdeé\x00") for _ in range(rng.randint(1, 8))) for _ in range(200)]
     shared = [" ".join(rng.choice(words) for _ in range(rng.randint(10, 60))) for _ in range(12)]
@@ -46,7 +48,7 @@ def test_substrings_random(spark):
         rows.append((i, " ".join(parts)))
     rows += [(200, "ab" * 300), (201, "x" + "ab" * 120), (202, "q" * 450), (203, "q" * 199), (204, shared[0][:150] + "!" + shared[0][150:])]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for length, anchor in ((200, 48), (60, 20), (20, 8)):
+    for length, anchor in ((200, 48), (60, 20), (20, 8))[: 3 if group else 2]:
         got = substrings.remove_repeats(docs, length, anchor).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256))
         assert Counter(tuple(r) for r in got.collect()) == brute(rows, length), length
 

@@ -14,6 +14,10 @@ the collection is first cut into short documents of equal make:
    and updates their order, the collection's Burrows-Wheeler transform (the next column read in
    that order) and the common prefixes of neighbours. Where a neighbour shares `LENGTH` bytes
    the window repeats. Columns are kept in blocks; beyond `IN_MEMORY` rows in sequential files.
+4. An anchor found more than `GROUP` times would be one large task. Its windows are dealt by `RANGES` ranges of
+   the anchor's place in them: the windows of a range share the bytes between the last start and the first end, so each
+   context goes to a group of those bytes for each range, and the construction runs there. Groups that
+   are still larger are counted by the windows' hashes (128 bits), summed before they are shuffled.
 
 Bytes are compared in step 3; step 2 trusts 128 bits of hash (anchor and context).
 
@@ -38,6 +42,8 @@ LENGTH = 200
 ANCHOR = 48
 BATCH = 1 << 15
 IN_MEMORY = 1 << 17
+GROUP = 1 << 16
+RANGES = 8
 PAD = 256
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -205,20 +211,53 @@ def repeats_of(length: int, anchor: int):
     return run
 
 
+def ranges_of(side: int) -> list[tuple[int, int]]:
+    """First and last place of the anchor in a window, for each range."""
+    edges = sorted({(side + 1) * i // RANGES for i in range(RANGES + 1)})
+    return [(a, b - 1) for a, b in zip(edges, edges[1:])]
+
+
 def contexts_of(length: int, anchor: int):
-    """Texts with the places that are asked for, to the contexts' bytes."""
+    """Texts with the places that are asked for, to the contexts' bytes; of hot anchors a row for each range with its own group."""
     side = length - anchor
+    ranges = ranges_of(side)
+
+    def rows(i: int, th: int, raw: bytes, a: dict) -> Iterator[tuple]:
+        at = a["at"]
+        if not a["hot"]:
+            yield a["g"], i, th, at, a["once"], min(at, side), raw[max(0, at - side) : at + length], False
+            return
+        for k, (low, high) in enumerate(ranges):
+            part = raw[max(0, at - high) : at - low + length]
+            if at >= low and len(part) >= length:
+                shared = raw[at - low : at - high + length]
+                key = xxhash.xxh64_intdigest(shared + a["g"].to_bytes(8, "little", signed=True), k)
+                yield key - (1 << 64) if key >> 63 else key, i, th, at, a["once"], min(at, high), part, True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for i, th, text, asked in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 raw = utf8(text)
-                out += [(a["g"], i, th, a["at"], a["once"], min(a["at"], side), raw[max(0, a["at"] - side) : a["at"] + length]) for a in asked]
+                out += [row for a in asked for row in rows(i, th, raw, a)]
             for k in range(0, len(out), 8192):
                 cols = list(zip(*out[k : k + 8192]))
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["g", "id", "th", "at", "once", "left", "raw"])
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.binary(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["g", "id", "th", "at", "once", "left", "raw", "hot"])
+
+    return run
+
+
+def windows_of(length: int):
+    """Rows (g, id, th, at, once, left, raw) to hashes of their windows; windows at different places from the anchor have different ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for g, i, th, at, once, left, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                n = len(raw) - length + 1
+                h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[k : k + length], left - k) for k in range(n)), np.int64).reshape(n, 2)
+                columns = [pa.array(np.full(n, g)), pa.array(np.full(n, i)), pa.array(np.full(n, th, np.int32)), pa.array(np.arange(at - left, at - left + n, dtype=np.int32)), pa.array(np.full(n, once)), pa.array(h[:, 0]), pa.array(h[:, 1])]
+                yield pa.RecordBatch.from_arrays(columns, names=["g", "id", "th", "s", "once", "h1", "h2"])
 
     return run
 
@@ -245,24 +284,41 @@ def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
+def aligned(short: DataFrame, length: int, anchor: int) -> DataFrame:
+    """Covered spans by the construction over each group's rows."""
+    ready = short.select("g", "id", "th", "at", "once", "left", "raw").repartition("g").sortWithinPartitions("g")
+    return ready.mapInArrow(repeats_of(length, anchor), "id long, th int, s int, e int")
+
+
+def counted_windows(short: DataFrame, length: int) -> DataFrame:
+    """Covered spans by counts of the windows' hashes."""
+    rows = cut_wide(short.select("g", "id", "th", "at", "once", "left", "raw").mapInArrow(windows_of(length), "g long, id long, th int, s int, once boolean, h1 long, h2 long"))
+    twice = cut(rows.groupBy("g", "h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("g", "h1", "h2"))
+    return rows.filter("once").join(twice, ["g", "h1", "h2"], "left_semi").select("id", "th", "s", (F.col("s") + length).alias("e"))
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the kept bytes: a row for each row of docs."""
     small_batches(docs.sparkSession)
     own = docs.select(id_or_last(F.col("doc_id")).cast("long").alias("id"), F.hash("text").alias("th"), "text", F.col("doc_id").cast("long").alias("doc_id"))
     places = cut_wide(own.select("id", "th", "text").mapInArrow(anchors_of(length, anchor), "id long, th int, at int, g long, c long"))
     # cut, so that the join deals both sides anew and can split the rows of a hot anchor
-    twice = places.groupBy("g").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).filter("n > 1").select("g", (F.col("low") != F.col("high")).alias("mixed"))
+    twice = places.groupBy("g").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).filter("n > 1").select("g", (F.col("low") != F.col("high")).alias("mixed"), (F.col("n") > GROUP).alias("hot"))
     twice = cut(twice)
     found = cut_wide(places.join(twice, "g"))
-    contexts = found.filter("mixed").groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "at")).alias("one"))
+    contexts = found.filter("mixed").groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "at", "hot")).alias("one"))
     contexts = cut_wide(contexts.select("g", "c", (F.col("n") == 1).alias("once"), "one"))
     side = length - anchor
     whole = found.filter("NOT mixed").select("id", "th", "at").unionByName(found.filter("mixed").join(contexts.filter("NOT once").select("g", "c"), ["g", "c"], "left_semi").select("id", "th", "at"))
     spans = whole.select("id", "th", (F.col("at") - side).alias("s"), (F.col("at") + length).alias("e"))
-    asked = contexts.groupBy(F.col("one.id").alias("id"), F.col("one.th").alias("th")).agg(F.collect_list(F.struct(F.col("g"), F.col("one.at").alias("at"), F.col("once"))).alias("asked"))
+    asked = contexts.groupBy(F.col("one.id").alias("id"), F.col("one.th").alias("th")).agg(F.collect_list(F.struct(F.col("g"), F.col("one.at").alias("at"), F.col("once"), F.col("one.hot").alias("hot"))).alias("asked"))
     texts = own.select("id", "th", "text").join(asked, ["id", "th"]).dropDuplicates(["id", "th"])
-    short = texts.select("id", "th", "text", "asked").mapInArrow(contexts_of(length, anchor), "g long, id long, th int, at int, once boolean, left int, raw binary")
-    met = short.repartition("g").sortWithinPartitions("g").mapInArrow(repeats_of(length, anchor), "id long, th int, s int, e int")
+    short = texts.select("id", "th", "text", "asked").mapInArrow(contexts_of(length, anchor), "g long, id long, th int, at int, once boolean, left int, raw binary, hot boolean")
+    met = aligned(short.filter("NOT hot"), length, anchor)
+    if contexts.filter("one.hot").limit(1).count():
+        parts = cut_wide(short.filter("hot"))
+        larger = cut(parts.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") > GROUP).select("g"))
+        met = met.unionByName(aligned(parts.join(larger, "g", "left_anti"), length, anchor)).unionByName(counted_windows(parts.join(larger, "g", "left_semi"), length))
     lists = spans.unionByName(met).groupBy("id", "th").agg(F.collect_list(F.struct("s", "e")).alias("x")).select("id", "th", F.col("x.s").alias("s"), F.col("x.e").alias("e"))
     rest = own.join(lists, ["id", "th"], "left").select("doc_id", "text", "s", "e")
     return rest.mapInArrow(without, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
