@@ -70,6 +70,15 @@ def test_quality_cutoffs_follow_the_corpus(spark):
     assert {r.doc_id for r in out.collect()} == set(range(300))
 
 
+def test_quality_drops_moderate_symbols_of_a_junk_heavy_source(spark):
+    plain = [" ".join(f"word{(i * 31 + j * 17) % 1009}" for j in range(80)) for i in range(1900)]
+    junk = [" ".join(f"word{(i * 31 + j * 17) % 1009}" + " |" * (j % 2) for j in range(80)) for i in range(100)]
+    rows = [(i, t, "en", "b" if i < 150 else "a") for i, t in enumerate(plain)] + [(5000 + i, t, "en", "b") for i, t in enumerate(junk)]
+    assert 0.05 < junk[0].count("|") / len(junk[0].replace(" ", "")) < 0.15
+    out = quality.keep_good(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    assert {r.doc_id for r in out.collect()} == set(range(1900))
+
+
 def test_quality_bucket_edges(spark):
     from pyspark.sql import functions as F
 

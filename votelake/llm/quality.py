@@ -4,12 +4,13 @@ Each text gives a few rates in parts per million. A sketch is a table of counts
 that are 1/16 of a power of two wide, so sketches merge by adding counts: those of a language
 are the sums over its sources, the corpus's the sums over all. A source with fewer than
 `min_rows` rows takes its language's sketch, and a language with too few the corpus's. A rate is out of bounds
-beyond the quartiles by more than `reach` interquartile ranges plus the rate's own margin.
+beyond an upper quantile by more than `reach` spreads of the sketch; where the spread is (almost) nothing, by more than
+the rate's floor. Junk-heavy sources don't lift their cutoffs of symbols and repeats: the language's holds there if it is lower.
 Rows that fail the fixed base rules don't count in sketches. The cutoffs join the rows by
 (lang, source); texts aren't shuffled.
 
 A null text has no words and fails the base rules. Null languages and sources are values of
-their own. Repeated rows count each time and get the same verdict. Quantiles are exact up to a bucket's width, and the same in every run.
+their own. Repeated rows count each time and get the same verdict. Quantiles are exact up to a bucket's width (interpolated in it), and the same in every run.
 """
 
 from __future__ import annotations
@@ -26,15 +27,16 @@ BLANKS = b" \t\n\x0b\x0c\r"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 MIN_WORDS = 50
 MIN_ROWS = 200
-REACH = 6
 MILLION = 1_000_000
-#: Rate: (numerator, denominator, margin below or None, margin above), margins in parts per million.
+#: Rate: numerator, denominator, upper quantile, quantile from which the spread is taken, reach in spreads, floor of the reach in parts per million, whether it is bounded below too.
+#: Clean documents repeat lines and words now and then, hence the high quantile there; symbols they hardly have.
 RATES = {
-    "symbols": ("n_symbols", "word_chars", None, 200_000),
-    "dup_lines": ("n_dup_lines", "n_lines", None, 400_000),
-    "repeats": ("n_repeat_words", "n_words", None, 350_000),
-    "word_length": ("word_chars", "n_words", 1_500_000, 2_500_000),
+    "symbols": ("n_symbols", "word_chars", "q3", "q1", 3, 30_000, False),
+    "dup_lines": ("n_dup_lines", "n_lines", "q99", "q2", 1.5, 100_000, False),
+    "repeats": ("n_repeat_words", "n_words", "q99", "q2", 2, 100_000, False),
+    "word_length": ("word_chars", "n_words", "q3", "q1", 6, 1_000_000, True),
 }
+QUANTILES = {"q1": 25, "q2": 50, "q3": 75, "q99": 99}
 
 
 def repeat_words(words: list[bytes]) -> int:
@@ -93,28 +95,42 @@ def sketches(rows: DataFrame, c) -> DataFrame:
     return rows.filter(~base_failed(c)).select("lang", "source", each.alias("m")).groupBy("lang", "source", "m.metric", "m.bucket").agg(F.count("*").alias("n"))
 
 
-def quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
+def limits(sketch: DataFrame, by: list[str]) -> DataFrame:
+    """by, metric, rows, low and high: bounds from the merged sketch, low null for rates that have none."""
     merged = sketch.groupBy(*by, "metric", "bucket").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*by, "metric")
     merged = merged.withColumn("upto", F.sum("n").over(w.orderBy("bucket"))).withColumn("all", F.sum("n").over(w))
-    edges = [F.min(F.when(F.col("upto") * 4 >= F.col("all") * k, F.col("bucket"))).alias(q) for k, q in ((1, "q1"), (3, "q3"))]
-    return merged.groupBy(*by, "metric").agg(F.max("all").alias("rows"), *edges)
-
-
-def cutoffs(sketch: DataFrame, min_rows: int = MIN_ROWS, reach: float = REACH) -> DataFrame:
-    """A row for each lang and source in the sketch, with low and high bounds of each rate in its array."""
-    own = quartiles(sketch, ["lang", "source"])
-    lang = quartiles(sketch, ["lang"]).select(F.col("lang").alias("l"), F.col("metric").alias("m"), F.struct("rows", "q1", "q3").alias("of_lang"))
-    total = quartiles(sketch, []).select(F.col("metric").alias("m2"), F.struct("rows", "q1", "q3").alias("of_all"))
+    low, high = lower_edge(F.col("bucket")), lower_edge(F.col("bucket") + 1)
+    width = F.when(F.col("bucket") <= 0, F.lit(0.0)).otherwise(high - low)
+    found = []
+    for q, k in QUANTILES.items():
+        place = F.col("all") * (k / 100)
+        inside = low + width * (place - F.col("upto") + F.col("n")) / F.col("n")
+        found.append(F.min(F.when(F.col("upto") >= place, F.struct("bucket", inside.alias("at"))))["at"].alias(q))
+    merged = merged.groupBy(*by, "metric").agg(F.max("all").alias("rows"), *found)
+    below, above = F.lit(None).cast("double"), F.lit(None).cast("double")
+    for k, (_, _, top, start, reach, floor, both) in RATES.items():
+        span = F.greatest((F.col(top) - F.col(start)) * reach, F.lit(float(floor)))
+        above = F.when(F.col("metric") == k, F.col(top) + span).otherwise(above)
+        if both:
+            below = F.when(F.col("metric") == k, F.col(start) - span).otherwise(below)
+    return merged.select(*by, "metric", "rows", below.alias("low"), above.alias("high"))
+
+
+def cutoffs(sketch: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
+    """A row for each lang and source in the sketch, with low and high bounds of each rate."""
+    own = limits(sketch, ["lang", "source"])
+    lang = limits(sketch, ["lang"]).select(F.col("lang").alias("l"), F.col("metric").alias("m"), F.struct("rows", "low", "high").alias("of_lang"))
+    total = limits(sketch, []).select(F.col("metric").alias("m2"), F.struct("rows", "low", "high").alias("of_all"))
     found = own.join(lang, F.col("lang").eqNullSafe(F.col("l")) & (F.col("metric") == F.col("m"))).join(total, F.col("metric") == F.col("m2"))
-    use = F.when(F.col("rows") >= min_rows, F.struct("rows", "q1", "q3")).when(F.col("of_lang.rows") >= min_rows, F.col("of_lang")).otherwise(F.col("of_all"))
-    found = found.select("lang", "source", "metric", use.alias("u")).select("lang", "source", "metric", lower_edge(F.col("u.q1")).alias("a"), lower_edge(F.col("u.q3")).alias("b"))
+    wider = F.when(F.col("of_lang.rows") >= min_rows, F.col("of_lang")).otherwise(F.col("of_all"))
+    found = found.withColumn("wider", wider).withColumn("use", F.when(F.col("rows") >= min_rows, F.struct("rows", "low", "high")).otherwise(F.col("wider")))
     bounds = []
-    for k, (_, _, below, above) in RATES.items():
-        here, span = F.col("metric") == k, (F.col("b") - F.col("a")) * reach
-        bounds.append(F.max(F.when(here, F.col("b") + span + above)).alias(f"{k}_high"))
-        if below is not None:
-            bounds.append(F.max(F.when(here, F.col("a") - span - below)).alias(f"{k}_low"))
+    for k, (*_, both) in RATES.items():
+        here = F.col("metric") == k
+        bounds.append(F.max(F.when(here, F.col("use.high") if both else F.least("use.high", "wider.high"))).alias(f"{k}_high"))
+        if both:
+            bounds.append(F.max(F.when(here, F.col("use.low"))).alias(f"{k}_low"))
     return found.groupBy("lang", "source").agg(*bounds)
 
 
@@ -129,9 +145,9 @@ def verdicts(docs: DataFrame, counted: DataFrame | None = None, counts: str = "_
     b = lambda k: F.col(f"{counts}_bounds.{k}")
     rows = counted.join(bounds, F.col("lang").eqNullSafe(b("lang")) & F.col("source").eqNullSafe(b("source")), "left")
     odd = F.lit(False)
-    for k, (_, _, below, _) in RATES.items():
+    for k, (*_, both) in RATES.items():
         odd = odd | (rate(c, k) > b(f"{k}_high"))
-        if below is not None:
+        if both:
             odd = odd | (rate(c, k) < b(f"{k}_low"))
     failed = F.coalesce(base_failed(c), F.lit(True))
     kept = ~failed & ~F.coalesce(odd, F.lit(False))
