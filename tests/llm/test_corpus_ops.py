@@ -115,6 +115,25 @@ def test_decontamination(spark, tmp_path):
     assert none.count() == len(data.rows())
 
 
+def test_decontamination_recall(spark, monkeypatch):
+    rng = random.Random(4)
+    names = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(400)]
+    items = [(k, " ".join(rng.choices(names, k=rng.choice((10, 12, 16, 30)))) + f" only{k}") for k in range(60)]
+    texts = [" ".join(rng.choices(names, k=120)) for _ in range(240)]
+    for k in range(240):
+        cut = rng.randrange(400)
+        said = " ".join(w if rng.random() < 0.8 else rng.choice(names) for w in items[k % 60][1].split())
+        texts[k] = f"{texts[k][:cut]} {said} {texts[k][cut:]}"
+    plain = [(k, " ".join(rng.choices(names, k=120))) for k in range(100)]
+    (searcher,) = decontamination.searchers(spark.createDataFrame(plain, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert all(searcher.weights[searcher.ids[f"only{k}".encode()]].any() for k in range(60))
+    found = lambda: {(k, m["item_id"]) for k, t in enumerate(texts) for m in searcher.matches(t)}
+    got = found()
+    monkeypatch.setattr(decontamination, "COSINE", -2.0)
+    every = found()
+    assert len(every) > 100 and got <= every and len(got) >= 0.9 * len(every)
+
+
 def test_common_words_brute_force():
     rng = random.Random(1)
     for _ in range(300):
