@@ -47,6 +47,16 @@ def test_license_ranks_and_covers(spark):
     assert len(licenses.rules()) > 300
 
 
+def test_license_rules_without_the_word(spark):
+    given = {
+        "Released under Apache 2.0": "apache-2.0", "available under Mozilla Public 2.0": "mpl-2.0", "distributed under the terms of the Eclipse Public 2.0": "epl-2.0",
+        "published under Boost Software 1.0": "bsl-1.0", "apache 2 0": "apache-2.0", "q public 1 0": "qpl-1.0", "lesser general public 2 1": "lgpl-2.1", "AGPL 3": "agpl-3",
+        "SPDX-License-Identifier: MPL-2.0": "mpl-2.0", "released under": "unknown-license",
+    }
+    got = licenses.scan_licenses(spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")).collect()
+    assert [(w, w in r.labels) for r, w in zip(sorted(got, key=lambda r: r.doc_id), given.values())] == [(w, True) for w in given.values()]
+
+
 def test_quality(spark, sf):
     want = []
     for d in docs(spark, sf):

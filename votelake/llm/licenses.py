@@ -2,7 +2,7 @@
 
 Texts become lower-case words joined by single blanks. A rule is a label, a rank, a keyword, a
 regular expression over that word string and a confidence. A row is looked at only if it holds
-one of the stems that every rule's match contains; a rule's expression runs only where its
+one of the stems, of which every rule's match contains one; a rule's expression runs only where its
 keyword occurs. All matches of a rule count. A detection goes if an earlier-ranked or equally
 ranked one covers its interval; of equal intervals the rule that comes first stays.
 
@@ -21,9 +21,6 @@ from .common import table
 
 #: Phrase and label, counted at every place.
 BASE = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
-#: One of these is in every rule's match.
-STEMS = ["licen", "copyright", "reserved", "public domain", "permission is", "redistribution", "warranty", "gnu", "creative commons", " cc ", "copyleft", "gpl"]
-
 #: label, keyword, name as a regular expression, versions in words.
 FAMILIES = [
     ("apache", "apache", "apache(?: software)?", ["1 0", "1 1", "2 0", "2"]),
@@ -83,7 +80,7 @@ NOTICES = [
     ("as-is", 3, "warranty", "without even the implied warranty", 0.6),
     ("copyleft", 4, "copyleft", "copyleft", 0.5),
     ("unknown-license", 4, "licen", "licen[sc]ed under", 0.5),
-    ("unknown-license", 4, "licen", "released under", 0.4),
+    ("unknown-license", 4, "released under", "released under", 0.4),
     ("unknown-license", 4, "licen", "terms of (?:the|this) [^ ]{1,30} licen[sc]e", 0.5),
     ("unknown-license", 4, "licen", "licen[sc]e agreement", 0.4),
     ("spdx", 2, "spdx", "spdx licen[sc]e identifier [^ ]{1,40}", 0.8),
@@ -100,7 +97,7 @@ def rules() -> list[tuple[str, int, str, str, float]]:
             said = f"{name}(?: public)?(?: licen[sc]e)?(?: (?:version|v))? {v}"
             out.append((tag, 1, word, under + said, 0.98))
             out.append((tag, 2, word, said, 0.9))
-            out.append((tag, 2, word, f"spdx licen[sc]e identifier {label.replace('-', ' ')} {v}(?: only| or later)?", 0.99))
+            out.append((tag, 2, "spdx", f"spdx licen[sc]e identifier {label.replace('-', ' ')} {v}(?: only| or later)?", 0.99))
         out.append((label, 3, word, f"{name} licen[sc]e", 0.8))
     for label, word, name in PLAIN:
         out.append((label, 1, word, f"{under}{name} licen[sc]e", 0.95))
@@ -117,6 +114,12 @@ def rules() -> list[tuple[str, int, str, str, float]]:
     return [(label, rank, word, f" {p}(?= )", conf) for label, rank, word, p, conf in out]
 
 
+def stems() -> list[str]:
+    """One of these is in every rule's match: plain names all need the word license, and families whose keyword is a letter one of three phrases."""
+    words = {w for _, w, *_ in FAMILIES if len(w) > 1} | {w for _, _, w, *_ in NOTICES}
+    return sorted(words | {"licen", "spdx", " cc ", "creative commons", "general public", "gpl", "q public"})
+
+
 def word_string(text: Column) -> Column:
     """The text's words, lower-cased, each with a blank before; a blank at the end."""
     low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -162,7 +165,7 @@ def detections(words: Column) -> Column:
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, the base phrases' places and labels, detections (label, rank, confidence, first and last word), labels and score."""
     rows = docs.select("doc_id", word_string(F.col("text")).alias("w"))
-    rows = rows.select("doc_id", "w", F.when(F.length("w") <= 2, 0).otherwise(blanks(F.col("w")) - 1).cast("long").alias("n_words"), reduce(lambda a, b: a | b, [F.contains("w", F.lit(s)) for s in STEMS]).alias("gate"))
+    rows = rows.select("doc_id", "w", F.when(F.length("w") <= 2, 0).otherwise(blanks(F.col("w")) - 1).cast("long").alias("n_words"), reduce(lambda a, b: a | b, [F.contains("w", F.lit(s)) for s in stems()]).alias("gate"))
     none = F.lit(None).cast("array<string>")
     parts = [F.when(F.contains("w", F.lit(f" {p} ")), F.split("w", f" {p}(?= )", -1)).otherwise(none).alias(f"p{i}") for i, (p, _) in enumerate(BASE)]
     kind = "array<struct<label:string,rank:int,confidence:double,s:int,e:int>>"
