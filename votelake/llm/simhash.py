@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, cut_wide, small_batches, table, utf8
+from .common import cut, cut_wide, fresh, small_batches, table, utf8
 
 BITS = 64
 SEED = 42
@@ -209,7 +209,7 @@ def blocks(radius: int) -> list[tuple[int, int]]:
 def paired(rows: DataFrame, by: list[str], members: Column, salt: str) -> DataFrame:
     """rows with p: a row for each pair of chunks that its chunk is in. members: aggregate, the chunks that a bucket needs."""
     large = rows.groupBy(*by).agg(F.count("*").alias("n"), members.alias("c")).filter("n > 1")
-    rows = rows.join(large.select(*by, "c"), by)
+    rows = rows.join(cut(large.select(*by, "c")), by)  # cut, so that the join can split the rows of a hot bucket
     own = F.pmod(F.xxhash64(salt), F.col("c"))
     pair = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("c") - 1), lambda o: F.least(o, own) * F.col("c") + F.greatest(o, own)))
     return rows.withColumn("p", pair).drop("c")
@@ -254,7 +254,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 2) -> DataFra
     roots = connected(links(distinct.select("fp"), radius))
     classes = cut(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"))
     named = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = classes.join(named, "root").select("fp", "component_id")
+    classes = cut(classes.join(named, "root").select("fp", "component_id"))  # cut, so that the join can split a hot fingerprint's rows
     return own.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -264,7 +264,7 @@ def wide_fingerprints_of(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.zeros((batch.num_rows, 3 + WORDS), np.uint64)
-            for row, text in zip(out, batch.column(1).to_pylist()):
+            for row, text in zip(out, batch.column(0).to_pylist()):
                 raw = utf8(text)
                 words = raw.lower().split()
                 key = xxhash.xxh3_128_intdigest(b" ".join(words))
@@ -274,7 +274,7 @@ def wide_fingerprints_of(width: int):
                     g = (h ^ np.uint64(a)) * np.uint64(b)
                     g = (g ^ (g >> np.uint64(32))) * np.uint64(a)
                     row[3 + k] = majority(g ^ (g >> np.uint64(29)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in out.view(np.int64).T)], names=["doc_id", "size", "k1", "k2", *WIDE])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(c) for c in out.view(np.int64).T)], names=[*batch.schema.names[1:], "size", "k1", "k2", *WIDE])
 
     return run
 
@@ -322,59 +322,70 @@ def alike(sets: list[np.ndarray], similarity: float) -> Iterator[tuple[np.ndarra
 
 
 def verified(width: int, similarity: float):
-    """Rows (root, p, id, text), sorted by root and p, to links of ids whose texts reach the similarity."""
+    """Rows (root, p, c, text), sorted by root and p, to links of the c whose texts reach the similarity."""
 
-    def solve(ids: list[int], texts: list[str]) -> pa.RecordBatch:
+    def solve(nodes: list[int], texts: list[str]) -> pa.RecordBatch:
         sets = [np.unique(shingle_hashes(utf8(t).lower().split(), width)) for t in texts]
-        to, own = components(len(sets), alike(sets, similarity)), np.array(ids, np.int64)
+        to, own = components(len(sets), alike(sets, similarity)), np.array(nodes, np.int64)
         at = np.flatnonzero(to != np.arange(len(sets)))
         return pa.RecordBatch.from_arrays([pa.array(own[at]), pa.array(own[to[at]])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, ids, texts = None, [], []
+        last, nodes, texts = None, [], []
         for batch in batches:
-            for root, p, i, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if (root, p) != last and len(ids) > 1:
-                    yield solve(ids, texts)
+            for root, p, c, text in zip(*(x.to_pylist() for x in batch.columns)):
+                if (root, p) != last and len(nodes) > 1:
+                    yield solve(nodes, texts)
                 if (root, p) != last:
-                    last, ids, texts = (root, p), [], []
-                ids.append(i)
+                    last, nodes, texts = (root, p), [], []
+                nodes.append(c)
                 texts.append(text)
-        if len(ids) > 1:
-            yield solve(ids, texts)
+        if len(nodes) > 1:
+            yield solve(nodes, texts)
 
     return run
 
 
-def similar(docs: DataFrame, width: int, similarity: float, chunk: int) -> DataFrame:
-    """node, root: ids that aren't the smallest of their group, with the smallest. docs: doc_id, text; ids are unique and not null."""
-    small_batches(docs.sparkSession)
+def groups_of(rows: DataFrame, width: int, similarity: float, chunk: int) -> DataFrame:
+    """r1, r2: the first row of each group of texts. rows: doc_id, r1, r2 (unique), text.
+
+    Rows whose texts have the same words are one class, which its first row stands for: the smallest doc_id, nulls
+    last, then the smallest r1 and r2. Only classes are compared.
+    """
+    small_batches(rows.sparkSession)
     bits = ", ".join(f"{f} long" for f in WIDE)
-    own = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(wide_fingerprints_of(width), f"doc_id long, size long, k1 long, k2 long, {bits}"))
-    first = F.min(F.struct("doc_id", "size", *WIDE)).alias("x")
-    texts = cut(own.groupBy("k1", "k2").agg(first).select("k1", "k2", "x.*").withColumn("node", F.xxhash64(*WIDE)))
-    nodes = texts.groupBy("node").agg(*[F.min(f).alias(f) for f in WIDE])
-    rows = nodes.mapInArrow(probes_of(drawn_bits(texts.count())), f"t long, v long, node long, {bits}")
-    near = connected(bucket_links(rows, "node", WIDE, RADIUS, CHUNK))
-    groups = cut(texts.join(near, "node", "left").select(F.coalesce("root", "node").alias("root"), "doc_id", "size"))
+    own = rows.select("text", "doc_id", "r1", "r2").mapInArrow(wide_fingerprints_of(width), f"doc_id long, r1 long, r2 long, size long, k1 long, k2 long, {bits}")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r1", "r2", "size", *WIDE)).alias("x")
+    classes = own.groupBy("k1", "k2").agg(first).select("x.*", F.xxhash64(*[f"x.{f}" for f in WIDE]).alias("node"), F.monotonically_increasing_id().alias("cls"))
+    classes = cut(classes)  # the numbers hold from here on
+    nodes = classes.groupBy("node").agg(*[F.min(f).alias(f) for f in WIDE])
+    probed = nodes.mapInArrow(probes_of(drawn_bits(classes.count())), f"t long, v long, node long, {bits}")
+    near = connected(bucket_links(probed, "node", WIDE, RADIUS, CHUNK))
+    groups = cut(classes.join(near, "node", "left").select(F.coalesce("root", "node").alias("root"), "cls", "r1", "r2", "size"))
     need = F.greatest(F.ceil(F.count("*") / chunk), F.ceil(F.sum("size") / GROUP_BYTES)).cast("long")
-    asked = paired(groups, ["root"], need, "doc_id").select("root", "p", "doc_id")
-    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asked, "doc_id").select("root", "p", "doc_id", "text")
-    linked = held.repartition("root", "p").sortWithinPartitions("root", "p", "doc_id").mapInArrow(verified(width, similarity), "a long, b long")
-    copies = own.select("doc_id", "k1", "k2").join(texts.select("k1", "k2", F.col("doc_id").alias("least")), ["k1", "k2"]).filter("doc_id != least").select(F.col("doc_id").alias("node"), F.col("least").alias("root"))
-    return copies.unionByName(connected(linked))
+    asked = paired(groups, ["root"], need, "cls").select("root", "p", "cls", "r1", "r2")
+    held = rows.select("r1", "r2", "text").join(asked, ["r1", "r2"]).select("root", "p", "cls", "text")
+    linked = connected(held.repartition("root", "p").sortWithinPartitions("root", "p", "cls").mapInArrow(verified(width, similarity), "a long, b long"))
+    named = classes.join(linked.withColumnRenamed("node", "cls").withColumnRenamed("root", "g"), "cls", "left")
+    return named.groupBy(F.coalesce("g", "cls").alias("g")).agg(F.min(F.struct("none", "doc_id", "r1", "r2")).alias("x")).select("x.r1", "x.r2")
 
 
-def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, chunk: int = 512) -> DataFrame:
-    """The rows of docs with the smallest id of each group; of rows that repeat it, one. Null ids form no group and stay.
+def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, chunk: int = 1024) -> DataFrame:
+    """One row of docs for each group of near copies: that with the smallest doc_id, null ids last.
 
-    Texts of one word sequence are copies, those without words too.
+    Every row is compared, whatever its id: rows that share an id with different texts, or have none, stay unless their
+    text is a near copy. Of a group's rows with the same id the one with the smaller hash of all columns stays, so the
+    result is the same in every run; of rows that are equal in all columns one stays. Texts of one word sequence are
+    copies, those without words too.
     """
-    rows = docs.filter("doc_id IS NOT NULL")
-    if rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
-        rows = cut_wide(rows.dropDuplicates(["doc_id"]))
-    gone = similar(rows.select("doc_id", "text"), width, similarity, chunk).select(F.col("node").alias("doc_id"))
-    return rows.join(gone, "doc_id", "left_anti").select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    names = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    r1, r2 = fresh(docs, "_r1"), fresh(docs, "_r2")
+    whole = docs.withColumn(r1, F.xxhash64(*names)).withColumn(r2, F.xxhash64(F.lit(1), *names))
+    if whole.groupBy(r1, r2).agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
+        whole = cut_wide(whole.dropDuplicates([r1, r2]))
+    rows = whole.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(r1).alias("r1"), F.col(r2).alias("r2"), "text")
+    kept = groups_of(rows, width, similarity, chunk).select(F.col("r1").alias(r1), F.col("r2").alias(r2))
+    return whole.join(kept, [r1, r2], "left_semi").select(*docs.columns)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
