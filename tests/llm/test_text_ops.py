@@ -47,6 +47,42 @@ def test_license_ranks_and_covers(spark):
     assert len(licenses.rules()) > 300
 
 
+def brute_detections(text):
+    """Kept detections of a text: every rule's matches, pairwise compared."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+    line = "".join(f" {w}" for w in words) + " "
+    found = []
+    for i, (label, rank, _, p, conf) in enumerate(licenses.rules()):
+        for m in re.finditer(p, line):
+            first = line[: m.start()].count(" ")
+            found.append((first, -(first + m[0].count(" ") - 1), rank, i, label, conf))
+    found.sort()
+    return sorted((d[4], d[2], d[5], d[0], -d[1]) for k, d in enumerate(found) if not any(o[2] <= d[2] and -o[1] >= -d[1] for o in found[:k]))
+
+
+def test_license_detections_against_brute_force(spark):
+    import random
+
+    rng = random.Random(6)
+    bits = ["licensed under the", "Apache License, Version 2.0", "MIT license", "GNU General Public License", "version 3", "copyright (c) 2020 2021", "all rights reserved", "cc by-sa 4.0", "SPDX-License-Identifier: MPL-2.0", "as is without warranty of any kind", "released under", "creative commons attribution share alike 3.0",
+            "permission is hereby granted, free of charge, to any person obtaining a copy", "x", "word", "Neither the name of the firm may be used to endorse or promote products derived from this software", "lesser general public license 2.1", "beer ware license", "unlicensed"]
+    texts = [" ".join(rng.choice(bits) for _ in range(rng.randint(0, 25))) for _ in range(150)] + ["copyright x " * 700 + "MIT license", None, "", "copyright"]
+    got = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in got:
+        want = brute_detections(texts[r.doc_id])
+        assert sorted(tuple(d) for d in r.detections) == want, texts[r.doc_id]
+        assert r.labels == sorted({*r.base_labels, *(d[0] for d in want)}) and r.score == max([d[2] for d in want] + [0.5] * bool(r.base_labels), default=0)
+
+
+def test_license_scan_of_a_long_text_is_linear(spark):
+    import time
+
+    began = time.time()
+    docs = spark.createDataFrame([(1, "copyright mit license x " * 40_000)], "doc_id long, text string")
+    assert licenses.scan_licenses(docs).selectExpr("size(detections)").first()[0] == 80_000
+    assert time.time() - began < 60
+
+
 def test_license_rules_without_the_word(spark):
     given = {
         "Released under Apache 2.0": "apache-2.0", "available under Mozilla Public 2.0": "mpl-2.0", "distributed under the terms of the Eclipse Public 2.0": "epl-2.0",
