@@ -28,10 +28,25 @@ def brute(rows, length):
     return Counter(out)
 
 
-def test_substrings_awkward(spark, tmp_path):
-    given = [r for r in data.rows() if len(r[1] or "") < 20000]
-    sf = data.save(spark, tmp_path, given)
-    assert Counter(tuple(r) for r in substrings.op4_substrings(spark, sf).collect()) == brute([(r[0], r[1]) for r in given], 200)
+@pytest.mark.parametrize("given", ["rows", "empty"])
+def test_substrings_awkward(spark, tmp_path, given):
+    rows = data.rows() if given == "rows" else []
+    sf = data.save(spark, tmp_path, rows)
+    assert Counter(tuple(r) for r in substrings.op4_substrings(spark, sf).collect()) == brute([(r[0], r[1]) for r in rows], 200)
+
+
+def test_substrings_tell_rows_without_id_apart(spark):
+    """Two texts whose 32-bit hashes are equal, of which one shares bytes with a third text."""
+    rng = random.Random(0)
+    say = lambda k: "".join(rng.choice("abcdefghijklmnop ") for _ in range(k))
+    shared = say(300)
+    texts = spark.range(200_000).select(F.concat(F.lit(shared), F.md5(F.concat(F.lit("a"), F.col("id")))).alias("a"), F.concat(F.lit(say(300)), F.md5(F.concat(F.lit("b"), F.col("id")))).alias("b"))
+    both = texts.select(F.hash("a").alias("h"), "a").join(texts.select(F.hash("b").alias("h"), "b"), "h").orderBy("a", "b").first()
+    assert both is not None
+    rows = [(None, both.a), (None, both.b), (3, shared + "!")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substrings.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+    assert Counter(tuple(r) for r in got) == brute(rows, 200)
 
 
 def test_substrings_random(spark):
@@ -51,19 +66,25 @@ def test_substrings_random(spark):
         assert Counter(tuple(r) for r in got.collect()) == brute(rows, length), length
 
 
-def test_columns_in_files(monkeypatch):
+def test_columns_in_files(monkeypatch, tmp_path):
     rng = np.random.default_rng(0)
     monkeypatch.setattr(substrings, "IN_MEMORY", 10)
     rows = rng.integers(97, 100, (40, 24)).astype(np.uint16)
-    columns = substrings.Columns(24)
+    columns = substrings.Columns(24, str(tmp_path))
     for k in range(0, 40, 8):
         columns.add(rows[k : k + 8])
-    assert isinstance(columns.blocks[-1], np.memmap)
-    group = np.sort(rng.integers(0, 6, 40))
-    hit = substrings.repeated_windows(columns, group, 4)
+    assert isinstance(columns.blocks[0], np.ndarray) and not isinstance(columns.blocks[-1], np.ndarray) and len(list(tmp_path.iterdir())) == 3
+    group, first, end = np.sort(rng.integers(0, 6, 40)), rng.integers(0, 4, 40), rng.integers(18, 25, 40)
+    hit = np.zeros((40, 21), bool)
+    for row, a, b in substrings.repeated_runs(columns, group, 4, first, end):
+        for i, x, y in zip(row, a, b):
+            assert not hit[i, max(0, x - 1) : y + 2].any()  # runs are maximal
+            hit[i, x : y + 1] = True
     for i in range(40):
         for j in range(21):
-            assert hit[i, j] == any(k != i and group[k] == group[i] and (rows[k, j : j + 4] == rows[i, j : j + 4]).all() for k in range(40))
+            assert hit[i, j] == (first[i] <= j and j + 4 <= end[i] and any(k != i and group[k] == group[i] and (rows[k, j : j + 4] == rows[i, j : j + 4]).all() for k in range(40)))
+    columns.close()
+    assert not list(tmp_path.iterdir())
 
 
 def test_urls_brute_force(spark, tmp_path):

@@ -21,15 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound what a Python worker holds at once while it reads whole texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker holds at once while it reads whole texts. One value for all operators, as it counts when a plan runs, not when it is made."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is named, as in tests."""
+    """The shared folder that the cluster names; a temporary one only where none is named and all runs on this machine, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         named = tempfile.mkdtemp(prefix="votelake-")
         spark.sparkContext.setCheckpointDir(named)
     elif spark.sparkContext.getCheckpointDir() is None:
@@ -44,12 +46,20 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def cut_wide(df: DataFrame) -> DataFrame:
-    """Like cut, as a compressed Parquet table, for rows that carry texts or arrays."""
-    at = f"{shared_dir(df.sparkSession).rstrip('/')}/votelake-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    """Like cut, as a compressed Parquet table, for rows that carry texts or arrays. It is removed when the driver's JVM ends."""
+    at = shared_path(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the shared folder; what is written there is removed when the driver's JVM ends."""
+    at = f"{shared_dir(spark).rstrip('/')}/votelake-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return at
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't use yet, in any case."""
     used = {c.lower() for c in df.columns}

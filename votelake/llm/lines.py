@@ -5,7 +5,8 @@ each key's hash (128 bits) once; a key found in two or more documents goes from
 one with the smallest id. Kept lines are joined again in their order.
 
 A null or empty text is one empty line. A null id counts as one document that comes after all
-others. Rows that repeat an id are one document: none of them loses a line to another.
+others. Rows that repeat an id are one document: none of them loses a line to another. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from .common import cut, cut_wide, id_or_last, small_batches, table
 BLANKS = " \t\n\x0b\x0c\r"
 MIN_CHARS = 10
 MIN_DOCS = 2
-HASHES = pa.schema([("id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64())])
+HASHES = pa.schema([("id", pa.int64()), ("th", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64())])
 
 
 def signed(x: int) -> int:
@@ -37,14 +38,15 @@ def line_hash(line: str, min_chars: int) -> bytes | None:
 def keys_of(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            ids, ths, keys = [], [], []
+            for i, th, text in zip(*(c.to_pylist() for c in batch.columns)):
                 own = {line_hash(x, min_chars) for x in (text or "").split("\n")}
                 own.discard(None)
                 keys += own
                 ids += [i] * len(own)
+                ths += [th] * len(own)
             both = memoryview(b"".join(keys)).cast("q")
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(both[::2].tolist(), pa.int64()), pa.array(both[1::2].tolist(), pa.int64())], schema=HASHES)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ths, pa.int32()), pa.array(both[::2].tolist(), pa.int64()), pa.array(both[1::2].tolist(), pa.int64())], schema=HASHES)
 
     return run
 
@@ -70,16 +72,17 @@ def without(min_chars: int):
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, text (kept lines), n_lines, n_dropped: a row for each row of docs."""
     small_batches(docs.sparkSession)
-    own = docs.select(id_or_last(F.col("doc_id")).alias("id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    keys = cut_wide(own.select("id", "text").mapInArrow(keys_of(min_chars), "id long, k1 long, k2 long"))
+    # th deals the rows of one id, such as null ids: a clash in it is harmless, as a key that goes from an id goes from all of its rows
+    own = docs.select(id_or_last(F.col("doc_id")).cast("long").alias("id"), F.hash("text").alias("th"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    keys = cut_wide(own.select("id", "th", "text").mapInArrow(keys_of(min_chars), "id long, th int, k1 long, k2 long"))
     if min_docs == 2:  # two ids differ just when the smallest and the largest do
         held = keys.groupBy("k1", "k2").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
     else:
-        held = keys.distinct().groupBy("k1", "k2").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter(F.col("n") >= min_docs)
+        held = keys.select("id", "k1", "k2").distinct().groupBy("k1", "k2").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter(F.col("n") >= min_docs)
     held = cut(held.select("k1", "k2", "first"))  # so that the join deals both sides anew and can split a hot line's rows
     lost = keys.join(held, ["k1", "k2"]).filter("id > first")
-    lists = lost.groupBy("id").agg(F.collect_list(F.struct("k1", "k2")).alias("k")).select("id", F.col("k.k1").alias("k1"), F.col("k.k2").alias("k2"))
-    return own.join(lists, "id", "left").select("doc_id", "text", "k1", "k2").mapInArrow(without(min_chars), "doc_id long, text string, n_lines long, n_dropped long")
+    lists = lost.groupBy("id", "th").agg(F.collect_set(F.struct("k1", "k2")).alias("k")).select("id", "th", F.col("k.k1").alias("k1"), F.col("k.k2").alias("k2"))
+    return own.join(lists, ["id", "th"], "left").select("doc_id", "text", "k1", "k2").mapInArrow(without(min_chars), "doc_id long, text string, n_lines long, n_dropped long")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

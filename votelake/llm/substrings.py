@@ -13,26 +13,30 @@ the collection is first cut into short documents of equal make:
    the anchor and padded. Column-wise construction inserts one symbol of every one each round
    and updates their order, the collection's Burrows-Wheeler transform (the next column read in
    that order) and the common prefixes of neighbours. Where a neighbour shares `LENGTH` bytes
-   the window repeats. Columns are kept in blocks; beyond `IN_MEMORY` rows in sequential files.
+   the window repeats. Columns are kept in blocks; beyond `IN_MEMORY` rows a block is a sequential
+   file in the shared folder, read column by column. Beside these a row takes about 80 bytes.
 
-Bytes are compared in step 3; step 2 trusts 128 bits of hash (anchor and context).
+Bytes are compared in step 3; step 2 trusts 128 bits of hash (anchor and context), and rows are told
+apart by 128 bits of hash of id and text. An anchor's distinct contexts are sorted in one task.
 
-A null text is empty. Texts shorter than the length stay. Repeated rows count as other places of
-the same string, whatever their id. A null id is an id of its own.
+A null text is empty. Texts shorter than the length stay; very long texts are read whole. Repeated
+rows count as other places of the same string, whatever their id. A null id is an id of its own. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, cut_wide, id_or_last, small_batches, table, utf8
+from .common import cut, cut_wide, id_or_last, shared_path, small_batches, table, utf8
 
 LENGTH = 200
 ANCHOR = 48
@@ -90,7 +94,7 @@ def anchors_of(length: int, anchor: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, ths = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             many, place, g, c = [], [], [], []
             for text in batch.column(2).to_pylist():
                 raw = utf8(text)
@@ -99,31 +103,38 @@ def anchors_of(length: int, anchor: int):
                 place.append(at)
                 g.append(own)
                 c += [xxhash.xxh64_intdigest(raw[max(0, p - side) : p + length], min(p, side)) for p in at.tolist()]
-            columns = [np.repeat(ids, many), np.repeat(ths, many), np.concatenate(place).astype(np.int32), np.concatenate(g), np.array(c, np.uint64).view(np.int64)]
+            columns = [*(np.repeat(k, many) for k in keys), np.concatenate(place).astype(np.int32), np.concatenate(g), np.array(c, np.uint64).view(np.int64)]
             for k in range(0, len(c), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + (1 << 16)]) for x in columns], names=["id", "th", "at", "g", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + (1 << 16)]) for x in columns], names=["t1", "t2", "at", "g", "c"])
 
     return run
 
 
 class Columns:
-    """A matrix that is filled by rows and read by columns, last first; blocks beyond a number of rows are files."""
+    """A matrix that is filled by rows and read by columns, last first; blocks beyond a number of rows are files in a folder."""
 
-    def __init__(self, width: int):
-        self.width, self.blocks, self.n = width, [], 0
+    def __init__(self, width: int, folder: str):
+        self.width, self.folder, self.blocks, self.n = width, folder, [], 0
 
     def add(self, rows: np.ndarray) -> None:
         block = np.ascontiguousarray(rows.T)
         if self.n >= IN_MEMORY:
-            held = tempfile.TemporaryFile()
-            disk = np.memmap(held, np.uint16, "w+", shape=block.shape)
-            disk[:] = block
-            block = disk
+            files, at = fs.FileSystem.from_uri(f"{self.folder if '://' in self.folder else 'file://' + self.folder}/{uuid.uuid4().hex}")
+            files.create_dir(at.rpartition("/")[0])
+            with files.open_output_stream(at) as out:
+                out.write(block.data)
+            block = files, at, files.open_input_file(at), len(rows)
         self.blocks.append(block)
         self.n += len(rows)
 
     def __getitem__(self, j: int) -> np.ndarray:
-        return np.concatenate([b[j] for b in self.blocks])
+        return np.concatenate([b[j] if isinstance(b, np.ndarray) else np.frombuffer(b[2].read_at(2 * b[3], 2 * b[3] * j), np.uint16) for b in self.blocks])
+
+    def close(self) -> None:
+        for b in self.blocks:
+            if not isinstance(b, np.ndarray):
+                b[2].close()
+                b[0].delete_file(b[1])
 
 
 def least_between(d: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -144,11 +155,11 @@ def least_between(d: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated_windows(columns: Columns, group: np.ndarray, length: int) -> np.ndarray:
-    """hit[row, j]: the window that begins in column j of that row repeats in its group. Rows are sorted by group."""
+def repeated_runs(columns: Columns, group: np.ndarray, length: int, first: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """row, begin, last: runs of columns where windows begin that lie in first .. end of their row and repeat in its group. Rows are sorted by group."""
     n, starts = columns.n, columns.width - length + 1
-    hit = np.zeros((starts, n), bool)
     order, common = np.arange(n), np.zeros(n, np.int32)
+    last = np.full(n, -1, np.int32)  # where the run that is open in a row ends
     for j in range(columns.width - 1, -1, -1):
         key = group[order] * 512 + columns[j][order]
         to = np.argsort(key, kind="stable")
@@ -159,48 +170,68 @@ def repeated_windows(columns: Columns, group: np.ndarray, length: int) -> np.nda
         order, common = order[to], fresh
         if j < starts:
             long = common >= length
-            either = long.copy()
-            either[:-1] |= long[1:]
-            hit[j, order[either]] = True
-    return hit.T
-
-
-def repeats_of(length: int, anchor: int):
-    """Rows (g, id, th, at, once, left, bytes), sorted by g, to covered spans (id, th, s, e) of rows that occur once."""
+            long[:-1] |= long[1:]
+            hit = np.zeros(n, bool)
+            hit[order[long]] = True
+            hit &= (first <= j) & (j + length <= end)
+            over = np.flatnonzero(~hit & (last >= 0))
+            if len(over):
+                yield over, np.full(len(over), j + 1), last[over]
+                last[over] = -1
+            last[hit & (last < 0)] = j
+    over = np.flatnonzero(last >= 0)
+    yield over, np.zeros(len(over), np.int64), last[over]
+
+
+class Contexts:
+    """Contexts of whole anchors: their bytes as columns, the rest as arrays."""
+
+    def __init__(self, width: int, side: int, folder: str):
+        self.columns, self.side, self.parts = Columns(width, folder), side, []
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        if not batch.num_rows:
+            return
+        *numbers, raw = batch.columns
+        numbers = [c.to_numpy(zero_copy_only=False) for c in numbers]
+        part = np.full((batch.num_rows, self.columns.width), PAD, np.uint16)
+        begin = self.side - numbers[-1]
+        end = begin.copy()
+        for i, (a, x) in enumerate(zip(begin.tolist(), raw.to_pylist())):
+            part[i, a : a + len(x)] = np.frombuffer(x, np.uint8)
+            end[i] += len(x)
+        self.columns.add(part)
+        self.parts.append((*numbers[:-1], begin, end))
+
+    def spans(self, length: int) -> pa.RecordBatch:
+        g, t1, t2, at, once, begin, end = (np.concatenate(x) for x in zip(*self.parts))
+        self.parts.clear()
+        group = np.cumsum(np.diff(g, prepend=g[0]) != 0)
+        end[~once] = -1  # those are covered already
+        row, a, b = (np.concatenate(x) for x in zip(*repeated_runs(self.columns, group, length, begin, end)))
+        self.columns.close()
+        place = at[row] - self.side
+        return pa.RecordBatch.from_arrays([pa.array(t1[row]), pa.array(t2[row]), pa.array((place + a).astype(np.int32)), pa.array((place + b + length).astype(np.int32))], names=["t1", "t2", "s", "e"])
+
+
+def repeats_of(length: int, anchor: int, folder: str):
+    """Rows (g, t1, t2, at, once, left, bytes), sorted by g, to covered spans (t1, t2, s, e) of rows that occur once."""
     side = length - anchor
-    width = 2 * side + anchor
-
-    def solve(rows: list[tuple]) -> pa.RecordBatch:
-        columns, groups, last = Columns(width), [], None
-        for k in range(0, len(rows), 8192):
-            part = np.full((min(8192, len(rows) - k), width), PAD, np.uint16)
-            for i, (g, *_, left, raw) in enumerate(rows[k : k + 8192]):
-                part[i, side - left : side - left + len(raw)] = np.frombuffer(raw, np.uint8)
-                groups.append((groups[-1] + (g != last)) if groups else 0)
-                last = g
-            columns.add(part)
-        hit = repeated_windows(columns, np.array(groups, np.int64), length)
-        lefts = np.array([r[5] for r in rows])
-        ends = side - lefts + np.array([len(r[6]) for r in rows])
-        j = np.arange(hit.shape[1])
-        hit &= (j >= (side - lefts)[:, None]) & (j + length <= ends[:, None]) & np.array([r[4] for r in rows])[:, None]
-        edge = np.diff(np.pad(hit, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-        at, begin = np.nonzero(edge == 1)
-        _, end = np.nonzero(edge == -1)
-        place = np.array([r[3] for r in rows], np.int64)[at] - side
-        pick = lambda k: pa.array(np.array([r[k] for r in rows], np.int64)[at])
-        return pa.RecordBatch.from_arrays([pick(1), pick(2).cast(pa.int32()), pa.array((place + begin).astype(np.int32)), pa.array((place + end - 1 + length).astype(np.int32))], names=["id", "th", "s", "e"])
+    new = lambda: Contexts(2 * side + anchor, side, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
+        held, last = new(), None
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if len(rows) >= BATCH and row[0] != rows[-1][0]:
-                    yield solve(rows)
-                    rows = []
-                rows.append(row)
-        if rows:
-            yield solve(rows)
+            g, begin = batch.column(0).to_numpy(), 0
+            if held.columns.n >= BATCH and g[-1] != last:
+                begin = int(np.flatnonzero(g != last)[0])
+                held.add(batch.slice(0, begin))
+                yield held.spans(length)
+                held = new()
+            held.add(batch.slice(begin))
+            last = g[-1]
+        if held.columns.n:
+            yield held.spans(length)
 
     return run
 
@@ -212,13 +243,13 @@ def contexts_of(length: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for i, th, text, asked in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            for t1, t2, text, asked in zip(*(c.to_pylist() for c in batch.columns)):
                 raw = utf8(text)
-                out += [(a["g"], i, th, a["at"], a["once"], min(a["at"], side), raw[max(0, a["at"] - side) : a["at"] + length]) for a in asked]
+                out += [(a["g"], t1, t2, a["at"], a["once"], min(a["at"], side), raw[max(0, a["at"] - side) : a["at"] + length]) for a in asked]
             for k in range(0, len(out), 8192):
                 cols = list(zip(*out[k : k + 8192]))
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["g", "id", "th", "at", "once", "left", "raw"])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["g", "t1", "t2", "at", "once", "left", "raw"])
 
     return run
 
@@ -248,23 +279,23 @@ def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the kept bytes: a row for each row of docs."""
     small_batches(docs.sparkSession)
-    own = docs.select(id_or_last(F.col("doc_id")).cast("long").alias("id"), F.hash("text").alias("th"), "text", F.col("doc_id").cast("long").alias("doc_id"))
-    places = cut_wide(own.select("id", "th", "text").mapInArrow(anchors_of(length, anchor), "id long, th int, at int, g long, c long"))
-    # cut, so that the join deals both sides anew and can split the rows of a hot anchor
-    twice = places.groupBy("g").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).filter("n > 1").select("g", (F.col("low") != F.col("high")).alias("mixed"))
-    twice = cut(twice)
+    own = docs.select(id_or_last(F.col("doc_id")).cast("long").alias("id"), "text", F.col("doc_id").cast("long").alias("doc_id"))
+    own = own.select(F.xxhash64("id", "text").alias("t1"), F.xxhash64(F.lit(1), "id", "text").alias("t2"), "text", "doc_id")
+    places = cut_wide(own.select("t1", "t2", "text").mapInArrow(anchors_of(length, anchor), "t1 long, t2 long, at int, g long, c long"))
+    # counts are cut before they are joined, so that the joins deal both sides anew and can split the rows of a hot anchor
+    twice = cut(places.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g"))
     found = cut_wide(places.join(twice, "g"))
-    contexts = found.filter("mixed").groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "at")).alias("one"))
+    contexts = found.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "at")).alias("one"))
     contexts = cut_wide(contexts.select("g", "c", (F.col("n") == 1).alias("once"), "one"))
+    several = cut(contexts.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g"))
     side = length - anchor
-    whole = found.filter("NOT mixed").select("id", "th", "at").unionByName(found.filter("mixed").join(contexts.filter("NOT once").select("g", "c"), ["g", "c"], "left_semi").select("id", "th", "at"))
-    spans = whole.select("id", "th", (F.col("at") - side).alias("s"), (F.col("at") + length).alias("e"))
-    asked = contexts.groupBy(F.col("one.id").alias("id"), F.col("one.th").alias("th")).agg(F.collect_list(F.struct(F.col("g"), F.col("one.at").alias("at"), F.col("once"))).alias("asked"))
-    texts = own.select("id", "th", "text").join(asked, ["id", "th"]).dropDuplicates(["id", "th"])
-    short = texts.select("id", "th", "text", "asked").mapInArrow(contexts_of(length, anchor), "g long, id long, th int, at int, once boolean, left int, raw binary")
-    met = short.repartition("g").sortWithinPartitions("g").mapInArrow(repeats_of(length, anchor), "id long, th int, s int, e int")
-    lists = spans.unionByName(met).groupBy("id", "th").agg(F.collect_list(F.struct("s", "e")).alias("x")).select("id", "th", F.col("x.s").alias("s"), F.col("x.e").alias("e"))
-    rest = own.join(lists, ["id", "th"], "left").select("doc_id", "text", "s", "e")
+    spans = found.join(contexts.filter("NOT once").select("g", "c"), ["g", "c"], "left_semi").select("t1", "t2", (F.col("at") - side).alias("s"), (F.col("at") + length).alias("e"))
+    asked = contexts.join(several, "g").groupBy(F.col("one.t1").alias("t1"), F.col("one.t2").alias("t2")).agg(F.collect_list(F.struct(F.col("g"), F.col("one.at").alias("at"), F.col("once"))).alias("asked"))
+    texts = own.select("t1", "t2", "text").join(asked, ["t1", "t2"]).dropDuplicates(["t1", "t2"])
+    short = texts.select("t1", "t2", "text", "asked").mapInArrow(contexts_of(length, anchor), "g long, t1 long, t2 long, at int, once boolean, left int, raw binary")
+    met = short.repartition("g").sortWithinPartitions("g").mapInArrow(repeats_of(length, anchor, shared_path(docs.sparkSession)), "t1 long, t2 long, s int, e int")
+    lists = spans.unionByName(met).groupBy("t1", "t2").agg(F.collect_list(F.struct("s", "e")).alias("x")).select("t1", "t2", F.col("x.s").alias("s"), F.col("x.e").alias("e"))
+    rest = own.join(lists, ["t1", "t2"], "left").select("doc_id", "text", "s", "e")
     return rest.mapInArrow(without, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 

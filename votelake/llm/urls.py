@@ -12,7 +12,7 @@ that occurs several times marks a hot key, whose rows are dealt among those rang
 
 Distinct (host, path) are judged once and joined back, so repeated rows get the same verdict.
 Null urls and urls without :// have an empty host and path and fit no rule. Of equal rules the
-blocking one wins.
+blocking one wins. Empty tables of pages or rules give no rows or no rules.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import cut, small_batches, table
 
 #: (host, path, verdict)
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -56,8 +56,8 @@ def bounds_of(probes: DataFrame, ranges: int) -> list[str]:
     return [keys[len(keys) * i // ranges] for i in range(1, ranges)] if keys else []
 
 
-def place(bounds: list[str], spread: Column, schema: str):
-    """Columns part for urls: a range by bisection, ties by the spread."""
+def place(bounds: list[str]):
+    """Ranges of keys by bisection, ties by the spread."""
 
     @F.pandas_udf("int")
     def part(keys: pd.Series, spread: pd.Series) -> pd.Series:
@@ -99,7 +99,7 @@ def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def longest_rules(urls: DataFrame, rules: DataFrame, ranges: int | None = None) -> DataFrame:
     """host, path, rule, verdict for those distinct (host, path) of urls that a rule fits. rules: host, path, verdict."""
     spark = urls.sparkSession
-    small_batches(spark, 10_000)
+    small_batches(spark)
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     distinct = urls.select("host", "path").distinct()
     labels = F.split("host", r"\.", -1)
@@ -107,7 +107,7 @@ def longest_rules(urls: DataFrame, rules: DataFrame, ranges: int | None = None)
     probes = distinct.filter("host <> ''").select("host", "path", ancestor.alias("up")).select("host", "path", F.concat(reversed_host(F.col("up")), F.lit("\x02"), F.col("path")).alias("key"))
     given = rules.select(F.concat(reversed_host(F.col("host")), F.lit("\x02"), F.col("path")).alias("key"), F.concat("host", "path").alias("rule"), "verdict")
     bounds = bounds_of(probes, ranges)
-    events = probes.select(place(bounds, None, "")("key", F.pmod(F.hash("host", "path"), F.lit(1 << 20))).alias("part"), "key", F.lit(1).alias("kind"), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
+    events = probes.select(place(bounds)("key", F.pmod(F.hash("host", "path"), F.lit(1 << 20))).alias("part"), "key", F.lit(1).alias("kind"), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
     events = events.unionByName(given.select(F.explode(met(bounds)("key")).alias("part"), "key", F.lit(0).alias("kind"), F.lit("").alias("host"), F.lit("").alias("path"), "rule", "verdict"))
     swept = events.repartition(ranges, "part").sortWithinPartitions("part", "key", "kind", F.desc("verdict")).mapInPandas(sweep, "host string, path string, rule string, verdict string")
     best = swept.groupBy("host", "path").agg(F.max(F.struct(F.char_length("rule").alias("n"), "verdict", "rule")).alias("best"))
@@ -117,7 +117,9 @@ def longest_rules(urls: DataFrame, rules: DataFrame, ranges: int | None = None)
 def filter_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFrame:
     """page_id, host, path, rule, verdict: a row for each row of pages (page_id, url)."""
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    return rows.join(longest_rules(rows, rules), ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    best = cut(longest_rules(rows.filter("host <> ''"), rules))  # cut, so that the join can split the rows of a hot url
+    judged = rows.filter("host <> ''").join(best, ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    return judged.unionByName(rows.filter("host = ''").withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default)))
 
 
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
