@@ -243,7 +243,7 @@ def contexts_of(length: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for t1, t2, text, asked in zip(*(c.to_pylist() for c in batch.columns)):
+            for t1, t2, text, asked in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 raw = utf8(text)
                 out += [(a["g"], t1, t2, a["at"], a["once"], min(a["at"], side), raw[max(0, a["at"] - side) : a["at"] + length]) for a in asked]
             for k in range(0, len(out), 8192):
@@ -291,8 +291,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     side = length - anchor
     spans = found.join(contexts.filter("NOT once").select("g", "c"), ["g", "c"], "left_semi").select("t1", "t2", (F.col("at") - side).alias("s"), (F.col("at") + length).alias("e"))
     asked = contexts.join(several, "g").groupBy(F.col("one.t1").alias("t1"), F.col("one.t2").alias("t2")).agg(F.collect_list(F.struct(F.col("g"), F.col("one.at").alias("at"), F.col("once"))).alias("asked"))
-    texts = own.select("t1", "t2", "text").join(asked, ["t1", "t2"]).dropDuplicates(["t1", "t2"])
-    short = texts.select("t1", "t2", "text", "asked").mapInArrow(contexts_of(length, anchor), "g long, t1 long, t2 long, at int, once boolean, left int, raw binary")
+    # with all of own's columns, so that this join and the last one share one shuffle of the texts
+    texts = own.join(asked, ["t1", "t2"]).dropDuplicates(["t1", "t2"])
+    short = texts.select("t1", "t2", "text", "asked", "doc_id").mapInArrow(contexts_of(length, anchor), "g long, t1 long, t2 long, at int, once boolean, left int, raw binary")
     met = short.repartition("g").sortWithinPartitions("g").mapInArrow(repeats_of(length, anchor, shared_path(docs.sparkSession)), "t1 long, t2 long, s int, e int")
     lists = spans.unionByName(met).groupBy("t1", "t2").agg(F.collect_list(F.struct("s", "e")).alias("x")).select("t1", "t2", F.col("x.s").alias("s"), F.col("x.e").alias("e"))
     rest = own.join(lists, ["t1", "t2"], "left").select("doc_id", "text", "s", "e")
