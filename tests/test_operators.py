@@ -92,6 +92,38 @@ def test_logistic_optimum():
 def test_tfidf_rows_have_length_one(spark):
     docs = spark.createDataFrame([(1, "Red fox the red"), (2, "fox"), (3, ""), (4, None)], "paper_id long, abstract string")
     c = T.term_counts(docs, "abstract", ["the"])
-    w = T.transform_tfidf(c, T.fit_tfidf(c, 4, 10)).groupBy("paper_id").agg(F.sum(F.col("weight") ** 2).alias("s")).collect()
+    w = T.transform_tfidf(c, T.fit_tfidf(c, docs, 10)).groupBy("paper_id").agg(F.sum(F.col("weight") ** 2).alias("s")).collect()
     assert {r.paper_id for r in w} == {1, 2} and all(abs(r.s - 1) < 1e-12 for r in w)
     assert {r.term for r in c.filter("paper_id = 1").collect()} == {"red", "fox", "red fox", "fox red"}
+
+
+def test_tokens_stand_alone_without_accents(spark):
+    docs = spark.createDataFrame([(1, "9abc ñandú ÉTÉ über_2 a straße x1 e\u0301te\u0301 abc-def ab9")], "paper_id long, abstract string")
+    assert docs.select(T.tokens("abstract", ["et al"])).first()[0] == ["nandu", "ete", "uber_2", "x1", "ete", "abc", "def", "ab9"]
+
+
+def test_user_models_with_cache_reach_the_optimum(spark):
+    rng = np.random.default_rng(2)
+    emb = spark.createDataFrame([(i, rng.normal(size=3).tolist()) for i in range(40)], "paper_id long, embedding array<double>")
+    rated = votes(spark, [(u, i, int(rng.integers(0, 2)), i) for u in (1, 2) for i in range(20)])
+    weights = spark.createDataFrame([(1, 0, 0.5, 1.0, 2.0, 0.3), (1, 1, 2.0, 1.0, 1.0, 0.1), (2, 0, 1.0, 3.0, 1.0, 0.2), (9, 0, 1.0, 1.0, 1.0, 1.0)], "user_id long, combination_idx int, c double, w_pos double, w_neg double, w_cache double")
+    cache = spark.createDataFrame([(i,) for i in range(30, 40)], "paper_id long")
+    got = M.train_user_models(rated, emb, weights, cache).collect()
+    assert {(r.user_id, r.combination_idx) for r in got} == {(1, 0), (1, 1), (2, 0)}
+    vectors, labels = {r.paper_id: r.embedding for r in emb.collect()}, {(r.user_id, r.paper_id): r.rating for r in rated.collect()}
+    grid = {(r.user_id, r.combination_idx): r for r in weights.collect()}
+    for r in got:
+        g = grid[r.user_id, r.combination_idx]
+        x = np.array([vectors[i] for i in (*range(20), *range(30, 40))])
+        y = np.array([labels[r.user_id, i] for i in range(20)] + [0] * 10)
+        w = np.where(y == 1, g.w_pos, g.w_neg)
+        w[20:] = g.w_cache
+        p = 1 / (1 + np.exp(-(x @ np.array(r.coef) + r.intercept)))
+        slope = np.append(np.array(r.coef) + g.c * x.T @ (w * (p - y)), g.c * (w * (p - y)).sum())
+        assert np.abs(slope).max() < 1e-6
+
+
+def test_places_are_drawn_without_gaps(spark):
+    users = spark.range(500).select((F.col("id") % 400).alias("user_id"))
+    got = X.drawn_places(users, 3, "x").collect()
+    assert sorted(r.place for r in got) == list(range(1, 401)) and len({r.user_id for r in got}) == 400

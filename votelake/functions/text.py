@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,8 +19,17 @@ def mask_latex(text: Column | str) -> Column:
     return F.regexp_replace(text, r"\$[^$\n]*\$", "LATEX_CODE")
 
 
+def accents() -> tuple[str, str]:
+    """Latin letters that are a plain one with marks, and those plain ones."""
+    plain = {chr(c): "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x)) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))}
+    plain = {c: x for c, x in plain.items() if len(x) == 1 and x.isascii()}
+    return "".join(plain), "".join(plain.values())
+
+
 def tokens(text: str, stop: list[str]) -> Column:
-    found = F.regexp_extract_all(F.translate(F.col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit("[a-z_][a-z0-9_]+"), F.lit(0))
+    """Lower-case words of two or more ASCII letters, digits and underscores that begin with no digit and stand alone, accents stripped; without stop words."""
+    plain = F.regexp_replace(F.translate(F.lower(F.col(text)), *accents()), r"\p{M}+", "")
+    found = F.regexp_extract_all(plain, F.lit(r"(?<![\p{L}\p{N}_])[a-z_][a-z0-9_]+(?![\p{L}\p{N}_])"), F.lit(0))
     return F.filter(found, lambda w: ~w.isin(stop)) if stop else found
 
 
@@ -32,10 +43,11 @@ def term_counts(texts: DataFrame, text: str, stop: list[str]) -> DataFrame:
     return texts.select("paper_id", F.explode(grams(tokens(text, stop))).alias("term")).groupBy("paper_id", "term").agg(F.count("*").alias("tf"))
 
 
-def fit_tfidf(counts: DataFrame, n_docs: int, max_features: int, min_df: int = 1, max_df: float = 1.0) -> DataFrame:
-    """term, df, total, idf of the most frequent terms; idf = ln((1 + n) / (1 + df)) + 1."""
-    terms = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
-    return terms.orderBy(F.desc("total"), "term").limit(max_features).withColumn("idf", F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1)
+def fit_tfidf(counts: DataFrame, texts: DataFrame, max_features: int, min_df: int = 1, max_df: float = 1.0) -> DataFrame:
+    """term, df, total, idf of the most frequent terms; idf = ln((1 + n) / (1 + df)) + 1, n the number of texts, which is counted when the plan runs."""
+    terms = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).filter(F.col("df") >= min_df)
+    terms = terms.crossJoin(F.broadcast(texts.agg(F.count("*").alias("n")))).filter(F.col("df") <= max_df * F.col("n"))  # one row
+    return terms.orderBy(F.desc("total"), "term").limit(max_features).select("term", "df", "total", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
 def transform_tfidf(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:

@@ -19,8 +19,9 @@ def norm(v: Column | str) -> Column:
 
 
 def l2_normalize(v: Column | str) -> Column:
-    """v over its length; a zero vector stays."""
-    return F.transform(col(v), lambda x: x / F.when(norm(v) == 0, 1.0).otherwise(norm(v)))
+    """v over its length, which is computed once; a zero vector stays."""
+    length = F.transform(F.array(norm(v)), lambda n: F.when(n == 0, 1.0).otherwise(n))
+    return F.element_at(F.transform(length, lambda n: F.transform(col(v), lambda x: x / n)), 1)
 
 
 def concat_embeddings(a: Column | str, b: Column | str) -> Column:
@@ -35,6 +36,11 @@ def sigmoid(x: Column | str) -> Column:
     return 1 / (1 + F.exp(-col(x)))
 
 
+def sigmoid_predict(predictions: DataFrame) -> DataFrame:
+    """predictions with proba = sigmoid(logit) and pred = 1 where the logit is above 0."""
+    return predictions.withColumn("proba", sigmoid("logit")).withColumn("pred", (F.col("logit") > 0).cast("int"))
+
+
 def sinusoidal_encoding(days: Column | str, dim: int) -> Column:
     """sin and cos in turn at 10000 ** (-2i / dim)."""
     angle = lambda i: col(days) * F.pow(F.lit(10000.0), -2.0 * F.floor(i / 2) / dim)

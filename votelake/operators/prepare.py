@@ -179,3 +179,9 @@ def mid_time_session(sessions: DataFrame) -> DataFrame:
     """The last session that starts at or before the middle of the user's session starts."""
     mid = (F.min("t_min").over(by_user()) + F.max("t_min").over(by_user())) / 2
     return sessions.withColumn("_mid", mid).groupBy("user_id").agg(F.max(F.when(F.col("t_min") <= F.col("_mid"), F.col("session_id"))).alias("mid_session"))
+
+
+def epoch_and_days(ratings: DataFrame) -> DataFrame:
+    """Votes with epoch (whole seconds since 1970) and days (whole days since the user's first vote)."""
+    first = F.min("t").over(Window.partitionBy("user_id"))
+    return ratings.withColumn("epoch", F.floor(F.col("t") / 1_000_000).cast("long")).withColumn("days", F.floor((F.col("t") - first) / 86_400_000_000).cast("long"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,10 +22,17 @@ def average_over_seeds(runs: list[DataFrame]) -> DataFrame:
     return out.groupBy("user_id", "combination_idx", "score").agg(F.avg("value").alias("value"))
 
 
-def average_extreme_users(results: DataFrame, n: int, worst: bool = True) -> DataFrame:
-    """Mean over the n worst (or best) users of each combination and score; higher is better."""
-    order = Window.partitionBy("combination_idx", "score").orderBy(F.asc("value") if worst else F.desc("value"), "user_id")
-    return results.withColumn("i", F.row_number().over(order)).filter(F.col("i") <= n).groupBy("combination_idx", "score").agg(F.avg("value").alias("value"), F.stddev_samp("value").alias("std"))
+def first_of(rows: DataFrame, by: list[str], value: Column, n: int) -> DataFrame:
+    """The first n rows of each group by value and user, with their place _i: first n of each of 64 parts, then of these, so that no task orders a whole group."""
+    part = F.pmod(F.xxhash64("user_id"), F.lit(64))
+    some = rows.withColumn("_i", F.row_number().over(Window.partitionBy(*by, part).orderBy(value, "user_id"))).filter(F.col("_i") <= n)
+    return some.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(value, "user_id"))).filter(F.col("_i") <= n)
+
+
+def average_extreme_users(results: DataFrame, n: int, worst: bool = True, lower_better: tuple[str, ...] = ()) -> DataFrame:
+    """Mean over the n worst (or best) users of each combination and score; higher is better but for the scores in lower_better."""
+    signed = F.when(F.col("score").isin(*lower_better), -F.col("value")).otherwise(F.col("value")) if lower_better else F.col("value")
+    return first_of(results, ["combination_idx", "score"], signed if worst else -signed, n).groupBy("combination_idx", "score").agg(F.avg("value").alias("value"), F.stddev_samp("value").alias("std"))
 
 
 def best_combinations(means: DataFrame, score: str, n: int = 1, increase_better: bool = True) -> DataFrame:
@@ -146,8 +153,7 @@ def extreme_predictions(predictions: DataFrame, texts: DataFrame, n: int) -> Dat
 
 def worst_users(results: DataFrame, score: str, sizes: list[int]) -> DataFrame:
     """combination_idx and the mean of its worst users' scores, for each size."""
-    order = Window.partitionBy("combination_idx").orderBy("value", "user_id")
-    rows = results.filter(F.col("score") == score).withColumn("_i", F.row_number().over(order))
+    rows = first_of(results.filter(F.col("score") == score), ["combination_idx"], F.col("value"), max(sizes))
     return rows.groupBy("combination_idx").agg(*[F.avg(F.when(F.col("_i") <= k, F.col("value"))).alias(f"worst_{k}") for k in sizes])
 
 

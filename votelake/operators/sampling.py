@@ -75,6 +75,14 @@ def ranking_negatives_pool(split: DataFrame, n_removed: int = 4) -> DataFrame:
     return down.filter("split <> 'removed'").unionByName(tail)
 
 
+def user_quotas(ratios: DataFrame, n: int, seed: int) -> DataFrame:
+    """user_id, category, quota: category_quota for each user's own ratios (user_id, category, ratio), drawn by user."""
+    mine = Window.partitionBy("user_id")
+    q = ratios.withColumn("whole", F.floor(F.col("ratio") * n + 1e-10)).withColumn("cut", F.col("ratio") * n - F.col("whole") > 1e-10)
+    order = F.row_number().over(mine.orderBy(F.desc("cut"), draw(seed, "quota", "user_id", "category"), "category"))
+    return q.select("user_id", "category", (F.col("whole") + (order <= F.lit(n) - F.sum("whole").over(mine)).cast("long")).alias("quota"))
+
+
 def user_negative_samples(pool: DataFrame, quotas: DataFrame) -> DataFrame:
     """user_id, paper_id: the first papers of each category of the pool, as many as the user's quota."""
     q = quotas.select("user_id", "category", "quota")
@@ -92,14 +100,16 @@ def user_cache(users: DataFrame, cache: DataFrame, used: DataFrame, extras: Data
     return exclude_papers(rows, used)
 
 
-def cache_papers(papers: DataFrame, n: int, seed: int) -> DataFrame:
-    """n drawn papers of in_cache."""
-    return papers.filter("in_cache").withColumn("key", draw(seed, "cache", "paper_id")).orderBy("key", "paper_id").limit(n).select("paper_id")
+def cache_papers(papers: DataFrame, n: int, seed: int, ratios: DataFrame | None = None, everywhere: bool = False) -> DataFrame:
+    """n drawn papers of in_cache; by the ratios of categories if they are given, or of all papers."""
+    if ratios is not None:
+        return sample_by_category(papers, category_quota(ratios, n, seed), seed).select("paper_id")
+    return (papers if everywhere else papers.filter("in_cache")).withColumn("key", draw(seed, "cache", "paper_id")).orderBy("key", "paper_id").limit(n).select("paper_id")
 
 
 def user_sampling_weights(ratings: DataFrame, power: float) -> DataFrame:
     counts = ratings.groupBy("user_id").agg(F.count("*").alias("n")).withColumn("w", F.pow("n", F.lit(power)))
-    return counts.select("user_id", (F.col("w") / F.sum("w").over(Window.partitionBy(F.lit(0)))).alias("weight"))
+    return counts.crossJoin(F.broadcast(counts.agg(F.sum("w").alias("total")))).select("user_id", (F.col("w") / F.col("total")).alias("weight"))  # one row
 
 
 def relevant_papers(*parts: DataFrame) -> DataFrame:

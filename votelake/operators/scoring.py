@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot, mean_vectors, sigmoid
+from ..functions.vectors import dot, mean_vectors, sigmoid, sigmoid_predict
 
 EPS = 1e-15
 
@@ -23,6 +23,12 @@ def predict(profiles: DataFrame, pairs: DataFrame, embeddings: DataFrame, by: li
     return rows.withColumn("logit", F.coalesce(dot("profile", "embedding"), F.lit(0.0))).drop("profile", "embedding")
 
 
+def predict_models(models: DataFrame, pairs: DataFrame, embeddings: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """pairs with logit = coef . vector + intercept, proba and pred of the models (by, coef, intercept); by may hold the session, for models of their own."""
+    rows = pairs.join(models.select(*(by or ["user_id"]), "coef", "intercept"), by or ["user_id"]).join(embeddings, "paper_id")
+    return sigmoid_predict(rows.withColumn("logit", dot("coef", "embedding") + F.col("intercept")).drop("coef", "intercept", "embedding"))
+
+
 def classification_outcome(label: str = "label", proba: str = "proba") -> Column:
     p, y = F.col(proba) >= 0.5, F.col(label) == 1
     return F.when(p & y, "TP").when(p, "FP").when(y, "FN").otherwise("TN")
@@ -37,7 +43,7 @@ def classification_metrics(predictions: DataFrame, by: list[str]) -> DataFrame:
     counts = predictions.groupBy(*by).agg(F.count_if(yes & pos).alias("tp"), F.count_if(yes & ~pos).alias("fp"), F.count_if(~yes & ~pos).alias("tn"), F.count_if(~yes & pos).alias("fn"))
     tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
     recall, spec = ratio(tp, tp + fn), ratio(tn, tn + fp)
-    return counts.select(*by, "tp", "fp", "tn", "fn", ((tp + tn) / (tp + fp + tn + fn)).alias("accuracy"), recall.alias("recall"), spec.alias("specificity"), ((recall + spec) / 2).alias("balanced_accuracy"), ratio(tp, tp + fp).alias("precision"))
+    return counts.select(*by, "tp", "fp", "tn", "fn", ((tp + tn) / (tp + fp + tn + fn)).alias("accuracy"), recall.alias("recall"), spec.alias("specificity"), ((recall + spec) / 2).alias("balanced_accuracy"), ratio(tp, tp + fp).alias("precision"), ((tp + fn) / (tp + fp + tn + fn)).alias("label_share"), ((tp + fp) / (tp + fp + tn + fn)).alias("prediction_share"))
 
 
 def log_loss(predictions: DataFrame, by: list[str]) -> DataFrame:
@@ -50,7 +56,13 @@ def confidence_metrics(predictions: DataFrame, by: list[str]) -> DataFrame:
     p = sigmoid("logit")
     yes, pos = F.col("logit") > 0, F.col("label") == 1
     half = lambda c: F.coalesce(F.avg(F.when(c, p)), F.lit(0.5))
-    return predictions.groupBy(*by).agg(F.avg(p).alias("conf_all"), half(yes & pos).alias("conf_tp"), half(yes & ~pos).alias("conf_fp"), half(~yes & ~pos).alias("conf_tn"), half(~yes & pos).alias("conf_fn"), F.min(F.when(pos, p)).alias("conf_pos_min"))
+    return predictions.groupBy(*by).agg(F.avg(p).alias("conf_all"), half(yes & pos).alias("conf_tp"), half(yes & ~pos).alias("conf_fp"), half(~yes & ~pos).alias("conf_tn"), half(~yes & pos).alias("conf_fn"), F.min(F.when(pos, p)).alias("conf_pos_min"), F.avg(F.when(pos, p)).alias("conf_pos"), F.avg((p > 0.05).cast("double")).alias("share_above"))
+
+
+def sample_confidence(samples: DataFrame) -> DataFrame:
+    """user_id, the largest probability of the user's sampled negatives (user_id, logit) and the share of them above 0.05."""
+    p = sigmoid("logit")
+    return samples.groupBy("user_id").agg(F.max(p).alias("conf_samples_max"), F.avg((p > 0.05).cast("double")).alias("samples_above"))
 
 
 def auroc(predictions: DataFrame, by: list[str]) -> DataFrame:
@@ -69,6 +81,28 @@ def rank_positives(pos: DataFrame, negatives: DataFrame, keys: list[str]) -> Dat
     return pos.join(neg, keys, "left").groupBy(*pos.columns).agg((1 + F.count_if(F.col("neg_logit") >= F.col("logit"))).alias("rank"))
 
 
+def rank_positives_by_kind(pos: DataFrame, explicit: DataFrame, samples: DataFrame, keys: list[str]) -> DataFrame:
+    """pos with rank_explicit (among its explicit negatives, by keys), rank_samples (among its user's sampled ones) and rank_all; pessimistic on ties."""
+    e = rank_positives(pos, explicit, keys).withColumnRenamed("rank", "rank_explicit")
+    s = samples.select("user_id", F.col("logit").alias("_s"))
+    both = e.join(s, "user_id", "left").groupBy(*e.columns).agg((1 + F.count_if(F.col("_s") >= F.col("logit"))).alias("rank_samples"))
+    return both.withColumn("rank_all", F.col("rank_explicit") + F.col("rank_samples") - 1)
+
+
+def softmax_by_kind(pos: DataFrame, explicit: DataFrame, samples: DataFrame, keys: list[str], temperature: float) -> DataFrame:
+    """Per up-vote, from a softmax over it, its explicit and its user's sampled negatives: its share, the explicit ones' mean, the samples' largest, InfoNCE."""
+    own = pos.withColumn("z0", F.col("logit") / temperature)
+    e = explicit.select(*keys, F.lit(True).alias("given"), (F.col("logit") / temperature).alias("z"))
+    s = own.select(*keys).join(samples.select("user_id", F.lit(False).alias("given"), (F.col("logit") / temperature).alias("z")), "user_id").select(*e.columns)
+    sums = own.join(e.unionByName(s), keys).groupBy(*own.columns).agg(F.greatest(F.max("z"), F.max("z0")).alias("m"), F.collect_list(F.struct("given", "z")).alias("zs"))  # as many as an up-vote has negatives
+    each = F.transform("zs", lambda x: F.struct(x["given"].alias("given"), F.exp(x["z"] - F.col("m")).alias("w")))
+    sums = sums.withColumn("w0", F.exp(F.col("z0") - F.col("m"))).withColumn("ws", each).withColumn("total", F.col("w0") + F.aggregate("ws", F.lit(0.0), lambda a, x: a + x["w"]))
+    of = lambda given: F.transform(F.filter("ws", lambda x: x["given"] == given), lambda x: x["w"] / F.col("total"))
+    mean = F.when(F.size(of(True)) > 0, F.aggregate(of(True), F.lit(0.0), lambda a, x: a + x) / F.size(of(True)))
+    share = F.col("w0") / F.col("total")
+    return sums.select(*pos.columns, share.alias("share"), mean.alias("explicit_mean"), F.array_max(of(False)).alias("samples_max"), (-F.log(share + 1e-10)).alias("info_nce"))
+
+
 def ranking_metrics(ranked: DataFrame, by: list[str]) -> DataFrame:
     r = F.col("rank")
     return ranked.groupBy(*by).agg(F.avg(1 / F.log2(r + 1)).alias("ndcg"), F.avg(1 / r).alias("mrr"), F.avg((r == 1).cast("double")).alias("hr1"), F.min(1 / F.log2(r + 1)).alias("ndcg_min"))
@@ -107,16 +141,45 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float, ste
     return theta
 
 
-def train_user_models(votes: DataFrame, embeddings: DataFrame, grid: DataFrame) -> DataFrame:
-    """user_id, combination_idx, coef, intercept. grid (combination_idx, c, neg_weight) is broadcast; a group is a user's rated votes."""
-    rows = votes.filter("rating <> 2").join(embeddings, "paper_id").select("user_id", "rating", "embedding").crossJoin(F.broadcast(grid))
+#: Papers of the shared cache that a fit may hold; the matrix goes to every task.
+MAX_CACHE = 20_000
 
-    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = np.stack(pdf.embedding.to_numpy()), pdf.rating.to_numpy(float)
-        theta = fit_logistic(x, y, np.where(y == 1, 1.0, pdf.neg_weight.iloc[0]), pdf.c.iloc[0])
-        return pd.DataFrame({"user_id": [key[0]], "combination_idx": [key[1]], "coef": [theta[:-1]], "intercept": [theta[-1]]})
 
-    return rows.groupBy("user_id", "combination_idx").applyInPandas(fit, "user_id long, combination_idx int, coef array<double>, intercept double")
+def train_user_models(votes: DataFrame, embeddings: DataFrame, weights: DataFrame, cache: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
+    """by, combination_idx, coef, intercept: logistic fits of each user's rated votes and the shared cache papers as negatives.
+
+    weights: by, combination_idx, c, w_pos, w_neg (and w_cache): a row for each fit, see class_weights. Votes and
+    weights of a user meet once, for all combinations. cache: paper_id, at most MAX_CACHE. by: user_id, or with more
+    keys (a fold) for more fits.
+    """
+    by = by or ["user_id"]
+    spark = votes.sparkSession
+    extra = None
+    if cache is not None:
+        rows = embeddings.join(cache.select("paper_id").distinct(), "paper_id", "left_semi").select("paper_id", "embedding").limit(MAX_CACHE + 1).collect()
+        if len(rows) > MAX_CACHE:
+            raise ValueError(f"a cache of more than {MAX_CACHE} papers")
+        extra = spark.sparkContext.broadcast(np.array([r.embedding for r in sorted(rows)]) if rows else None)
+
+    def fit(key: tuple, own: pd.DataFrame, grid: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(own) and len(grid):
+            x, y = np.stack(own.embedding.to_numpy()), own.rating.to_numpy(float)
+            shared = extra.value if extra is not None else None
+            if shared is not None:
+                x, y = np.vstack([x, shared]), np.append(y, np.zeros(len(shared)))
+            for g in grid.itertuples():
+                w = np.where(y == 1, g.w_pos, g.w_neg)
+                if shared is not None:
+                    w[len(own) :] = g.w_cache
+                theta = fit_logistic(x, y, w, g.c)
+                out.append((*key, g.combination_idx, theta[:-1], theta[-1]))
+        return pd.DataFrame(out, columns=[*by, "combination_idx", "coef", "intercept"])
+
+    rated = votes.filter("rating <> 2").join(embeddings, "paper_id").select(*by, "rating", "embedding")
+    keys = ", ".join(f"{k} {dict(votes.dtypes)[k]}" for k in by)
+    weights = weights.select(*[F.col(c).alias(c) for c in weights.columns])  # columns of its own, where it comes from the same votes
+    return rated.groupBy(*by).cogroup(weights.groupBy(*by)).applyInPandas(fit, f"{keys}, combination_idx int, coef array<double>, intercept double")
 
 
 def hyperparameter_grid(spark, **values: list) -> DataFrame:

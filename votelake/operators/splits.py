@@ -65,19 +65,29 @@ def filter_users_first_split(split: DataFrame, max_train_pos: int = 40, min_trai
     return split.join(good, "user_id", "left_semi")
 
 
+def drawn_places(users: DataFrame, seed: int, salt: str) -> DataFrame:
+    """Distinct user_id with place, 1 .. n in drawn order.
+
+    The order is cut into 4,096 ranges of the drawn key, which is uniform; users are numbered in each, and the ranges'
+    sizes (4,096 rows at most) give the offsets. So no task orders all users.
+    """
+    own = users.select("user_id").distinct().withColumn("_key", draw(seed, salt, "user_id")).withColumn("_range", F.substring("_key", 1, 3))
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = own.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(before, F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy("_key", "user_id")) + F.col("_start")
+    return own.join(F.broadcast(starts), "_range").select("user_id", place.cast("long").alias("place"))
+
+
 def partition_users(eligible: DataFrame, others: DataFrame, n_test: int, seed: int) -> DataFrame:
-    """user_id and selection: the eligible as test (n_test of them) and val, all others as train. The window runs over users alone."""
-    order = F.row_number().over(Window.orderBy(draw(seed, "users", "user_id"), "user_id"))
-    own = eligible.select("user_id").distinct().withColumn("i", order)
-    own = own.select("user_id", F.when(F.col("i") <= n_test, "test").otherwise("val").alias("selection"))
+    """user_id and selection: the eligible as test (n_test of them) and val, all others as train."""
+    own = drawn_places(eligible, seed, "users").select("user_id", F.when(F.col("place") <= n_test, "test").otherwise("val").alias("selection"))
     rest = others.select("user_id").distinct().join(own, "user_id", "left_anti").withColumn("selection", F.lit("train"))
     return own.unionByName(rest)
 
 
 def remap_users(users: DataFrame, seed: int) -> DataFrame:
     """A random bijection of user ids to 0 .. n-1."""
-    order = Window.orderBy(draw(seed, "remap", "user_id"), "user_id")
-    return users.select("user_id").distinct().withColumn("new_id", F.row_number().over(order) - 1)
+    return drawn_places(users, seed, "remap").select("user_id", (F.col("place") - 1).alias("new_id"))
 
 
 def random_split(ratings: DataFrame, test_size: float, seed: int, stratify: bool = True) -> DataFrame:
@@ -93,6 +103,12 @@ def kfold(ratings: DataFrame, k: int, seed: int, stratified: bool = True) -> Dat
     return ratings.withColumn("fold_idx", (F.row_number().over(order) - 1) % k)
 
 
+def fold_splits(folds: DataFrame, k: int) -> DataFrame:
+    """Votes with fold_idx as k training runs: each vote once a run, with split val in the run of its own fold and train in the others."""
+    runs = folds.withColumnRenamed("fold_idx", "_own").withColumn("fold_idx", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    return runs.withColumn("split", F.when(F.col("_own") == F.col("fold_idx"), "val").otherwise("train")).drop("_own")
+
+
 def users_by_val_sessions(split: DataFrame, n: int, largest: bool = True) -> DataFrame:
     """Users with the most (or fewest) validation sessions that have an up-vote."""
     c = split.groupBy("user_id").agg(F.countDistinct(F.when((F.col("split") == "val") & (F.col("rating") == 1), F.col("session_id"))).alias("n_val_sessions"))

@@ -8,25 +8,53 @@ from pyspark.sql import functions as F
 from ..functions.vectors import dot, l2_normalize, vector_sums
 
 
-def class_weights(counts: DataFrame, scheme: str, v: float = 0.9, neg_scale: float = 1.0, cache_scale: float = 1.0) -> DataFrame:
-    """counts (n_pos, n_neg, n_cache) with w_pos, w_neg, w_cache.
+#: Of a count: what a scheme by transformed counts weighs classes by.
+TRANSFORMED = {
+    "constant": lambda n: F.lit(1.0), "cube_root": F.cbrt, "logarithm": lambda n: F.log(n + 1), "square_root": F.sqrt, "linear": lambda n: n.cast("double"), "square": lambda n: F.pow(n, F.lit(2.0)), "exponential": F.exp,
+}
+
+
+def transformed_weights(rated: Column, other: Column, total: Column, kind: str, both: bool, importance: Column | float) -> tuple[Column, Column]:
+    """Weights of a rated and an unrated class of one label, which share the weight of all rows by importance * f(n).
+
+    both: f transforms both counts; else the unrated count is taken as it is, and a constant is a half.
+    """
+    f = TRANSFORMED[kind]
+    a = importance * (F.lit(0.5) if kind == "constant" and not both else f(rated))
+    b = (1 - importance) * (f(other) if both else other.cast("double"))
+    one = F.when(other == 0, F.when(rated > 0, 1 / rated)).when(rated > 0, a / ((a + b) * rated)).otherwise(0.0)
+    two = F.when(other > 0, b / ((a + b) * other)).otherwise(0.0)
+    return one * total, two * total
+
+
+def class_weights(counts: DataFrame, scheme: str, v: Column | float = 0.9, neg_scale: Column | float = 1.0, cache_scale: Column | float = 1.0, pos_importance: Column | float = 1.0) -> DataFrame:
+    """counts (n_pos, n_neg, n_cache, and n_base if there are further positives) with w_pos, w_neg, w_cache (and w_base).
 
     cache_v: up-votes carry the weight of all rows, down-votes and cache share as much in proportion v to 1 - v a row;
-    cache_v_s_normalized scales up-votes by 1 - neg_scale too; no_v: each class has weight 1 (the cache cache_scale).
-    A class without rows has NULL (cache_v) or 0 (no_v).
+    cache_v_s_normalized scales up-votes by 1 - neg_scale too; no_v: each class has weight 1 (the cache cache_scale);
+    both_<kind> and rated_<kind>: transformed_weights, down-votes with importance v against the cache, up-votes with
+    pos_importance against the base. A class without rows has NULL (cache_v) or 0. Parameters may be columns of counts.
     """
     p, n, c = F.col("n_pos"), F.col("n_neg"), F.col("n_cache")
+    style, _, kind = scheme.partition("_")
+    base = None
     if scheme == "no_v":
         share = lambda top, k: F.when(k > 0, top / k).otherwise(0.0)
-        pos, neg, cache = share(F.lit(1.0), p), share(F.lit(1.0), n), share(F.lit(cache_scale), c)
+        pos, neg, cache = share(F.lit(1.0), p), share(F.lit(1.0), n), share(F.lit(cache_scale) if isinstance(cache_scale, float) else cache_scale, c)
     elif scheme in ("cache_v", "cache_v_s_normalized"):
         total, low = p + n + c, v * n + (1 - v) * c
         pos, unit = F.when(p > 0, total / p), F.when(low > 0, total / low)
         neg, cache = v * unit, (1 - v) * unit
         pos = pos * (1 - neg_scale) if scheme == "cache_v_s_normalized" else pos
+    elif style in ("both", "rated") and kind in TRANSFORMED:
+        more = F.col("n_base") if "n_base" in counts.columns else F.lit(0)
+        total = p + n + c + more
+        pos, base = transformed_weights(p, more, total, kind, style == "both", pos_importance)
+        neg, cache = transformed_weights(n, c, total, kind, style == "both", v)
     else:
         raise ValueError(f"unknown scheme {scheme}")
-    return counts.select("*", pos.alias("w_pos"), (neg * neg_scale).alias("w_neg"), (cache * neg_scale).alias("w_cache"))
+    out = counts.select("*", pos.alias("w_pos"), (neg * neg_scale).alias("w_neg"), (cache * neg_scale).alias("w_cache"))
+    return out if base is None or "n_base" not in counts.columns else out.withColumn("w_base", base)
 
 
 def similarity_to_likes(votes: DataFrame, embeddings: DataFrame, rating: int = 0) -> DataFrame:

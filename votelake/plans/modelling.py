@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -35,6 +37,11 @@ def session_metric(t: Tables):
     return m.select("user_id", "session_id", F.round("mrr", 9).alias("mrr"))
 
 
+def transformed(t: Tables):
+    counts = P.user_info(t.split.filter("split = 'train'")).select("user_id", F.col("n_posrated").alias("n_pos"), F.col("n_negrated").alias("n_neg"), F.lit(50).alias("n_cache"))
+    return reduce(lambda a, b: a.unionByName(b), [W.class_weights(counts, f"{style}_{kind}", 0.7).select("user_id", F.lit(f"{style}_{kind}").alias("scheme"), "w_pos", "w_neg", "w_cache") for style in ("both", "rated") for kind in W.TRANSFORMED])
+
+
 def appended(t: Tables):
     return X.append_removed(t.split.select("user_id", "paper_id", "rating", "t", "split"), P.split_head_tail(t.rat).filter("part = 'tail'"))
 
@@ -58,6 +65,7 @@ query("e15_history_cohesion", LIKES + ", pr AS (SELECT a.user_id, greatest(a.ses
 query("k9_user_geometry", LIKES + ", va AS (SELECT *, dense_rank() OVER (PARTITION BY user_id ORDER BY session_id) - 1 AS k FROM lk WHERE split = 'val'), vn AS (SELECT *, max(k) OVER (PARTITION BY user_id) + 1 AS n FROM va), tr AS (SELECT * FROM lk WHERE split = 'train') SELECT * FROM (SELECT a.user_id, round(avg(list_dot_product(a.u, b.u)), 6) AS train_cohesion FROM tr a JOIN tr b ON a.user_id = b.user_id AND a.i < b.i GROUP BY 1) JOIN (SELECT user_id, round(avg(list_dot_product(tr.u, vn.u)) FILTER (k = 0), 6) AS train_to_first, round(avg(list_dot_product(tr.u, vn.u)) FILTER (k = n // 2), 6) AS train_to_middle, round(avg(list_dot_product(tr.u, vn.u)) FILTER (k = n - 1), 6) AS train_to_last FROM tr JOIN vn USING (user_id) GROUP BY 1) USING (user_id)")(lambda t: rounded(H.user_geometry(t.split, t.emb)))
 query("e13_similarity_to_likes", LIKES + " SELECT s.user_id, s.paper_id, s.t, round(avg(list_dot_product(x.u, lk.u)), 6) AS similarity FROM split s JOIN unitv x USING (paper_id) JOIN lk ON lk.user_id = s.user_id WHERE s.rating = 0 GROUP BY ALL")(lambda t: rounded(W.similarity_to_likes(t.split, t.emb)))
 query("m4_similarity_weights", LIKES + ", si AS (SELECT s.user_id, s.paper_id, s.t, avg(list_dot_product(x.u, lk.u)) AS s FROM split s JOIN unitv x USING (paper_id) JOIN lk ON lk.user_id = s.user_id WHERE s.rating = 0 AND s.split = 'train' AND lk.split = 'train' GROUP BY ALL) SELECT user_id, paper_id, t, round(exp(s / 0.5) * count(*) OVER w / sum(exp(s / 0.5)) OVER w, 6) AS softmax, round((s + 1) * count(*) OVER w / sum(s + 1) OVER w, 6) AS linear FROM si WINDOW w AS (PARTITION BY user_id)")(lambda t: (lambda s: rounded(W.similarity_weights(W.similarity_weights(s, "softmax", 0.5).withColumnRenamed("weight", "softmax"), "linear").select("user_id", "paper_id", "t", "softmax", F.col("weight").alias("linear"))))(W.similarity_to_likes(t.split.filter("split = 'train'"), t.emb)))
+query("m1_transformed_weights", ", c AS (SELECT user_id, count(*) FILTER (rating = 1) AS p, count(*) FILTER (rating = 0) AS n, 50 AS c FROM split WHERE split = 'train' GROUP BY 1), k AS (SELECT *, unnest(['constant', 'cube_root', 'logarithm', 'square_root', 'linear', 'square', 'exponential']) AS kind FROM c), f AS (SELECT *, CASE kind WHEN 'constant' THEN 1 WHEN 'cube_root' THEN cbrt(n) WHEN 'logarithm' THEN ln(n + 1) WHEN 'square_root' THEN sqrt(n) WHEN 'linear' THEN n WHEN 'square' THEN n * n ELSE exp(n) END AS fn, CASE kind WHEN 'constant' THEN 1 WHEN 'cube_root' THEN cbrt(c) WHEN 'logarithm' THEN ln(c + 1) WHEN 'square_root' THEN sqrt(c) WHEN 'linear' THEN c WHEN 'square' THEN c * c ELSE exp(c) END AS fc FROM k), w AS (SELECT user_id, 'both_' || kind AS scheme, p, n, c, 0.7::DOUBLE * fn AS a, 0.3::DOUBLE * fc AS b FROM f UNION ALL SELECT user_id, 'rated_' || kind, p, n, c, 0.7::DOUBLE * CASE WHEN kind = 'constant' THEN 0.5 ELSE fn END, 0.3::DOUBLE * c FROM f) SELECT user_id, scheme, round((p + n + c) / p, 6) AS w_pos, round(CASE WHEN n > 0 THEN a / ((a + b) * n) * (p + n + c) ELSE 0 END, 6) AS w_neg, round(b / ((a + b) * c) * (p + n + c), 6) AS w_cache FROM w")(lambda t: rounded(transformed(t)))
 query("m1_class_weights", ", c AS (SELECT user_id, count(*) FILTER (rating = 1) AS p, count(*) FILTER (rating = 0) AS n, 50 AS c FROM split WHERE split = 'train' GROUP BY 1) SELECT user_id, round((p + n + c) / p, 6) AS w_pos, round(0.7::DOUBLE * (p + n + c) / (0.7::DOUBLE * n + 0.3::DOUBLE * c) * 2, 6) AS w_neg, round(0.3::DOUBLE * (p + n + c) / (0.7::DOUBLE * n + 0.3::DOUBLE * c) * 2, 6) AS w_cache FROM c")(lambda t: rounded(W.class_weights(P.user_info(t.split.filter("split = 'train'")).select("user_id", F.col("n_posrated").alias("n_pos"), F.col("n_negrated").alias("n_neg"), F.lit(50).alias("n_cache")), "cache_v", 0.7, 2.0).select("user_id", "w_pos", "w_neg", "w_cache")))
 query("m9_max_pooling", "SELECT s.user_id, s.paper_id, s.t, round(max(list_dot_product(x.v, y.v)), 6) AS logit FROM split s JOIN emb x USING (paper_id) JOIN split l ON l.user_id = s.user_id AND l.split = 'train' AND l.rating = 1 JOIN emb y ON y.paper_id = l.paper_id WHERE s.split = 'val' GROUP BY ALL")(lambda t: rounded(W.max_pooling_scores(t.split.filter("split = 'val'").select("user_id", "paper_id", "t"), t.split.filter("split = 'train' AND rating = 1"), t.emb)))
 query("m10_knn_score", ", kn AS (SELECT DISTINCT user_id, paper_id, rating FROM split WHERE split = 'train'), si AS (SELECT s.user_id, s.paper_id, s.t, kn.rating, list_dot_product(x.u, y.u) AS d, row_number() OVER (PARTITION BY s.user_id, s.paper_id, s.t, kn.rating ORDER BY list_dot_product(x.u, y.u) DESC) AS i FROM split s JOIN unitv x USING (paper_id) JOIN kn ON kn.user_id = s.user_id JOIN unitv y ON y.paper_id = kn.paper_id WHERE s.split = 'val'), m AS (SELECT user_id, paper_id, t, rating, sum(exp(d) * d) / sum(exp(d)) AS m FROM si WHERE i <= 3 GROUP BY ALL) SELECT user_id, paper_id, t, round(0.5::DOUBLE * sum(CASE rating WHEN 1 THEN m ELSE -m END), 6) AS knn FROM m GROUP BY ALL")(lambda t: rounded(W.knn_score(t.split.filter("split = 'val'").select("user_id", "paper_id", "t"), t.split.filter("split = 'train'"), t.emb, 3, 0.5)))
@@ -81,12 +89,12 @@ query("x18_training_examples", ", s AS (SELECT user_id, CASE WHEN i <= 10 THEN '
 query("v2_concat", "SELECT paper_id, 2 * len(v) AS width, round(v[1], 6) AS middle FROM emb")(lambda t: t.emb.withColumn("e", V.concat_embeddings("embedding", "embedding")).select("paper_id", F.size("e").alias("width"), F.round(F.element_at("e", F.size("embedding") + 1), 6).alias("middle")))
 query("v3_category_vectors", ", s AS (SELECT l1 AS category, pos, sum(x / (1 + paper_id % 3)) AS x FROM (SELECT l1, paper_id, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM emb JOIN papers USING (paper_id) WHERE l1 IS NOT NULL) GROUP BY ALL) SELECT category, round(sum(x / n), 6) AS total FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY category)) AS n FROM s) GROUP BY 1")(lambda t: V.category_vectors(t.papers.filter("l1 IS NOT NULL").select(F.col("l1").alias("category"), F.col("paper_id").alias("word"), (1 / (1 + F.col("paper_id") % 3)).alias("weight")), t.emb.select(F.col("paper_id").alias("word"), F.col("embedding").alias("vec")), "unit").select("category", F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 6).alias("total")))
 query("v6_sinusoidal", ", d AS (SELECT user_id, session_id, (t_min - min(t_min) OVER (PARTITION BY user_id)) // 86400000000 AS d FROM sessions) SELECT user_id, session_id, round(sin(d), 6) AS s0, round(cos(d), 6) AS c0, round(sin(d * 0.01::DOUBLE), 6) AS s1, round(cos(d * 0.01::DOUBLE), 6) AS c1 FROM d")(lambda t: P.session_days_passed(P.session_table(t.rat)).withColumn("e", V.sinusoidal_encoding("days_passed", 4)).select("user_id", "session_id", *[F.round(F.element_at("e", i + 1), 6).alias(n) for i, n in enumerate(("s0", "c0", "s1", "c1"))]))
-query("v10_score_text")(lambda t: D.texts_of(t.spark, t.dir).select("paper_id", T.score_text(T.tokens("abstract", STOP), {r.term: r.idf for r in T.fit_tfidf(T.term_counts(D.texts_of(t.spark, t.dir), "abstract", STOP), D.texts_of(t.spark, t.dir).count(), 500, 2).select("term", "idf").collect()}).alias("s")).select("paper_id", "s.total", "s.matches"))
+query("v10_score_text")(lambda t: D.texts_of(t.spark, t.dir).select("paper_id", T.score_text(T.tokens("abstract", STOP), {r.term: r.idf for r in T.fit_tfidf(T.term_counts(D.texts_of(t.spark, t.dir), "abstract", STOP), D.texts_of(t.spark, t.dir), 500, 2).select("term", "idf").collect()}).alias("s")).select("paper_id", "s.total", "s.matches"))
 
 
 def tfidf_means(t: Tables):
     counts = T.term_counts(D.texts_of(t.spark, t.dir), "abstract", STOP)
-    weights = T.transform_tfidf(counts, T.fit_tfidf(counts, D.texts_of(t.spark, t.dir).count(), 500, 2))
+    weights = T.transform_tfidf(counts, T.fit_tfidf(counts, D.texts_of(t.spark, t.dir), 500, 2))
     groups = D.texts_of(t.spark, t.dir).select("paper_id", F.when(F.col("paper_id") % 2 == 0, "a").otherwise("b").alias("group"))
     return T.mean_tfidf_by_group(weights, groups)
 

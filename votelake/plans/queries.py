@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,13 +15,14 @@ from ..operators import reports as R
 from ..operators import sampling as S
 from ..operators import scoring as M
 from ..operators import splits as X
+from ..operators import weights as W
 from ..sources import tables as D
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 SEED = 42
 RATIOS = [("C0", 0.25), ("C1", 0.2), ("C2", 0.15), ("C3", 0.1), ("C4", 0.1), ("C5", 0.08), ("C6", 0.05), ("C7", 0.04), ("C8", 0.02), ("C9", 0.01)]
-STOP = ["the", "of", "and", "in", "to", "et", "de", "la"]
+STOP = ["the", "of", "and", "in", "to", "et", "de", "la", "et al"]
 
 BASE = """WITH papers AS (SELECT vec_id AS paper_id, vec_id % 4 = 0 AS in_cache, CASE WHEN vec_id % 17 <> 0 THEN 'C' || label END AS l1, CASE WHEN vec_id % 17 <> 0 THEN 'C' || label || '.' || (vec_id % 3) END AS l2 FROM embeddings),
 emb AS (SELECT vec_id AS paper_id, embedding::DOUBLE[] AS v FROM embeddings),
@@ -100,6 +102,15 @@ class Tables:
     def pool(self) -> DataFrame:
         return S.sample_by_category(self.papers, self.quota, SEED)
 
+    @property
+    def user_negs(self) -> DataFrame:
+        own = S.user_category_ratios(self.sess, self.ratios, self.signif)
+        return S.user_negative_samples(self.pool, S.user_quotas(own, 10, SEED))
+
+    @property
+    def samples(self) -> DataFrame:
+        return self.scored(self.user_negs.join(self.profiles.select("user_id"), "user_id", "left_semi").select("user_id", "paper_id")).select("user_id", "paper_id", "logit")
+
     @property
     def closest(self) -> DataFrame:
         return S.closest_negatives(self.sess)
@@ -205,11 +216,16 @@ query("t3_best_combinations", "SELECT combination_idx, score, round(avg(value),
 query("t4_best_per_user", "SELECT user_id, combination_idx, score, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(value, 9) DESC, combination_idx) AS i FROM res WHERE score = 'ndcg') WHERE i = 1")(lambda t: rounded(R.best_combination_per_user(t.res.withColumn("value", F.round("value", 9)), "ndcg")))
 query("t5_gain", ", r AS (SELECT user_id, combination_idx, round(value, 9) AS value FROM res WHERE score = 'ndcg') SELECT a.user_id, round(own, 6) AS own, round(value, 6) AS overall, round(own - value, 6) AS gain FROM (SELECT user_id, max(value) AS own FROM r GROUP BY 1) a JOIN r b ON a.user_id = b.user_id AND b.combination_idx = 1 ORDER BY own - value DESC, a.user_id LIMIT 10")(lambda t: rounded(R.performance_gain(t.res.withColumn("value", F.round("value", 9)), "ndcg", 1, 10)))
 query("t6_compare_runs", ", r AS (SELECT a.user_id, round(b.value, 9) AS new, round(a.value, 9) AS old, round(b.value, 9) - round(a.value, 9) AS diff FROM res a JOIN res b ON a.user_id = b.user_id AND a.combination_idx = 0 AND b.combination_idx = 1 AND a.score = 'mrr' AND b.score = 'mrr'), k AS ((SELECT *, 'best' AS side FROM r ORDER BY diff DESC, user_id LIMIT 5) UNION ALL (SELECT *, 'worst' AS side FROM r ORDER BY diff, user_id LIMIT 5)) SELECT user_id, round(new, 6) AS new, round(old, 6) AS old, round(diff, 6) AS diff, side FROM k")(lambda t: rounded(R.compare_runs(*[t.res.withColumn("value", F.round("value", 9)).filter(F.col("combination_idx") == i) for i in (0, 1)], "mrr", 5)))
-query("x1_partition_users", "SELECT user_id, CASE WHEN i IS NULL THEN 'train' WHEN i <= 10 THEN 'test' ELSE 'val' END AS selection FROM (SELECT DISTINCT user_id FROM sess) LEFT JOIN (SELECT user_id, row_number() OVER (ORDER BY md5('42|users|' || user_id), user_id) AS i FROM best WHERE user_id % 3 = 0) USING (user_id)")(lambda t: X.partition_users(t.split.filter("user_id % 3 = 0"), t.sess, 10, SEED))
-query("x3_category_quota", "SELECT category, quota FROM quota")(lambda t: t.quota)
+query("x1_partition_users", "SELECT user_id, CASE WHEN i IS NULL THEN 'train' WHEN i <= 10 THEN 'test' ELSE 'val' END AS selection FROM (SELECT DISTINCT user_id FROM sess) LEFT JOIN (SELECT user_id, row_number() OVER (ORDER BY md5('42|users|' || user_id), user_id) AS i FROM best) USING (user_id)")(lambda t: X.partition_users(t.split, t.sess, 10, SEED))
+query("x3_category_quota", ", r AS (SELECT l1 AS category, count(*)::DOUBLE / sum(count(*)) OVER () AS ratio FROM papers WHERE l1 IS NOT NULL GROUP BY 1) SELECT category, (whole + (row_number() OVER (ORDER BY cut DESC, md5('42|quota|' || category), category) <= 97 - sum(whole) OVER ())::INT)::BIGINT AS quota FROM (SELECT category, floor(ratio * 97 + 1e-10) AS whole, ratio * 97 - floor(ratio * 97 + 1e-10) > 1e-10 AS cut FROM r)")(lambda t: S.category_quota(P.category_distribution(t.papers.filter("l1 IS NOT NULL")).select(F.col("l1").alias("category"), F.col("share").alias("ratio")), 97, SEED))
 query("x4_sample_by_category", "SELECT paper_id, category, rank::INT AS rank FROM pool")(lambda t: t.pool)
 query("x5_user_ratios", "SELECT user_id, category, round(ratio / sum(ratio) OVER (PARTITION BY user_id), 6) AS ratio FROM (SELECT DISTINCT user_id FROM sess) CROSS JOIN ratios WHERE (user_id, category) NOT IN (SELECT user_id, category FROM signif)")(lambda t: rounded(S.user_category_ratios(t.sess, t.ratios, t.signif)))
-query("x6_user_negatives", "SELECT user_id, paper_id, category FROM (SELECT DISTINCT user_id, user_id % 3 + 1 AS quota FROM sess) JOIN pool ON rank <= quota")(lambda t: S.user_negative_samples(t.pool, t.sess.select("user_id").distinct().crossJoin(F.broadcast(t.ratios)).withColumn("quota", F.col("user_id") % 3 + 1)))
+UQUOTA = """, uratio AS (SELECT user_id, category, ratio / sum(ratio) OVER (PARTITION BY user_id) AS ratio FROM (SELECT DISTINCT user_id FROM sess) CROSS JOIN ratios WHERE (user_id, category) NOT IN (SELECT (user_id, category) FROM signif)),
+uquota AS (SELECT user_id, category, (whole + (row_number() OVER (PARTITION BY user_id ORDER BY cut DESC, md5('42|quota|' || user_id || '|' || category), category) <= 10 - sum(whole) OVER (PARTITION BY user_id))::INT)::BIGINT AS quota FROM (SELECT user_id, category, floor(ratio * 10 + 1e-10) AS whole, ratio * 10 - floor(ratio * 10 + 1e-10) > 1e-10 AS cut FROM uratio)),
+usamp AS (SELECT user_id, paper_id, pool.category FROM uquota JOIN pool ON pool.category = uquota.category AND rank <= quota),
+slog AS (SELECT user_id, paper_id, round(list_dot_product(profile, v), 9) AS logit FROM usamp JOIN prof USING (user_id) JOIN emb USING (paper_id)),
+rkind AS (SELECT r.user_id, r.paper_id, r.t, r.logit, r.rank AS rank_explicit, 1 + count(*) FILTER (s.logit >= r.logit) AS rank_samples FROM ranked r LEFT JOIN slog s USING (user_id) GROUP BY ALL)"""
+query("x6_user_negatives", UQUOTA + " SELECT user_id, paper_id, category FROM usamp")(lambda t: t.user_negs)
 query("x7_cache_papers", "SELECT paper_id FROM papers WHERE in_cache ORDER BY md5('42|cache|' || paper_id), paper_id LIMIT 50")(lambda t: S.cache_papers(t.papers, 50, SEED))
 query("x9_random_negatives", "SELECT * FROM (SELECT user_id, paper_id, t, (row_number() OVER (PARTITION BY user_id ORDER BY md5('42|neg|' || user_id || '|' || paper_id || '|' || t), paper_id, t))::INT AS place FROM sess WHERE rating = 0) WHERE place <= 4")(lambda t: S.random_negatives(t.sess, 4, SEED))
 query("x10_relevant_papers", "SELECT paper_id FROM sess UNION SELECT paper_id FROM pool")(lambda t: S.relevant_papers(t.sess, t.pool))
@@ -222,20 +238,73 @@ query("v4_mean_pairwise_cosine", "SELECT a.user_id, round(avg(list_dot_product(x
 query("v5_decay", "SELECT user_id, session_id, round(exp(-0.01 * ((t_min - min(t_min) OVER (PARTITION BY user_id)) // 86400000000)), 6) AS weight FROM sessions")(lambda t: P.session_days_passed(P.session_table(t.rat)).select("user_id", "session_id", F.round(V.temporal_decay("days_passed", 0.01), 6).alias("weight")))
 query("v8_compose_text", "SELECT doc_id AS paper_id, md5('Title: ' || string_split(text, chr(10))[1] || ' Abstract: ' || text) AS digest FROM documents")(lambda t: D.texts_of(t.spark, t.dir).select("paper_id", F.md5(T.compose_text("title", "abstract", "labelled")).alias("digest")))
 query("v9_mask_latex", "SELECT doc_id AS paper_id, md5(regexp_replace('a $x$ ' || text, '\\$[^$\\n]*\\$', 'LATEX_CODE', 'g')) AS digest FROM documents")(lambda t: D.texts_of(t.spark, t.dir).select("paper_id", F.md5(T.mask_latex(F.concat(F.lit("a $x$ "), "abstract"))).alias("digest")))
-TFIDF = ", tok AS (SELECT doc_id AS paper_id, list_filter(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z_][a-z0-9_]+'), lambda w: w NOT IN ('the', 'of', 'and', 'in', 'to', 'et', 'de', 'la')) AS w FROM documents), tc AS (SELECT paper_id, term, count(*) AS tf FROM (SELECT paper_id, unnest(w) AS term FROM tok UNION ALL SELECT paper_id, unnest(list_transform(list_zip(w[:-2], w[2:]), lambda p: p[1] || ' ' || p[2])) FROM tok WHERE len(w) > 1) GROUP BY ALL), voc AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS total, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf FROM tc GROUP BY 1 HAVING count(*) >= 2 ORDER BY total DESC, term LIMIT 500)"
-query("e1_fit_tfidf", TFIDF + " SELECT term, df, total, round(idf, 6) AS idf FROM voc")(lambda t: rounded(T.fit_tfidf(T.term_counts(D.texts_of(t.spark, t.dir), "abstract", STOP), D.texts_of(t.spark, t.dir).count(), 500, 2)))
-query("e2_transform_tfidf", TFIDF + ", x AS (SELECT paper_id, term, (1 + ln(tf)) * idf AS w FROM tc JOIN voc USING (term)) SELECT paper_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY paper_id)), 6) AS weight FROM x")(lambda t: rounded((lambda c: T.transform_tfidf(c, T.fit_tfidf(c, D.texts_of(t.spark, t.dir).count(), 500, 2)))(T.term_counts(D.texts_of(t.spark, t.dir), "abstract", STOP))))
+TFIDF = ", tok AS (SELECT doc_id AS paper_id, list_filter(regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}_]+'), lambda w: regexp_full_match(w, '[a-z_][a-z0-9_]+') AND w NOT IN ('the', 'of', 'and', 'in', 'to', 'et', 'de', 'la', 'et al')) AS w FROM documents), tc AS (SELECT paper_id, term, count(*) AS tf FROM (SELECT paper_id, unnest(w) AS term FROM tok UNION ALL SELECT paper_id, unnest(list_transform(list_zip(w[:-2], w[2:]), lambda p: p[1] || ' ' || p[2])) FROM tok WHERE len(w) > 1) GROUP BY ALL), voc AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS total, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf FROM tc GROUP BY 1 HAVING count(*) >= 2 ORDER BY total DESC, term LIMIT 500)"
+query("e1_fit_tfidf", TFIDF + " SELECT term, df, total, round(idf, 6) AS idf FROM voc")(lambda t: rounded(T.fit_tfidf(T.term_counts(D.texts_of(t.spark, t.dir), "abstract", STOP), D.texts_of(t.spark, t.dir), 500, 2)))
+query("e2_transform_tfidf", TFIDF + ", x AS (SELECT paper_id, term, (1 + ln(tf)) * idf AS w FROM tc JOIN voc USING (term)) SELECT paper_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY paper_id)), 6) AS weight FROM x")(lambda t: rounded((lambda c: T.transform_tfidf(c, T.fit_tfidf(c, D.texts_of(t.spark, t.dir), 500, 2)))(T.term_counts(D.texts_of(t.spark, t.dir), "abstract", STOP))))
 query("e6_override", "SELECT paper_id, round(CASE WHEN paper_id % 2 = 0 THEN 2 * v[1] ELSE v[1] END, 6) AS first FROM emb")(lambda t: V.override_embeddings(t.emb, t.emb.filter("paper_id % 2 = 0").withColumn("embedding", F.transform("embedding", lambda x: x * 2))).select("paper_id", F.round(F.element_at("embedding", 1), 6).alias("first")))
 query("e8_standardize", ", f AS (SELECT pos, avg(x) AS m, stddev_pop(x) AS s FROM (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM emb WHERE paper_id % 4 = 0) GROUP BY 1) SELECT paper_id, round(sum((x - m) / s), 3) AS total FROM (SELECT paper_id, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM emb) JOIN f USING (pos) GROUP BY 1")(lambda t: V.standardize(t.emb, t.emb.filter("paper_id % 4 = 0"), "embedding").select("paper_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 3).alias("total")))
 query("e10_centroids", ", m AS (SELECT l1, list(x ORDER BY pos) AS m, max(n) AS n FROM (SELECT l1, pos, avg(x) AS x, count(*) AS n FROM (SELECT l1, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM emb JOIN papers USING (paper_id) WHERE l1 IS NOT NULL) GROUP BY ALL) GROUP BY 1) SELECT a.l1, a.n, round(sqrt(list_dot_product(a.m, a.m)), 6) AS length, round(list_dot_product(a.m, b.m) / sqrt(list_dot_product(a.m, a.m)) / sqrt(list_dot_product(b.m, b.m)), 6) AS cosine FROM m a JOIN m b ON b.l1 = 'C0'")(lambda t: rounded(V.category_centroids(t.emb, t.papers, "C0")))
 query("e11_cohesion", "SELECT p.l1, count(DISTINCT p.paper_id) + 1 AS n, round(avg(list_dot_product(x.u, y.u)), 6) AS cosine FROM papers p JOIN papers q ON p.l1 = q.l1 AND p.paper_id < q.paper_id JOIN unitv x ON x.paper_id = p.paper_id JOIN unitv y ON y.paper_id = q.paper_id GROUP BY 1")(lambda t: rounded(V.category_cohesion(t.emb, t.papers)))
 query("m2_grid", "SELECT (row_number() OVER () - 1)::BIGINT AS combination_idx, c, neg_weight, n FROM (SELECT c, neg_weight, (SELECT count(*) FROM sess) AS n FROM (VALUES (0.1::DOUBLE), (1.0)) a(c), (VALUES (1.0::DOUBLE), (2.0)) b(neg_weight) ORDER BY 1, 2)")(lambda t: M.hyperparameter_grid(t.spark, c=[0.1, 1.0], neg_weight=[1.0, 2.0]).crossJoin(F.broadcast(t.sess.agg(F.count("*").alias("n")))))
-query("m6_user_models")(lambda t: M.train_user_models(t.split.filter("split = 'train'"), t.emb, t.spark.createDataFrame([(0, 0.1, 1.0), (1, 1.0, 2.0)], "combination_idx int, c double, neg_weight double")))
+CACHE = 50
+
+
+def fits(t: Tables, by: list[str], votes: DataFrame) -> DataFrame:
+    """Weights of each user's votes (by fold too) and the shared cache, for a grid of two combinations."""
+    grid = M.hyperparameter_grid(t.spark, c=[0.1, 1.0], v=[0.7]).withColumn("combination_idx", F.col("combination_idx").cast("int"))
+    counts = votes.groupBy(*by).agg(F.count_if(F.col("rating") == 1).alias("n_pos"), F.count_if(F.col("rating") == 0).alias("n_neg"), F.lit(CACHE).cast("long").alias("n_cache"))
+    return W.class_weights(counts.crossJoin(F.broadcast(grid)), "cache_v", F.col("v"), 2.0)
+
+
+def trained(t: Tables) -> DataFrame:
+    votes = t.split.filter("split = 'train'")
+    return M.train_user_models(votes, t.emb, fits(t, ["user_id"], votes), S.cache_papers(t.papers, CACHE, SEED))
+
+
+def trained_by_fold(t: Tables) -> DataFrame:
+    votes = X.fold_splits(X.kfold(t.split, 3, SEED).drop("split"), 3).filter("split = 'train'").withColumn("fold_idx", F.col("fold_idx").cast("int"))
+    return M.train_user_models(votes, t.emb, fits(t, ["user_id", "fold_idx"], votes), S.cache_papers(t.papers, CACHE, SEED), ["user_id", "fold_idx"])
+
+
+query("m6_user_models")(trained)
+query("m6_user_models_by_fold")(trained_by_fold)
+query("m15_predict_models", "SELECT s.user_id, split, paper_id, t, round(x, 6) AS logit, round(1 / (1 + exp(-x)), 6) AS proba, (x > 0)::INT AS pred FROM (SELECT s.*, list_dot_product(profile, v) + s.user_id % 7 / 10 - 0.3::DOUBLE AS x FROM split s JOIN prof USING (user_id) JOIN emb USING (paper_id)) s")(lambda t: rounded(M.predict_models(t.profiles.select("user_id", F.col("profile").alias("coef"), (F.col("user_id") % 7 / 10 - 0.3).alias("intercept")), t.split.select("user_id", "split", "paper_id", "t"), t.emb)))
+query("v7_sigmoid_predict", "SELECT user_id, paper_id, t, round(1 / (1 + exp(-logit)), 6) AS proba, (logit > 0)::INT AS pred FROM pred")(lambda t: rounded(V.sigmoid_predict(t.pred).select("user_id", "paper_id", "t", "proba", "pred")))
+query("v11_epoch_days", "SELECT user_id, paper_id, t, t // 1000000 AS epoch, (t - min(t) OVER (PARTITION BY user_id)) // 86400000000 AS days FROM sess")(lambda t: P.epoch_and_days(t.sess).select("user_id", "paper_id", "t", "epoch", "days"))
+query("k4_sample_confidence", UQUOTA + " SELECT user_id, round(max(1 / (1 + exp(-logit))), 6) AS conf_samples_max, round(avg((1 / (1 + exp(-logit)) > 0.05)::INT), 6) AS samples_above FROM slog GROUP BY 1")(lambda t: rounded(M.sample_confidence(t.samples)))
+query("k5_rank_by_kind", UQUOTA + " SELECT user_id, paper_id, t, rank_explicit, rank_samples, rank_explicit + rank_samples - 1 AS rank_all FROM rkind")(lambda t: M.rank_positives_by_kind(t.pred.filter("label = 1").select("user_id", "paper_id", "t", "logit"), t.negs, t.samples, ["user_id", "paper_id", "t"]).drop("logit"))
+query("k7_softmax_by_kind", UQUOTA + ", z AS (SELECT user_id, paper_id, t, TRUE AS given, exp(logit / 0.5) AS w FROM negs UNION ALL SELECT p.user_id, p.paper_id, p.t, FALSE, exp(s.logit / 0.5) FROM pred p JOIN slog s USING (user_id) WHERE label = 1), y AS (SELECT p.user_id, p.paper_id, p.t, exp(p.logit / 0.5) AS w0, sum(w) AS others, avg(w) FILTER (given) AS e, max(w) FILTER (NOT given) AS s FROM pred p JOIN z USING (user_id, paper_id, t) WHERE label = 1 GROUP BY p.user_id, p.paper_id, p.t, p.logit) SELECT user_id, paper_id, t, round(w0 / (w0 + others), 6) AS share, round(e / (w0 + others), 6) AS explicit_mean, round(s / (w0 + others), 6) AS samples_max, round(-ln(w0 / (w0 + others) + 1e-10), 6) AS info_nce FROM y")(lambda t: rounded(M.softmax_by_kind(t.pred.filter("label = 1").select("user_id", "paper_id", "t", "logit"), t.negs, t.samples, ["user_id", "paper_id", "t"], 0.5).drop("logit")))
+query("x13_fold_splits", "SELECT user_id, paper_id, t, unnest([0, 1, 2]) AS fold_idx, CASE WHEN (row_number() OVER (PARTITION BY user_id, rating ORDER BY md5('42|fold|' || user_id || '|' || paper_id || '|' || t), paper_id, t) - 1) % 3 = unnest([0, 1, 2]) THEN 'val' ELSE 'train' END AS split FROM sess")(lambda t: X.fold_splits(X.kfold(t.sess, 3, SEED), 3).select("user_id", "paper_id", "t", F.col("fold_idx").cast("int").alias("fold_idx"), "split"))
+query("x7_cache_by_ratio", "SELECT paper_id FROM pool")(lambda t: S.cache_papers(t.papers, 20, SEED, t.ratios))
+query("x7_cache_everywhere", "SELECT paper_id FROM papers ORDER BY md5('42|cache|' || paper_id), paper_id LIMIT 30")(lambda t: S.cache_papers(t.papers, 30, SEED, everywhere=True))
+query("s2_check_texts", "SELECT count(*) FILTER (p.paper_id IS NOT NULL AND d.doc_id IS NULL) AS n_without_text, count(*) FILTER (p.paper_id IS NULL) AS n_without_paper FROM papers p FULL JOIN documents d ON p.paper_id = d.doc_id")(lambda t: D.check_texts(t.papers, D.texts_of(t.spark, t.dir)))
+query("s7_repeated_ids", "SELECT paper_id, count(*) AS n FROM (SELECT * FROM emb UNION ALL SELECT * FROM emb WHERE paper_id % 10 = 0) GROUP BY 1 HAVING count(*) > 1")(lambda t: D.repeated_ids(t.emb.unionByName(t.emb.filter("paper_id % 10 = 0"))))
+
+
+def written(t: Tables, df: DataFrame) -> str:
+    """The path of df as a table in the warehouse, which the driver and the executors share."""
+    at = f"{t.spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/votelake-{uuid.uuid4().hex}"
+    D.write_table(df, at)
+    return at
+
+
+def results(t: Tables) -> DataFrame:
+    at = f"{t.spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/votelake-{uuid.uuid4().hex}"
+    D.write_results(rounded(t.res), at)
+    return D.read_results(t.spark, at, "user_id long, combination_idx int, score string, value double")
+
+
+query("s1_s5_load_ratings", "SELECT user_id, paper_id, rating, session_id FROM rat WHERE rating <> 2 AND user_id IN (SELECT user_id FROM best)")(lambda t: D.load_ratings(t.spark, written(t, t.rat), t.split, ["user_id", "paper_id", "rating", "session_id"]))
+query("s3_load_papers", "SELECT paper_id, l1, l2 FROM papers WHERE paper_id IN (SELECT paper_id FROM sess)")(lambda t: D.load_papers(t.spark, written(t, t.papers), t.sess, ["paper_id", "l1", "l2"]))
+query("s3_load_significant_categories", "SELECT user_id, rank::INT AS rank, category, round(proportion, 6) AS proportion FROM signif WHERE user_id IN (SELECT user_id FROM best)")(lambda t: rounded(D.load_significant_categories(t.spark, written(t, t.signif.withColumn("rank", F.col("rank").cast("int"))), t.split)))
+query("s4_raw_votes", "SELECT user_id, event_id % (SELECT count(*) FROM embeddings) AS paper_id, CASE WHEN event_type IN ('click', 'purchase') THEN 1 ELSE -1 END AS rating FROM events WHERE ts IS NOT NULL AND event_type IN ('click', 'purchase', 'error', 'signup')")(lambda t: D.raw_votes(t.raw.select("user_id", "paper_id", F.col("vote").alias("rating"), F.col("ts").alias("time"))).drop("time"))
+query("s4_cache_ids", "SELECT DISTINCT event_id % (SELECT count(*) FROM embeddings) AS paper_id FROM events WHERE event_type = 'view'")(lambda t: D.cache_ids(t.raw.filter("vote = 0")))
+query("s6_results", "SELECT user_id, combination_idx, score, round(value, 6) AS value FROM res")(results)
 query("m8_m15_predict", "SELECT user_id, split, paper_id, t, label, round(logit, 6) AS logit FROM pred")(lambda t: rounded(t.pred.drop("session_id")))
-query("k1_classification", "SELECT user_id, split, tp, fp, tn, fn, round((tp + tn) / (tp + fp + tn + fn), 6) AS accuracy, round(r, 6) AS recall, round(s, 6) AS specificity, round((r + s) / 2, 6) AS balanced_accuracy, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS precision FROM (SELECT *, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS r, CASE WHEN tn + fp > 0 THEN tn / (tn + fp) ELSE 0 END AS s FROM (SELECT user_id, split, count(*) FILTER (logit > 0 AND label = 1) AS tp, count(*) FILTER (logit > 0 AND label = 0) AS fp, count(*) FILTER (logit <= 0 AND label = 0) AS tn, count(*) FILTER (logit <= 0 AND label = 1) AS fn FROM pred GROUP BY ALL))")(lambda t: rounded(M.classification_metrics(t.pred, ["user_id", "split"])))
+query("k1_classification", "SELECT user_id, split, tp, fp, tn, fn, round((tp + tn) / (tp + fp + tn + fn), 6) AS accuracy, round(r, 6) AS recall, round(s, 6) AS specificity, round((r + s) / 2, 6) AS balanced_accuracy, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS precision, round((tp + fn) / (tp + fp + tn + fn), 6) AS label_share, round((tp + fp) / (tp + fp + tn + fn), 6) AS prediction_share FROM (SELECT *, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS r, CASE WHEN tn + fp > 0 THEN tn / (tn + fp) ELSE 0 END AS s FROM (SELECT user_id, split, count(*) FILTER (logit > 0 AND label = 1) AS tp, count(*) FILTER (logit > 0 AND label = 0) AS fp, count(*) FILTER (logit <= 0 AND label = 0) AS tn, count(*) FILTER (logit <= 0 AND label = 1) AS fn FROM pred GROUP BY ALL))")(lambda t: rounded(M.classification_metrics(t.pred, ["user_id", "split"])))
 query("k2_log_loss", ", x AS (SELECT user_id, split, label, CASE WHEN label = 1 THEN ln(1 + exp(-logit)) ELSE ln(1 + exp(logit)) END AS l FROM pred) SELECT user_id, split, round(avg(l), 6) AS log_loss, round(avg(l) FILTER (label = 1), 6) AS log_loss_pos, round(avg(l) FILTER (label = 0), 6) AS log_loss_neg FROM x GROUP BY ALL")(lambda t: rounded(M.log_loss(t.pred, ["user_id", "split"])))
 query("k3_auroc", "SELECT a.user_id, a.split, round(avg(CASE WHEN a.logit > b.logit THEN 1 WHEN a.logit = b.logit THEN 0.5 ELSE 0 END), 6) AS auroc FROM pred a JOIN pred b ON a.user_id = b.user_id AND a.split = b.split WHERE a.label = 1 AND b.label = 0 GROUP BY ALL")(lambda t: rounded(M.auroc(t.pred, ["user_id", "split"])))
-query("k4_confidence", ", x AS (SELECT *, 1 / (1 + exp(-logit)) AS p FROM pred) SELECT user_id, split, round(avg(p), 6) AS conf_all, round(coalesce(avg(p) FILTER (logit > 0 AND label = 1), 0.5), 6) AS conf_tp, round(coalesce(avg(p) FILTER (logit > 0 AND label = 0), 0.5), 6) AS conf_fp, round(coalesce(avg(p) FILTER (logit <= 0 AND label = 0), 0.5), 6) AS conf_tn, round(coalesce(avg(p) FILTER (logit <= 0 AND label = 1), 0.5), 6) AS conf_fn, round(min(p) FILTER (label = 1), 6) AS conf_pos_min FROM x GROUP BY ALL")(lambda t: rounded(M.confidence_metrics(t.pred, ["user_id", "split"])))
+query("k4_confidence", ", x AS (SELECT *, 1 / (1 + exp(-logit)) AS p FROM pred) SELECT user_id, split, round(avg(p), 6) AS conf_all, round(coalesce(avg(p) FILTER (logit > 0 AND label = 1), 0.5), 6) AS conf_tp, round(coalesce(avg(p) FILTER (logit > 0 AND label = 0), 0.5), 6) AS conf_fp, round(coalesce(avg(p) FILTER (logit <= 0 AND label = 0), 0.5), 6) AS conf_tn, round(coalesce(avg(p) FILTER (logit <= 0 AND label = 1), 0.5), 6) AS conf_fn, round(min(p) FILTER (label = 1), 6) AS conf_pos_min, round(avg(p) FILTER (label = 1), 6) AS conf_pos, round(avg((p > 0.05)::INT), 6) AS share_above FROM x GROUP BY ALL")(lambda t: rounded(M.confidence_metrics(t.pred, ["user_id", "split"])))
 query("k5_rank_positives", "SELECT user_id, paper_id, t, rank FROM ranked")(lambda t: t.ranked.select("user_id", "paper_id", "t", "rank"))
 query("k6_ranking_metrics", "SELECT user_id, split, round(ndcg, 6) AS ndcg, round(mrr, 6) AS mrr, round(hr1, 6) AS hr1, round(ndcg_min, 6) AS ndcg_min FROM metr")(lambda t: rounded(M.ranking_metrics(t.ranked, ["user_id", "split"])))
 query("k7_softmax", ", x AS (SELECT p.user_id, p.paper_id, p.t, exp(p.logit / 0.5) / (exp(p.logit / 0.5) + sum(exp(n.logit / 0.5))) AS share FROM pred p JOIN negs n USING (user_id, paper_id, t) WHERE p.label = 1 GROUP BY p.user_id, p.paper_id, p.t, p.logit) SELECT user_id, paper_id, t, round(share, 6) AS share, round(-ln(share + 1e-10), 6) AS info_nce FROM x")(lambda t: rounded(M.softmax_metrics(t.pred.filter("label = 1").select("user_id", "paper_id", "t", "logit"), t.negs, ["user_id", "paper_id", "t"], 0.5).drop("logit")))

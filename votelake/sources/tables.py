@@ -39,7 +39,42 @@ def load_word_vectors(spark: SparkSession, path: str, dim: int) -> DataFrame:
 def read_raw_votes(spark: SparkSession, url: str, table: str, partition_column: str, lower: int, upper: int, partitions: int, **options: str) -> DataFrame:
     """Up and down votes with a time, from a database; the conditions are pushed down."""
     df = spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn=partition_column, lowerBound=lower, upperBound=upper, numPartitions=partitions, **options).load()
-    return df.filter(F.col("rating").isin(-1, 1) & F.col("time").isNotNull())
+    return raw_votes(df)
+
+
+def raw_votes(votes: DataFrame, neutral: bool = False) -> DataFrame:
+    """Up and down votes (or the neutral ones, rating 0) with a time."""
+    return votes.filter((F.col("rating") == 0 if neutral else F.col("rating").isin(-1, 1)) & F.col("time").isNotNull())
+
+
+def cache_ids(cache: DataFrame) -> DataFrame:
+    """The distinct papers of the cache."""
+    return cache.select("paper_id").filter("paper_id IS NOT NULL").distinct()
+
+
+def load_papers_texts(spark: SparkSession, path: str, papers: DataFrame | None = None, columns: list[str] | None = None) -> DataFrame:
+    return keep(spark.read.parquet(path), papers, "paper_id", columns)
+
+
+def load_significant_categories(spark: SparkSession, path: str, users: DataFrame | None = None) -> DataFrame:
+    return keep(spark.read.parquet(path), users, "user_id", ["user_id", "rank", "category", "proportion"])
+
+
+def repeated_ids(embeddings: DataFrame) -> DataFrame:
+    """paper_id and n of the ids that an embedding table holds more than once."""
+    return embeddings.groupBy("paper_id").agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def check_selections(selections: DataFrame) -> DataFrame:
+    """One row: users and those that are in more than one selection (user_id, selection)."""
+    per = selections.groupBy("user_id").agg(F.countDistinct("selection").alias("n"))
+    return per.agg(F.count("*").alias("n_users"), F.count_if(F.col("n") > 1).alias("n_overlapping"))
+
+
+def check_texts(papers: DataFrame, texts: DataFrame) -> DataFrame:
+    """One row: papers without a text and texts without a paper."""
+    a, b = papers.select("paper_id").distinct().withColumn("a", F.lit(1)), texts.select("paper_id").distinct().withColumn("b", F.lit(1))
+    return a.join(b, "paper_id", "full").agg(F.count_if(F.col("b").isNull()).alias("n_without_text"), F.count_if(F.col("a").isNull()).alias("n_without_paper"))
 
 
 def write_table(df: DataFrame, path: str, by: list[str] | None = None) -> None:
