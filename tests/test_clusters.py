@@ -96,3 +96,30 @@ def test_cluster_weights_add_up(spark, pos, neg):
         before, after = 0.4 / (0.6 * 3 / 8), 0.4 / (0.6 * 3 * a)
         x = (0.6 * after + 0.4 * before) * 3 * a
         assert math.isclose(r.w_pos_in, 24 * (1 - x / (1 + x)) * a)
+
+
+def test_chosen_k_has_the_best_ranking(spark):
+    rng = np.random.default_rng(5)
+    centres = np.eye(6) * 4
+    rows, vectors = [], []
+    for u in (1, 2):
+        for i in range(60):
+            up = i % 3 != 0
+            at = centres[i % (2 if u == 1 else 3)] if up else centres[3 + i % 3]
+            vectors.append((u * 100 + i, (at + rng.normal(size=6)).tolist()))
+            rows.append((u, u * 100 + i, int(up), i))
+    votes = spark.createDataFrame(rows, "user_id long, paper_id long, rating int, t long")
+    emb = spark.createDataFrame(vectors, "paper_id long, embedding array<double>")
+    held = C.hold_out(votes, 4, 8).filter("held").collect()
+    assert {(u, r): sorted(x.t for x in held if (x.user_id, x.rating) == (u, r)) for u in (1, 2) for r in (0, 1)} == {(u, r): ([0, 3, 6, 9, 12, 15, 18, 21] if r == 0 else [1, 2, 4, 5]) for u in (1, 2) for r in (0, 1)}
+    chosen = {r.user_id: r for r in C.choose_k(votes, emb, (1, 3), least=2, limits=(8, 1000)).collect()}
+    assert set(chosen) == {1, 2}
+    train, rest = C.hold_out(votes, 4, 8).filter("NOT held"), C.hold_out(votes, 4, 8).filter("held")
+    for k in (1, 3):
+        scored = C.cluster_scores(C.cluster_user_models(train, emb, k=k, least=2, limits=(8, 1000)), rest.select("user_id", "paper_id", "rating"), emb).collect()
+        for u in (1, 2):
+            up, down = ([r.logit for r in scored if r.user_id == u and r.rating == v] for v in (1, 0))
+            mean = np.mean([1 / np.log2(2 + sum(d >= x for d in down)) for x in up])
+            assert mean <= chosen[u].ndcg + 1e-8 and (k != chosen[u].k or abs(mean - chosen[u].ndcg) < 1e-8)
+    models = C.models_by_chosen_k(votes, emb, spark.createDataFrame([(u, r.k) for u, r in chosen.items()], "user_id long, k int"), (1, 3), least=2, limits=(8, 1000)).collect()
+    assert {m.user_id for m in models} == {1, 2}

@@ -70,6 +70,12 @@ def scaled_difference(means: DataFrame, a: str, b: str) -> DataFrame:
     return d.crossJoin(F.broadcast(top)).select("term", (F.col("d") / F.when(F.col("top") == 0, 1.0).otherwise(F.col("top"))).alias("difference"))
 
 
+def scaled_coefficients(coefficients: DataFrame, by: list[str]) -> DataFrame:
+    """coefficients (by, term, coef) with coef over the largest absolute one of its group."""
+    top = coefficients.groupBy(*by).agg(F.max(F.abs("coef")).alias("_top"))
+    return coefficients.join(top, by).select(*by, "term", (F.col("coef") / F.when(F.col("_top") == 0, 1.0).otherwise(F.col("_top"))).alias("coef"))
+
+
 def score_words(words: list[str], scores: dict[str, float], longest: int) -> tuple[float, int]:
     """Sum and number of greedy matches from the left, the longest phrase first; words without a match score 0."""
     total, found, i = 0.0, 0, 0

@@ -94,6 +94,23 @@ def category_cohesion(embeddings: DataFrame, papers: DataFrame, level: str = "l1
     return mean_pairwise_cosine(rows, [level], "embedding")
 
 
+def subcategory_cohesion(embeddings: DataFrame, papers: DataFrame) -> DataFrame:
+    """l1 and the mean cohesion of its l2 groups of two or more papers."""
+    inner = category_cohesion(embeddings, papers, "l2").filter("n >= 2")
+    named = papers.select("l1", "l2").filter("l1 IS NOT NULL AND l2 IS NOT NULL").distinct()
+    return named.join(inner, "l2").groupBy("l1").agg(F.count("*").alias("n_groups"), F.avg("cosine").alias("cosine"))
+
+
+def category_separation(embeddings: DataFrame, papers: DataFrame, reference: str, level: str = "l1") -> DataFrame:
+    """Mean cosine between the papers of each category and those of the reference; for the reference itself, between its own papers."""
+    rows = embeddings.join(papers.select("paper_id", level).filter(F.col(level).isNotNull()), "paper_id")
+    sums = vector_sums(rows.select(level, l2_normalize("embedding").alias("u")), [level], "u")
+    ref = sums.filter(F.col(level) == reference).select(F.col("n").alias("_n"), F.col("sum").alias("_s"))
+    own = category_cohesion(embeddings, papers, level).select(level, F.col("cosine").alias("_own"))
+    between = sums.crossJoin(F.broadcast(ref)).join(own, level)  # ref: one row
+    return between.select(level, F.when(F.col(level) == reference, F.col("_own")).otherwise(dot("sum", "_s") / (F.col("n") * F.col("_n"))).alias("cosine"))
+
+
 def category_centroids(embeddings: DataFrame, papers: DataFrame, reference: str, level: str = "l1") -> DataFrame:
     """Length of each category's mean vector and its cosine to the reference category's."""
     means = mean_vectors(embeddings.join(papers.select("paper_id", level).filter(F.col(level).isNotNull()), "paper_id"), [level], "embedding")

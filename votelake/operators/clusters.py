@@ -7,11 +7,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, mean_pairwise_cosine
-from .scoring import fit_logistic
+from .scoring import fit_logistic, rank_positives, ranking_metrics
 
 ROWS = 1024
 #: Share of the scale after and before clustering in the scheme `middle`; scale of the scheme `fixed_neg_scale`.
@@ -174,3 +174,37 @@ def cluster_scores(models: DataFrame, pairs: DataFrame, embeddings: DataFrame) -
     use = F.coalesce(F.col("own"), F.get(F.filter("ms", lambda m: m["cluster"] == -1), F.lit(0)))
     rows = rows.withColumn("m", use)
     return rows.withColumn("logit", dot("m.coef", "embedding") + F.col("m.intercept")).select(*pairs.columns, "cluster", "fallback", "logit")
+
+
+def hold_out(votes: DataFrame, n_pos: int, n_neg: int, few: int = 10, n_few: int = 4) -> DataFrame:
+    """votes with held: each user's first n_pos up-votes and first n_neg down-votes (n_few where there are at most `few`), by time."""
+    mine = Window.partitionBy("user_id", "rating")
+    place = F.row_number().over(mine.orderBy("t", "paper_id"))
+    many = F.when(F.col("rating") == 1, F.lit(n_pos)).when(F.count("*").over(mine) <= few, F.lit(n_few)).otherwise(F.lit(n_neg))
+    return votes.filter("rating <> 2").withColumn("held", place <= many)
+
+
+def choose_k(votes: DataFrame, embeddings: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 7), n_pos: int = 4, n_neg: int = 8, **options) -> DataFrame:
+    """user_id, k and ndcg: the number of clusters whose models rank the held-out up-votes best among the held-out down-votes; the smaller of equal ones.
+
+    A row for each user with votes left on both sides. options: see cluster_user_models.
+    """
+    parts = hold_out(votes, n_pos, n_neg)
+    train, held = parts.filter("NOT held"), parts.filter("held").select("user_id", "paper_id", "t", "rating")
+    found = None
+    for k in ks:
+        scored = cluster_scores(cluster_user_models(train, embeddings, k=k, **options), held, embeddings)
+        ranked = rank_positives(scored.filter("rating = 1").select("user_id", "paper_id", "t", "logit"), scored.filter("rating = 0"), ["user_id"])
+        own = ranking_metrics(ranked, ["user_id"]).select("user_id", F.lit(k).alias("k"), F.round("ndcg", 9).alias("ndcg"))
+        found = own if found is None else found.unionByName(own)
+    order = Window.partitionBy("user_id").orderBy(F.desc("ndcg"), "k")
+    return found.withColumn("_i", F.row_number().over(order)).filter("_i = 1").drop("_i")
+
+
+def models_by_chosen_k(votes: DataFrame, embeddings: DataFrame, chosen: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 7), **options) -> DataFrame:
+    """cluster_user_models on all votes of the users in chosen, each with its own k."""
+    out = None
+    for k in ks:
+        own = cluster_user_models(votes.join(chosen.filter(F.col("k") == k).select("user_id"), "user_id", "left_semi"), embeddings, k=k, **options)
+        out = own if out is None else out.unionByName(own)
+    return out

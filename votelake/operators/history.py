@@ -29,7 +29,9 @@ def history_for_session(votes: DataFrame, min_pos: int = 5, max_rated: int = 500
     enough = F.col("all_up") - F.col("before") >= min_pos
     first = F.least(F.coalesce(F.min(F.when(recent, F.col("session_id"))), F.col("val_session")), F.coalesce(F.max(F.when(enough, F.col("session_id"))), F.lit(0)))
     starts = pairs.groupBy(*SESSION, "val_t").agg(first.alias("start"))
-    rows = votes.join(starts, "user_id").filter("session_id >= start AND session_id < val_session")
+    # sessions are numbered without gaps, so a start and an end name all that lie between; votes meet only histories that they are in
+    named = starts.filter("start < val_session").withColumn("session_id", F.explode(F.sequence(F.col("start").cast("long"), F.col("val_session").cast("long") - 1)))
+    rows = votes.join(named, ["user_id", "session_id"])
     place = F.row_number().over(Window.partitionBy(*SESSION).orderBy(F.desc("t"), F.desc("paper_id")))
     return rows.withColumn("place", place).filter(F.col("place") <= max_rated).select(*SESSION, "val_t", "paper_id", "rating", "t", "session_id")
 

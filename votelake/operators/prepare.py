@@ -166,7 +166,9 @@ def cumulative_votes(sessions: DataFrame) -> DataFrame:
     return sessions.withColumn("n_pos_cum", F.sum("n_pos").over(run)).withColumn("n_rated_cum", F.sum("n_rated").over(run))
 
 
-def category_distribution(papers: DataFrame, level: str = "l1") -> DataFrame:
+def category_distribution(papers: DataFrame, level: str = "l1", ids: DataFrame | None = None) -> DataFrame:
+    """Papers and their share by category, NULL being one; of the given ids (rated, cached, liked papers) if there are any."""
+    papers = papers if ids is None else papers.join(ids.select("paper_id").distinct(), "paper_id", "left_semi")
     counts = papers.groupBy(level).agg(F.count("*").alias("n"))
     return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))), 6))
 

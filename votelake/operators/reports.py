@@ -16,10 +16,12 @@ def average_over_users(results: DataFrame, median: bool = False) -> DataFrame:
 
 
 def average_over_seeds(runs: list[DataFrame]) -> DataFrame:
+    """Mean and std of each score over the runs, by user, fold (if there are folds) and combination."""
     out = runs[0]
     for r in runs[1:]:
         out = out.unionByName(r)
-    return out.groupBy("user_id", "combination_idx", "score").agg(F.avg("value").alias("value"))
+    keys = [c for c in ("user_id", "fold_idx", "combination_idx", "score") if c in out.columns]
+    return out.groupBy(*keys).agg(F.avg("value").alias("value"), F.stddev_pop("value").alias("std"))
 
 
 def first_of(rows: DataFrame, by: list[str], value: Column, n: int) -> DataFrame:
@@ -45,6 +47,13 @@ def best_combination_per_user(results: DataFrame, score: str) -> DataFrame:
     return results.filter(F.col("score") == score).withColumn("i", F.row_number().over(order)).filter("i = 1").drop("i")
 
 
+def val_upper_bounds(results: DataFrame, score: str, n: int) -> DataFrame:
+    """One row: the mean over users of each user's best value of the score, and the mean over the n worst of them."""
+    best = best_combination_per_user(results, score).withColumn("combination_idx", F.lit(0))
+    worst = average_extreme_users(best, n).select(F.col("value").alias("worst"))
+    return best.agg(F.avg("value").alias("value"), F.count("*").alias("n_users")).crossJoin(F.broadcast(worst))  # one row each
+
+
 def performance_gain(results: DataFrame, score: str, best: int, n: int) -> DataFrame:
     """Users with the largest distance between their own best combination and the best overall one."""
     own = best_combination_per_user(results, score).select("user_id", F.col("value").alias("own"))
@@ -52,9 +61,9 @@ def performance_gain(results: DataFrame, score: str, best: int, n: int) -> DataF
     return own.join(all_, "user_id").withColumn("gain", F.abs(F.col("own") - F.col("overall"))).orderBy(F.desc("gain"), "user_id").limit(n)
 
 
-def compare_runs(old: DataFrame, new: DataFrame, score: str, n: int) -> DataFrame:
-    """The n best and n worst users by new minus old."""
-    d = new.filter(F.col("score") == score).select("user_id", F.col("value").alias("new")).join(old.filter(F.col("score") == score).select("user_id", F.col("value").alias("old")), "user_id").withColumn("diff", F.col("new") - F.col("old"))
+def compare_runs(old: DataFrame, new: DataFrame, score: str, n: int, increase_better: bool = True) -> DataFrame:
+    """The n best and n worst users by new minus old, or by old minus new where less is better."""
+    d = new.filter(F.col("score") == score).select("user_id", F.col("value").alias("new")).join(old.filter(F.col("score") == score).select("user_id", F.col("value").alias("old")), "user_id").withColumn("diff", (F.col("new") - F.col("old")) if increase_better else (F.col("old") - F.col("new")))
     return d.orderBy(F.desc("diff"), "user_id").limit(n).withColumn("side", F.lit("best")).unionByName(d.orderBy("diff", "user_id").limit(n).withColumn("side", F.lit("worst")))
 
 
@@ -63,8 +72,15 @@ def users_info_summary(info: DataFrame, columns: list[str]) -> DataFrame:
     return long.groupBy("statistic").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.median("value").alias("median"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
 
 
-def group_score_table(results: DataFrame, groups: DataFrame) -> DataFrame:
-    return groups.join(results, "user_id").groupBy("group", "score").agg(F.avg("value").alias("value"), F.stddev_samp("value").alias("std"), F.count("*").alias("n"))
+def group_score_table(results: DataFrame, groups: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """Mean, std, median and users of each score by group (user_id, group) and overall (group "all"). Named groups without users have NULLs and n = 0."""
+    every = results.select("user_id").distinct().withColumn("group", F.lit("all"))
+    rows = groups.select("user_id", "group").unionByName(every).join(results, "user_id")
+    out = rows.groupBy("group", "score").agg(F.avg("value").alias("value"), F.stddev_samp("value").alias("std"), F.median("value").alias("median"), F.count("*").alias("n"))
+    if not names:
+        return out
+    wanted = results.select("score").distinct().withColumn("group", F.explode(F.array(*[F.lit(x) for x in [*names, "all"]])))
+    return wanted.join(out, ["group", "score"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def assemble_results(results: DataFrame, scores: list[str]) -> DataFrame:

@@ -67,6 +67,21 @@ def random_negatives(votes: DataFrame, k: int, seed: int) -> DataFrame:
     return votes.filter("rating = 0").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).select("user_id", "paper_id", "t", "place")
 
 
+def random_negatives_each(votes: DataFrame, k: int, seed: int) -> DataFrame:
+    """For each up-vote k drawn down-votes of its user.
+
+    A drawn set for each up-vote is a run of k places, from a drawn start, in one drawn order of the user's down-votes,
+    so that up-votes aren't joined with all of them: every down-vote is as likely, and a set has no vote twice.
+    """
+    order = Window.partitionBy("user_id").orderBy(draw(seed, "neg", "user_id", "paper_id", "t"), "paper_id", "t")
+    neg = votes.filter("rating = 0").withColumn("at", F.row_number().over(order) - 1).select("user_id", F.col("paper_id").alias("neg_paper_id"), F.col("t").alias("neg_t"), "at")
+    sizes = neg.groupBy("user_id").agg(F.count("*").alias("n"))
+    start = F.conv(F.substring(draw(seed, "each", "user_id", "paper_id", "t"), 1, 8), 16, 10).cast("long") % F.col("n")
+    asked = votes.filter("rating = 1").join(sizes, "user_id").withColumn("place", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(k), F.col("n")))))
+    asked = asked.withColumn("at", (start + F.col("place") - 1) % F.col("n")).select("user_id", "paper_id", "t", "place", "at")
+    return asked.join(neg, ["user_id", "at"]).select("user_id", "paper_id", "t", "place", "neg_paper_id", "neg_t")
+
+
 def ranking_negatives_pool(split: DataFrame, n_removed: int = 4) -> DataFrame:
     """Down-votes by split; the validation pool also has the first down-votes of the removed tail."""
     order = Window.partitionBy("user_id").orderBy("t", "paper_id")

@@ -144,3 +144,11 @@ query("m5_cluster_weights_relative", COUNTED + SPLIT_SQL.format(pos="0.8::DOUBLE
 query("m11_cluster_scores")(lambda t: C.cluster_scores(C.cluster_user_models(t.split.filter("split = 'train'"), t.emb, k=3, least=2, limits=(8, 100_000)), t.split.filter("split = 'val'").select("user_id", "paper_id", "session_id"), t.emb).withColumn("logit", F.round("logit", 6)))
 query("m12_dbscan_user_clusters")(lambda t: C.dbscan_user_clusters(t.sess, t.emb, eps=0.75))
 query("t9_multi_interest_users")(lambda t: C.multi_interest_users(t.sess, t.papers, t.emb, 100, papers_each=2, clusters=1, eps=0.75))
+query("m13_choose_k")(lambda t: C.choose_k(t.split.filter("split = 'train'"), t.emb, (1, 3, 5), 3, 6, least=2, limits=(8, 100_000)))
+query("x9_random_negatives_each", ", ng AS (SELECT user_id, paper_id AS neg_paper_id, t AS neg_t, row_number() OVER (PARTITION BY user_id ORDER BY md5('42|neg|' || user_id || '|' || paper_id || '|' || t), paper_id, t) - 1 AS pl, count(*) OVER (PARTITION BY user_id) AS n FROM sess WHERE rating = 0), up AS (SELECT user_id, paper_id, t, ('0x' || left(md5('42|each|' || user_id || '|' || paper_id || '|' || t), 8))::BIGINT AS h, unnest([1, 2, 3, 4])::BIGINT AS place FROM sess WHERE rating = 1) SELECT user_id, paper_id, t, place, neg_paper_id, neg_t FROM up JOIN ng USING (user_id) WHERE place <= n AND (h % n + place - 1) % n = pl")(lambda t: S.random_negatives_each(t.sess, 4, SEED))
+query("t4_val_upper_bounds", ", b AS (SELECT user_id, max(round(value, 9)) AS v FROM res WHERE score = 'ndcg' GROUP BY 1) SELECT round(avg(v), 6) AS value, count(*) AS n_users, (SELECT round(avg(v), 6) FROM (SELECT v FROM b ORDER BY v, user_id LIMIT 10)) AS worst FROM b")(lambda t: rounded(R.val_upper_bounds(t.res.withColumn("value", F.round("value", 9)), "ndcg", 10)))
+query("e11_subcategory_cohesion", ", c AS (SELECT p.l1, p.l2, avg(list_dot_product(x.u, y.u)) AS cosine FROM papers p JOIN papers q ON p.l2 = q.l2 AND p.paper_id < q.paper_id JOIN unitv x ON x.paper_id = p.paper_id JOIN unitv y ON y.paper_id = q.paper_id GROUP BY 1, 2) SELECT l1, count(*) AS n_groups, round(avg(cosine), 6) AS cosine FROM c GROUP BY 1")(lambda t: rounded(V.subcategory_cohesion(t.emb, t.papers)))
+query("e11_separation", "SELECT p.l1, round(avg(list_dot_product(x.u, y.u)), 6) AS cosine FROM papers p JOIN papers q ON q.l1 = 'C0' AND p.paper_id <> q.paper_id JOIN unitv x ON x.paper_id = p.paper_id JOIN unitv y ON y.paper_id = q.paper_id WHERE p.l1 IS NOT NULL GROUP BY 1")(lambda t: rounded(V.category_separation(t.emb, t.papers, "C0")))
+query("e3_scaled_coefficients", TFIDF + " SELECT substr(term, 1, 1) AS \"group\", term, round(idf / max(abs(idf)) OVER (PARTITION BY substr(term, 1, 1)), 6) AS coef FROM voc")(lambda t: rounded(T.scaled_coefficients(T.fit_tfidf(T.term_counts(D.texts_of(t.spark, t.dir), "abstract", STOP), D.texts_of(t.spark, t.dir), 500, 2).select(F.substring("term", 1, 1).alias("group"), "term", F.col("idf").alias("coef")), ["group"])))
+query("a7_category_distribution_of_liked", "SELECT l2, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM papers WHERE paper_id IN (SELECT paper_id FROM rat WHERE rating = 1) GROUP BY 1")(lambda t: P.category_distribution(t.papers, "l2", t.rat.filter("rating = 1")))
+query("t6_compare_runs_less_is_better", ", r AS (SELECT a.user_id, round(b.value, 9) AS new, round(a.value, 9) AS old, round(a.value, 9) - round(b.value, 9) AS diff FROM res a JOIN res b ON a.user_id = b.user_id AND a.combination_idx = 0 AND b.combination_idx = 1 AND a.score = 'mrr' AND b.score = 'mrr'), k AS ((SELECT *, 'best' AS side FROM r ORDER BY diff DESC, user_id LIMIT 5) UNION ALL (SELECT *, 'worst' AS side FROM r ORDER BY diff, user_id LIMIT 5)) SELECT user_id, round(new, 6) AS new, round(old, 6) AS old, round(diff, 6) AS diff, side FROM k")(lambda t: rounded(R.compare_runs(*[t.res.withColumn("value", F.round("value", 9)).filter(F.col("combination_idx") == k) for k in (0, 1)], "mrr", 5, False)))

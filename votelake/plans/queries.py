@@ -195,11 +195,11 @@ query("a8_top_categories", "SELECT * FROM (SELECT user_id, category, round(propo
 query("a9_over_folds", "SELECT user_id, score, round(avg(value), 6) AS value, round(stddev_pop(value), 6) AS std FROM res GROUP BY ALL")(lambda t: rounded(R.average_over_folds(t.res.withColumn("combination_idx", F.lit(0))).drop("combination_idx")))
 query("a10_over_users", "SELECT combination_idx, score, round(avg(value), 6) AS value, round(stddev_samp(value), 6) AS std FROM res GROUP BY ALL")(lambda t: rounded(R.average_over_users(t.res)))
 query("a10_median_over_users", "SELECT combination_idx, score, round(median(value), 6) AS value, round(stddev_samp(value), 6) AS std FROM res GROUP BY ALL")(lambda t: rounded(R.average_over_users(t.res, True)))
-query("a11_over_seeds", "SELECT user_id, combination_idx, score, round(avg(value), 9) AS value FROM (SELECT * FROM res UNION ALL SELECT user_id, combination_idx, score, value / 2 FROM res) GROUP BY ALL")(lambda t: rounded(R.average_over_seeds([t.res, t.res.withColumn("value", F.col("value") / 2)]), 9))
+query("a11_over_seeds", "SELECT user_id, combination_idx, score, round(avg(value), 9) AS value, round(stddev_pop(value), 9) AS std FROM (SELECT * FROM res UNION ALL SELECT user_id, combination_idx, score, value / 2 FROM res) GROUP BY ALL")(lambda t: rounded(R.average_over_seeds([t.res, t.res.withColumn("value", F.col("value") / 2)]), 9))
 query("a12_extreme_users", "SELECT combination_idx, score, round(avg(value), 6) AS value, round(stddev_samp(value), 6) AS std FROM (SELECT *, row_number() OVER (PARTITION BY combination_idx, score ORDER BY value, user_id) AS i FROM res) WHERE i <= 10 GROUP BY ALL")(lambda t: rounded(R.average_extreme_users(t.res, 10)))
 INFO = ["n_posrated", "n_negrated", "n_sessions"]
 query("a13_info_summary", ", info AS (SELECT user_id, count(*) FILTER (rating = 1) AS n_posrated, count(*) FILTER (rating = 0) AS n_negrated, count(DISTINCT session_id) AS n_sessions FROM rat GROUP BY 1) SELECT statistic, min(value)::DOUBLE AS low, max(value)::DOUBLE AS high, median(value) AS median, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std FROM (UNPIVOT info ON n_posrated, n_negrated, n_sessions INTO NAME statistic VALUE value) GROUP BY 1")(lambda t: rounded(R.users_info_summary(P.user_info(t.rat), INFO)))
-query("a14_group_scores", "SELECT CASE WHEN user_id % 3 = 0 THEN 'a' ELSE 'b' END AS \"group\", score, round(avg(value), 6) AS value, round(stddev_samp(value), 6) AS std, count(*) AS n FROM res WHERE combination_idx = 1 GROUP BY ALL")(lambda t: rounded(R.group_score_table(t.res.filter("combination_idx = 1"), t.votes.select("user_id", F.when(F.col("user_id") % 3 == 0, "a").otherwise("b").alias("group")).distinct())))
+query("a14_group_scores", ", g AS (SELECT DISTINCT user_id, CASE WHEN user_id % 3 = 0 THEN 'a' ELSE 'b' END AS g FROM votes UNION ALL SELECT DISTINCT user_id, 'all' FROM res WHERE combination_idx = 1), n AS (SELECT unnest(['a', 'b', 'none', 'all']) AS g, unnest([['ndcg', 'mrr', 'hr1'], ['ndcg', 'mrr', 'hr1'], ['ndcg', 'mrr', 'hr1'], ['ndcg', 'mrr', 'hr1']]) AS scores), w AS (SELECT g, unnest(scores) AS score FROM n) SELECT w.g AS \"group\", w.score, round(avg(value), 6) AS value, round(stddev_samp(value), 6) AS std, round(median(value), 6) AS median, count(value) AS n FROM w LEFT JOIN (SELECT g.g, r.score, r.value FROM g JOIN res r USING (user_id) WHERE combination_idx = 1) x ON w.g = x.g AND w.score = x.score GROUP BY 1, 2")(lambda t: rounded(R.group_score_table(t.res.filter("combination_idx = 1"), t.votes.select("user_id", F.when(F.col("user_id") % 3 == 0, "a").otherwise("b").alias("group")).distinct(), ["a", "b", "none"])))
 query("a18_correlation", "SELECT round(corr(n_neg, n_pos), 6) AS r, round(regr_slope(n_pos, n_neg), 6) AS slope, round(regr_intercept(n_pos, n_neg), 6) AS intercept FROM sessions")(lambda t: rounded(R.metric_correlation(P.session_table(t.rat), "n_neg", "n_pos")))
 query("w1_sessionize", "SELECT * FROM sess")(lambda t: t.sess.select("user_id", "paper_id", "rating", "t", "session_id"))
 query("w2_w3_counters", "SELECT * FROM rat")(lambda t: t.rat)
