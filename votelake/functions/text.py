@@ -20,15 +20,15 @@ def mask_latex(text: Column | str) -> Column:
 
 
 def accents() -> tuple[str, str]:
-    """Latin letters that are a plain one with marks, and those plain ones."""
+    """Latin letters that are a plain one with marks, and those plain ones; then marks of their own, which have no other side."""
     plain = {chr(c): "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x)) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))}
     plain = {c: x for c, x in plain.items() if len(x) == 1 and x.isascii()}
-    return "".join(plain), "".join(plain.values())
+    return "".join(plain) + "".join(map(chr, range(0x300, 0x370))), "".join(plain.values())
 
 
 def tokens(text: str, stop: list[str]) -> Column:
     """Lower-case words of two or more ASCII letters, digits and underscores that begin with no digit and stand alone, accents stripped; without stop words."""
-    plain = F.regexp_replace(F.translate(F.lower(F.col(text)), *accents()), r"\p{M}+", "")
+    plain = F.translate(F.lower(F.col(text)), *accents())
     found = F.regexp_extract_all(plain, F.lit(r"(?<![\p{L}\p{N}_])[a-z_][a-z0-9_]+(?![\p{L}\p{N}_])"), F.lit(0))
     return F.filter(found, lambda w: ~w.isin(stop)) if stop else found
 

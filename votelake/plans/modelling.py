@@ -81,11 +81,11 @@ query("k10_session_metrics_attached", SESS_METRIC + " SELECT s.user_id, s.sessio
 query("k12_validation_summary", ", g AS (SELECT user_id, CASE WHEN category = 'C0' THEN 'main' ELSE 'other' END AS g FROM signif WHERE rank = 1 UNION ALL SELECT DISTINCT user_id, 'all' FROM res) SELECT g AS \"group\", score, round(avg(value), 6) AS value, count(*) AS n FROM res JOIN g USING (user_id) WHERE combination_idx = 1 GROUP BY ALL")(lambda t: rounded(R.validation_summary(t.res.filter("combination_idx = 1"), t.signif.filter("rank = 1").select("user_id", F.when(F.col("category") == "C0", "main").otherwise("other").alias("group")))))
 query("x2_stratified_users", USERS + ", d AS (SELECT *, md5('42|eval|' || user_id) AS k FROM uc), p1 AS (SELECT user_id, row_number() OVER (ORDER BY k, user_id) AS i FROM d WHERE is_other QUALIFY i <= 8), p2 AS (SELECT user_id, row_number() OVER (ORDER BY n_val_sessions DESC, user_id) AS i FROM d WHERE user_id NOT IN (SELECT user_id FROM p1) QUALIFY i <= 6), p3 AS (SELECT user_id, row_number() OVER (ORDER BY n_val_sessions, user_id) AS i FROM d WHERE user_id NOT IN (SELECT user_id FROM p1 UNION SELECT user_id FROM p2) QUALIFY i <= 6), p4 AS (SELECT user_id, row_number() OVER (ORDER BY k, user_id) AS i FROM d WHERE user_id NOT IN (SELECT user_id FROM p1 UNION SELECT user_id FROM p2 UNION SELECT user_id FROM p3) QUALIFY i <= 10), p AS (FROM p1 UNION ALL FROM p2 UNION ALL FROM p3 UNION ALL FROM p4) SELECT user_id, CASE WHEN i IS NULL THEN 'other' WHEN i % 2 = 1 THEN 'val' ELSE 'test' END AS selection FROM d LEFT JOIN p USING (user_id)")(lambda t: S.stratified_eval_users(user_counts(t), 4, 3, 5, SEED))
 query("x8_user_cache_extras", ", cc AS (SELECT paper_id FROM papers WHERE in_cache ORDER BY md5('42|cache|' || paper_id), paper_id LIMIT 50) SELECT user_id, paper_id FROM (SELECT u.user_id, cc.paper_id FROM (SELECT DISTINCT user_id FROM sess) u CROSS JOIN cc UNION SELECT user_id, paper_id FROM signif JOIN pool USING (category)) WHERE (user_id, paper_id) NOT IN (SELECT user_id, paper_id FROM sess)")(lambda t: S.user_cache(t.sess, S.cache_papers(t.papers, 50, SEED), t.sess, t.signif.join(F.broadcast(t.pool.drop("rank")), "category")))
-query("x11_capped_negatives", "SELECT paper_id, category, rank::INT AS rank FROM (SELECT paper_id, l1 AS category, row_number() OVER (PARTITION BY l1 ORDER BY md5('42|paper|' || paper_id), paper_id) AS rank FROM papers WHERE l1 IS NOT NULL AND paper_id NOT IN (SELECT paper_id FROM split WHERE user_id % 50 = 0)) WHERE rank <= 7")(lambda t: S.capped_category_negatives(t.papers, 7, SEED, t.split.filter("user_id % 50 = 0").select("paper_id").distinct()))
+query("x11_capped_negatives", "SELECT paper_id, category, rank::INT AS rank FROM (SELECT paper_id, l1 AS category, row_number() OVER (PARTITION BY l1 ORDER BY md5('42|paper|' || paper_id), paper_id) AS rank FROM papers WHERE l1 IS NOT NULL AND paper_id NOT IN (SELECT paper_id FROM split JOIN (SELECT user_id, row_number() OVER (ORDER BY md5('42|users|' || user_id), user_id) AS i FROM best) USING (user_id) WHERE i <= 4)) WHERE rank <= 7")(lambda t: S.capped_category_negatives(t.papers, 7, SEED, t.split.join(X.partition_users(t.split, t.split, 4, SEED).filter("selection = 'test'"), "user_id", "left_semi").select("paper_id").distinct()))
 query("x15_training_groups", ", r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t DESC, paper_id DESC) AS i FROM sess WHERE rating = 1), o AS (SELECT user_id, paper_id, t FROM r WHERE i <= 6 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY md5('42|up|' || user_id || '|' || paper_id || '|' || t), paper_id, t) = 1), c AS (SELECT o.*, d.paper_id AS neg_paper_id, d.t AS neg_t, row_number() OVER (PARTITION BY o.user_id ORDER BY abs(o.t - d.t), d.t, d.paper_id) AS place FROM o JOIN sess d ON d.user_id = o.user_id AND d.rating = 0) SELECT * EXCLUDE (place) FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY md5('42|down|' || user_id || '|' || neg_paper_id || '|' || neg_t), neg_paper_id, neg_t) AS slot FROM c WHERE place <= 6) WHERE slot <= 4")(lambda t: S.training_groups(t.sess, 6, SEED))
 query("x16_bounded_samples", ", k AS (SELECT *, md5('42|sample|' || user_id || '|' || paper_id || '|' || t) AS k FROM sess), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY k, paper_id, t) AS i, row_number() OVER (PARTITION BY user_id, rating ORDER BY k, paper_id, t) AS j FROM k), c AS (SELECT user_id, count(*) FILTER (rating = 1) AS p, count(*) FILTER (rating = 0) AS n, count(*) FILTER (rating = 1 AND i <= 20) AS c FROM r GROUP BY 1), x AS (SELECT user_id, greatest(5, 20 - n, least(p, 12, c)) AS take FROM c WHERE greatest(5, 20 - n) <= least(p, 12)) SELECT user_id, paper_id, rating, t FROM r JOIN x USING (user_id) WHERE j <= CASE rating WHEN 1 THEN take ELSE 20 - take END")(lambda t: S.bounded_user_samples(t.sess, 20, 5, 8, SEED))
 query("x17_weighted_draw", ", z AS (SELECT l1 AS category, count(*) AS size FROM papers WHERE l1 IS NOT NULL GROUP BY 1), e AS (SELECT category, size, (sum(ratio) OVER (ORDER BY category) - ratio) / sum(ratio) OVER () AS lo, sum(ratio) OVER (ORDER BY category) / sum(ratio) OVER () AS hi, category = max(category) OVER () AS fin FROM ratios JOIN z USING (category)), d AS (SELECT i AS draw, ('0x' || substr(md5('42|cat|' || i), 1, 8))::BIGINT / 4294967296 AS u, ('0x' || substr(md5('42|within|' || i), 1, 8))::BIGINT / 4294967296 AS x FROM range(500) r(i)), p AS (SELECT paper_id, l1 AS category, row_number() OVER (PARTITION BY l1 ORDER BY substr(md5('42|row|' || paper_id), 1, 2), paper_id) - 1 AS i FROM papers WHERE l1 IS NOT NULL) SELECT draw, e.category, paper_id FROM d JOIN e ON u >= lo AND (u < hi OR fin) JOIN p ON p.category = e.category AND p.i = floor(x * size)")(lambda t: S.category_weighted_draw(t.papers, t.ratios, 500, SEED))
-query("x18_training_examples", ", s AS (SELECT user_id, CASE WHEN i <= 10 THEN 'test' WHEN i IS NULL THEN 'train' ELSE 'val' END AS selection FROM (SELECT DISTINCT user_id FROM split) LEFT JOIN (SELECT user_id, row_number() OVER (ORDER BY md5('42|users|' || user_id), user_id) AS i FROM best WHERE user_id % 3 = 0) USING (user_id)) SELECT user_id, paper_id, rating, l1, l2, t // 1000000 AS second, row_number() OVER (PARTITION BY user_id ORDER BY rating DESC, t, paper_id) AS place FROM split JOIN s USING (user_id) LEFT JOIN papers USING (paper_id) WHERE selection = 'train' OR (selection = 'val' AND split = 'train')")(lambda t: S.training_examples(t.split, X.partition_users(t.split.filter("user_id % 3 = 0"), t.split, 10, SEED), t.papers))
+query("x18_training_examples", ", s AS (SELECT user_id, CASE WHEN i <= 10 THEN 'test' WHEN i IS NULL THEN 'train' ELSE 'val' END AS selection FROM (SELECT DISTINCT user_id FROM split) LEFT JOIN (SELECT user_id, row_number() OVER (ORDER BY md5('42|users|' || user_id), user_id) AS i FROM (SELECT user_id FROM split GROUP BY 1 HAVING count(*) FILTER (rating = 1) >= 30 AND count(*) FILTER (rating = 0) >= 20 AND count(DISTINCT session_id) >= 5)) USING (user_id)) SELECT user_id, paper_id, rating, l1, l2, t // 1000000 AS second, row_number() OVER (PARTITION BY user_id ORDER BY rating DESC, t, paper_id) AS place FROM split JOIN s USING (user_id) LEFT JOIN papers USING (paper_id) WHERE selection = 'train' OR (selection = 'val' AND split = 'train')")(lambda t: S.training_examples(t.split, X.partition_users(P.filter_users_min_votes(t.split, 30, 20, 5), t.split, 10, SEED), t.papers))
 query("v2_concat", "SELECT paper_id, 2 * len(v) AS width, round(v[1], 6) AS middle FROM emb")(lambda t: t.emb.withColumn("e", V.concat_embeddings("embedding", "embedding")).select("paper_id", F.size("e").alias("width"), F.round(F.element_at("e", F.size("embedding") + 1), 6).alias("middle")))
 query("v3_category_vectors", ", s AS (SELECT l1 AS category, pos, sum(x / (1 + paper_id % 3)) AS x FROM (SELECT l1, paper_id, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM emb JOIN papers USING (paper_id) WHERE l1 IS NOT NULL) GROUP BY ALL) SELECT category, round(sum(x / n), 6) AS total FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY category)) AS n FROM s) GROUP BY 1")(lambda t: V.category_vectors(t.papers.filter("l1 IS NOT NULL").select(F.col("l1").alias("category"), F.col("paper_id").alias("word"), (1 / (1 + F.col("paper_id") % 3)).alias("weight")), t.emb.select(F.col("paper_id").alias("word"), F.col("embedding").alias("vec")), "unit").select("category", F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 6).alias("total")))
 query("v6_sinusoidal", ", d AS (SELECT user_id, session_id, (t_min - min(t_min) OVER (PARTITION BY user_id)) // 86400000000 AS d FROM sessions) SELECT user_id, session_id, round(sin(d), 6) AS s0, round(cos(d), 6) AS c0, round(sin(d * 0.01::DOUBLE), 6) AS s1, round(cos(d * 0.01::DOUBLE), 6) AS c1 FROM d")(lambda t: P.session_days_passed(P.session_table(t.rat)).withColumn("e", V.sinusoidal_encoding("days_passed", 4)).select("user_id", "session_id", *[F.round(F.element_at("e", i + 1), 6).alias(n) for i, n in enumerate(("s0", "c0", "s1", "c1"))]))

@@ -173,7 +173,7 @@ query("f6_first_split", f"SELECT DISTINCT user_id FROM split GROUP BY user_id HA
 query("f7_not_in_category", "SELECT user_id FROM signif WHERE rank = 1 AND category <> 'C0'")(lambda t: P.users_not_in_category(t.signif, "C0"))
 query("f9_outcome", "SELECT user_id, paper_id, t, CASE WHEN logit >= 0 AND label = 1 THEN 'TP' WHEN logit >= 0 THEN 'FP' WHEN label = 1 THEN 'FN' ELSE 'TN' END AS outcome FROM pred")(lambda t: t.pred.withColumn("proba", V.sigmoid("logit")).select("user_id", "paper_id", "t", M.classification_outcome().alias("outcome")))
 query("j1_flag_membership", "SELECT paper_id, in_cache, paper_id IN (SELECT paper_id FROM votes WHERE rating <> 2) AS in_ratings FROM papers")(lambda t: P.flag_membership(t.papers, t.votes).select("paper_id", "in_cache", "in_ratings"))
-query("j2_complete_categories", "SELECT DISTINCT v.paper_id, l1, l2 FROM votes v LEFT JOIN papers p ON v.paper_id = p.paper_id AND p.paper_id % 5 <> 0")(lambda t: P.complete_categories(t.votes.select("paper_id").distinct(), t.papers.filter("paper_id % 5 <> 0").select("paper_id", "l1", "l2")))
+query("j2_complete_categories", "SELECT DISTINCT v.paper_id, l1, l2 FROM votes v LEFT JOIN papers p ON v.paper_id = p.paper_id AND l1 IS NOT NULL")(lambda t: P.complete_categories(t.votes.select("paper_id").distinct(), t.papers.filter("l1 IS NOT NULL").select("paper_id", "l1", "l2")))
 query("j3_attach_categories", "SELECT v.*, l1, l2 FROM votes v LEFT JOIN papers USING (paper_id)")(lambda t: P.attach_categories(t.votes, t.papers))
 query("j4_neutral_sessions", "SELECT * FROM every")(lambda t: P.assign_neutral_to_sessions(t.sess, t.cat.filter("rating = 2")))
 query("j5_closest_negatives", "SELECT user_id, paper_id, t, neg_paper_id, place FROM closest")(lambda t: t.closest.select("user_id", "paper_id", "t", "neg_paper_id", "place"))
