@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, mean_vectors, sigmoid, sigmoid_predict
+from .large_models import fit_large
 
 EPS = 1e-15
 
@@ -143,14 +144,16 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float, ste
 
 #: Papers of the shared cache that a fit may hold; the matrix goes to every task.
 MAX_CACHE = 20_000
+#: Votes of a user that one task fits; users with more are fitted in rounds over parts of this size.
+MAX_VOTES = 200_000
 
 
-def train_user_models(votes: DataFrame, embeddings: DataFrame, weights: DataFrame, cache: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
+def train_user_models(votes: DataFrame, embeddings: DataFrame, weights: DataFrame, cache: DataFrame | None = None, by: list[str] | None = None, max_votes: int = MAX_VOTES) -> DataFrame:
     """by, combination_idx, coef, intercept: logistic fits of each user's rated votes and the shared cache papers as negatives.
 
     weights: by, combination_idx, c, w_pos, w_neg (and w_cache): a row for each fit, see class_weights. Votes and
     weights of a user meet once, for all combinations. cache: paper_id, at most MAX_CACHE. by: user_id, or with more
-    keys (a fold) for more fits.
+    keys (a fold) for more fits. Users with more than max_votes rated votes go to fit_large; votes are counted first.
     """
     by = by or ["user_id"]
     spark = votes.sparkSession
@@ -176,10 +179,17 @@ def train_user_models(votes: DataFrame, embeddings: DataFrame, weights: DataFram
                 out.append((*key, g.combination_idx, theta[:-1], theta[-1]))
         return pd.DataFrame(out, columns=[*by, "combination_idx", "coef", "intercept"])
 
-    rated = votes.filter("rating <> 2").join(embeddings, "paper_id").select(*by, "rating", "embedding")
+    mine = votes.filter("rating <> 2")
+    rated = mine.withColumn("_h", F.xxhash64(*votes.columns)).join(embeddings, "paper_id").select(*by, "rating", "embedding", "_h")
     keys = ", ".join(f"{k} {dict(votes.dtypes)[k]}" for k in by)
     weights = weights.select(*[F.col(c).alias(c) for c in weights.columns])  # columns of its own, where it comes from the same votes
-    return rated.groupBy(*by).cogroup(weights.groupBy(*by)).applyInPandas(fit, f"{keys}, combination_idx int, coef array<double>, intercept double")
+    many = mine.groupBy(*by).agg(F.count("*").alias("_m")).filter(F.col("_m") > max_votes).select(*by, F.ceil(F.col("_m") / max_votes).cast("int").alias("_m"))
+    schema = f"{keys}, combination_idx int, coef array<double>, intercept double"
+    if many.isEmpty():
+        return rated.drop("_h").groupBy(*by).cogroup(weights.groupBy(*by)).applyInPandas(fit, schema)
+    large = rated.join(many, by).withColumn("_p", F.pmod("_h", "_m").cast("int")).drop("_h", "_m")
+    small = rated.drop("_h").join(many, by, "left_anti").groupBy(*by).cogroup(weights.join(many, by, "left_anti").groupBy(*by)).applyInPandas(fit, schema)
+    return small.unionByName(fit_large(large, many, weights, by, extra))
 
 
 def hyperparameter_grid(spark, **values: list) -> DataFrame:
