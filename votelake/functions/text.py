@@ -40,7 +40,9 @@ def grams(words: Column) -> Column:
 
 
 def term_counts(texts: DataFrame, text: str, stop: list[str]) -> DataFrame:
-    return texts.select("paper_id", F.explode(grams(tokens(text, stop))).alias("term")).groupBy("paper_id", "term").agg(F.count("*").alias("tf"))
+    words = texts.select("paper_id", tokens(text, stop).alias("words"))  # a column of its own: grams names the words several times
+    terms = words.select("paper_id", F.explode(grams(F.col("words"))).alias("term")).filter("term IS NOT NULL")  # as a later join asks, so that both uses of the counts have one plan
+    return terms.groupBy("paper_id", "term").agg(F.count("*").alias("tf"))
 
 
 def fit_tfidf(counts: DataFrame, texts: DataFrame, max_features: int, min_df: int = 1, max_df: float = 1.0) -> DataFrame:
