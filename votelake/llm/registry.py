@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontamination, licenses, lines, mixing, pii, quality, sharding, simhash, substrings, urls
+from . import alignment, decontamination, licenses, lines, mixing, pii, quality, sharding, simhash, substrings, token_files, urls, variants
 
 
 def queries() -> dict:
@@ -19,6 +19,9 @@ def queries() -> dict:
         "op8_pii": pii.op8_pii,
         "op9_simhash": simhash.op9_simhash,
         "op10_line_dedup": lines.op10_line_dedup,
+        "op11_alignment": alignment.op11_alignment,
+        "op12_token_files": token_files.op12_token_files,
+        "op13_variants": variants.op13_variants,
         "pipeline": corpus_pipeline.run,
     }
 
