@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import zlib
+from bisect import bisect_right
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -53,7 +54,7 @@ def brute_alignment(rows):
         at_a, at_b = dict(zip(ends[0], a)), dict(zip(ends[1], b))
         links = [(at_a[e], at_b[e]) for e in shared]
         count.update(links)
-        groups = [[",".join(str(i) for i, e in zip(ids, own) if low < e <= high) for ids, own in ((a, ends[0]), (b, ends[1]))] for low, high in zip([0, *shared], shared)]
+        groups = [[",".join(map(str, ids[bisect_right(own, low) : bisect_right(own, high)])) for ids, own in ((a, ends[0]), (b, ends[1]))] for low, high in zip([0, *shared], shared)]
         docs.append((doc_id, len(a), len(b), links, ";".join("|".join(g) for g in groups)))
     best = defaultdict(int)
     for (_, b), n in count.items():
@@ -201,9 +202,9 @@ def brute_variants(counts, times=5):
     rows = []
     for w, (n, k) in out.items():
         root = w
-        while forms[root]:
+        while forms[root] is not None:
             root = forms[root]
-        rows.append((w, forms[w], root, n, k, counts[forms[w]] if forms[w] else None))
+        rows.append((w, forms[w], root, n, k, counts.get(forms[w])))
     return rows
 
 
