@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sums import array_sums
+
 
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -48,25 +50,27 @@ def sinusoidal_encoding(days: Column | str, dim: int) -> Column:
 
 
 def vector_sums(df: DataFrame, by: list[str], v: str) -> DataFrame:
-    """by, n, sum: element-wise sums, from one row for each group and place (map-side sums; no group is gathered)."""
-    parts = df.select(*by, F.posexplode(v).alias("pos", "x")).groupBy(*by, "pos").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "x")))
-    return parts.groupBy(*by).agg(F.max("n").alias("n"), F.transform(ordered, lambda e: e["x"]).alias("sum"))
+    """by, n, sum: element-wise sums; a task passes on one row for each of its groups."""
+    return array_sums(df, by, v).select(*by, "n", F.col(v).alias("sum"))
 
 
 def mean_vectors(df: DataFrame, by: list[str], v: str) -> DataFrame:
     return vector_sums(df, by, v).withColumn("mean", F.transform("sum", lambda x: x / F.col("n")))
 
 
+def unit_sums(df: DataFrame, by: list[str], v: str) -> DataFrame:
+    """by, n, sum of the unit vectors, and nz, how many of the vectors aren't zero: one pass, the count as one more place of the array."""
+    rows = df.select(*by, F.concat(l2_normalize(v), F.array((norm(v) > 0).cast("double"))).alias("_u"))
+    return array_sums(rows, by, "_u").select(*by, "n", F.slice("_u", F.lit(1), F.size("_u") - 1).alias("sum"), F.element_at("_u", -1).alias("nz"))
+
+
 def mean_pairwise_cosine(df: DataFrame, by: list[str], v: str) -> DataFrame:
     """by, n, cosine: the mean over pairs of a group, (|S|^2 - n_nonzero) / (n (n - 1)) from the sum S of unit vectors; NULL for one vector.
 
     Linear in the rows: no pair is made.
     """
-    unit = df.select(*by, l2_normalize(v).alias("u"), (norm(v) > 0).cast("long").alias("nz"))
-    sums = vector_sums(unit, by, "u").join(unit.groupBy(*by).agg(F.sum("nz").alias("nz")), by)
     n = F.col("n")
-    return sums.select(*by, "n", F.when(n > 1, (dot("sum", "sum") - F.col("nz")) / (n * (n - 1))).alias("cosine"))
+    return unit_sums(df, by, v).select(*by, "n", F.when(n > 1, (dot("sum", "sum") - F.col("nz")) / (n * (n - 1))).alias("cosine"))
 
 
 def mean_cosine_between(a: DataFrame, b: DataFrame, by: list[str], v: str) -> DataFrame:
@@ -78,10 +82,15 @@ def mean_cosine_between(a: DataFrame, b: DataFrame, by: list[str], v: str) -> Da
 
 def standardize(df: DataFrame, fit: DataFrame, v: str) -> DataFrame:
     """z-scores by the mean and population deviation of fit's vectors; a dimension that doesn't vary is only centred."""
-    parts = fit.select(F.posexplode(v).alias("pos", "x")).groupBy("pos").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
-    stats = parts.agg(F.array_sort(F.collect_list(F.struct("pos", "m", "s"))).alias("st"))  # a row as wide as the vectors
-    z = F.zip_with(col(v), F.col("st"), lambda x, s: (x - s["m"]) / F.when(s["s"] == 0, 1.0).otherwise(s["s"]))
-    return df.crossJoin(F.broadcast(stats)).withColumn(v, z).drop("st")
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    both = Summarizer.metrics("mean", "variance", "count").summary(F.col("_x"))
+    stats = fit.select(array_to_vector(F.col(v).cast("array<double>")).alias("_x")).agg(both.alias("s"))  # a row as wide as the vectors
+    stats = stats.select(vector_to_array("s.mean").alias("_m"), vector_to_array("s.variance").alias("_q"), F.col("s.count").alias("_n"))
+    st = F.arrays_zip("_m", F.transform("_q", lambda q: F.sqrt(q * (F.col("_n") - 1) / F.col("_n"))).alias("_s"))
+    z = F.zip_with(col(v), F.col("st"), lambda x, s: (x - s["_m"]) / F.when(s["_s"] == 0, 1.0).otherwise(s["_s"]))
+    return df.crossJoin(F.broadcast(stats.select(st.alias("st")))).withColumn(v, z).drop("st")
 
 
 def override_embeddings(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -143,9 +152,8 @@ def compare_embeddings(before: DataFrame, after: DataFrame, papers: DataFrame, l
 def cluster_similarity(embeddings: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     """Per cluster: mean cosine inside, mean cosine to all other clusters, and (inside - outside) / the larger. From sums; clusters are few."""
     rows = embeddings.join(labels.select("paper_id", label).filter(F.col(label).isNotNull()), "paper_id")
-    unit = rows.select(label, l2_normalize("embedding").alias("u"), (norm("embedding") > 0).cast("long").alias("nz"))
-    sums = vector_sums(unit, [label], "u").join(unit.groupBy(label).agg(F.sum("nz").alias("nz")), label)
-    whole = vector_sums(unit.withColumn("_g", F.lit(1)), ["_g"], "u").select(F.col("n").alias("_n"), F.col("sum").alias("_s"))
+    sums = unit_sums(rows, [label], "embedding")
+    whole = vector_sums(rows.select(l2_normalize("embedding").alias("u")), [], "u").select(F.col("n").alias("_n"), F.col("sum").alias("_s"))
     n, rest = F.col("n"), F.col("_n") - F.col("n")
     own = dot("sum", "sum")
     out = sums.crossJoin(F.broadcast(whole)).select(label, "n", F.when(n > 1, (own - F.col("nz")) / (n * (n - 1))).alias("inside"), F.when(rest > 0, (dot("sum", "_s") - own) / (n * rest)).alias("outside"))
@@ -173,7 +181,7 @@ def pca(df: DataFrame, fit: DataFrame, v: str, dim: int) -> DataFrame:
     first = fit.select(F.size(v).alias("w")).first()
     if first is None or dim >= first["w"]:
         return df
-    mean = mean_vectors(fit.withColumn("_g", F.lit(1)), ["_g"], v).select(F.col("mean").alias("_m"))
+    mean = mean_vectors(fit, [], v).select(F.col("mean").alias("_m"))
     centred = lambda d: d.crossJoin(F.broadcast(mean)).withColumn("_c", array_to_vector(F.zip_with(v, "_m", lambda x, m: x - m)))
     model = PCA(k=dim, inputCol="_c", outputCol="_p").fit(centred(fit))
     return model.transform(centred(df)).withColumn(v, l2_normalize(vector_to_array("_p"))).drop("_m", "_c", "_p")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot, l2_normalize, mean_cosine_between, mean_pairwise_cosine, norm
+from ..functions.vectors import dot, mean_cosine_between, mean_pairwise_cosine, norm, unit_sums
 from .prepare import DAY, by_user
 from .scoring import fit_logistic
 
@@ -19,16 +22,18 @@ def history_for_session(votes: DataFrame, min_pos: int = 5, max_rated: int = 500
 
     The history has the last max_sessions sessions that end within max_days; where these hold fewer than min_pos
     up-votes it goes back to the latest session from which there are enough, or to the first. Of it the last max_rated
-    votes stay. Starts are found on a row for each session, so votes are joined once, with bounded ranges.
+    votes stay. Starts are found by frames over a row for each session, so votes are joined once, with bounded ranges.
     """
     s = votes.groupBy("user_id", "session_id").agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.count_if(F.col("rating") == 1).alias("up"), F.max((F.col("split") == "val").cast("int")).alias("val"))
     s = s.withColumn("before", F.coalesce(F.sum("up").over(by_user().orderBy("session_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    now = s.filter("val = 1").select("user_id", F.col("session_id").alias("val_session"), F.col("t0").alias("val_t"), F.col("before").alias("all_up"))
-    pairs = now.join(s.select("user_id", "session_id", "t1", "before"), "user_id").filter("session_id < val_session")
-    recent = (F.col("session_id") >= F.col("val_session") - max_sessions) & (F.col("t1") >= F.col("val_t") - max_days * DAY)
-    enough = F.col("all_up") - F.col("before") >= min_pos
-    first = F.least(F.coalesce(F.min(F.when(recent, F.col("session_id"))), F.col("val_session")), F.coalesce(F.max(F.when(enough, F.col("session_id"))), F.lit(0)))
-    starts = pairs.groupBy(*SESSION, "val_t").agg(first.alias("start"))
+    # all on one sort of a user's sessions: the last max_sessions before a session are a frame of rows, and those from which enough
+    # up-votes follow are a frame of values of the running number, which only grows
+    late = F.collect_list(F.struct("session_id", "t1")).over(by_user().orderBy("session_id").rowsBetween(-max_sessions, -1))
+    enough = F.max("session_id").over(by_user().orderBy("before").rangeBetween(Window.unboundedPreceding, -min_pos)) if min_pos > 0 else F.col("session_id")
+    s = s.withColumn("_late", late).withColumn("_enough", enough).filter("val = 1")
+    recent = F.filter("_late", lambda h: (h["session_id"] >= F.col("session_id") - max_sessions) & (h["t1"] >= F.col("t0") - max_days * DAY))
+    first = F.least(F.coalesce(F.array_min(F.transform(recent, lambda h: h["session_id"])), F.col("session_id")), F.coalesce("_enough", F.lit(0)))
+    starts = s.select("user_id", F.col("session_id").alias("val_session"), F.col("t0").alias("val_t"), first.alias("start"))
     # sessions are numbered without gaps, so a start and an end name all that lie between; votes meet only histories that they are in
     named = starts.filter("start < val_session").withColumn("session_id", F.explode(F.sequence(F.col("start").cast("long"), F.col("val_session").cast("long") - 1)))
     rows = votes.join(named, ["user_id", "session_id"])
@@ -80,19 +85,31 @@ def interest_drift(split: DataFrame, embeddings: DataFrame, n: int = 10) -> Data
     return first.join(last, "user_id").join(mean_pairwise_cosine(val, ["user_id"], "embedding").select("user_id", F.col("cosine").alias("within_val")), "user_id")
 
 
+def cohesion_so_far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """user_id, c of each validation session, from sums of sessions (user_id, session_id, n, sum, nz, val) sorted by user and session."""
+    user, total, n, nz = None, 0.0, 0, 0.0
+    for batch in batches:
+        users, found = [], []
+        for k, (u, more, z, val) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("user_id", "n", "nz", "val")))):
+            if u != user:
+                user, total, n, nz = u, 0.0, 0, 0.0
+            total, n, nz = total + batch.column("sum")[k].values.to_numpy(), n + more, nz + z
+            if val and n > 1:
+                users.append(u)
+                found.append((total @ total - nz) / (n * (n - 1)))
+        yield pa.RecordBatch.from_arrays([pa.array(users, pa.int64()), pa.array(found, pa.float64())], names=["user_id", "c"])
+
+
 def history_cohesion(split: DataFrame, embeddings: DataFrame) -> DataFrame:
     """Per user: mean over validation sessions with up-votes of the mean cosine among all up-votes so far.
 
-    Sums of unit vectors run along the sessions a dimension at a time; no pair and no history is built.
+    A session is one row, its sum of unit vectors; these are added up along each user's sessions in one sorted pass. No pair and no history is built.
     """
     up = with_vectors(split.filter("rating = 1"), embeddings)
-    unit = up.select("user_id", "session_id", (F.col("split") == "val").cast("int").alias("val"), l2_normalize("embedding").alias("u"), (norm("embedding") > 0).cast("long").alias("nz"))
-    run = Window.partitionBy("user_id", "pos").orderBy("session_id").rowsBetween(Window.unboundedPreceding, 0)
-    sums = unit.select("user_id", "session_id", "val", "nz", F.posexplode("u").alias("pos", "x")).groupBy("user_id", "pos", "session_id").agg(F.sum("x").alias("x"), F.count("*").alias("n"), F.sum("nz").alias("nz"), F.max("val").alias("val"))
-    sums = sums.select("user_id", "session_id", "val", F.sum("x").over(run).alias("x"), F.sum("n").over(run).alias("n"), F.sum("nz").over(run).alias("nz")).filter("val = 1")
-    n = F.max("n")
-    per = sums.groupBy("user_id", "session_id").agg(F.when(n > 1, (F.sum(F.col("x") * F.col("x")) - F.max("nz")) / (n * (n - 1))).alias("c")).filter("c IS NOT NULL")
-    return per.groupBy("user_id").agg(F.avg("c").alias("cohesion"), F.count("c").alias("n_sessions"))
+    val = up.groupBy("user_id", "session_id").agg(F.max((F.col("split") == "val").cast("int")).alias("val"))
+    sums = unit_sums(up, ["user_id", "session_id"], "embedding").join(val, ["user_id", "session_id"])
+    rows = sums.repartition("user_id").sortWithinPartitions("user_id", "session_id").select("user_id", "session_id", "n", "sum", "nz", "val")
+    return rows.mapInArrow(cohesion_so_far, "user_id long, c double").groupBy("user_id").agg(F.avg("c").alias("cohesion"), F.count("c").alias("n_sessions"))
 
 
 def user_geometry(split: DataFrame, embeddings: DataFrame) -> DataFrame:

@@ -1,27 +1,19 @@
-"""Logistic fits of users with more votes than one task should hold: sums over parts of the votes, a job for each round."""
+"""Logistic fits of keys with more rows than one task should hold: Newton's rounds, each one pass of sums over the key's blocks."""
 
 from __future__ import annotations
 
-import tempfile
+from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-STATE = "c double, w_pos double, w_neg double, w_cache double, theta array<double>, step array<double>, size double, value double, slope double, done boolean"
+from ..functions.blocks import BLOCK_BYTES, ROUND_BYTES, batches_of, pack, round_of_sums, shared_path
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """Written to the shared folder of spark.checkpoint.dir and read from there; a temporary folder only where all runs on this machine."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if named is None and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="votelake-"))
-    return df.checkpoint()
+#: A fit ends when Newton's decrement is this part of the loss: a relative rule, as sums over more votes resolve less.
+DECREMENT = 1e-12
+HALVINGS = 30
 
 
 def with_ones(x: np.ndarray) -> np.ndarray:
@@ -36,65 +28,82 @@ def sums_at(z: np.ndarray, y: np.ndarray, weight: np.ndarray, theta: np.ndarray)
     return np.concatenate([[weight @ (np.logaddexp(0, m) - y * m)], z.T @ (weight * (p - y)), curve.ravel()])
 
 
-def advance(row: pd.Series, sums: np.ndarray, tol: float) -> dict:
-    """The next state of a fit from the sums at theta - size * step: go there if the loss fell, else halve the step."""
-    theta, step = np.array(row.theta, float), np.array(row.step, float)
-    k = len(theta)
-    ridge = np.append(np.ones(k - 1), 0.0)
-    trial = theta - row["size"] * step
-    value = 0.5 * ridge @ trial**2 + row.c * sums[0]
-    if row.value is not None and np.isfinite(row.value) and value > row.value - 1e-4 * row["size"] * row.slope and row["size"] > 1e-8:
-        return {"size": row["size"] / 2}
-    g = ridge * trial + row.c * sums[1 : k + 1]
-    d = np.linalg.solve(row.c * sums[k + 1 :].reshape(k, k) + np.diag(ridge + 1e-10), g)
-    return {"theta": trial, "step": d, "size": 1.0, "value": float(value), "slope": float(g @ d), "done": bool(np.abs(g).max() < tol)}
-
+@dataclass
+class Fit:
+    """A damped Newton fit of |w|^2 / 2 + c * weighted log-loss; the intercept isn't penalised.
 
-def fit_large(rated: DataFrame, parts: DataFrame, weights: DataFrame, by: list[str], extra: Broadcast | None, rounds: int = 100, tol: float = 1e-9) -> DataFrame:
-    """by, combination_idx, coef, intercept for the users of parts.
+    Each call of `advance` takes the sums at `at()`: it goes there if the loss fell enough, else halves the step. Once the decrement is
+    below the relative bound, the last step is taken whole and the fit is done; a step that has been halved too often ends it unconverged.
+    """
 
-    rated: by, rating, embedding and _p, the part of the user's votes; parts: by and the number of parts _m. A task holds
-    one part, and for each fit one sum a part. Each round reads the votes of fits that are not done; the fits' states are
-    cut, so that a lost executor repeats one round at most. A fit that isn't done after the rounds keeps its last place.
+    c: float
+    width: int
+    theta: np.ndarray = field(init=False)
+    step: np.ndarray = field(init=False)
+    size: float = 1.0
+    value: float = np.inf
+    slope: float = 0.0
+    done: bool = False
+    converged: bool = False
+
+    def __post_init__(self) -> None:
+        self.theta, self.step = np.zeros(self.width + 1), np.zeros(self.width + 1)
+
+    def at(self) -> np.ndarray:
+        return self.theta - self.size * self.step
+
+    def advance(self, sums: np.ndarray) -> None:
+        k, trial = self.width + 1, self.at()
+        ridge = np.append(np.ones(k - 1), 0.0)
+        value = 0.5 * ridge @ trial**2 + self.c * sums[0]
+        room = DECREMENT * (1 + abs(value))  # differences of the loss below this are rounding
+        if not value <= self.value - 1e-4 * self.size * self.slope + room:
+            self.size /= 2
+            self.done = self.size < 0.5**HALVINGS
+            return
+        g = ridge * trial + self.c * sums[1 : k + 1]
+        d = np.linalg.solve(self.c * sums[k + 1 :].reshape(k, k) + np.diag(ridge + 1e-10), g)
+        self.theta, self.step, self.size, self.value, self.slope = trial, d, 1.0, value, float(g @ d)
+        if self.slope <= room:
+            self.theta, self.done, self.converged = trial - d, True, True
+
+
+def fit_large(rated: DataFrame, weights: DataFrame, by: list[str], extra: Broadcast | None, rounds: int = 100, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """by, combination_idx, coef, intercept, converged for the keys of rated.
+
+    rated: by, rating, embedding and _h, a hash of the vote; weights: by, combination_idx, c, w_pos, w_neg and perhaps w_cache. Votes are
+    laid out in blocks once. Fits go in batches whose Hessians are bounded; a batch ends when its fits are done, or after the rounds, which `converged` tells.
     """
+    spark = rated.sparkSession
+    blocks = pack(rated, by, "rating", "embedding", "_h", block_bytes)
+    first = blocks.select(F.size(F.col("vectors")[0]).alias("w")).first()
     keys = ", ".join(f"{k} {dict(rated.dtypes)[k]}" for k in by)
-    each = [*by, "combination_idx"]
+    schema = f"{keys}, combination_idx int, coef array<double>, intercept double, converged boolean"
+    if first is None:
+        return spark.createDataFrame([], schema)
+    width, out = first["w"], shared_path(rated)
+    spark.createDataFrame([], schema).write.parquet(out)
     w_cache = F.col("w_cache") if "w_cache" in weights.columns else F.lit(0.0)
-    own = weights.join(parts.select(*by), by).select(*each, "c", "w_pos", "w_neg", w_cache.alias("w_cache"))
-    width = rated.select(F.size("embedding").alias("w")).first()
-    if width is None:
-        return own.select(*each, F.array().cast("array<double>").alias("coef"), F.lit(0.0).alias("intercept")).limit(0)
-    zeros = F.array_repeat(F.lit(0.0), width["w"] + 1)
-    schema = f"{keys}, combination_idx int, {STATE}"
-    state = own.select(*by, F.col("combination_idx").cast("int"), *[F.col(x).cast("double") for x in ("c", "w_pos", "w_neg", "w_cache")], zeros.alias("theta"), zeros.alias("step"), F.lit(1.0).alias("size"), F.lit(None).cast("double").alias("value"), F.lit(0.0).alias("slope"), F.lit(False).alias("done"))
-    state = cut(state)
-
-    def partial(key: tuple, votes: pd.DataFrame, fits: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(votes):
-            z, y = with_ones(np.stack(votes.embedding.to_numpy())), votes.rating.to_numpy(float)
-            for f in fits.itertuples():
-                at = np.array(f.theta) - f.size * np.array(f.step)
-                out.append((*key[:-1], f.combination_idx, sums_at(z, y, np.where(y == 1, f.w_pos, f.w_neg), at)))
-        return pd.DataFrame(out, columns=[*each, "sums"])
-
-    def update(key: tuple, sums: pd.DataFrame, fits: pd.DataFrame) -> pd.DataFrame:
-        fits = fits.astype(object)
-        for i, row in fits.iterrows():
-            if row.done or not len(sums):
-                continue
-            total = np.sum(np.stack(sums.sums.to_numpy()), axis=0)
-            if extra is not None and extra.value is not None:
-                z = with_ones(extra.value)
-                total = total + sums_at(z, np.zeros(len(z)), np.full(len(z), row.w_cache), np.array(row.theta) - row["size"] * np.array(row.step))
-            for name, x in advance(row, total, tol).items():
-                fits.at[i, name] = x
-        return fits
-
-    for _ in range(rounds):
-        open_ = state.filter("NOT done").join(parts, by).withColumn("_p", F.explode(F.sequence(F.lit(0), F.col("_m") - 1))).drop("_m")
-        if open_.isEmpty():
-            break
-        sums = rated.groupBy(*by, "_p").cogroup(open_.groupBy(*by, "_p")).applyInPandas(partial, f"{keys}, combination_idx int, sums array<double>")
-        state = cut(sums.groupBy(*each).cogroup(state.groupBy(*each)).applyInPandas(update, schema))
-    return state.select(*each, F.slice("theta", 1, width["w"]).alias("coef"), F.element_at("theta", -1).alias("intercept"))
+    wanted = weights.join(blocks.select(*by).distinct(), by, "left_semi").select(*by, F.col("combination_idx").cast("int").alias("combination_idx"), *[F.col(c).cast("double").alias(c) for c in ("c", "w_pos", "w_neg")], w_cache.cast("double").alias("w_cache"))
+    for rows in batches_of(wanted.sort(*by, "combination_idx").toLocalIterator(), lambda _: 8 * (width + 1) ** 2, ROUND_BYTES):
+        fits = [Fit(r.c, width) for r in rows]
+        for _ in range(rounds):
+            requests: dict[tuple, list] = {}
+            for k, (r, fit) in enumerate(zip(rows, fits)):
+                if not fit.done:
+                    requests.setdefault(tuple(r[b] for b in by), []).append((k, (fit.at(), r.w_pos, r.w_neg)))
+            if not requests:
+                break
+            for k, sums in round_of_sums(blocks, by, requests, votes_at).items():
+                if extra is not None and extra.value is not None:
+                    z = with_ones(extra.value)
+                    sums = sums + sums_at(z, np.zeros(len(z)), np.full(len(z), rows[k].w_cache), fits[k].at())
+                fits[k].advance(sums)
+        found = [(*(r[b] for b in by), r.combination_idx, f.theta[:-1].tolist(), float(f.theta[-1]), f.converged) for r, f in zip(rows, fits)]
+        spark.createDataFrame(found, schema).write.mode("append").parquet(out)
+    return spark.read.schema(schema).parquet(out)
+
+
+def votes_at(x: np.ndarray, y: np.ndarray, request: tuple) -> np.ndarray:
+    at, w_pos, w_neg = request
+    return sums_at(with_ones(x), y, np.where(y == 1, w_pos, w_neg), at)

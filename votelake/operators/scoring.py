@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, mean_vectors, sigmoid, sigmoid_predict
-from .large_models import fit_large
 
 EPS = 1e-15
 
@@ -119,42 +118,38 @@ def softmax_metrics(pos: DataFrame, negatives: DataFrame, keys: list[str], tempe
     return sums.withColumn("share", share).select(*pos.columns, "share", (-F.log(F.col("share") + 1e-10)).alias("info_nce"))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float, steps: int = 50, tol: float = 1e-9) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float, rounds: int = 100) -> np.ndarray:
     """Coefficients and intercept minimising |w|^2 / 2 + c * sum(weight * log-loss); the intercept isn't penalised. Damped Newton."""
-    z = np.hstack([x, np.ones((len(x), 1))])
-    theta = np.zeros(z.shape[1])
-    ridge = np.append(np.ones(x.shape[1]), 0.0)
-
-    def value(t: np.ndarray) -> float:
-        m = z @ t
-        return 0.5 * float(ridge @ t**2) + c * float(weight @ (np.logaddexp(0, m) - y * m))
-
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-(z @ theta)))
-        g = ridge * theta + c * z.T @ (weight * (p - y))
-        if np.abs(g).max() < tol:
+    return converged_fit(x, y, weight, c, rounds)[0]
+
+
+def converged_fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float, rounds: int = 100) -> tuple[np.ndarray, bool]:
+    """fit_logistic and whether it ended by its own rule."""
+    from .large_models import Fit, sums_at, with_ones
+
+    z, fit = with_ones(x), Fit(c, x.shape[1])
+    for _ in range(rounds):
+        if fit.done:
             break
-        h = (z * (c * weight * p * (1 - p))[:, None]).T @ z + np.diag(ridge + 1e-10)
-        d, size, now = np.linalg.solve(h, g), 1.0, value(theta)
-        while value(theta - size * d) > now - 1e-4 * size * float(g @ d) and size > 1e-8:
-            size /= 2
-        theta = theta - size * d
-    return theta
+        fit.advance(sums_at(z, y, weight, fit.at()))
+    return fit.theta, fit.converged
 
 
 #: Papers of the shared cache that a fit may hold; the matrix goes to every task.
 MAX_CACHE = 20_000
-#: Votes of a user that one task fits; users with more are fitted in rounds over parts of this size.
-MAX_VOTES = 200_000
+#: Bytes of a user's vectors that one task fits; users with more are fitted in rounds over blocks.
+MAX_BYTES = 64 << 20
 
 
-def train_user_models(votes: DataFrame, embeddings: DataFrame, weights: DataFrame, cache: DataFrame | None = None, by: list[str] | None = None, max_votes: int = MAX_VOTES) -> DataFrame:
-    """by, combination_idx, coef, intercept: logistic fits of each user's rated votes and the shared cache papers as negatives.
+def train_user_models(votes: DataFrame, embeddings: DataFrame, weights: DataFrame, cache: DataFrame | None = None, by: list[str] | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """by, combination_idx, coef, intercept, converged: logistic fits of each user's rated votes and the shared cache papers as negatives.
 
     weights: by, combination_idx, c, w_pos, w_neg (and w_cache): a row for each fit, see class_weights. Votes and
     weights of a user meet once, for all combinations. cache: paper_id, at most MAX_CACHE. by: user_id, or with more
-    keys (a fold) for more fits. Users with more than max_votes rated votes go to fit_large; votes are counted first.
+    keys (a fold) for more fits. Users whose rated vectors exceed max_bytes go to fit_large; votes are counted first.
     """
+    from .large_models import fit_large
+
     by = by or ["user_id"]
     spark = votes.sparkSession
     extra = None
@@ -175,21 +170,22 @@ def train_user_models(votes: DataFrame, embeddings: DataFrame, weights: DataFram
                 w = np.where(y == 1, g.w_pos, g.w_neg)
                 if shared is not None:
                     w[len(own) :] = g.w_cache
-                theta = fit_logistic(x, y, w, g.c)
-                out.append((*key, g.combination_idx, theta[:-1], theta[-1]))
-        return pd.DataFrame(out, columns=[*by, "combination_idx", "coef", "intercept"])
+                theta, converged = converged_fit(x, y, w, g.c)
+                out.append((*key, g.combination_idx, theta[:-1], theta[-1], converged))
+        return pd.DataFrame(out, columns=[*by, "combination_idx", "coef", "intercept", "converged"])
 
     mine = votes.filter("rating <> 2")
     rated = mine.withColumn("_h", F.xxhash64(*votes.columns)).join(embeddings, "paper_id").select(*by, "rating", "embedding", "_h")
     keys = ", ".join(f"{k} {dict(votes.dtypes)[k]}" for k in by)
     weights = weights.select(*[F.col(c).alias(c) for c in weights.columns])  # columns of its own, where it comes from the same votes
-    many = mine.groupBy(*by).agg(F.count("*").alias("_m")).filter(F.col("_m") > max_votes).select(*by, F.ceil(F.col("_m") / max_votes).cast("int").alias("_m"))
-    schema = f"{keys}, combination_idx int, coef array<double>, intercept double"
+    width = embeddings.select(F.size("embedding").alias("w")).first()
+    most = max(1, max_bytes // (8 * (width["w"] if width else 1)))
+    many = mine.groupBy(*by).agg(F.count("*").alias("_m")).filter(F.col("_m") > most).select(*by)
+    schema = f"{keys}, combination_idx int, coef array<double>, intercept double, converged boolean"
     if many.isEmpty():
         return rated.drop("_h").groupBy(*by).cogroup(weights.groupBy(*by)).applyInPandas(fit, schema)
-    large = rated.join(many, by).withColumn("_p", F.pmod("_h", "_m").cast("int")).drop("_h", "_m")
     small = rated.drop("_h").join(many, by, "left_anti").groupBy(*by).cogroup(weights.join(many, by, "left_anti").groupBy(*by)).applyInPandas(fit, schema)
-    return small.unionByName(fit_large(large, many, weights, by, extra))
+    return small.unionByName(fit_large(rated.join(many, by, "left_semi"), weights, by, extra))
 
 
 def hyperparameter_grid(spark, **values: list) -> DataFrame:

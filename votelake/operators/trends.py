@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot, l2_normalize, mean_cosine_between, mean_pairwise_cosine, norm, vector_sums
+from ..functions.vectors import dot, l2_normalize, mean_cosine_between, mean_pairwise_cosine, unit_sums, vector_sums
 from .prepare import by_user
 from .reports import group_score_table
 from .weights import max_pooling_scores
@@ -48,34 +53,115 @@ def window_scores(rows: DataFrame, axis: str, width: int, value: str, kind: str
     raise ValueError(f"unknown kind {kind}")
 
 
+def place_sums(votes: DataFrame, axis: str, by_kind: list[str]) -> DataFrame:
+    """user_id, _at, the further keys, n and v: sums of unit vectors, with the number of those that aren't zero as their last place."""
+    rows = votes.filter("rating IN (0, 1)").filter(F.col(axis).isNotNull())
+    sums = unit_sums(rows.withColumn("_at", F.col(axis).cast("long")), ["user_id", "_at", *by_kind], "embedding")
+    return sums.select("user_id", "_at", *by_kind, "n", F.concat("sum", F.array("nz")).alias("v"))
+
+
+def among(s: np.ndarray, n: int) -> float | None:
+    """Mean cosine among n vectors with this sum of units."""
+    return float((s[:-1] @ s[:-1] - s[-1]) / (n * (n - 1))) if n > 1 else None
+
+
+def between(a: np.ndarray, n: int, b: np.ndarray, m: int) -> float | None:
+    return float(a[:-1] @ b[:-1] / (n * m)) if n and m else None
+
+
+def cosines_of(width: int):
+    """Windows along each user's places. Rows: user_id, _at (NULL: the user's first part), rating, n, v, _top, sorted by these. Held: the places of one window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        user, start, places, next_i, top = None, {}, deque(), 0, 0
+
+        def up_to(last: int) -> None:
+            """Answers of the windows from next_i on, up to the one around last."""
+            nonlocal next_i
+            for i in range(next_i, last + 1):
+                while places and places[0][0] < i - width:
+                    places.popleft()
+                near = [p for p in places if p[0] <= i + width]
+                if near:
+                    one = [[p[1][r] for p in near if r in p[1]] for r in (0, 1)]
+                    (s0, n0), (s1, n1) = ((sum(v for v, _ in side), sum(n for _, n in side)) for side in one)
+                    both = [p[1] for p in near if len(p[1]) == 2]
+                    found = {"all": among(s0 + s1, n0 + n1), "pos": among(s1, n1) if n1 else None, "neg": among(s0, n0) if n0 else None}
+                    if both:
+                        found["pos_neg"] = between(sum(p[1][0] for p in both), sum(p[1][1] for p in both), sum(p[0][0] for p in both), sum(p[0][1] for p in both))
+                    if start:
+                        found = {"start_rated": between(s0 + s1, n0 + n1, sum(v for v, _ in start.values()), sum(n for _, n in start.values())), "start_pos": between(s1, n1, *start[1]) if n1 and 1 in start else None}
+                    out.extend((i, user, name, v) for name, v in found.items() if v is not None)
+            next_i = max(next_i, last + 1)
+
+        def flushed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out) if out else ([], [], [], []), (pa.int64(), pa.int64(), pa.string(), pa.float64()))], names=["i", "user_id", "measure", "v"])
+
+        for batch in batches:
+            for k, (u, at, rating, n, t) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("user_id", "_at", "rating", "n", "_top")))):
+                v = batch.column("v")[k].values.to_numpy()
+                if u != user:
+                    if places:
+                        up_to(min(places[-1][0] + width, top))
+                    user, start, places, next_i = u, {}, deque(), 0
+                top = t
+                if at is None:
+                    start[rating] = v, n
+                elif places and places[-1][0] == at:
+                    places[-1][1][rating] = v, n
+                else:
+                    if places:  # windows that this place is beyond are whole
+                        up_to(min(places[-1][0] + width, at - width - 1))
+                    next_i = max(next_i, at - width)
+                    places.append((at, {rating: (v, n)}))
+            yield flushed()
+            out.clear()
+        if places:
+            up_to(min(places[-1][0] + width, top))
+        yield flushed()
+
+    return run
+
+
+WINDOWED = "i long, user_id long, measure string, v double"
+
+
+def windowed(sums: DataFrame, width: int, start: DataFrame | None = None) -> DataFrame:
+    top = sums.agg(F.max("_at").alias("_top"))  # one row
+    rows = sums if start is None else sums.unionByName(start)
+    rows = rows.select("user_id", "_at", F.col("rating").cast("int").alias("rating"), "n", "v").crossJoin(F.broadcast(top))
+    return rows.repartition("user_id").sortWithinPartitions("user_id", F.asc_nulls_first("_at"), "rating").mapInArrow(cosines_of(width), WINDOWED)
+
+
 def window_cosines(votes: DataFrame, axis: str, width: int) -> DataFrame:
     """i, user_id, measure, v: mean cosine among the votes of the window around i (all), among up-votes (pos), among
     down-votes (neg), and between both in places that hold both (pos_neg).
 
-    From sums of unit vectors, a row for each user, place and dimension; no pair is made.
+    A place is one row, its sum of unit vectors; each user's places are read once, in order, with one window of them held. No pair is made.
     """
-    up, down = F.col("rating") == 1, F.col("rating") == 0
-    unit = votes.filter(up | down).select("user_id", axis, "rating", l2_normalize("embedding").alias("u"), (norm("embedding") > 0).cast("long").alias("nz"))
-    sums = unit.select("user_id", axis, "rating", "nz", F.posexplode("u").alias("pos", "x")).groupBy("user_id", axis, "pos").agg(
-        *[F.coalesce(F.sum(F.when(c, F.col("x"))), F.lit(0.0)).alias(f"s{k}") for k, c in ((1, up), (0, down))],
-        *[F.count_if(c).alias(f"n{k}") for k, c in ((1, up), (0, down))],
-        *[F.coalesce(F.sum(F.when(c, F.col("nz"))), F.lit(0)).alias(f"z{k}") for k, c in ((1, up), (0, down))],
-    )
-    both = (F.col("n1") > 0) & (F.col("n0") > 0)
-    parts = ["s1", "s0", "n1", "n0", "z1", "z0"]
-    sums = sums.select("*", *[F.when(both, F.col(c)).otherwise(0).alias(f"b{c}") for c in parts[:4]])
-    here = window_places(sums, axis, width).groupBy("user_id", "i", "pos").agg(*[F.sum(c).alias(c) for c in [*parts, "bs1", "bs0", "bn1", "bn0"]])
-
-    def among(s: Column, n: str, z: str) -> Column:
-        n = F.max(F.expr(n))
-        return F.when(n > 1, (F.sum(s * s) - F.max(F.expr(z))) / (n * (n - 1)))
-
-    n1, n0 = F.max("bn1"), F.max("bn0")
-    wide = here.groupBy("user_id", "i").agg(
-        among(F.col("s1") + F.col("s0"), "n1 + n0", "z1 + z0").alias("all"), among(F.col("s1"), "n1", "z1").alias("pos"), among(F.col("s0"), "n0", "z0").alias("neg"),
-        F.when((n1 > 0) & (n0 > 0), F.sum(F.col("bs1") * F.col("bs0")) / (n1 * n0)).alias("pos_neg"),
-    )
-    return wide.unpivot(["i", "user_id"], ["all", "pos", "neg", "pos_neg"], "measure", "v").filter("v IS NOT NULL")
+    return windowed(place_sums(votes, axis, ["rating"]), width)
+
+
+def window_start_cosines(votes: DataFrame, axis: str, width: int) -> DataFrame:
+    """i, user_id, measure, v: mean cosine between the validation votes of the window around i and the user's training votes: of all (start_rated) and of up-votes (start_pos).
+
+    votes: user_id, rating, split, embedding and the axis, such as the session. Users without training votes have no row.
+    """
+    train = votes.filter("split = 'train'")
+    start = place_sums(train.withColumn("_zero", F.lit(0)), "_zero", ["rating"]).withColumn("_at", F.lit(None).cast("long"))
+    sums = place_sums(votes.filter("split = 'val'"), axis, ["rating"])
+    return windowed(sums.join(train.select("user_id").distinct(), "user_id", "left_semi"), width, start)
+
+
+def metric_slopes(rows: DataFrame, axis: str, value: str, by: list[str] | None = None) -> DataFrame:
+    """user_id (and by), slope of the least-squares line of value over axis (sessions, or days since the part's first vote), and n; NULL where the axis doesn't vary.
+
+    Sums that merge: no user is gathered.
+    """
+    keys = ["user_id", *(by or [])]
+    known = rows.filter(F.col(value).isNotNull() & F.col(axis).isNotNull())
+    return known.groupBy(*keys).agg(F.regr_slope(F.col(value).cast("double"), F.col(axis).cast("double")).alias("slope"), F.count("*").alias("n"))
 
 
 def session_edges(metrics: DataFrame, value: str, share: float = 0.25) -> DataFrame:
@@ -202,7 +288,7 @@ def decay_with_cache(history: DataFrame, rate: float, n_cache: int, neg_scale: f
 
 
 def largest_similarity_to_likes(votes: DataFrame, embeddings: DataFrame, rating: int = 0) -> DataFrame:
-    """user_id, paper_id, t, similarity: the largest cosine of each vote with the rating to the user's up-votes. Work: votes times likes of a user, so bound the histories."""
+    """user_id, paper_id, t, similarity: the largest cosine of each vote with the rating to the user's up-votes."""
     unit = embeddings.select("paper_id", l2_normalize("embedding").alias("embedding"))
     rows = votes.filter(F.col("rating") == rating).select("user_id", "paper_id", "t")
     likes = votes.filter("rating = 1")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, l2_normalize, vector_sums
+from .products import Best, against
 
 
 #: Of a count: what a scheme by transformed counts weighs classes by.
@@ -88,25 +89,36 @@ def similarity_weights(similarities: DataFrame, scaling: str, param: float | Non
 
 
 def max_pooling_scores(pairs: DataFrame, likes: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """pairs (user_id, paper_id, t, ...) with logit: the largest product with a liked vector, 0 without likes. Work: candidates times likes of a user."""
-    cand = pairs.join(embeddings.withColumnRenamed("embedding", "_v"), "paper_id")
-    liked = likes.select("user_id", "paper_id").distinct().join(embeddings.withColumnRenamed("embedding", "_l"), "paper_id").select("user_id", "_l")
-    best = cand.join(liked, "user_id", "left").groupBy(*pairs.columns).agg(F.max(dot("_v", "_l")).alias("logit"))
-    return best.withColumn("logit", F.coalesce("logit", F.lit(0.0)))
+    """pairs (user_id, paper_id, t, ...) with logit: the largest product with a liked vector, 0 without likes. Products are taken in blocks."""
+    cand = candidates(pairs, embeddings)
+    liked = likes.select("user_id", "paper_id").distinct().join(embeddings.withColumnRenamed("embedding", "_v"), "paper_id").select("user_id", F.col("paper_id").alias("_id"), F.lit(1).alias("_label"), "_v")
+    best = against(cand, liked, ["user_id"], lambda: Best(1), "array<array<double>>")
+    return best.select("_row.*", F.coalesce(F.get(F.col("found")[1], F.lit(0)), F.lit(0.0)).alias("logit"))
+
+
+def candidates(pairs: DataFrame, embeddings: DataFrame) -> DataFrame:
+    rows = pairs.distinct().join(embeddings.withColumnRenamed("embedding", "_v"), "paper_id")
+    return rows.select("user_id", F.struct(*pairs.columns).alias("_row"), F.col("paper_id").alias("_id"), "_v")
 
 
 def knn_scores(pairs: DataFrame, votes: DataFrame, embeddings: DataFrame, ks: list[int], alpha: float = 1.0) -> DataFrame:
-    """pairs with k and knn for each k: alpha * (softmax-weighted mean of the k largest cosines to up-votes minus the same for down-votes); a missing side counts 0. Cosines are ranked once."""
-    unit = embeddings.select("paper_id", l2_normalize("embedding").alias("_u"))
-    cand = pairs.join(unit, "paper_id")
-    known = votes.filter("rating <> 2").select("user_id", "paper_id", F.col("rating").alias("_r")).distinct().join(unit.withColumnRenamed("_u", "_o"), "paper_id").drop("paper_id")
-    sims = cand.join(known, "user_id").select(*pairs.columns, "_r", dot("_u", "_o").alias("_s"))
-    order = Window.partitionBy(*pairs.columns, "_r").orderBy(F.desc("_s"))
-    near = sims.withColumn("_i", F.row_number().over(order)).filter(F.col("_i") <= max(ks))
-    near = near.withColumn("k", F.explode(F.array(*[F.lit(k).cast("long") for k in ks]))).filter(F.col("_i") <= F.col("k"))
-    side = near.groupBy(*pairs.columns, "k", "_r").agg((F.sum(F.exp("_s") * F.col("_s")) / F.sum(F.exp("_s"))).alias("_m"))
-    both = side.groupBy(*pairs.columns, "k").agg(F.sum(F.when(F.col("_r") == 1, F.col("_m")).otherwise(-F.col("_m"))).alias("knn"))
-    return both.withColumn("knn", alpha * F.col("knn"))
+    """pairs with k and knn for each k: alpha * (softmax-weighted mean of the k largest cosines to up-votes minus the same for down-votes); a missing side counts 0.
+
+    The largest cosines are kept while the votes go past a block of pairs; a pair of a user without votes has no row.
+    """
+    unit = embeddings.select("paper_id", l2_normalize("embedding").alias("embedding"))
+    known = votes.filter("rating <> 2").select("user_id", "paper_id", F.col("rating").alias("_label")).distinct()
+    known = known.join(unit.withColumnRenamed("embedding", "_v"), "paper_id").select("user_id", F.col("paper_id").alias("_id"), "_label", "_v")
+    most = max(ks)
+    near = against(candidates(pairs, unit), known, ["user_id"], lambda: Best(most), "array<array<double>>").filter("size(found[0]) + size(found[1]) > 0")
+    near = near.withColumn("k", F.explode(F.array(*[F.lit(k).cast("long") for k in ks])))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+
+    def side(r: int) -> Column:
+        top = F.slice(F.col("found")[r], F.lit(1), F.col("k").cast("int"))
+        return F.when(F.size(top) > 0, total(F.transform(top, lambda s: F.exp(s) * s)) / total(F.transform(top, F.exp))).otherwise(0.0)
+
+    return near.select("_row.*", "k", (alpha * (side(1) - side(0))).alias("knn"))
 
 
 def knn_score(pairs: DataFrame, votes: DataFrame, embeddings: DataFrame, k: int = 3, alpha: float = 1.0) -> DataFrame:
