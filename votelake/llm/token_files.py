@@ -10,14 +10,16 @@ of doc_id; a row's global start is its file's start plus pos, whichever task rea
 A null or empty text has the end id alone. Rows with one doc_id are ordered by a hash of the text, null ids come last; no
 id is one task's, as ranges go on inside an id. An empty table gives empty files. Very long texts are encoded by words.
 
-Encoding by words: a tokenizer that drops white space gives a text the ids of its words between ASCII blanks,
-one after the other, so words are encoded by the library once and kept (`WordIds`); tests hold this against whole texts. For
-other tokenizers pass by_words=False.
+Encoding by words: a tokenizer that lower-cases and drops white space gives a text the ids of its words between ASCII blanks,
+one after the other, so words are encoded by the library once and kept (`WordIds`); tests hold this against whole texts. A text that holds
+a special token's string is encoded whole. For other tokenizers pass by_words=False.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,7 +35,9 @@ from .common import BATCH_ROWS, cut, id_or_last, shared_path, small_batches, tab
 
 END_ID = 1
 #: Words of up to so many bytes are kept, so many of them.
-WORD_BYTES, WORDS = 64, 1 << 18
+WORD_BYTES, WORDS = 64, 1 << 20
+#: An ASCII or Latin-1 word and the punctuation that closes it.
+CLOSED = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?|)]*)")
 #: Ids in one batch of output; bounds what a worker and the ORC writer hold at once.
 OUT_IDS = 1 << 21
 ROWS = "part int, pos long, doc_id long, n_tokens long, ids array<int>"
@@ -42,28 +46,67 @@ STRIPE_BYTES, INDEX_ROWS = 8 << 20, 1000
 
 
 class WordIds(dict):
-    """Ids of a word, as little-endian 32-bit integers."""
+    """Ids of lower-case words, as little-endian 32-bit integers. New words of a text are encoded by the library in one call."""
 
     def __init__(self, path: str):
         super().__init__()
+        self.first = None
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        made = json.loads(self.tokenizer.to_str())
+        self.specials = re.compile(b"|".join(re.escape(t["content"].encode()) for t in made["added_tokens"]) or rb"(?!)", re.IGNORECASE)
+        end = made["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)  # the ids that end a run of letters, if the vocabulary marks them
+        if end:
+            self.ends[[i for entry, i in self.tokenizer.get_vocab().items() if entry.endswith(end)]] = True
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.whole(word.decode())
-        if len(word) <= WORD_BYTES:
-            if len(self) >= WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
+    def keep(self, found: list[tuple[bytes, bytes]]) -> None:
+        if self.first is None and len(self) >= WORDS // 2:
+            self.first = dict(self)  # words that come early are mostly the frequent ones: they stay
+        if len(self) + len(found) > WORDS:
+            self.clear()
+            self.update(self.first or {})
+        self.update((w, ids) for w, ids in found if len(w) <= WORD_BYTES)
+
+    def learn_runs(self, runs: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of runs of letters. Where the vocabulary marks the ends of runs they are encoded as one text."""
+        flat = self.whole(" ".join([r.decode() for r in runs]))
+        at = (np.flatnonzero(self.ends[np.frombuffer(flat, "<u4")]) + 1) * 4
+        if len(at) == len(runs):
+            ends = at.tolist()
+            found = list(zip(runs, [flat[a:b] for a, b in zip([0, *ends], ends)]))
+        else:
+            found = [(r, self.whole(r.decode())) for r in runs]
+        self.keep(found)
+        return dict(found)
+
+    def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of new words. A run of letters and the punctuation that closes it are apart to the tokenizer, so each is known by itself."""
+        parts = [(w, m[1], m[2]) for w in words if (m := CLOSED.fullmatch(w))]
+        known = {r: self.get(r) for _, r, _ in parts}
+        if new := [r for r, ids in known.items() if ids is None]:
+            known |= self.learn_runs(new)
+        marks = {m: self.get(m) or self.whole(m.decode()) for m in {m for _, _, m in parts if m}}
+        found = {w: known[r] + marks[m] if m else known[r] for w, r, m in parts}
+        found |= {w: self.whole(w.decode()) for w in words if w not in found}
+        self.keep([*marks.items(), *found.items()])
+        return found
 
     def by_words(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.encode().split()))
+        raw = text.encode()
+        if self.specials.search(raw):
+            return self.whole(text)
+        words = raw.lower().split()  # the tokenizer lower-cases too
+        ids = list(map(self.get, words))
+        if None in ids:
+            new = self.learn(list({w for w, i in zip(words, ids) if i is None}))
+            ids = [new[w] if i is None else i for w, i in zip(words, ids)]
+        return b"".join(ids)
 
 
 @lru_cache(1)
