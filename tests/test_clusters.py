@@ -121,5 +121,73 @@ def test_chosen_k_has_the_best_ranking(spark):
             up, down = ([r.logit for r in scored if r.user_id == u and r.rating == v] for v in (1, 0))
             mean = np.mean([1 / np.log2(2 + sum(d >= x for d in down)) for x in up])
             assert mean <= chosen[u].ndcg + 1e-8 and (k != chosen[u].k or abs(mean - chosen[u].ndcg) < 1e-8)
-    models = C.models_by_chosen_k(votes, emb, spark.createDataFrame([(u, r.k) for u, r in chosen.items()], "user_id long, k int"), (1, 3), least=2, limits=(8, 1000)).collect()
+    models = C.models_by_chosen_k(votes, emb, spark.createDataFrame([(u, r.k) for u, r in chosen.items()], "user_id long, k int"), least=2, limits=(8, 1000)).collect()
     assert {m.user_id for m in models} == {1, 2}
+
+
+def random_likes(spark, seed, users=3):
+    rng = np.random.default_rng(seed)
+    vectors = [(i, (rng.normal(size=3) + 4 * np.eye(3)[i % 3] * (i % 5 > 0)).tolist() if i != 7 else [0.0] * 3) for i in range(150)]
+    emb = spark.createDataFrame(vectors, "paper_id long, embedding array<double>")
+    rows = [(u, p, int(rng.random() < 0.8), p) for u in range(users) for p in range(150) if rng.random() < 0.8]
+    return spark.createDataFrame(rows, "user_id long, paper_id long, rating int, t long"), emb
+
+
+@pytest.mark.parametrize("eps", [0.02, 0.2, 0.004])
+def test_density_clusters_in_blocks_equal_those_of_one_task(spark, eps, monkeypatch):
+    votes, emb = random_likes(spark, 11)
+    monkeypatch.setattr(C.against, "__defaults__", (16,))  # many parts
+    one = {tuple(r) for r in C.dbscan_user_clusters(votes, emb, eps, 3).collect()}
+    split = {tuple(r) for r in C.dbscan_user_clusters(votes, emb, eps, 3, max_likes=20).collect()}
+    assert one == split and len({r[2] for r in one}) > 1
+
+
+def test_extremes_of_clusters_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(C.against, "__defaults__", (16,))
+    votes, emb = random_likes(spark, 5)
+    clusters = votes.filter("rating = 1").selectExpr("user_id", "paper_id", "int(paper_id % 4) AS cluster").unionByName(spark.createDataFrame([(9, 1, 0), (9, 2, 1)], "user_id long, paper_id long, cluster int"))
+    v = {r.paper_id: np.array(r.embedding) / (np.linalg.norm(r.embedding) or 1) for r in emb.collect()}
+    own = {}
+    for r in clusters.collect():
+        own.setdefault((r.user_id, r.cluster), []).append(r.paper_id)
+    got = {(r.user_id, r.cluster, r.other): (r.high, r.mean, r.low) for r in C.cluster_extremes(clusters, emb).collect()}
+    assert len(got) == 3 * 16 + 4
+    for (u, a, b), (high, mean, low) in got.items():
+        rows = [[float(v[p] @ v[q]) for q in own[u, b] if p != q] for p in own[u, a]]
+        if not rows[0]:
+            assert high is None and low is None and mean is None
+            continue
+        assert np.allclose((high, low), (np.mean([max(r) for r in rows]), np.mean([min(r) for r in rows])))
+        if 7 not in own[u, a] or a != b:
+            assert np.isclose(mean, np.mean([x for r in rows for x in r]))
+    out = {(r.user_id, r.cluster): r for r in C.cluster_separation(C.cluster_extremes(clusters, emb)).collect()}
+    assert np.isclose(out[1, 0].high, np.mean([got[1, 0, b][0] for b in (1, 2, 3)])) and out[9, 0].silhouette is None
+
+
+def test_models_of_clusters_in_rounds_equal_those_of_one_task(spark):
+    rng = np.random.default_rng(8)
+    emb = spark.createDataFrame([(i, (rng.normal(size=2) * 0.1 + [(0, 9), (9, 0), (-9, -9)][i % 3]).tolist()) for i in range(90)], "paper_id long, embedding array<double>")
+    votes = spark.createDataFrame([(u, p, int(rng.random() < 0.7), p) for u in (1, 2) for p in range(90)], "user_id long, paper_id long, rating int, t long")
+    ks = spark.createDataFrame([(1, 3), (1, 1), (2, 3), (2, None)], "user_id long, k int")
+    sorted_ = lambda models: sorted(((r.user_id, r.k or 0, [round(x, 5) + 0.0 for x in r.centre or []], [round(x, 4) + 0.0 for x in [*(r.coef or []), r.intercept or 0]]) for r in models.collect()))
+    one = sorted_(C.models_for_ks(votes, emb, ks))
+    split = sorted_(C.models_for_ks(votes, emb, ks, max_bytes=100))
+    assert len(one) == 4 + 2 * 3 + 1 + 2 and len(one) == len(split)
+    for a, b in zip(one, split):
+        assert a[:2] == b[:2] and np.allclose(a[3], b[3], atol=1e-3) and np.allclose(a[2], b[2], atol=1e-4) or (a[1] == 0)
+
+
+def test_large_means_start_far_apart_and_end_at_means(spark):
+    from votelake.functions.blocks import pack
+    from votelake.operators import large_models as L
+
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(size=(200, 2)) * 0.2 + c for c in ((0, 0), (20, 0), (0, 20), (20, 20))])
+    rows = spark.createDataFrame([(1, i, int(i % 10 > 0), v.tolist()) for i, v in enumerate(x)], "user_id long, paper_id long, rating int, embedding array<double>")
+    centres, counts = L.k_means_large(pack(rows, ["user_id"], "rating", "embedding", "paper_id", 800), ["user_id"], {(1,): (4, 5)})[(1,)]
+    assert counts.tolist() == [180] * 4
+    up = np.arange(800) % 10 > 0
+    want = [x[k * 200 : (k + 1) * 200][up[k * 200 : (k + 1) * 200]].mean(0) for k in range(4)]
+    assert all(min(np.abs(c - w).max() for w in want) < 1e-9 for c in centres)
+    same = spark.createDataFrame([(1, i, 1, [1.0, 2.0]) for i in range(9)], "user_id long, paper_id long, rating int, embedding array<double>")
+    assert len(L.k_means_large(pack(same, ["user_id"], "rating", "embedding", "paper_id"), ["user_id"], {(1,): (3, 5)})[(1,)][0]) == 1

@@ -91,10 +91,10 @@ def test_logistic_optimum():
 
 def test_tfidf_rows_have_length_one(spark):
     docs = spark.createDataFrame([(1, "Red fox the red"), (2, "fox"), (3, ""), (4, None)], "paper_id long, abstract string")
-    c = T.term_counts(docs, "abstract", ["the"])
-    w = T.transform_tfidf(c, T.fit_tfidf(c, docs, 10)).groupBy("paper_id").agg(F.sum(F.col("weight") ** 2).alias("s")).collect()
+    c = T.count_terms(docs, "abstract", ["the"])
+    w = T.transform_tfidf(c, T.fit_tfidf(T.by_term(c), docs, 10)).groupBy("paper_id").agg(F.sum(F.col("weight") ** 2).alias("s")).collect()
     assert {r.paper_id for r in w} == {1, 2} and all(abs(r.s - 1) < 1e-12 for r in w)
-    assert {r.term for r in c.filter("paper_id = 1").collect()} == {"red", "fox", "red fox", "fox red"}
+    assert {r.term for r in T.by_term(c).filter("paper_id = 1").collect()} == {"red", "fox", "red fox", "fox red"}
 
 
 def test_tokens_stand_alone_without_accents(spark):

@@ -67,8 +67,8 @@ def each_block(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple
             yield key, x.flatten().to_numpy(zero_copy_only=False).reshape(len(y), -1), y, i.to_numpy(zero_copy_only=False)
 
 
-def round_of_sums(blocks: DataFrame, by: list[str], requests: dict[tuple, list], answer: Callable) -> dict[int, np.ndarray]:
-    """Sums over blocks of answer(x, y, request), by the request's number.
+def round_of_sums(blocks: DataFrame, by: list[str], requests: dict[tuple, list], answer: Callable, width: int) -> dict[int, np.ndarray]:
+    """Sums over blocks of answer(x, y, request), by the request's number, with zeros up to width, the largest answer's.
 
     requests: by key, pairs of (number, request); bounded by the caller, as they are broadcast and their sums come to the driver.
     """
@@ -82,6 +82,7 @@ def round_of_sums(blocks: DataFrame, by: list[str], requests: dict[tuple, list],
                 own = answer(x, y, request)
                 held[number] = held[number] + own if number in held else own
         for number, own in held.items():  # as many as requests, which are bounded
+            own = np.append(own, np.zeros(width - len(own)))
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([own], pa.list_(pa.float64())), pa.array([1], pa.int64())], names=["number", "sums", "n"])
 
     wanted = list({key[0] for key in requests})
@@ -91,6 +92,28 @@ def round_of_sums(blocks: DataFrame, by: list[str], requests: dict[tuple, list],
     return out
 
 
+def round_of_draws(blocks: DataFrame, by: list[str], requests: dict[tuple, list], draw: Callable) -> dict[int, np.ndarray]:
+    """The row of the smallest key over blocks of draw(x, y, idents, request), which gives a key and a row or nothing, by the request's number."""
+    spark, n_keys = blocks.sparkSession, len(by)
+    shared = spark.sparkContext.broadcast(requests)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple] = {}
+        for key, x, y, ids in each_block(batches, n_keys):
+            for number, request in shared.value.get(key, ()):
+                own = draw(x, y, ids, request)
+                if own is not None and (number not in held or own[0] < held[number][0]):
+                    held[number] = own
+        for number, (k, row) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([k]), pa.array([row], pa.list_(pa.float64()))], names=["number", "key", "row"])
+
+    wanted = list({key[0] for key in requests})
+    rows = blocks.filter(F.col(by[0]).isin(wanted)).select(*by, "labels", "idents", "vectors").mapInArrow(run, "number long, key double, row array<double>")
+    out = {r.number: np.array(r.row) for r in rows.groupBy("number").agg(F.min_by("row", "key").alias("row")).collect()}
+    shared.unpersist()
+    return out
+
+
 def batches_of(rows: Iterator, size: Callable, most: int) -> Iterator[list]:
     """Rows in lists whose sizes add up to at most `most`, or single rows."""
     held, total = [], 0

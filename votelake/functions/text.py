@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import unicodedata
+from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STYLES = {"plain": "%s %s", "labelled": "Title: %s Abstract: %s", "instruct": "Instruct: %s\nQuery: %s", "sentence": "%s. %s"}
@@ -33,16 +37,30 @@ def tokens(text: str, stop: list[str]) -> Column:
     return F.filter(found, lambda w: ~w.isin(stop)) if stop else found
 
 
-def grams(words: Column) -> Column:
-    """Words and pairs of neighbours."""
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.concat(words, pairs)
+def grams(words: list[str]) -> Counter:
+    """How often each word and each pair of neighbours occurs, by first place."""
+    return Counter(words + [f"{a} {b}" for a, b in zip(words, words[1:])])
+
+
+def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [grams(words or []) for words in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))], names=["paper_id", "terms", "tfs"])
+
+
+def count_terms(texts: DataFrame, text: str, stop: list[str]) -> DataFrame:
+    """paper_id, terms, tfs: the different words and pairs of neighbours of each text and how often, counted in the row. Nothing is shuffled."""
+    kind = dict(texts.dtypes)["paper_id"]
+    return texts.select("paper_id", tokens(text, stop).alias("words")).mapInArrow(count_grams, f"paper_id {kind}, terms array<string>, tfs array<bigint>")
+
+
+def by_term(counted: DataFrame) -> DataFrame:
+    """paper_id, term, tf: a row for each term of a text."""
+    return counted.select("paper_id", F.explode(F.arrays_zip("terms", "tfs")).alias("e")).select("paper_id", F.col("e.terms").alias("term"), F.col("e.tfs").alias("tf"))
 
 
 def term_counts(texts: DataFrame, text: str, stop: list[str]) -> DataFrame:
-    words = texts.select("paper_id", tokens(text, stop).alias("words"))  # a column of its own: grams names the words several times
-    terms = words.select("paper_id", F.explode(grams(F.col("words"))).alias("term")).filter("term IS NOT NULL")  # as a later join asks, so that both uses of the counts have one plan
-    return terms.groupBy("paper_id", "term").agg(F.count("*").alias("tf"))
+    return by_term(count_terms(texts, text, stop))
 
 
 def fit_tfidf(counts: DataFrame, texts: DataFrame, max_features: int, min_df: int = 1, max_df: float = 1.0) -> DataFrame:
@@ -52,10 +70,28 @@ def fit_tfidf(counts: DataFrame, texts: DataFrame, max_features: int, min_df: in
     return terms.orderBy(F.desc("total"), "term").limit(max_features).select("term", "df", "total", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def transform_tfidf(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Weights (1 + ln tf) * idf, of length 1 for each paper. The vocabulary has at most max_features rows."""
-    rows = counts.join(F.broadcast(vocabulary.select("term", "idf")), "term").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
-    return rows.select("paper_id", "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("paper_id")))).alias("weight"))
+def transform_tfidf(counted: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """paper_id, term, weight: (1 + ln tf) * idf of each text's terms in the vocabulary, of length 1 for each text; counted: see count_terms.
+
+    A text's terms are one row, so it is weighed and scaled there. The vocabulary, at most max_features rows, is read when the plan is made.
+    """
+    words = {r.term: r.idf for r in vocabulary.select("term", "idf").collect()}
+    shared = counted.sparkSession.sparkContext.broadcast(words)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf = shared.value
+        for batch in batches:
+            ids, terms, weights = [], [], []
+            for i, own, tfs in zip(*(c.to_pylist() for c in batch.columns)):
+                found = [(term, (1 + math.log(tf)) * idf[term]) for term, tf in zip(own, tfs) if term in idf]
+                length = math.sqrt(math.fsum(w * w for _, w in found))
+                ids += [i] * len(found)
+                terms += [term for term, _ in found]
+                weights += [w / length for _, w in found]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema[0].type), pa.array(terms, pa.string()), pa.array(weights, pa.float64())], names=["paper_id", "term", "weight"])
+
+    kind = dict(counted.dtypes)["paper_id"]
+    return counted.select("paper_id", "terms", "tfs").mapInArrow(weigh, f"paper_id {kind}, term string, weight double")
 
 
 def mean_tfidf_by_group(weights: DataFrame, groups: DataFrame) -> DataFrame:

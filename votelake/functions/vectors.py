@@ -149,6 +149,26 @@ def compare_embeddings(before: DataFrame, after: DataFrame, papers: DataFrame, l
     return a.join(b, level, "full").select(level, "before", "after", (F.col("after") - F.col("before")).alias("difference"))
 
 
+def category_measures(embeddings: DataFrame, papers: DataFrame, references: list[str], level: str = "l1") -> DataFrame:
+    """measure, reference, category, cosine: cohesion, cohesion of the subcategories (both without a reference), and for each reference category centroid (cosine of the mean vectors) and separation (mean cosine of the papers)."""
+    none, name = F.lit(None).cast("string"), F.col(level).alias("category")
+    out = category_cohesion(embeddings, papers, level).select(F.lit("cohesion").alias("measure"), none.alias("reference"), name, "cosine")
+    out = out.unionByName(subcategory_cohesion(embeddings, papers).select(F.lit("subcategories").alias("measure"), none.alias("reference"), F.col("l1").alias("category"), "cosine"))
+    for r in references:
+        for measure, found in (("centroid", category_centroids), ("separation", category_separation)):
+            out = out.unionByName(found(embeddings, papers, r, level).select(F.lit(measure).alias("measure"), F.lit(r).alias("reference"), name, "cosine"))
+    return out
+
+
+def compare_measures(before: DataFrame, after: DataFrame, papers: DataFrame, references: list[str], level: str = "l1") -> DataFrame:
+    """category_measures before and after, for the papers that have a vector before, and the difference."""
+    after = filter_embeddings(after, before)
+    a, b = (category_measures(e, papers, references, level).withColumnRenamed("cosine", n) for e, n in ((before, "before"), (after, "after")))
+    b = b.withColumnsRenamed({c: f"_{c}" for c in ("measure", "reference", "category")})
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("measure", "reference", "category")]
+    return a.join(b, same[0] & same[1] & same[2]).select("measure", "reference", "category", "before", "after", (F.col("after") - F.col("before")).alias("difference"))
+
+
 def cluster_similarity(embeddings: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     """Per cluster: mean cosine inside, mean cosine to all other clusters, and (inside - outside) / the larger. From sums; clusters are few."""
     rows = embeddings.join(labels.select("paper_id", label).filter(F.col(label).isNotNull()), "paper_id")
@@ -160,16 +180,27 @@ def cluster_similarity(embeddings: DataFrame, labels: DataFrame, label: str) ->
     return out.withColumn("score", (F.col("inside") - F.col("outside")) / F.greatest("inside", "outside"))
 
 
-def category_vectors(words: DataFrame, vectors: DataFrame, norm_to: str = "none") -> DataFrame:
-    """category, vec: weighted sums of word vectors (words: category, word, weight; vectors: word, vec), as they are (none), of length 1 (unit) or 0.5 (half). A word without a vector adds nothing."""
+def category_vectors(words: DataFrame, vectors: DataFrame, norm_to: str = "none", beside: int = 0) -> DataFrame:
+    """category, vec: weighted sums of word vectors (words: category, word, weight; vectors: word, vec), as they are (none), of length 1 (unit) or 0.5 (half), or
+    of their share of a width when they stand beside vectors of `beside` places (proportional). A word without a vector adds nothing."""
     parts = words.join(vectors, "word").select("category", F.transform("vec", lambda x: x * F.col("weight")).alias("v"))
     sums = vector_sums(parts, ["category"], "v").select("category", F.col("sum").alias("vec"))
     if norm_to == "none":
         return sums
-    size = {"unit": 1.0, "half": 0.5}[norm_to]
+    size = {"unit": F.lit(1.0), "half": F.lit(0.5), "proportional": F.size("vec") / (F.size("vec") + beside)}[norm_to]
     return sums.withColumn("vec", F.transform(l2_normalize("vec"), lambda x: x * size))
 
 
+def paper_category_vectors(papers: DataFrame, names: DataFrame, vectors: DataFrame, width: int, level: str = "l1") -> DataFrame:
+    """paper_id, category, vec: the vector of each paper's category under its new name (names: original, category); zeros for papers without a category.
+
+    A category that names or vectors don't have gives NULL, which the caller may check for.
+    """
+    zeros = F.array_repeat(F.lit(0.0), width)
+    renamed = papers.select("paper_id", F.col(level).alias("original")).join(names, "original", "left").join(vectors.select("category", "vec"), "category", "left")
+    return renamed.select("paper_id", "category", F.when(F.col("original").isNull(), zeros).otherwise(F.col("vec")).alias("vec"))
+
+
 def pca(df: DataFrame, fit: DataFrame, v: str, dim: int) -> DataFrame:
     """df with v centred by fit's mean, projected on fit's first dim components and of length 1; as it is where dim isn't below the width.
 

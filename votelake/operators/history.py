@@ -50,6 +50,14 @@ def decay_weights(history: DataFrame, rate: float, mode: str = "joint") -> DataF
     return rows.withColumn("weight", F.when(F.col("rating") == 1, scaled).otherwise(1.0) if mode == "positives" else scaled).drop("_w")
 
 
+def mean_decay(votes: DataFrame, grid: DataFrame) -> DataFrame:
+    """combination_idx, rate, scale and weight: the mean of exp(-rate * scale * days before the user's last vote), for each row of a grid of rates and scales."""
+    days = votes.select(((F.max("t").over(by_user()) - F.col("t")) / DAY).alias("d"))
+    each = [F.struct(F.lit(r.combination_idx).alias("combination_idx"), F.lit(r.rate).alias("rate"), F.lit(r.scale).alias("scale")) for r in grid.collect()]  # rows of parameters
+    rows = days.withColumn("g", F.explode(F.array(*each)))
+    return rows.groupBy("g").agg(F.avg(F.exp(-F.col("g.rate") * F.col("g.scale") * F.col("d"))).alias("weight")).select("g.*", "weight")
+
+
 def train_session_models(history: DataFrame, embeddings: DataFrame, c: float = 1.0) -> DataFrame:
     """user_id, session_id, coef, intercept: a logistic model of each history; a group has max_rated rows at most."""
     rows = history.join(embeddings, "paper_id").select(*SESSION, "rating", "weight", "embedding")
@@ -76,6 +84,16 @@ def with_vectors(votes: DataFrame, embeddings: DataFrame) -> DataFrame:
     return votes.join(embeddings, "paper_id")
 
 
+def missing_vectors(votes: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """One row: votes and papers voted on, and how many of them have no vector, which with_vectors leaves out."""
+    papers = votes.groupBy("paper_id").agg(F.count("*").alias("_n"))
+    known = papers.join(embeddings.select("paper_id").distinct().withColumn("_has", F.lit(True)), "paper_id", "left")
+    gone = F.col("_has").isNull()
+    return known.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name) for name, c in (
+        ("n_votes", F.col("_n")), ("n_papers", F.lit(1)), ("n_votes_missing", F.when(gone, F.col("_n")).otherwise(0)), ("n_papers_missing", gone.cast("int")),
+    )])
+
+
 def interest_drift(split: DataFrame, embeddings: DataFrame, n: int = 10) -> DataFrame:
     """Per user: mean cosine of the first and of the last n training up-votes to the validation up-votes, and among the latter."""
     up = split.filter("rating = 1")

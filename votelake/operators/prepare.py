@@ -138,6 +138,19 @@ def users_not_in_category(categories: DataFrame, category: str) -> DataFrame:
     return categories.filter((F.col("rank") == 1) & (F.col("category") != category)).select("user_id")
 
 
+def users_of_many_sessions(split: DataFrame, least: int) -> DataFrame:
+    """user_id of users with up-votes in at least so many validation sessions."""
+    found = split.filter("split = 'val' AND rating = 1").groupBy("user_id").agg(F.countDistinct("session_id").alias("s"))
+    return found.filter(F.col("s") >= least).select("user_id")
+
+
+def select_users(votes: DataFrame, lists: DataFrame, names: list[str], excluding: list[str] | None = None) -> DataFrame:
+    """votes of the users in any of the named lists (lists: user_id, selection) and in none of those excluded. No names: all users but the excluded."""
+    users = lists.select("user_id", "selection")
+    kept = votes.join(users.filter(F.col("selection").isin(names)).select("user_id").distinct(), "user_id", "left_semi") if names else votes
+    return kept.join(users.filter(F.col("selection").isin(excluding)).select("user_id").distinct(), "user_id", "left_anti") if excluding else kept
+
+
 def filter_users_min_votes(ratings: DataFrame, min_pos: int, min_neg: int, min_sessions: int = 0) -> DataFrame:
     counts = ratings.groupBy("user_id").agg(n_if(F.col("rating") == 1).alias("p"), n_if(F.col("rating") == 0).alias("n"), F.countDistinct("session_id").alias("s"))
     return ratings.join(counts.filter((F.col("p") >= min_pos) & (F.col("n") >= min_neg) & (F.col("s") >= min_sessions)), "user_id", "left_semi")

@@ -6,13 +6,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of a group whose quantiles are exact, which keeps its distinct values in one buffer; beyond it they come from a sketch that is off by at most a part
+#: 1 / ACCURACY of the group's ranks, in bounded memory.
+EXACT_ROWS, ACCURACY = 1_000_000, 10_000
+
+
+def quantiles(rows: DataFrame, by: list[str], value: str, at: dict[str, float], exact_up_to: int = EXACT_ROWS, accuracy: int = ACCURACY) -> DataFrame:
+    """by and a column for each share in `at`: exact (between two values, their weighted mean) for groups of at most exact_up_to values, from a mergeable sketch for others."""
+    known = rows.filter(F.col(value).isNotNull())
+    many = known.groupBy(*by).agg((F.count("*") > exact_up_to).alias("_many"))
+    sized = known.join(many, by) if by else known.crossJoin(F.broadcast(many))  # one row
+    names = list(at)
+    exact = sized.filter("NOT _many").groupBy(*by).agg(F.percentile(value, F.array(*[F.lit(at[n]) for n in names])).alias("_q"))
+    rough = sized.filter("_many").groupBy(*by).agg(F.percentile_approx(F.col(value).cast("double"), [at[n] for n in names], accuracy).alias("_q"))
+    return exact.unionByName(rough).filter("_q IS NOT NULL").select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+
+
 def average_over_folds(results: DataFrame) -> DataFrame:
     return results.groupBy("user_id", "combination_idx", "score").agg(F.avg("value").alias("value"), F.stddev_pop("value").alias("std"))
 
 
 def average_over_users(results: DataFrame, median: bool = False) -> DataFrame:
-    middle = F.median("value") if median else F.avg("value")
-    return results.groupBy("combination_idx", "score").agg(middle.alias("value"), F.stddev_samp("value").alias("std"))
+    by = ["combination_idx", "score"]
+    out = results.groupBy(*by).agg(F.avg("value").alias("value"), F.stddev_samp("value").alias("std"))
+    return out.drop("value").join(quantiles(results, by, "value", {"value": 0.5}), by).select(*by, "value", "std") if median else out
 
 
 def average_over_seeds(runs: list[DataFrame]) -> DataFrame:
@@ -69,14 +86,17 @@ def compare_runs(old: DataFrame, new: DataFrame, score: str, n: int, increase_be
 
 def users_info_summary(info: DataFrame, columns: list[str]) -> DataFrame:
     long = info.unpivot([], columns, "statistic", "value").withColumn("value", F.col("value").cast("double"))
-    return long.groupBy("statistic").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.median("value").alias("median"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+    out = long.groupBy("statistic").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+    return out.join(quantiles(long, ["statistic"], "value", {"median": 0.5}), "statistic", "left").select("statistic", "low", "high", "median", "mean", "std")
 
 
 def group_score_table(results: DataFrame, groups: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Mean, std, median and users of each score by group (user_id, group) and overall (group "all"). Named groups without users have NULLs and n = 0."""
     every = results.select("user_id").distinct().withColumn("group", F.lit("all"))
     rows = groups.select("user_id", "group").unionByName(every).join(results, "user_id")
-    out = rows.groupBy("group", "score").agg(F.avg("value").alias("value"), F.stddev_samp("value").alias("std"), F.median("value").alias("median"), F.count("*").alias("n"))
+    by = ["group", "score"]
+    out = rows.groupBy(*by).agg(F.avg("value").alias("value"), F.stddev_samp("value").alias("std"), F.count("*").alias("n"))
+    out = out.join(quantiles(rows, by, "value", {"median": 0.5}), by, "left").select(*by, "value", "std", "median", "n")
     if not names:
         return out
     wanted = results.select("score").distinct().withColumn("group", F.explode(F.array(*[F.lit(x) for x in [*names, "all"]])))
@@ -183,5 +203,34 @@ def attach_metrics_to_sessions(sessions: DataFrame, runs: list[DataFrame], value
 
 def validation_summary(results: DataFrame, groups: DataFrame) -> DataFrame:
     """group, score: mean over the group's users and over all of them (group `all`)."""
-    everyone = results.select("user_id").distinct().select(F.lit("all").alias("group"), "user_id")
-    return group_score_table(results, groups.select("group", "user_id").unionByName(everyone)).select("group", "score", "value", "n")
+    return group_score_table(results, groups).select("group", "score", "value", "n")
+
+
+def differences_to_baseline(results: DataFrame, baseline: DataFrame, score: str, sizes: list[int]) -> DataFrame:
+    """combination_idx and the mean differences of the score to the baseline (user_id, score, value) of its worst and best users, for each size."""
+    base = baseline.filter(F.col("score") == score).select("user_id", F.col("value").alias("_b"))
+    diff = results.filter(F.col("score") == score).join(base, "user_id").select("combination_idx", "user_id", (F.col("value") - F.col("_b")).alias("value"))
+    out = None
+    for side, order in (("worst", F.col("value")), ("best", -F.col("value"))):
+        rows = first_of(diff, ["combination_idx"], order, max(sizes))
+        means = rows.groupBy("combination_idx").agg(*[F.avg(F.when(F.col("_i") <= k, F.col("value"))).alias(f"{side}_{k}") for k in sizes])
+        out = means if out is None else out.join(means, "combination_idx")
+    return out
+
+
+def lowest_positives(predictions: DataFrame, texts: DataFrame, n: int = 100) -> DataFrame:
+    """Each user's n up-votes of the lowest probability with titles, place 1 the most probable of them; n_all: how many up-votes there are. predictions: user_id, paper_id, t, label, proba."""
+    user = Window.partitionBy("user_id")
+    rows = predictions.filter("label = 1").withColumn("_i", F.row_number().over(user.orderBy("proba", "paper_id", "t"))).withColumn("n_all", F.count("*").over(user))
+    rows = rows.filter(F.col("_i") <= n).withColumn("place", F.least(F.col("n_all"), F.lit(n)) - F.col("_i") + 1)
+    return rows.join(texts.select("paper_id", "title"), "paper_id", "left").select("user_id", F.col("place").cast("long").alias("place"), "paper_id", "t", "title", "proba", "n_all")
+
+
+def drawn_papers(predictions: DataFrame, texts: DataFrame, n: int, seed: int) -> DataFrame:
+    """n drawn papers of each user and label with titles, by probability: the most probable first for up-votes, last for the others; n_all: how many there are."""
+    key = F.md5(F.concat_ws("|", F.lit(seed), F.lit("drawn"), "user_id", "paper_id", "t"))
+    side = Window.partitionBy("user_id", "label")
+    rows = predictions.withColumn("_i", F.row_number().over(side.orderBy(key, "paper_id", "t"))).withColumn("n_all", F.count("*").over(side)).filter(F.col("_i") <= n)
+    order = F.when(F.col("label") == 1, -F.col("proba")).otherwise(F.col("proba"))
+    rows = rows.withColumn("place", F.row_number().over(side.orderBy(order, "paper_id", "t")).cast("long"))
+    return rows.join(texts.select("paper_id", "title"), "paper_id", "left").select("user_id", "label", "place", "paper_id", "t", "title", "proba", "n_all")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, mean_vectors, sigmoid, sigmoid_predict
+from .large_models import MAX_BYTES, Fit, fit_large, sums_at, with_ones
 
 EPS = 1e-15
 
@@ -125,8 +126,6 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float, rou
 
 def converged_fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float, rounds: int = 100) -> tuple[np.ndarray, bool]:
     """fit_logistic and whether it ended by its own rule."""
-    from .large_models import Fit, sums_at, with_ones
-
     z, fit = with_ones(x), Fit(c, x.shape[1])
     for _ in range(rounds):
         if fit.done:
@@ -137,10 +136,6 @@ def converged_fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float, ro
 
 #: Papers of the shared cache that a fit may hold; the matrix goes to every task.
 MAX_CACHE = 20_000
-#: Bytes of a user's vectors that one task fits; users with more are fitted in rounds over blocks.
-MAX_BYTES = 64 << 20
-
-
 def train_user_models(votes: DataFrame, embeddings: DataFrame, weights: DataFrame, cache: DataFrame | None = None, by: list[str] | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
     """by, combination_idx, coef, intercept, converged: logistic fits of each user's rated votes and the shared cache papers as negatives.
 
@@ -148,8 +143,6 @@ def train_user_models(votes: DataFrame, embeddings: DataFrame, weights: DataFram
     weights of a user meet once, for all combinations. cache: paper_id, at most MAX_CACHE. by: user_id, or with more
     keys (a fold) for more fits. Users whose rated vectors exceed max_bytes go to fit_large; votes are counted first.
     """
-    from .large_models import fit_large
-
     by = by or ["user_id"]
     spark = votes.sparkSession
     extra = None
@@ -188,9 +181,21 @@ def train_user_models(votes: DataFrame, embeddings: DataFrame, weights: DataFram
     return small.unionByName(fit_large(rated.join(many, by, "left_semi"), weights, by, extra))
 
 
-def hyperparameter_grid(spark, **values: list) -> DataFrame:
-    """The product of the lists, combination_idx from 0 in the order given."""
+def hyperparameter_values(given) -> list:
+    """A list as it is; linspace(low, high, n) or logspace(low, high, n) written out; anything else as a list of one. NULL is an error."""
+    import re
+
+    if given is None:
+        raise ValueError("a hyperparameter without values")
+    m = re.fullmatch(r"(?:np\.)?(linspace|logspace)\(\s*([^,()]+),\s*([^,()]+),\s*(\d+)\s*\)", given) if isinstance(given, str) else None
+    if m:
+        return [float(x) for x in {"linspace": np.linspace, "logspace": np.logspace}[m[1]](float(m[2]), float(m[3]), int(m[4]))]
+    return list(given) if isinstance(given, (list, tuple)) else [given]
+
+
+def hyperparameter_grid(spark, **values) -> DataFrame:
+    """The product of the values, combination_idx from 0 in the order given; see hyperparameter_values."""
     import itertools
 
-    rows = [(i, *c) for i, c in enumerate(itertools.product(*values.values()))]
+    rows = [(i, *c) for i, c in enumerate(itertools.product(*map(hyperparameter_values, values.values())))]
     return spark.createDataFrame(rows, ["combination_idx", *values])

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, l2_normalize, mean_cosine_between, mean_pairwise_cosine, unit_sums, vector_sums
 from .prepare import by_user
-from .reports import group_score_table
+from .reports import EXACT_ROWS, group_score_table, quantiles
 from .weights import max_pooling_scores
 
 
@@ -28,15 +28,17 @@ def window_places(rows: DataFrame, axis: str, width: int) -> DataFrame:
     return out.withColumn("steps", steps).drop("_top")
 
 
-def over_users(values: DataFrame, users: DataFrame, by: list[str], accuracy: int | None = None) -> DataFrame:
+def over_users(values: DataFrame, users: DataFrame, by: list[str], exact_up_to: int = EXACT_ROWS) -> DataFrame:
     """Mean, deviation, median, quartiles and number of the users' values v, and the share of users that have one.
 
-    Quartiles are exact and keep a group's distinct values; with an accuracy they come from a sketch of bounded size.
+    Quartiles of groups of more than exact_up_to users come from a sketch, see quantiles.
     """
-    at = (lambda p: F.percentile("v", p)) if accuracy is None else (lambda p: F.percentile_approx("v", p, accuracy))
-    out = values.filter("v IS NOT NULL").groupBy(*by).agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), at(0.5).alias("median"), at(0.25).alias("low"), at(0.75).alias("high"), F.count("*").alias("n_users"))
+    known = values.filter("v IS NOT NULL")
+    out = known.groupBy(*by).agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.count("*").alias("n_users"))
+    out = out.join(quantiles(known, by, "v", {"median": 0.5, "low": 0.25, "high": 0.75}, exact_up_to), by)
     total = users.agg(F.countDistinct("user_id").alias("_n"))  # one row
-    return out.crossJoin(F.broadcast(total)).withColumn("share", F.col("n_users") / F.col("_n")).drop("_n")
+    out = out.crossJoin(F.broadcast(total)).withColumn("share", F.col("n_users") / F.col("_n"))
+    return out.select(*by, "mean", "std", "median", "low", "high", "n_users", "share")
 
 
 def window_scores(rows: DataFrame, axis: str, width: int, value: str, kind: str = "mean", of: str | None = None) -> DataFrame:
@@ -154,6 +156,11 @@ def window_start_cosines(votes: DataFrame, axis: str, width: int) -> DataFrame:
     return windowed(sums.join(train.select("user_id").distinct(), "user_id", "left_semi"), width, start)
 
 
+def days_since_first(rows: DataFrame, by: list[str], day: int = 86_400_000_000) -> DataFrame:
+    """rows with days: time since the user's first row (in each part of by), in days."""
+    return rows.withColumn("days", (F.col("t") - F.min("t").over(Window.partitionBy("user_id", *by))) / day)
+
+
 def metric_slopes(rows: DataFrame, axis: str, value: str, by: list[str] | None = None) -> DataFrame:
     """user_id (and by), slope of the least-squares line of value over axis (sessions, or days since the part's first vote), and n; NULL where the axis doesn't vary.
 

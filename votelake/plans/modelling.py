@@ -93,8 +93,8 @@ query("v10_score_text")(lambda t: D.texts_of(t.spark, t.dir).select("paper_id",
 
 
 def tfidf_means(t: Tables):
-    counts = T.term_counts(D.texts_of(t.spark, t.dir), "abstract", STOP)
-    weights = T.transform_tfidf(counts, T.fit_tfidf(counts, D.texts_of(t.spark, t.dir), 500, 2))
+    counts = T.count_terms(D.texts_of(t.spark, t.dir), "abstract", STOP)
+    weights = T.transform_tfidf(counts, T.fit_tfidf(T.by_term(counts), D.texts_of(t.spark, t.dir), 500, 2))
     groups = D.texts_of(t.spark, t.dir).select("paper_id", F.when(F.col("paper_id") % 2 == 0, "a").otherwise("b").alias("group"))
     return T.mean_tfidf_by_group(weights, groups)
 
@@ -142,8 +142,6 @@ query("m5_cluster_weights_relative", COUNTED + SPLIT_SQL.format(pos="0.8::DOUBLE
     lambda t: rounded(C.cluster_weights(cluster_counts(t), "relative", "same_alpha", 0.8), 9)
 )
 query("m11_cluster_scores")(lambda t: C.cluster_scores(C.cluster_user_models(t.split.filter("split = 'train'"), t.emb, k=3, least=2, limits=(8, 100_000)), t.split.filter("split = 'val'").select("user_id", "paper_id", "session_id"), t.emb).withColumn("logit", F.round("logit", 6)))
-query("m12_dbscan_user_clusters")(lambda t: C.dbscan_user_clusters(t.sess, t.emb, eps=0.75))
-query("t9_multi_interest_users")(lambda t: C.multi_interest_users(t.sess, t.papers, t.emb, 100, papers_each=2, clusters=1, eps=0.75))
 query("m13_choose_k")(lambda t: C.choose_k(t.split.filter("split = 'train'"), t.emb, (1, 3, 5), 3, 6, least=2, limits=(8, 100_000)))
 query("x9_random_negatives_each", ", ng AS (SELECT user_id, paper_id AS neg_paper_id, t AS neg_t, row_number() OVER (PARTITION BY user_id ORDER BY md5('42|neg|' || user_id || '|' || paper_id || '|' || t), paper_id, t) - 1 AS pl, count(*) OVER (PARTITION BY user_id) AS n FROM sess WHERE rating = 0), up AS (SELECT user_id, paper_id, t, ('0x' || left(md5('42|each|' || user_id || '|' || paper_id || '|' || t), 8))::BIGINT AS h, unnest([1, 2, 3, 4])::BIGINT AS place FROM sess WHERE rating = 1) SELECT user_id, paper_id, t, place, neg_paper_id, neg_t FROM up JOIN ng USING (user_id) WHERE place <= n AND (h % n + place - 1) % n = pl")(lambda t: S.random_negatives_each(t.sess, 4, SEED))
 query("t4_val_upper_bounds", ", b AS (SELECT user_id, max(round(value, 9)) AS v FROM res WHERE score = 'ndcg' GROUP BY 1) SELECT round(avg(v), 6) AS value, count(*) AS n_users, (SELECT round(avg(v), 6) FROM (SELECT v FROM b ORDER BY v, user_id LIMIT 10)) AS worst FROM b")(lambda t: rounded(R.val_upper_bounds(t.res.withColumn("value", F.round("value", 9)), "ndcg", 10)))

@@ -240,7 +240,7 @@ query("v8_compose_text", "SELECT doc_id AS paper_id, md5('Title: ' || string_spl
 query("v9_mask_latex", "SELECT doc_id AS paper_id, md5(regexp_replace('a $x$ ' || text, '\\$[^$\\n]*\\$', 'LATEX_CODE', 'g')) AS digest FROM documents")(lambda t: D.texts_of(t.spark, t.dir).select("paper_id", F.md5(T.mask_latex(F.concat(F.lit("a $x$ "), "abstract"))).alias("digest")))
 TFIDF = ", tok AS (SELECT doc_id AS paper_id, list_filter(regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}_]+'), lambda w: regexp_full_match(w, '[a-z_][a-z0-9_]+') AND w NOT IN ('the', 'of', 'and', 'in', 'to', 'et', 'de', 'la', 'et al')) AS w FROM documents), tc AS (SELECT paper_id, term, count(*) AS tf FROM (SELECT paper_id, unnest(w) AS term FROM tok UNION ALL SELECT paper_id, unnest(list_transform(list_zip(w[:-2], w[2:]), lambda p: p[1] || ' ' || p[2])) FROM tok WHERE len(w) > 1) GROUP BY ALL), voc AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS total, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf FROM tc GROUP BY 1 HAVING count(*) >= 2 ORDER BY total DESC, term LIMIT 500)"
 query("e1_fit_tfidf", TFIDF + " SELECT term, df, total, round(idf, 6) AS idf FROM voc")(lambda t: rounded(T.fit_tfidf(T.term_counts(D.texts_of(t.spark, t.dir), "abstract", STOP), D.texts_of(t.spark, t.dir), 500, 2)))
-query("e2_transform_tfidf", TFIDF + ", x AS (SELECT paper_id, term, (1 + ln(tf)) * idf AS w FROM tc JOIN voc USING (term)) SELECT paper_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY paper_id)), 6) AS weight FROM x")(lambda t: rounded((lambda c: T.transform_tfidf(c, T.fit_tfidf(c, D.texts_of(t.spark, t.dir), 500, 2)))(T.term_counts(D.texts_of(t.spark, t.dir), "abstract", STOP))))
+query("e2_transform_tfidf", TFIDF + ", x AS (SELECT paper_id, term, (1 + ln(tf)) * idf AS w FROM tc JOIN voc USING (term)) SELECT paper_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY paper_id)), 6) AS weight FROM x")(lambda t: rounded((lambda c: T.transform_tfidf(c, T.fit_tfidf(T.by_term(c), D.texts_of(t.spark, t.dir), 500, 2)))(T.count_terms(D.texts_of(t.spark, t.dir), "abstract", STOP))))
 query("e6_override", "SELECT paper_id, round(CASE WHEN paper_id % 2 = 0 THEN 2 * v[1] ELSE v[1] END, 6) AS first FROM emb")(lambda t: V.override_embeddings(t.emb, t.emb.filter("paper_id % 2 = 0").withColumn("embedding", F.transform("embedding", lambda x: x * 2))).select("paper_id", F.round(F.element_at("embedding", 1), 6).alias("first")))
 query("e8_standardize", ", f AS (SELECT pos, avg(x) AS m, stddev_pop(x) AS s FROM (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM emb WHERE paper_id % 4 = 0) GROUP BY 1) SELECT paper_id, round(sum((x - m) / s), 3) AS total FROM (SELECT paper_id, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM emb) JOIN f USING (pos) GROUP BY 1")(lambda t: V.standardize(t.emb, t.emb.filter("paper_id % 4 = 0"), "embedding").select("paper_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 3).alias("total")))
 query("e10_centroids", ", m AS (SELECT l1, list(x ORDER BY pos) AS m, max(n) AS n FROM (SELECT l1, pos, avg(x) AS x, count(*) AS n FROM (SELECT l1, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM emb JOIN papers USING (paper_id) WHERE l1 IS NOT NULL) GROUP BY ALL) GROUP BY 1) SELECT a.l1, a.n, round(sqrt(list_dot_product(a.m, a.m)), 6) AS length, round(list_dot_product(a.m, b.m) / sqrt(list_dot_product(a.m, a.m)) / sqrt(list_dot_product(b.m, b.m)), 6) AS cosine FROM m a JOIN m b ON b.l1 = 'C0'")(lambda t: rounded(V.category_centroids(t.emb, t.papers, "C0")))

@@ -31,15 +31,26 @@ def load_embeddings(spark: SparkSession, path: str, ids: DataFrame | None = None
 
 
 def load_word_vectors(spark: SparkSession, path: str, dim: int) -> DataFrame:
-    """word and vec from text lines of a word and dim numbers."""
+    return word_vectors(spark.read.text(path), dim)
+
+
+def word_vectors(lines: DataFrame, dim: int) -> DataFrame:
+    """word and vec from text lines (value) of a word and dim numbers."""
     parts = F.split("value", " ")
-    return spark.read.text(path).select(parts[0].alias("word"), F.slice(parts, 2, dim).cast("array<float>").alias("vec"))
+    return lines.select(parts[0].alias("word"), F.slice(parts, 2, dim).cast("array<float>").alias("vec"))
+
 
+def read_raw_votes(spark: SparkSession, url: str, table: str, partition_column: str, partitions: int, bounds: tuple[int, int] | None = None, neutral: bool = False, **options: str) -> DataFrame:
+    """Up and down votes with a time (or the neutral ones), from a database, read in ranges of the partition column; the conditions and columns are the database's.
 
-def read_raw_votes(spark: SparkSession, url: str, table: str, partition_column: str, lower: int, upper: int, partitions: int, **options: str) -> DataFrame:
-    """Up and down votes with a time, from a database; the conditions are pushed down."""
-    df = spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn=partition_column, lowerBound=lower, upperBound=upper, numPartitions=partitions, **options).load()
-    return raw_votes(df)
+    bounds: of the ranges; without them one query asks the database for the smallest and largest value. Rows beyond the bounds are in the first and last range.
+    """
+    source = lambda **more: spark.read.format("jdbc").options(url=url, **options, **more).load()
+    if bounds is None:
+        ends = source(query=f"SELECT MIN({partition_column}) AS LOW, MAX({partition_column}) AS HIGH FROM {table}").first()
+        bounds = (0, 1) if ends[0] is None else (int(ends[0]), max(int(ends[1]), int(ends[0]) + 1))
+    df = source(dbtable=table, partitionColumn=partition_column, lowerBound=bounds[0], upperBound=bounds[1], numPartitions=partitions)
+    return raw_votes(df.toDF(*[c.lower() for c in df.columns]), neutral)
 
 
 def raw_votes(votes: DataFrame, neutral: bool = False) -> DataFrame:
