@@ -39,6 +39,8 @@ from .common import cut_wide, small_batches, table
 PIECE_CHARS = 1 << 20
 #: Windows of up to so many tokens are kept, so many of them; longer ones (no spaces) are walked each time.
 WINDOW_TOKENS, WINDOWS = 64, 3 << 17
+#: Added to ids of A in a window's key.
+OF_A = 1 << 31
 #: Bytes of groups in one batch of output.
 OUT_BYTES = 8 << 20
 #: Links gathered in a task before they are summed.
@@ -100,7 +102,7 @@ def byte_side(path: str) -> Side:
     ranked = ranked_encoder({raw(e): i for e, i in plain.items()}, [(raw(x), raw(y)) for x, y in pairs])
 
     def encode(text: str) -> list[int]:
-        if ranked is not None and SETTLED.fullmatch(text):
+        if ranked is not None and (text.isascii() or SETTLED.fullmatch(text)):
             return ranked(" " + text)
         return tokenizer.encode(" " + text, add_special_tokens=False).ids
 
@@ -142,7 +144,8 @@ def groups_of(a: tuple, b: tuple, size_a: list[int], size_b: list[int]) -> list[
 
 
 class Windows(dict):
-    """Alignments by (ids of A, ids of B), both packed: the groups as text and the pairs of ids that close them.
+    """Alignments by the ids of a window, those of A (marked, so that they are told from B's) and then those of B: the groups as text and the pairs of
+    ids that close them, or nothing where the bytes of both sides differ.
 
     The first half that is met stays, as words that come early are mostly the frequent ones; the other half is forgotten whenever it is full.
     """
@@ -151,12 +154,16 @@ class Windows(dict):
         super().__init__()
         self.left, self.right, self.first = left, right, None
 
-    def __missing__(self, key: tuple[bytes, bytes]) -> tuple[str, tuple]:
-        (a, b), name_a, name_b, width = map(unpacked, key), self.left.names, self.right.names, len(self.right.names)
-        found = [(a, b)] if len(a) == 1 or len(b) == 1 else groups_of(a, b, self.left.sizes, self.right.sizes)
-        text = ";".join([",".join([name_a[i] for i in x]) + "|" + ",".join([name_b[i] for i in y]) for x, y in found])
-        value = text, tuple([x[-1] * width + y[-1] for x, y in found])
-        if len(a) + len(b) <= WINDOW_TOKENS:
+    def __missing__(self, key: bytes) -> tuple[str, tuple] | None:
+        left, right, ids = self.left, self.right, struct.unpack(f"<{len(key) // 4}I", key)
+        a, b = tuple([i - OF_A for i in ids if i >= OF_A]), tuple([i for i in ids if i < OF_A])
+        value = None
+        if b"".join([left.entries[i] for i in a]) == b"".join([right.entries[i] for i in b]):
+            found = [(a, b)] if len(a) == 1 or len(b) == 1 else groups_of(a, b, left.sizes, right.sizes)
+            name_a, name_b, width = left.names, right.names, len(right.names)
+            text = ";".join([",".join([name_a[i] for i in x]) + "|" + ",".join([name_b[i] for i in y]) for x, y in found])
+            value = text, tuple([x[-1] * width + y[-1] for x, y in found])
+        if len(ids) <= WINDOW_TOKENS:
             if self.first is None and len(self) >= WINDOWS // 2:
                 self.first = dict(self)
             if len(self) >= WINDOWS:
@@ -166,33 +173,35 @@ class Windows(dict):
         return value
 
 
-def unpacked(ids: bytes) -> tuple:
-    return struct.unpack(f"<{len(ids) // 4}I", ids)
-
-
-def shared_starts(a: np.ndarray, b: np.ndarray, left: Side, right: Side) -> tuple[list[int], list[int]]:
-    """First tokens of the windows on both sides: those marked with a space that start at one byte on both, and token 0."""
+def windows_of(a: np.ndarray, b: np.ndarray, left: Side, right: Side) -> list[bytes]:
+    """Ids of A and B from each start that both sides share to the next: of tokens marked with a space that start at one byte on both, and of token 0."""
     at_a, at_b = np.flatnonzero(left.spaced[a[1:]]), np.flatnonzero(right.spaced[b[1:]])
     start_a, start_b = left.length[a].cumsum()[at_a], right.length[b].cumsum()[at_b]
     shared = np.zeros(max(start_a[-1] if len(start_a) else 0, start_b[-1] if len(start_b) else 0) + 1, np.uint8)
     shared[start_a] = 1
     shared[start_b] += 1  # starts of one side are all different
-    return [0, *(at_a[shared[start_a] == 2] + 1).tolist()], [0, *(at_b[shared[start_b] == 2] + 1).tolist()]
+    i = np.concatenate([[0], at_a[shared[start_a] == 2] + 1, [len(a)]])
+    j = np.concatenate([[0], at_b[shared[start_b] == 2] + 1, [len(b)]])
+    both = np.empty(len(a) + len(b), "<u4")  # a window's ids of A, then its ids of B, then the next window's
+    both[np.arange(len(a)) + np.repeat(j[:-1], np.diff(i))] = a + OF_A
+    both[np.arange(len(b)) + np.repeat(i[1:], np.diff(j))] = b
+    packed, ends = both.tobytes(), (4 * (i + j)).tolist()
+    return [packed[x:y] for x, y in zip(ends, ends[1:])]
 
 
 def align(text: str | None, windows: Windows, most: int = PIECE_CHARS) -> tuple[int, int, str, list[int]]:
-    """Numbers of tokens, groups as text, and the links as pair codes."""
+    """Numbers of tokens, groups as text, and the links as pair codes. The bytes of A's ids are the text's; those of B's are held against them window by window."""
     left, right = windows.left, windows.right
     cut = pieces(text, most) if text else []
     a, b = ([i for piece in cut for i in side.encode(piece)] if len(cut) > 1 else side.encode(*cut) if cut else [] for side in (left, right))
-    whole = f" {text}".encode() if text else b""
-    if not a or not b or not (left.lossless or b"".join(map(left.entries.__getitem__, a)) == whole) or b"".join(map(right.entries.__getitem__, b)) != whole:
+    if not a or not b or not (left.lossless or b"".join(map(left.entries.__getitem__, a)) == f" {text}".encode()):
+        return 0, 0, "", []
+    ids_a, ids_b = np.array(a, np.uint32), np.array(b, np.uint32)
+    if left.length[ids_a].sum() != right.length[ids_b].sum():
+        return 0, 0, "", []
+    found = list(map(windows.__getitem__, windows_of(ids_a, ids_b, left, right)))
+    if None in found:
         return 0, 0, "", []
-    a, b = np.array(a, "<u4"), np.array(b, "<u4")
-    i, j = shared_starts(a, b, left, right)
-    i, j = [4 * k for k in i], [4 * k for k in j]
-    pack_a, pack_b = a.tobytes(), b.tobytes()
-    found = [windows[pack_a[i0:i1], pack_b[j0:j1]] for i0, i1, j0, j1 in zip(i, [*i[1:], len(pack_a)], j, [*j[1:], len(pack_b)])]
     return len(a), len(b), ";".join([f[0] for f in found]), list(chain.from_iterable([f[1] for f in found]))
 
 
