@@ -109,6 +109,71 @@ def test_quality(spark, sf):
     assert quality.keep_good(data.make(spark)).columns == data.make(spark).columns
 
 
+def test_quality_counts_once_and_leaves_texts_where_they_are(spark):
+    plan = quality.keep_good(data.make(spark)).select("doc_id", "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "strategy=broadcast" in plan and "Repartition" not in plan.split("ArrowEvalPython")[0]
+
+
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_quality_kept_against_brute_force(spark, monkeypatch, most):
+    """Sketches, merging and cutoffs again in plain Python."""
+    import random
+
+    rng = random.Random(12)
+    rows = []
+    for i in range(900):
+        words = [rng.choice("abcdefghij") * rng.randint(1, 9) for _ in range(rng.randint(40, 90))]
+        if rng.random() < 0.1:
+            words = [w + "#" * rng.randint(1, 4) for w in words]
+        if rng.random() < 0.1:
+            words = words[:20] * 4
+        lines = [" ".join(words[k : k + 8]) for k in range(0, len(words), 8)]
+        rows.append((i, "\n".join(lines + lines[: rng.choice([0, 0, 0, 3])]), rng.choice(["en", "de", None]), rng.choice(["a", "a", "a", "b", None])))
+    monkeypatch.setattr(quality, "MAX_GROUPS", most)
+    kept = {r.doc_id for r in quality.keep_good(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    counts = {i: dict(zip(quality.COUNTS, quality.counts_of(t))) for i, t, _, _ in rows}
+    good = [r for r in rows if counts[r[0]]["n_words"] >= 50 and counts[r[0]]["n_repeat_words"] * 2 <= counts[r[0]]["n_words"]]
+
+    def rate(i, name):
+        over, under = quality.RATES[name][:2]
+        return counts[i][over] * 1_000_000 // max(counts[i][under], 1)
+
+    def bucket(v):
+        e = v.bit_length() - 1
+        return 0 if v <= 0 else e * 16 + v * 16 // (1 << e) - 15
+
+    def edge(b):
+        return 0.0 if b <= 0 else 2.0 ** ((b - 1) // 16) * ((b - 1) % 16 + 16) / 16
+
+    def quantile(values, k):
+        held = Counter(map(bucket, values))
+        upto = 0
+        for b in sorted(held):
+            upto += held[b]
+            if upto >= len(values) * k / 100:
+                return edge(b) + (0 if b <= 0 else edge(b + 1) - edge(b)) * (len(values) * k / 100 - upto + held[b]) / held[b]
+
+    def bounds(group, name):
+        _, _, top, start, reach, floor, both = quality.RATES[name]
+        values = [rate(r[0], name) for r in group]
+        hi, lo = quantile(values, quality.QUANTILES[top]), quantile(values, quality.QUANTILES[start])
+        span = max((hi - lo) * reach, floor)
+        return hi + span, lo - span if both else None
+
+    want = set()
+    for i, _, lang, source in good:
+        own, of_lang = [r for r in good if r[2:] == (lang, source)], [r for r in good if r[2] == lang]
+        wide = of_lang if len(of_lang) >= 200 else good
+        ok = True
+        for name, (*_, both) in quality.RATES.items():
+            high, low = bounds(own if len(own) >= 200 else wide, name)
+            high = high if both else min(high, bounds(wide, name)[0])
+            ok &= rate(i, name) <= high and (low is None or rate(i, name) >= low)
+        if ok:
+            want.add(i)
+    assert kept == want and 500 < len(want) < len(good)
+
+
 def test_quality_cutoffs_follow_the_corpus(spark):
     plain = [" ".join(f"word{(i * 31 + j * 17) % 1009}" for j in range(80)) for i in range(300)]
     rows = [(i, t, "en", "a") for i, t in enumerate(plain)] + [(1000, " ".join(f"###{j}***" for j in range(80)), "en", "a")]

@@ -7,10 +7,11 @@ are the sums over its sources, the corpus's the sums over all. A source with few
 beyond an upper quantile by more than `reach` spreads of the sketch; where the spread is (almost) nothing, by more than
 the rate's floor. Junk-heavy sources don't lift their cutoffs of symbols and repeats: the language's holds there if it is lower.
 Rows that fail the fixed base rules don't count in sketches. The cutoffs join the rows by
-(lang, source); texts aren't shuffled.
+(lang, source), by broadcast if there are at most MAX_GROUPS of them, so that texts aren't shuffled.
 
 A null text has no words and fails the base rules. Null languages and sources are values of
 their own. Repeated rows count each time and get the same verdict. Quantiles are exact up to a bucket's width (interpolated in it), and the same in every run.
+An empty table gives an empty result. A very long text is counted as a whole, in memory linear in it.
 """
 
 from __future__ import annotations
@@ -69,6 +70,11 @@ def text_counts(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([counts_of(t) for t in texts], columns=list(COUNTS))
 
 
+text_counts = text_counts.asNondeterministic()  # it isn't random; so the planner evaluates it once a row and doesn't repeat it in filters
+#: Cutoffs (a row for each language and source) that may be broadcast.
+MAX_GROUPS = 100_000
+
+
 def base_failed(c) -> Column:
     return (c("n_words") < MIN_WORDS) | (c("n_repeat_words") * 100 > c("n_words") * 50)
 
@@ -135,13 +141,18 @@ def cutoffs(sketch: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
 
 
 def verdicts(docs: DataFrame, counted: DataFrame | None = None, counts: str = "_counts") -> DataFrame:
-    """docs with two booleans in a struct column `counts`_verdict: base_failed and kept; counts stay as `counts`."""
+    """docs with two booleans in a struct column `counts`_verdict: base_failed and kept; counts stay as `counts`.
+
+    Texts are counted once for the sketches, which are cut, and once for the verdicts. Up to MAX_GROUPS cutoffs are broadcast, so that rows stay where they are.
+    """
     small_batches(docs.sparkSession)
     if counted is None:
         counted = docs.withColumn(counts, text_counts("text"))
     c = lambda k: F.col(f"{counts}.{k}")
-    bounds = cutoffs(sketches(counted.select("lang", "source", counts), c))
+    bounds = cut(cutoffs(cut(sketches(counted.select("lang", "source", counts), c))))
+    few = bounds.count() <= MAX_GROUPS
     bounds = bounds.select(F.struct(*bounds.columns).alias(f"{counts}_bounds"))
+    bounds = F.broadcast(bounds) if few else bounds
     b = lambda k: F.col(f"{counts}_bounds.{k}")
     rows = counted.join(bounds, F.col("lang").eqNullSafe(b("lang")) & F.col("source").eqNullSafe(b("source")), "left")
     odd = F.lit(False)
