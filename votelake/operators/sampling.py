@@ -101,7 +101,7 @@ def user_quotas(ratios: DataFrame, n: int, seed: int) -> DataFrame:
 def user_negative_samples(pool: DataFrame, quotas: DataFrame) -> DataFrame:
     """user_id, paper_id: the first papers of each category of the pool, as many as the user's quota."""
     q = quotas.select("user_id", "category", "quota")
-    return q.join(F.broadcast(pool), "category").filter(F.col("rank") <= F.col("quota")).select("user_id", "paper_id", "category")
+    return q.join(pool, "category").filter(F.col("rank") <= F.col("quota")).select("user_id", "paper_id", "category")
 
 
 def exclude_papers(cache: DataFrame, used: DataFrame) -> DataFrame:
@@ -110,7 +110,7 @@ def exclude_papers(cache: DataFrame, used: DataFrame) -> DataFrame:
 
 def user_cache(users: DataFrame, cache: DataFrame, used: DataFrame, extras: DataFrame | None = None) -> DataFrame:
     """The shared cache and the user's extras (user_id, paper_id) without what the user has rated or been given. cache: of a fixed, small size."""
-    rows = users.select("user_id").distinct().crossJoin(F.broadcast(cache.select("paper_id")))
+    rows = users.select("user_id").distinct().crossJoin(cache.select("paper_id"))
     rows = rows if extras is None else rows.unionByName(extras.select("user_id", "paper_id")).distinct()
     return exclude_papers(rows, used)
 

@@ -80,7 +80,7 @@ query("t8_worst_users", "SELECT combination_idx, round(avg(value) FILTER (i <= 1
 query("k10_session_metrics_attached", SESS_METRIC + " SELECT s.user_id, s.session_id, s.n_rated, round(mrr * 0.75, 6) AS mrr FROM sessions s LEFT JOIN sm USING (user_id, session_id)")(lambda t: rounded(R.attach_metrics_to_sessions(P.session_table(t.rat).select("user_id", "session_id", "n_rated"), [session_metric(t), session_metric(t).withColumn("mrr", F.col("mrr") / 2)], "mrr")))
 query("k12_validation_summary", ", g AS (SELECT user_id, CASE WHEN category = 'C0' THEN 'main' ELSE 'other' END AS g FROM signif WHERE rank = 1 UNION ALL SELECT DISTINCT user_id, 'all' FROM res) SELECT g AS \"group\", score, round(avg(value), 6) AS value, count(*) AS n FROM res JOIN g USING (user_id) WHERE combination_idx = 1 GROUP BY ALL")(lambda t: rounded(R.validation_summary(t.res.filter("combination_idx = 1"), t.signif.filter("rank = 1").select("user_id", F.when(F.col("category") == "C0", "main").otherwise("other").alias("group")))))
 query("x2_stratified_users", USERS + ", d AS (SELECT *, md5('42|eval|' || user_id) AS k FROM uc), p1 AS (SELECT user_id, row_number() OVER (ORDER BY k, user_id) AS i FROM d WHERE is_other QUALIFY i <= 8), p2 AS (SELECT user_id, row_number() OVER (ORDER BY n_val_sessions DESC, user_id) AS i FROM d WHERE user_id NOT IN (SELECT user_id FROM p1) QUALIFY i <= 6), p3 AS (SELECT user_id, row_number() OVER (ORDER BY n_val_sessions, user_id) AS i FROM d WHERE user_id NOT IN (SELECT user_id FROM p1 UNION SELECT user_id FROM p2) QUALIFY i <= 6), p4 AS (SELECT user_id, row_number() OVER (ORDER BY k, user_id) AS i FROM d WHERE user_id NOT IN (SELECT user_id FROM p1 UNION SELECT user_id FROM p2 UNION SELECT user_id FROM p3) QUALIFY i <= 10), p AS (FROM p1 UNION ALL FROM p2 UNION ALL FROM p3 UNION ALL FROM p4) SELECT user_id, CASE WHEN i IS NULL THEN 'other' WHEN i % 2 = 1 THEN 'val' ELSE 'test' END AS selection FROM d LEFT JOIN p USING (user_id)")(lambda t: S.stratified_eval_users(user_counts(t), 4, 3, 5, SEED))
-query("x8_user_cache_extras", ", cc AS (SELECT paper_id FROM papers WHERE in_cache ORDER BY md5('42|cache|' || paper_id), paper_id LIMIT 50) SELECT user_id, paper_id FROM (SELECT u.user_id, cc.paper_id FROM (SELECT DISTINCT user_id FROM sess) u CROSS JOIN cc UNION SELECT user_id, paper_id FROM signif JOIN pool USING (category)) WHERE (user_id, paper_id) NOT IN (SELECT user_id, paper_id FROM sess)")(lambda t: S.user_cache(t.sess, S.cache_papers(t.papers, 50, SEED), t.sess, t.signif.join(F.broadcast(t.pool.drop("rank")), "category")))
+query("x8_user_cache_extras", ", cc AS (SELECT paper_id FROM papers WHERE in_cache ORDER BY md5('42|cache|' || paper_id), paper_id LIMIT 50) SELECT user_id, paper_id FROM (SELECT u.user_id, cc.paper_id FROM (SELECT DISTINCT user_id FROM sess) u CROSS JOIN cc UNION SELECT user_id, paper_id FROM signif JOIN pool USING (category)) WHERE (user_id, paper_id) NOT IN (SELECT user_id, paper_id FROM sess)")(lambda t: S.user_cache(t.sess, S.cache_papers(t.papers, 50, SEED), t.sess, t.signif.join(t.pool.drop("rank"), "category")))
 query("x11_capped_negatives", "SELECT paper_id, category, rank::INT AS rank FROM (SELECT paper_id, l1 AS category, row_number() OVER (PARTITION BY l1 ORDER BY md5('42|paper|' || paper_id), paper_id) AS rank FROM papers WHERE l1 IS NOT NULL AND paper_id NOT IN (SELECT paper_id FROM split JOIN (SELECT user_id, row_number() OVER (ORDER BY md5('42|users|' || user_id), user_id) AS i FROM best) USING (user_id) WHERE i <= 4)) WHERE rank <= 7")(lambda t: S.capped_category_negatives(t.papers, 7, SEED, t.split.join(X.partition_users(t.split, t.split, 4, SEED).filter("selection = 'test'"), "user_id", "left_semi").select("paper_id").distinct()))
 query("x15_training_groups", ", r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t DESC, paper_id DESC) AS i FROM sess WHERE rating = 1), o AS (SELECT user_id, paper_id, t FROM r WHERE i <= 6 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY md5('42|up|' || user_id || '|' || paper_id || '|' || t), paper_id, t) = 1), c AS (SELECT o.*, d.paper_id AS neg_paper_id, d.t AS neg_t, row_number() OVER (PARTITION BY o.user_id ORDER BY abs(o.t - d.t), d.t, d.paper_id) AS place FROM o JOIN sess d ON d.user_id = o.user_id AND d.rating = 0) SELECT * EXCLUDE (place) FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY md5('42|down|' || user_id || '|' || neg_paper_id || '|' || neg_t), neg_paper_id, neg_t) AS slot FROM c WHERE place <= 6) WHERE slot <= 4")(lambda t: S.training_groups(t.sess, 6, SEED))
 query("x16_bounded_samples", ", k AS (SELECT *, md5('42|sample|' || user_id || '|' || paper_id || '|' || t) AS k FROM sess), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY k, paper_id, t) AS i, row_number() OVER (PARTITION BY user_id, rating ORDER BY k, paper_id, t) AS j FROM k), c AS (SELECT user_id, count(*) FILTER (rating = 1) AS p, count(*) FILTER (rating = 0) AS n, count(*) FILTER (rating = 1 AND i <= 20) AS c FROM r GROUP BY 1), x AS (SELECT user_id, greatest(5, 20 - n, least(p, 12, c)) AS take FROM c WHERE greatest(5, 20 - n) <= least(p, 12)) SELECT user_id, paper_id, rating, t FROM r JOIN x USING (user_id) WHERE j <= CASE rating WHEN 1 THEN take ELSE 20 - take END")(lambda t: S.bounded_user_samples(t.sess, 20, 5, 8, SEED))

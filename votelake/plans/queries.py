@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
+from ..functions.blocks import shared_path
 from ..operators import prepare as P
 from ..operators import reports as R
 from ..operators import sampling as S
@@ -282,14 +282,14 @@ query("s7_repeated_ids", "SELECT paper_id, count(*) AS n FROM (SELECT * FROM emb
 
 
 def written(t: Tables, df: DataFrame) -> str:
-    """The path of df as a table in the warehouse, which the driver and the executors share."""
-    at = f"{t.spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/votelake-{uuid.uuid4().hex}"
+    """The path of df as a table in the shared folder; it is removed when the driver's JVM ends."""
+    at = shared_path(df)
     D.write_table(df, at)
     return at
 
 
 def results(t: Tables) -> DataFrame:
-    at = f"{t.spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/votelake-{uuid.uuid4().hex}"
+    at = shared_path(t.raw)
     D.write_results(rounded(t.res), at)
     return D.read_results(t.spark, at, "user_id long, combination_idx int, score string, value double")
 
