@@ -132,7 +132,7 @@ def pieces(text: str, most: int) -> list[str]:
     return [*out, text[at:]]
 
 
-def groups_of(a: tuple, b: tuple, size_a: list[int], size_b: list[int]) -> list[tuple[tuple, tuple]]:
+def groups_of(a: list[int], b: tuple, size_a: list[int], size_b: list[int]) -> list[tuple]:
     """Tokens of both sides cut wherever both end at one byte; none has no bytes, so ends only grow."""
     at_b = dict(zip(accumulate(map(size_b.__getitem__, b)), range(1, len(b) + 1)))
     out, first_i, first_j = [], 0, 0
@@ -156,13 +156,18 @@ class Windows(dict):
 
     def __missing__(self, key: bytes) -> tuple[str, tuple] | None:
         left, right, ids = self.left, self.right, struct.unpack(f"<{len(key) // 4}I", key)
-        a, b = tuple([i - OF_A for i in ids if i >= OF_A]), tuple([i for i in ids if i < OF_A])
-        value = None
-        if b"".join([left.entries[i] for i in a]) == b"".join([right.entries[i] for i in b]):
-            found = [(a, b)] if len(a) == 1 or len(b) == 1 else groups_of(a, b, left.sizes, right.sizes)
-            name_a, name_b, width = left.names, right.names, len(right.names)
+        n = next(k for k, i in enumerate(ids) if i < OF_A)
+        a, b = [i - OF_A for i in ids[:n]], ids[n:]
+        bytes_a, bytes_b = [left.entries[i] for i in a], [right.entries[i] for i in b]
+        name_a, name_b, width = left.names, right.names, len(right.names)
+        if bytes_a == bytes_b:  # one token each
+            value = ";".join([name_a[x] + "|" + name_b[y] for x, y in zip(a, b)]), tuple([x * width + y for x, y in zip(a, b)])
+        elif b"".join(bytes_a) == b"".join(bytes_b):
+            found = groups_of(a, b, left.sizes, right.sizes)
             text = ";".join([",".join([name_a[i] for i in x]) + "|" + ",".join([name_b[i] for i in y]) for x, y in found])
             value = text, tuple([x[-1] * width + y[-1] for x, y in found])
+        else:
+            value = None
         if len(ids) <= WINDOW_TOKENS:
             if self.first is None and len(self) >= WINDOWS // 2:
                 self.first = dict(self)
