@@ -2,8 +2,8 @@
 
 Texts become lower-case words and overlapping windows of words. A window's latent vector is its
 TF-IDF row times the leading right singular vectors of a window matrix, over their singular values.
-They come from a randomised SVD that is fitted once, on at most about `SAMPLE_DOCS` documents (by
-hash) and on the whole benchmark: each round multiplies windows by a thin matrix where they are and
+They come from a randomised SVD that is fitted once, on all documents and the whole
+benchmark: each round multiplies windows by a thin matrix where they are and
 sums the products by term. The terms are the benchmark's words (beyond `SLOTS` of them, words share
 slots by hash; none is left out); how many documents hold each is counted over all documents.
 
@@ -34,6 +34,7 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
@@ -43,12 +44,12 @@ from .common import cut, cut_wide, fresh, small_batches, table, utf8
 
 STEP = 8  # a window is two steps
 SLOTS = 1 << 18
-SAMPLE_DOCS = 20_000
 RANK = 32
 OVER = 8
 ROUNDS = 2
 SHIFT = 2  # words between an item's windows
-PRODUCT_WORDS = 50_000
+PRODUCT_STEPS = 2048  # in one product; its rows stay in the processor's cache
+SUM_TERMS = 1024  # whose products one task adds up
 BLOCK_ITEMS = 20_000
 COSINE = 0.2
 SHARE = 0.6
@@ -82,10 +83,27 @@ class Terms:
         small = len(words) <= SLOTS
         self.slots = {w: i for i, w in enumerate(sorted(words))} if small else Hashed(SLOTS)
         self.n = len(words) if small else SLOTS
+        self.sorted = pa.array(sorted(words), pa.binary()) if small else None
 
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.slots.get, words, repeat(self.n)), np.int64, len(words))
 
+    def of_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Slots of all words of the texts, one after the other, and how many words each text has; the words are those of `words_of`."""
+        texts = texts.cast(pa.string()).fill_null("")
+        _, ends, raw = texts.buffers()
+        folded = pa.py_buffer((raw.to_pybytes() if raw else b"").translate(FOLD))
+        split = pc.ascii_split_whitespace(pa.StringArray.from_buffers(len(texts), ends, folded, None, 0, texts.offset))
+        words, many = split.flatten().cast(pa.binary()), split.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        full = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # blanks at a text's ends leave empty words
+        if not full.all():
+            many = np.bincount(np.repeat(np.arange(len(many)), many)[full], minlength=len(many))
+            words = words.filter(pa.array(full))
+        if self.sorted is None:
+            unique = words.dictionary_encode()
+            return self.of(unique.dictionary.to_pylist())[unique.indices.to_numpy(zero_copy_only=False)], many
+        return pc.index_in(words, value_set=self.sorted).fill_null(self.n).to_numpy(zero_copy_only=False).astype(np.int64), many
+
 
 def held_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
@@ -96,11 +114,13 @@ def counted(terms: Broadcast):
     """Slots with the number of documents that hold them; slot -1 has the number of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(terms.value.n + 1, np.int64), 0
+        slots, n = terms.value.n + 1, 0
+        df = np.zeros(slots, np.int64)
         for batch in batches:
             n += batch.num_rows
-            for text in batch.column(0).to_pylist():
-                df[np.unique(terms.value.of(list(set(words_of(text)))))] += 1
+            at, many = terms.value.of_texts(batch.column(0))
+            held = np.unique(np.repeat(np.arange(len(many)), many) * slots + at)
+            df += np.bincount(held % slots, minlength=slots)
         at = np.flatnonzero(df[:-1])
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], n))], names=["slot", "df"])
 
@@ -120,36 +140,40 @@ def unit(v: np.ndarray) -> np.ndarray:
 
 def product_of(terms: Broadcast, idf: np.ndarray, basis: np.ndarray):
     """Texts to the rows of A'A * basis that they add, by slot (A: unit TF-IDF rows of steps of words)."""
-    n, squares = len(idf), idf**2
+    n = len(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table_ = idf[:, None] * basis
+        table_ = np.column_stack((idf[:, None] * basis, idf**2)).astype(np.float32)
         out = np.zeros((n, basis.shape[1]), np.float32)
 
-        def add(at: np.ndarray, step: np.ndarray) -> None:
-            """at: known slots; step: the sorted number of the step each stands in."""
-            begin = np.flatnonzero(np.diff(step, prepend=-1))
-            back = np.add.reduceat(table_.take(at, axis=0), begin) / np.add.reduceat(squares[at], begin)[:, None]
+        def add(at: np.ndarray, many: np.ndarray) -> None:
+            """at: known slots; many: how many of them each step has."""
+            order = np.argsort(-many, kind="stable")
+            many, first = many[order], (np.cumsum(many) - many)[order]
+            back = np.zeros((len(many), table_.shape[1]), np.float32)
+            step = np.empty(len(at), np.int64)
+            for k in range(many[0]):  # the steps' words number k; steps that have one come first
+                left = int(np.searchsorted(-many, -k))
+                back[:left] += table_.take(at[first[:left] + k], axis=0)
+                step[first[:left] + k] = np.arange(left)
+            back = back[:, :-1] / back[:, -1:]
             order = np.argsort(at, kind="stable")
-            own = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(at))))[order]
-            uniq, first = np.unique(at[order], return_index=True)
-            out[uniq] += np.add.reduceat(back.take(own, axis=0), first)
+            at = at[order]
+            begin = np.flatnonzero(np.diff(at, prepend=-1))
+            out[at[begin]] += np.add.reduceat(back.take(step[order], axis=0), begin)
 
-        held, steps, size, base = [], [], 0, 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                at = terms.value.of(words_of(text))
-                known = np.flatnonzero(at < n)
-                if len(known):
-                    held.append(at[known])
-                    steps.append(base + known // STEP)
-                    size += len(known)
-                    base += len(at) // STEP + 1
-                if size >= PRODUCT_WORDS:
-                    add(np.concatenate(held), np.concatenate(steps))
-                    held, steps, size = [], [], 0
-        if held:
-            add(np.concatenate(held), np.concatenate(steps))
+            at, many = terms.value.of_texts(batch.column(0))
+            steps = many // STEP + 1
+            step = (np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)) // STEP + np.repeat(np.cumsum(steps) - steps, many)
+            known = at < n
+            at = at[known].astype(np.uint16 if n < 1 << 16 else np.int64)  # the sort of short integers is linear
+            held = np.bincount(step[known])
+            held = held[held > 0]
+            ends = np.append(0, held.cumsum())
+            for k in range(0, len(held), PRODUCT_STEPS):
+                part = held[k : k + PRODUCT_STEPS]
+                add(at[ends[k] : ends[k + len(part)]], part)
         found = np.flatnonzero(out.any(1))
         for k in range(0, len(found), 4096):
             part = found[k : k + 4096]
@@ -176,7 +200,7 @@ def latent_basis(texts: DataFrame, terms: Broadcast, idf: np.ndarray, rank: int
     for _ in range(ROUNDS):
         basis = np.linalg.qr(basis)[0].astype(np.float32)
         parts = texts.mapInArrow(product_of(terms, idf, basis), "term long, v array<float>")
-        rows = parts.groupBy(F.pmod("term", F.lit(16)).alias("b")).applyInPandas(summed, "term long, v array<float>").toArrow()
+        rows = parts.groupBy(F.pmod("term", F.lit(max(16, -(-len(idf) // SUM_TERMS)))).alias("b")).applyInPandas(summed, "term long, v array<float>").toArrow()
         product = np.zeros_like(basis)
         if rows.num_rows:
             product[rows["term"].to_numpy()] = np.stack(rows["v"].to_numpy())
@@ -201,9 +225,7 @@ class Latent:
         self.df[seen["slot"].to_numpy()] = seen["df"].to_numpy()  # the last one is slot -1
         n, self.df = int(self.df[-1]), self.df[:-1]
         idf = (np.log((n + 1) / (self.df[:-1] + 1.0)) + 1).astype(np.float32)
-        share = min(1.0, SAMPLE_DOCS / max(1, n))
-        some = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 24)) < int(share * (1 << 24))).select("text")
-        basis = latent_basis(some.unionByName(texts), held, idf)
+        basis = latent_basis(docs.select("text").unionByName(texts), held, idf)
         self.weights = np.concatenate((idf[:, None] * basis, np.zeros((1, basis.shape[1]), np.float32)))
         held.unpersist()
 
@@ -268,6 +290,8 @@ class Searcher:
         rare.sort()
         slot, self.owner, self.many = np.array(rare, np.int64).reshape(-1, 3).T
         self.first = np.searchsorted(slot, np.arange(self.terms.n + 2))
+        self.begins = np.zeros(self.terms.n + 1, bool)  # slots of the phrases' first words
+        self.begins[self.terms.of(list(self.phrases))] = True
 
     def candidates(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(item, window) pairs around which enough of the item's rarer words stand, sorted."""
@@ -301,14 +325,23 @@ class Searcher:
         return left[item], window
 
     def matches(self, text: str | None) -> list[dict]:
-        words = words_of(text)
-        out = self.whole(words) if self.phrases else []
-        if not words or not self.items:
+        return self.matches_of(pa.array([text], pa.string()))[0]
+
+    def matches_of(self, texts: pa.Array) -> list[list[dict]]:
+        """The matches of each text. Words are made only for texts that may have one."""
+        ids, many = self.terms.of_texts(texts)
+        ends = many.cumsum()
+        return [self.matches_at(text, ids[a:b]) for text, a, b in zip(texts, (ends - many).tolist(), ends.tolist())]
+
+    def matches_at(self, text: pa.StringScalar, ids: np.ndarray) -> list[dict]:
+        """The matches of a text with these slots."""
+        out = self.whole(words_of(text.as_py())) if self.phrases and self.begins[ids].any() else []
+        if not len(ids) or not self.items:
             return out
-        ids = self.terms.of(words)
         item, window = self.candidates(ids)
         if not len(item):
             return out
+        words = words_of(text.as_py())
         used = np.unique(window)
         padded = np.full((len(used), 2 * STEP), self.terms.n)
         at = used[:, None] * STEP + np.arange(2 * STEP)
@@ -364,7 +397,7 @@ def searchers(docs: DataFrame, benchmark: DataFrame) -> Iterator[Searcher]:
 def search(held: Broadcast):
     @F.pandas_udf(MATCH)
     def matches(texts: pd.Series) -> pd.Series:
-        return pd.Series([held.value.matches(t) for t in texts])
+        return pd.Series(held.value.matches_of(pa.Array.from_pandas(texts, type=pa.string())))
 
     return matches
 
