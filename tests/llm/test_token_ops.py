@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.orc
 import pytest
 
@@ -145,6 +146,29 @@ def test_words_encode_like_whole_texts(spark, monkeypatch):
     assert all(small.by_words(t or "") == words.by_words(t or "") for t in texts[:300])
 
 
+def test_groups_of_texts_encode_like_each(monkeypatch):
+    """New words of a group go to the library in few calls, whatever their letters; texts with special tokens stand between others."""
+    rng = random.Random(7)
+    say = lambda letters: " ".join("".join(rng.choices(letters, k=rng.randint(1, 6))) for _ in range(30))
+    texts = ["", *(say(x) for x in ("abcé", "жизнь", "日本語", "a'b1,.", "e\u0301\u0344x")), " \t", "a <|EndOfText|> b", "<|endoftext|", "<|<|", " x ", "<|startoftext|>", *ODD]
+    texts = [t or "" for t in texts]
+    words = token_files.WordIds(WORD)
+    want = [words.whole(t) for t in texts]
+    for size in (1, 40, 1 << 20):
+        monkeypatch.setattr(token_files, "GROUP_BYTES", size)
+        own, given, got = token_files.WordIds(WORD), pa.array(["lead", *texts], pa.string())[1:], []
+        for a, b in token_files.groups(given):
+            ids, many = own.of_texts(given[a:b])
+            assert ids.dtype == np.dtype("<u4") and len(many) == b - a
+            got += [x.tobytes() for x in np.split(ids, many.cumsum())[:-1]]
+        assert got == want
+    calls, fresh = [], token_files.WordIds(WORD)
+    whole = fresh.whole
+    monkeypatch.setattr(fresh, "whole", lambda t: calls.append(t) or whole(t))
+    fresh.of_texts(pa.array([say("жизнь") + " " + say("abc") for _ in range(50)]))
+    assert len(calls) == 2
+
+
 def scanned(df):
     """Rows that the scans of token files hand on, and the filters that they push down."""
     df.collect()

@@ -11,8 +11,8 @@ A null or empty text has the end id alone. Rows with one doc_id are ordered by a
 id is one task's, as ranges go on inside an id. An empty table gives empty files. Very long texts are encoded by words.
 
 Encoding by words: a tokenizer that lower-cases and drops white space gives a text the ids of its words between ASCII blanks,
-one after the other, so words are encoded by the library once and kept (`WordIds`); tests hold this against whole texts. A text that holds
-a special token's string is encoded whole. For other tokenizers pass by_words=False.
+one after the other, so words are encoded by the library once and kept (`WordIds`); tests hold this against whole texts. Arrow finds the different
+words of a group of texts, and the new ones go to the library in one call. A text that holds a special token's string is encoded whole. For other tokenizers pass by_words=False.
 """
 
 from __future__ import annotations
@@ -27,26 +27,27 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, cut, id_or_last, shared_path, small_batches, table
+from .common import cut, id_or_last, shared_path, small_batches, table
 
 END_ID = 1
 #: Words of up to so many bytes are kept, so many of them.
 WORD_BYTES, WORDS = 64, 1 << 20
 #: An ASCII or Latin-1 word and the punctuation that closes it.
 CLOSED = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?|)]*)")
-#: Ids in one batch of output; bounds what a worker and the ORC writer hold at once.
-OUT_IDS = 1 << 21
+#: Bytes of text (or one text, if it is longer) that are encoded together and make one batch of output; bounds what a worker and the ORC writer hold at once.
+GROUP_BYTES = 1 << 20
 ROWS = "part int, pos long, doc_id long, n_tokens long, ids array<int>"
 #: Stripes small enough that several fit a split; an index entry every so many rows.
 STRIPE_BYTES, INDEX_ROWS = 8 << 20, 1000
 
 
 class WordIds(dict):
-    """Ids of lower-case words, as little-endian 32-bit integers. New words of a text are encoded by the library in one call."""
+    """Ids of lower-case words, as little-endian 32-bit integers. New words of a group of texts are encoded by the library in one call."""
 
     def __init__(self, path: str):
         super().__init__()
@@ -57,13 +58,17 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         made = json.loads(self.tokenizer.to_str())
         self.specials = re.compile(b"|".join(re.escape(t["content"].encode()) for t in made["added_tokens"]) or rb"(?!)", re.IGNORECASE)
+        # a special token that ends a word wherever it stands and changes nothing around it
+        apart = [t for t in made["added_tokens"] if t["special"] and not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"])]
+        self.apart = (apart[0]["content"], apart[0]["id"]) if apart else None
         end = made["model"].get("end_of_word_suffix")
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)  # the ids that end a run of letters, if the vocabulary marks them
         if end:
             self.ends[[i for entry, i in self.tokenizer.get_vocab().items() if entry.endswith(end)]] = True
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        (made,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)  # fast: without offsets
+        return np.array(made.ids, "<u4").tobytes()
 
     def keep(self, found: list[tuple[bytes, bytes]]) -> None:
         if self.first is None and len(self) >= WORDS // 2:
@@ -85,28 +90,70 @@ class WordIds(dict):
         self.keep(found)
         return dict(found)
 
+    def learn_others(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words of any kind, from one text in which a special token stands between them."""
+        if self.apart and len(words) > 1:
+            mark, number = self.apart
+            flat = self.whole(mark.join([w.decode() for w in words]))
+            at = (np.flatnonzero(np.frombuffer(flat, "<u4") == number) * 4).tolist()
+            if len(at) == len(words) - 1:
+                return dict(zip(words, [flat[a:b] for a, b in zip([0, *[i + 4 for i in at]], [*at, len(flat)])]))
+        return {w: self.whole(w.decode()) for w in words}
+
     def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of new words. A run of letters and the punctuation that closes it are apart to the tokenizer, so each is known by itself."""
-        parts = [(w, m[1], m[2]) for w in words if (m := CLOSED.fullmatch(w))]
+        parts, others = [], []
+        for w in words:
+            m = CLOSED.fullmatch(w)
+            if m:
+                parts.append((w, *m.groups()))
+            else:
+                others.append(w)
         known = {r: self.get(r) for _, r, _ in parts}
         if new := [r for r, ids in known.items() if ids is None]:
             known |= self.learn_runs(new)
         marks = {m: self.get(m) or self.whole(m.decode()) for m in {m for _, _, m in parts if m}}
         found = {w: known[r] + marks[m] if m else known[r] for w, r, m in parts}
-        found |= {w: self.whole(w.decode()) for w in words if w not in found}
+        found |= self.learn_others(others)
         self.keep([*marks.items(), *found.items()])
         return found
 
+    def of_plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts without special tokens' strings, one after the other, and how many each text has."""
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))  # the tokenizer lower-cases too
+        unique = split.flatten().cast(pa.binary()).dictionary_encode()
+        words, at = unique.dictionary.to_pylist(), unique.indices.to_numpy(zero_copy_only=False)
+        found = list(map(self.get, words))
+        if None in found:
+            new = self.learn([w for w, i in zip(words, found) if i is None])
+            found = [new[w] if i is None else i for w, i in zip(words, found)]
+        flat = np.frombuffer(b"".join(found), "<u4")
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        each = size[at]
+        ends = np.append(0, each.cumsum())
+        first = (size.cumsum() - size)[at]
+        ids = flat[np.repeat(first - ends[:-1], each) + np.arange(ends[-1])]
+        words_to = np.append(0, split.value_lengths().to_numpy(zero_copy_only=False).cumsum())
+        return ids, np.diff(ends[words_to])
+
+    def of_texts(self, texts: pa.Array, by_words: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts, one after the other, and how many each text has. Texts that go to the library whole stand between runs of others."""
+        raws = texts.cast(pa.binary()).to_pylist()
+        alone = [k for k, raw in enumerate(raws) if not by_words or self.specials.search(raw)]
+        ids, many, begin = [], [], 0
+        for k in [*alone, len(raws)]:
+            if begin < k:
+                own, n = self.of_plain(texts[begin:k])
+                ids.append(own)
+                many.append(n)
+            if k < len(raws):
+                ids.append(np.frombuffer(self.whole(raws[k].decode()), "<u4"))
+                many.append(np.array([len(ids[-1])]))
+            begin = k + 1
+        return np.concatenate(ids or [np.empty(0, "<u4")]), np.concatenate(many or [np.empty(0, np.int64)])
+
     def by_words(self, text: str) -> bytes:
-        raw = text.encode()
-        if self.specials.search(raw):
-            return self.whole(text)
-        words = raw.lower().split()  # the tokenizer lower-cases too
-        ids = list(map(self.get, words))
-        if None in ids:
-            new = self.learn(list({w for w, i in zip(words, ids) if i is None}))
-            ids = [new[w] if i is None else i for w, i in zip(words, ids)]
-        return b"".join(ids)
+        return self.of_texts(pa.array([text], pa.string()))[0].tobytes()
 
 
 @lru_cache(1)
@@ -114,32 +161,31 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def token_rows(path: str, end_id: int, by_words: bool):
-    end = np.array([end_id], "<u4").tobytes()
+def groups(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about GROUP_BYTES."""
+    begin, held = 0, 0
+    for k, size in enumerate(pc.binary_length(texts).to_pylist()):
+        if k > begin and held + size > GROUP_BYTES:
+            yield begin, k
+            begin, held = k, 0
+        held += size
+    if begin < len(texts):
+        yield begin, len(texts)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part = word_ids(path), TaskContext.get().partitionId()
-        encode = words.by_words if by_words else words.whole
-        ids, doc_ids, held, pos = [], [], 0, 0
-
-        def batch_of() -> pa.RecordBatch:
-            n = np.array([len(x) // 4 for x in ids])
-            ends = n.cumsum()
-            flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-            arrays = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), flat)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part), pa.int32()), pa.array(pos + ends - n, pa.int64()), pa.array(doc_ids, pa.int64()), pa.array(n, pa.int64()), arrays], names=["part", "pos", "doc_id", "n_tokens", "ids"])
 
+def token_rows(path: str, end_id: int, by_words: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, part, pos = word_ids(path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids.append(encode(text.as_py() or "") + end)
-                doc_ids.append(doc_id)
-                held += len(ids[-1]) // 4
-                if held > OUT_IDS or len(ids) >= BATCH_ROWS:
-                    yield batch_of()
-                    pos += held
-                    ids, doc_ids, held = [], [], 0
-        if ids:
-            yield batch_of()
+            doc_ids, texts = batch.column(0), batch.column(1).fill_null("")
+            for a, b in groups(texts):
+                ids, many = words.of_texts(texts[a:b], by_words)
+                ids = np.insert(ids, many.cumsum(), end_id)
+                n = many + 1
+                ends = n.cumsum()
+                arrays = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids.view("<i4")))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, part), pa.int32()), pa.array(pos + ends - n, pa.int64()), doc_ids[a:b], pa.array(n, pa.int64()), arrays], names=["part", "pos", "doc_id", "n_tokens", "ids"])
+                pos += int(ends[-1])
 
     return run
 
