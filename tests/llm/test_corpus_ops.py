@@ -216,6 +216,16 @@ def test_latent_basis_is_of_all_documents(spark):
     assert np.allclose(got / np.trace(got), inverse / np.trace(inverse), atol=2e-4)
 
 
+def test_pipeline_fits_on_all_documents(spark, tmp_path, monkeypatch):
+    """The stage's basis comes from each document and item once, whatever their number."""
+    spark.createDataFrame([(0, " ".join(f"w{k}" for k in range(20)))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.range(24_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w1 w2 t"), F.col("id")).alias("text"))
+    seen, fit = [], decontamination.latent_basis
+    monkeypatch.setattr(decontamination, "latent_basis", lambda texts, *rest: seen.append((texts.count(), texts.distinct().count())) or fit(texts, *rest))
+    assert corpus_pipeline.clean(spark, docs, str(tmp_path)).count() == 24_000
+    assert seen == [(24_001, 24_001)]
+
+
 def test_slots_of_texts():
     """Slots of Arrow texts are those of the texts' words, with words by slot and by hash."""
     texts = [None, "", "  a b ", "\tA-b\x00c", "é É ünï", "x" * 300, "a\u3000b", *(r[1] for r in data.rows())]
