@@ -23,6 +23,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 import public_tokenizers
@@ -37,8 +38,8 @@ from .common import cut, id_or_last, shared_path, small_batches, table
 END_ID = 1
 #: Words of up to so many bytes are kept, so many of them.
 WORD_BYTES, WORDS = 64, 1 << 20
-#: An ASCII or Latin-1 word and the punctuation that closes it.
-CLOSED = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?|)]*)")
+#: A run of ASCII or Latin-1 letters, and the punctuation that may close it.
+RUN, CLOSING = "^[a-zÀ-ÖØ-öø-ÿ]+$", ".,;:!?|)"
 #: Bytes of text (or one text, if it is longer) that are encoded together and make one batch of output; bounds what a worker and the ORC writer hold at once.
 GROUP_BYTES = 1 << 20
 ROWS = "part int, pos long, doc_id long, n_tokens long, ids array<int>"
@@ -46,6 +47,10 @@ ROWS = "part int, pos long, doc_id long, n_tokens long, ids array<int>"
 STRIPE_BYTES, INDEX_ROWS = 8 << 20, 1000
 
 
+def as_bytes(words: pa.Array) -> list[bytes]:
+    return words.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()  # far faster than to_pylist
+
+
 class WordIds(dict):
     """Ids of lower-case words, as little-endian 32-bit integers. New words of a group of texts are encoded by the library in one call."""
 
@@ -70,63 +75,69 @@ class WordIds(dict):
         (made,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)  # fast: without offsets
         return np.array(made.ids, "<u4").tobytes()
 
-    def keep(self, found: list[tuple[bytes, bytes]]) -> None:
+    def keep(self, words: list[bytes], ids: list[bytes]) -> None:
         if self.first is None and len(self) >= WORDS // 2:
             self.first = dict(self)  # words that come early are mostly the frequent ones: they stay
-        if len(self) + len(found) > WORDS:
+        if len(self) + len(words) > WORDS:
             self.clear()
             self.update(self.first or {})
-        self.update((w, ids) for w, ids in found if len(w) <= WORD_BYTES)
+        short = [len(w) <= WORD_BYTES for w in words]
+        self.update(zip(compress(words, short), compress(ids, short)))
 
-    def learn_runs(self, runs: list[bytes]) -> dict[bytes, bytes]:
+    def learn_runs(self, runs: list[bytes]) -> list[bytes]:
         """Ids of runs of letters. Where the vocabulary marks the ends of runs they are encoded as one text."""
-        flat = self.whole(" ".join([r.decode() for r in runs]))
+        flat = self.whole(b" ".join(runs).decode())
         at = (np.flatnonzero(self.ends[np.frombuffer(flat, "<u4")]) + 1) * 4
         if len(at) == len(runs):
             ends = at.tolist()
-            found = list(zip(runs, [flat[a:b] for a, b in zip([0, *ends], ends)]))
+            found = [flat[a:b] for a, b in zip([0, *ends], ends)]
         else:
-            found = [(r, self.whole(r.decode())) for r in runs]
-        self.keep(found)
-        return dict(found)
+            found = [self.whole(r.decode()) for r in runs]
+        self.keep(runs, found)
+        return found
 
-    def learn_others(self, words: list[bytes]) -> dict[bytes, bytes]:
+    def learn_others(self, words: list[bytes]) -> list[bytes]:
         """Ids of words of any kind, from one text in which a special token stands between them."""
         if self.apart and len(words) > 1:
             mark, number = self.apart
-            flat = self.whole(mark.join([w.decode() for w in words]))
+            flat = self.whole(mark.encode().join(words).decode())
             at = (np.flatnonzero(np.frombuffer(flat, "<u4") == number) * 4).tolist()
             if len(at) == len(words) - 1:
-                return dict(zip(words, [flat[a:b] for a, b in zip([0, *[i + 4 for i in at]], [*at, len(flat)])]))
-        return {w: self.whole(w.decode()) for w in words}
-
-    def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of new words. A run of letters and the punctuation that closes it are apart to the tokenizer, so each is known by itself."""
-        parts, others = [], []
-        for w in words:
-            m = CLOSED.fullmatch(w)
-            if m:
-                parts.append((w, *m.groups()))
-            else:
-                others.append(w)
-        known = {r: self.get(r) for _, r, _ in parts}
-        if new := [r for r, ids in known.items() if ids is None]:
-            known |= self.learn_runs(new)
-        marks = {m: self.get(m) or self.whole(m.decode()) for m in {m for _, _, m in parts if m}}
-        found = {w: known[r] + marks[m] if m else known[r] for w, r, m in parts}
-        found |= self.learn_others(others)
-        self.keep([*marks.items(), *found.items()])
-        return found
+                return [flat[a:b] for a, b in zip([0, *[i + 4 for i in at]], [*at, len(flat)])]
+        return [self.whole(w.decode()) for w in words]
+
+    def learn(self, new: pa.Array) -> list[bytes]:
+        """Ids of new words, all different. A run of letters and the punctuation that closes it are apart to the tokenizer, so each is known by itself."""
+        heads = pc.ascii_rtrim(new, CLOSING)
+        closed = pc.match_substring_regex(heads, RUN)
+        words, runs, others = as_bytes(new.filter(closed)), as_bytes(heads.filter(closed)), as_bytes(new.filter(pc.invert(closed)))
+        ids = list(map(self.get, runs))
+        if None in ids:
+            fresh = list(dict.fromkeys([r for r, i in zip(runs, ids) if i is None]))
+            made = dict(zip(fresh, self.learn_runs(fresh)))
+            ids = [made[r] if i is None else i for r, i in zip(runs, ids)]
+        marked = [(k, w[len(r) :]) for k, (w, r) in enumerate(zip(words, runs)) if len(w) > len(r)]
+        marks = {m: self.get(m) or self.whole(m.decode()) for m in {m for _, m in marked}}
+        for k, m in marked:
+            ids[k] += marks[m]
+        self.keep([*marks, *[words[k] for k, _ in marked]], [*marks.values(), *[ids[k] for k, _ in marked]])
+        if others:
+            rest = self.learn_others(others)
+            self.keep(others, rest)
+            left, right = iter(ids), iter(rest)
+            ids = [next(left) if c else next(right) for c in closed.to_pylist()]
+        return ids
 
     def of_plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts without special tokens' strings, one after the other, and how many each text has."""
         split = pc.ascii_split_whitespace(pc.ascii_lower(texts))  # the tokenizer lower-cases too
-        unique = split.flatten().cast(pa.binary()).dictionary_encode()
-        words, at = unique.dictionary.to_pylist(), unique.indices.to_numpy(zero_copy_only=False)
-        found = list(map(self.get, words))
-        if None in found:
-            new = self.learn([w for w, i in zip(words, found) if i is None])
-            found = [new[w] if i is None else i for w, i in zip(words, found)]
+        unique = split.flatten().dictionary_encode()
+        at = unique.indices.to_numpy(zero_copy_only=False)
+        found = list(map(self.get, as_bytes(unique.dictionary)))
+        new = [k for k, i in enumerate(found) if i is None]
+        if new:
+            for k, i in zip(new, self.learn(unique.dictionary.take(pa.array(new)))):
+                found[k] = i
         flat = np.frombuffer(b"".join(found), "<u4")
         size = np.fromiter(map(len, found), np.int64, len(found)) // 4
         each = size[at]
