@@ -1,4 +1,8 @@
+import tracemalloc
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,3 +167,27 @@ def test_counting_terms_shuffles_nothing(spark):
     counted = T.count_terms(docs, "abstract", [])
     assert "Exchange" not in plan_of(counted)
     assert {r.paper_id: dict(zip(r.terms, r.tfs)) for r in counted.collect()} == {1: {"red": 2, "fox": 2, "red fox": 2, "fox red": 1}, 2: {}}
+
+
+def peak_mb(run) -> float:
+    """Of Python, numpy and Arrow while run goes."""
+    held = pa.default_memory_pool()
+    pa.set_memory_pool(pool := pa.proxy_memory_pool(held))
+    tracemalloc.start()
+    try:
+        run()
+        return (tracemalloc.get_traced_memory()[1] + pool.max_memory()) / 1e6
+    finally:
+        tracemalloc.stop()
+        pa.set_memory_pool(held)
+
+
+def test_counting_terms_holds_a_piece_of_a_batch():
+    """400,000 words in one batch, all pairs different: all counts at once took 79 MB."""
+    words = [[f"w{(i * 7 + j * j) % 5000}" for j in range(1000)] for i in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array(words, pa.list_(pa.string()))], names=["paper_id", "words"])
+    sizes = []
+    assert peak_mb(lambda: sizes.extend(len(out.column(1).flatten()) for out in T.count_grams(iter([batch])))) < 40
+    assert max(sizes) <= 2 * 65536
+    got = {i: dict(zip(terms, tfs)) for out in T.count_grams(iter([batch])) for i, terms, tfs in zip(*(c.to_pylist() for c in out.columns))}
+    assert got == {i: dict(Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:])])) for i, w in enumerate(words)}

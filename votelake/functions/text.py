@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import math
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STYLES = {"plain": "%s %s", "labelled": "Title: %s Abstract: %s", "instruct": "Instruct: %s\nQuery: %s", "sentence": "%s. %s"}
+#: Words or terms that a Python worker works on at once; a longer text is a piece of its own.
+PIECE = 1 << 16
 
 
 def compose_text(title: str, abstract: str, style: str) -> Column:
@@ -37,15 +40,42 @@ def tokens(text: str, stop: list[str]) -> Column:
     return F.filter(found, lambda w: ~w.isin(stop)) if stop else found
 
 
-def grams(words: list[str]) -> Counter:
-    """How often each word and each pair of neighbours occurs, by first place."""
-    return Counter(words + [f"{a} {b}" for a, b in zip(words, words[1:])])
+def pieces(lists: pa.ListArray, most: int = PIECE) -> Iterator[tuple[int, int]]:
+    """First row and number of rows of runs of lists that hold at most `most` items together, or of single rows."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield at, end - at
+        at = end
+
+
+def row_numbers(lists: pa.ListArray) -> np.ndarray:
+    """The row of each item."""
+    return np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+
+
+def grams(words: pa.ListArray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Rows, the different words and pairs of neighbours of each, and how often they occur there; in the order of rows."""
+    rows, coded = row_numbers(words), words.flatten().dictionary_encode()
+    names, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    n = len(names)
+    first = rows * n + codes
+    near = np.flatnonzero(rows[1:] == rows[:-1])
+    found, counts = np.unique(np.concatenate([first * (n + 1) + n, first[near] * (n + 1) + codes[near + 1]]), return_counts=True)  # n: no second word
+    first, second = found // (n + 1), found % (n + 1)
+    pair = names.take(pa.array(second, pa.int64(), mask=second == n))
+    return first // max(n, 1), pc.binary_join_element_wise(names.take(pa.array(first % max(n, 1))), pair, " ", null_handling="skip"), counts
 
 
 def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The terms of each text and how often; texts are counted in pieces, so what a worker holds doesn't grow with the batch."""
     for batch in batches:
-        found = [grams(words or []) for words in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))], names=["paper_id", "terms", "tfs"])
+        for at, n in pieces(batch.column(1)):
+            ids, words = (c.slice(at, n) for c in batch.columns)
+            rows, terms, tfs = grams(words)
+            ends = pa.array(np.searchsorted(rows, np.arange(n + 1)), pa.int32())
+            yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(ends, terms), pa.ListArray.from_arrays(ends, pa.array(tfs, pa.int64()))], names=["paper_id", "terms", "tfs"])
 
 
 def count_terms(texts: DataFrame, text: str, stop: list[str]) -> DataFrame:
