@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import unicodedata
 from collections.abc import Iterator
 
@@ -105,20 +104,20 @@ def transform_tfidf(counted: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
     A text's terms are one row, so it is weighed and scaled there. The vocabulary, at most max_features rows, is read when the plan is made.
     """
-    words = {r.term: r.idf for r in vocabulary.select("term", "idf").collect()}
-    shared = counted.sparkSession.sparkContext.broadcast(words)
+    rows = vocabulary.select("term", "idf").collect()
+    shared = counted.sparkSession.sparkContext.broadcast(([r.term for r in rows], [r.idf for r in rows]))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf = shared.value
+        names, idf = pa.array(shared.value[0], pa.string()), np.array(shared.value[1], float)
         for batch in batches:
-            ids, terms, weights = [], [], []
-            for i, own, tfs in zip(*(c.to_pylist() for c in batch.columns)):
-                found = [(term, (1 + math.log(tf)) * idf[term]) for term, tf in zip(own, tfs) if term in idf]
-                length = math.sqrt(math.fsum(w * w for _, w in found))
-                ids += [i] * len(found)
-                terms += [term for term, _ in found]
-                weights += [w / length for _, w in found]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema[0].type), pa.array(terms, pa.string()), pa.array(weights, pa.float64())], names=["paper_id", "term", "weight"])
+            for at, n in pieces(batch.column(1)):
+                ids, terms, tfs = (c.slice(at, n) for c in batch.columns)
+                place = pc.index_in(terms.flatten(), value_set=names)
+                known = place.is_valid().to_numpy(zero_copy_only=False)
+                own, place = row_numbers(terms)[known], place.drop_null()
+                w = (1 + np.log(tfs.flatten().to_numpy(zero_copy_only=False)[known])) * idf[place.to_numpy(zero_copy_only=False)]
+                length = np.sqrt(np.bincount(own, w * w, n))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(own)), names.take(place), pa.array(w / length[own], pa.float64())], names=["paper_id", "term", "weight"])
 
     kind = dict(counted.dtypes)["paper_id"]
     return counted.select("paper_id", "terms", "tfs").mapInArrow(weigh, f"paper_id {kind}, term string, weight double")
