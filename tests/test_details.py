@@ -214,3 +214,30 @@ def test_weighing_terms_holds_a_piece_of_a_batch(spark, monkeypatch):
     assert np.allclose([r[2] for r in got], [r[2] for r in want], rtol=1e-12)
     empty = T.transform_tfidf(counted, vocabulary.limit(0))
     assert sum(out.num_rows for out in empty(iter([batch]))) == 0
+
+
+def test_texts_are_not_scored_word_by_word(spark, monkeypatch):
+    words = [[f"w{(i * 7 + j * j) % 5000}" for j in range(1000)] for i in range(100)] + [None]
+    batch, scores = pa.array(words, pa.list_(pa.string())), {"w1": 1.0, "w1 w4": 4.0}
+    want = [T.score_words(w or [], scores, 2) for w in words]
+    runs, calls = [], []
+    for kind, given in (("pandas_udf", batch.to_pandas), ("arrow_udf", lambda: batch)):  # the function, without Spark
+        monkeypatch.setattr(T.F, kind, lambda schema, given=given: lambda run: lambda column: runs.append((run, given)))
+    one = T.score_words
+    monkeypatch.setattr(T, "score_words", lambda *given: calls.append(given) or one(*given))
+    T.score_text(F.lit(None), scores)
+    (run, given) = runs[0]
+    got = run(given())
+    assert not calls
+    assert [(r["total"], r["matches"]) for r in got.to_pylist()] == want
+
+
+def test_scores_of_pieces_are_those_of_each_list():
+    rng = np.random.default_rng(5)
+    for trial in range(300):
+        letters = ["a", "b", "c", "d"] + (["a b"] if trial % 10 == 0 else []) + ([""] if trial % 7 == 0 else [])
+        scores = {" ".join(rng.choice(letters, rng.integers(1, 5))): float(rng.normal()) for _ in range(rng.integers(0, 12))}
+        lists = [None if rng.random() < 0.1 else list(rng.choice([*letters, "e"], rng.integers(0, 12))) for _ in range(20)]
+        total, matches = T.Phrases(scores).score(pa.array(lists, pa.list_(pa.string())))
+        longest = max((len(t.split(" ")) for t in scores), default=0)
+        assert list(zip(total.tolist(), matches.tolist())) == [T.score_words(x or [], scores, longest) for x in lists]

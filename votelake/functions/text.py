@@ -157,13 +157,61 @@ def score_words(words: list[str], scores: dict[str, float], longest: int) -> tup
     return total, found
 
 
+class Phrases:
+    """A vocabulary as a tree of words: by depth the sorted keys node * words + word and the nodes that they lead to; what a phrase scores that ends in a node."""
+
+    def __init__(self, scores: dict[str, float]):
+        parts = {t: t.split(" ") for t in scores}
+        self.scores, self.longest = scores, max(map(len, parts.values()), default=0)
+        number = {w: i for i, w in enumerate(dict.fromkeys(w for p in parts.values() for w in p))}
+        nodes, levels = {(): 0}, [{} for _ in range(self.longest)]
+        for p in parts.values():
+            for d, w in enumerate(p):
+                levels[d][nodes[tuple(p[:d])] * len(number) + number[w]] = nodes.setdefault(tuple(p[: d + 1]), len(nodes))
+        self.words, self.levels = list(number), [(np.array(sorted(x)), np.array([x[k] for k in sorted(x)])) for x in levels]
+        self.ends, self.values = np.zeros(len(nodes), bool), np.zeros(len(nodes))
+        for t, p in parts.items():
+            if scores[t] is not None:
+                self.ends[nodes[tuple(p)]], self.values[nodes[tuple(p)]] = True, scores[t]
+
+    def score(self, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """score_words of each list."""
+        words, rows = lists.flatten(), row_numbers(lists)
+        if pc.any(pc.match_substring(words, " ")).as_py():  # one word may then look like a phrase
+            found = [score_words(w or [], self.scores, self.longest) for w in lists.to_pylist()]
+            return np.array([x for x, _ in found]), np.array([n for _, n in found])
+        code = pc.fill_null(pc.index_in(words, value_set=pa.array(self.words, pa.string())), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        length, value = np.zeros(len(code), np.int64), np.zeros(len(code))
+        at, node = np.arange(len(code)), np.zeros(len(code), np.int64)
+        for depth, (keys, to) in enumerate(self.levels):
+            inside = at + depth < len(code)
+            at, node = at[inside], node[inside]
+            inside = (rows[at + depth] == rows[at]) & (code[at + depth] >= 0)
+            at, node = at[inside], node[inside]
+            key = node * len(self.words) + code[at + depth]
+            place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            hit = keys[place] == key
+            at, node = at[hit], to[place[hit]]
+            ends = self.ends[node]
+            length[at[ends]], value[at[ends]] = depth + 1, self.values[node[ends]]
+        taken, free = length > 0, 0
+        several = np.flatnonzero(length > 1)
+        for i, n in zip(several.tolist(), length[several].tolist()):
+            if i >= free:
+                free = i + n
+                taken[i + 1 : free] = False
+        return np.bincount(rows[taken], value[taken], len(lists)), np.bincount(rows[taken], minlength=len(lists))
+
+
 def score_text(words: Column, scores: dict[str, float]) -> Column:
     """struct(total, matches) of an array of words; scores is a vocabulary of bounded size."""
-    longest = max((len(t.split(" ")) for t in scores), default=0)
+    phrases = Phrases(scores)
 
-    @F.pandas_udf("total double, matches long")
-    def run(batch: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([score_words(list(w) if w is not None else [], scores, longest) for w in batch], columns=["total", "matches"])
+    @F.arrow_udf("total double, matches long")
+    def run(batch: pa.Array) -> pa.Array:
+        found = [phrases.score(batch.slice(at, n)) for at, n in pieces(batch)] or [(np.zeros(0), np.zeros(0))]
+        total, matches = (np.concatenate(x) for x in zip(*found))
+        return pa.StructArray.from_arrays([pa.array(total, pa.float64()), pa.array(matches.astype(np.int64))], ["total", "matches"])
 
     return run(words)
 
