@@ -1,5 +1,6 @@
 import itertools
 import math
+import re
 
 import numpy as np
 import pytest
@@ -125,6 +126,27 @@ def test_chosen_k_has_the_best_ranking(spark):
     assert {m.user_id for m in models} == {1, 2}
 
 
+def shuffled(df) -> list[tuple[str, str]]:
+    """What each exchange of the plan is dealt by, and its columns."""
+    text = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    return [(by, columns) for columns, by in re.findall(r"\) Exchange\nInput \[\d+\]: (.*)\nArguments: (\w+\([^,]*)", text)]
+
+
+def test_models_are_made_once_and_not_shuffled_for_each_pair(spark):
+    votes, emb = random_likes(spark, 3)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        models = C.cluster_user_models(votes, emb, k=3, least=2, limits=(8, 1000))
+        by_paper = [columns for by, columns in shuffled(C.cluster_scores(models, votes.select("user_id", "paper_id", "rating"), emb)) if "paper_id" in by]
+        assert by_paper and not any("ms#" in columns for columns in by_paper)
+        chosen = C.choose_k(votes, emb, (1, 3), least=2, limits=(8, 1000))
+        assert "FlatMapCoGroups" not in chosen._jdf.queryExecution().executedPlan().toString()
+        assert chosen.count() == 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def random_likes(spark, seed, users=3):
     rng = np.random.default_rng(seed)
     vectors = [(i, (rng.normal(size=3) + 4 * np.eye(3)[i % 3] * (i % 5 > 0)).tolist() if i != 7 else [0.0] * 3) for i in range(150)]

@@ -252,11 +252,14 @@ def models_for_ks(votes: DataFrame, embeddings: DataFrame, ks: DataFrame, c: flo
 
 
 def cluster_scores(models: DataFrame, pairs: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """pairs (user_id, paper_id) with cluster, fallback and logit, and k if the models have it: by the model of the nearest centre, by the global one where that has none (fallback) or the user has no centres (cluster -1)."""
+    """pairs (user_id, paper_id) with cluster, fallback and logit, and k if the models have it: by the model of the nearest centre, by the global one where that has none (fallback) or the user has no centres (cluster -1).
+
+    A pair gets its vector first and then meets its user's models, so that models are shuffled once for each user, not once for each pair.
+    """
     by = [c for c in ("user_id", "k") if c in models.columns]
     one = F.struct("cluster", "centre", "coef", "intercept")
-    of_user = models.groupBy(*by).agg(F.collect_list(one).alias("ms"))  # as many as a user has clusters, and one
-    rows = pairs.join(of_user, "user_id").join(embeddings, "paper_id")
+    of_user = models.repartition("user_id").groupBy(*by).agg(F.collect_list(one).alias("ms"))  # as many as a user has clusters, and one
+    rows = pairs.join(embeddings, "paper_id").join(of_user, "user_id")
     away = lambda m: F.aggregate(F.zip_with(m["centre"], "embedding", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
     near = F.array_min(F.transform(F.filter("ms", lambda m: m["cluster"] >= 0), lambda m: F.struct(away(m).alias("d"), m["cluster"].alias("cluster"))))["cluster"]
     rows = rows.withColumn("cluster", F.coalesce(near, F.lit(-1)))
@@ -283,7 +286,7 @@ def choose_k(votes: DataFrame, embeddings: DataFrame, ks: tuple[int, ...] = (1,
     parts = hold_out(votes, n_pos, n_neg)
     train, held = parts.filter("NOT held"), parts.filter("held").select("user_id", "paper_id", "t", "rating")
     each = train.select("user_id").distinct().withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
-    scored = cluster_scores(models_for_ks(train, embeddings, each, **options), held, embeddings)
+    scored = written(cluster_scores(models_for_ks(train, embeddings, each, **options), held, embeddings).select("user_id", "k", "paper_id", "t", "rating", "logit"))  # else models are fitted for both sides
     by = ["user_id", "k"]
     ranked = rank_positives(scored.filter("rating = 1").select(*by, "paper_id", "t", "logit"), scored.filter("rating = 0"), by)
     found = ranking_metrics(ranked, by).select(*by, F.round("ndcg", 9).alias("ndcg"))
