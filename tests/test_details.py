@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from votelake.functions import text as T
 from votelake.functions import vectors as V
 from votelake.operators import history as H
@@ -15,8 +16,11 @@ from votelake.operators import scoring as M
 from votelake.operators import trends as N
 from votelake.operators import weights as W
 from votelake.operators.products import Best, against
+from votelake.plans.queries import Tables
 from votelake.sources import tables as D
 
+SMALL = "/root/testdata/sf0.01"
+
 
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
@@ -241,3 +245,19 @@ def test_scores_of_pieces_are_those_of_each_list():
         total, matches = T.Phrases(scores).score(pa.array(lists, pa.list_(pa.string())))
         longest = max((len(t.split(" ")) for t in scores), default=0)
         assert list(zip(total.tolist(), matches.tolist())) == [T.score_words(x or [], scores, longest) for x in lists]
+
+
+def test_comparisons_read_results_that_are_made_once(spark):
+    """Both runs, the best and the worst users come from one written table."""
+    known = entry.queries()
+    for name in ("t6_compare_runs", "t6_compare_runs_less_is_better", "t8_differences_to_baseline"):
+        assert "MapInArrow" not in plan_of(known[name](spark, SMALL)), name
+
+
+def test_ranks_from_one_product_for_each_paper(spark):
+    t = Tables(spark, SMALL)
+    ups = t.pred.filter("label = 1").drop("label")
+    want = M.rank_positives(ups, t.negs, ["user_id", "paper_id", "t"])
+    got = t.ranked.select(want.columns)
+    assert want.count() > 0
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

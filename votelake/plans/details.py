@@ -72,10 +72,6 @@ PROBA = ", o AS (SELECT user_id, paper_id, t, split, label, round(1 / (1 + exp(-
 RES9 = ", r9 AS (SELECT user_id, combination_idx, round(value, 9) AS value FROM res WHERE score = 'ndcg'), dd AS (SELECT r9.combination_idx, user_id, round(r9.value - b.value, 9) AS d FROM r9 JOIN (SELECT user_id, value FROM r9 WHERE combination_idx = 0) b USING (user_id) WHERE r9.combination_idx = 1), di AS (SELECT *, row_number() OVER (ORDER BY d, user_id) AS a, row_number() OVER (ORDER BY -d, user_id) AS b FROM dd)"
 
 
-def ndcg(t: Tables):
-    return t.res.filter("score = 'ndcg'").withColumn("value", F.round("value", 9))
-
-
 def texts(t: Tables):
     return D.texts_of(t.spark, t.dir)
 
@@ -95,7 +91,7 @@ sp AS (SELECT a.user_id, avg(list_dot_product(a.u, b.u)) AS c FROM lu a JOIN lu
 SELECT user_id, round(1 - c, 6) AS distance FROM sp ORDER BY round(1 - c, 12) DESC, user_id LIMIT 100""")(lambda t: rounded(C.multi_interest_users(t.sess, t.papers, t.emb, 100, papers_each=2, clusters=2, eps=0.72)))
 query("t7_lowest_positives", PROBA + ", l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY proba, paper_id, t) AS i, count(*) OVER (PARTITION BY user_id) AS n_all FROM o WHERE label = 1 AND split = 'val') SELECT user_id, (least(n_all, 5) - i + 1)::BIGINT AS place, paper_id, t, string_split(text, chr(10))[1] AS title, round(proba, 6) AS proba, n_all FROM l LEFT JOIN documents ON doc_id = paper_id WHERE i <= 5")(lambda t: rounded(R.lowest_positives(proba(t).filter("split = 'val'"), texts(t), 5)))
 query("t7_drawn_papers", PROBA + ", l AS (SELECT *, row_number() OVER (PARTITION BY user_id, label ORDER BY md5('42|drawn|' || user_id || '|' || paper_id || '|' || t), paper_id, t) AS i, count(*) OVER (PARTITION BY user_id, label) AS n_all FROM o WHERE split = 'train') SELECT user_id, label, row_number() OVER (PARTITION BY user_id, label ORDER BY CASE label WHEN 1 THEN -proba ELSE proba END, paper_id, t) AS place, paper_id, t, string_split(text, chr(10))[1] AS title, round(proba, 6) AS proba, n_all FROM l LEFT JOIN documents ON doc_id = paper_id WHERE i <= 4")(lambda t: rounded(R.drawn_papers(proba(t).filter("split = 'train'"), texts(t), 4, SEED)))
-query("t8_differences_to_baseline", RES9 + " SELECT 1::INT AS combination_idx, " + ", ".join(f"round(avg(d) FILTER ({c} <= {k}), 6) AS {side}_{k}" for side, c in (("worst", "a"), ("best", "b")) for k in (1, 3, 10)) + " FROM di")(lambda t: rounded(R.differences_to_baseline(ndcg(t).filter("combination_idx = 1"), ndcg(t).filter("combination_idx = 0"), "ndcg", [1, 3, 10])))
+query("t8_differences_to_baseline", RES9 + " SELECT 1::INT AS combination_idx, " + ", ".join(f"round(avg(d) FILTER ({c} <= {k}), 6) AS {side}_{k}" for side, c in (("worst", "a"), ("best", "b")) for k in (1, 3, 10)) + " FROM di")(lambda t: rounded(R.differences_to_baseline(*t.runs("ndcg")[::-1], "ndcg", [1, 3, 10])))
 query("v3_paper_category_vectors", ", s AS (SELECT l1 AS category, pos, sum(x) AS x FROM (SELECT l1, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM emb JOIN papers USING (paper_id) WHERE l1 IS NOT NULL) GROUP BY ALL), n AS (SELECT category, sum(x) / sqrt(sum(x * x)) * count(*) / (count(*) + 32) AS total FROM s GROUP BY 1) SELECT paper_id, 'N' || substr(l1, 2) AS category, round(coalesce(total, 0), 6) AS total FROM papers LEFT JOIN n ON l1 = category")(lambda t: rounded(V.paper_category_vectors(t.papers, t.papers.filter("l1 IS NOT NULL").select(F.col("l1").alias("original"), F.concat(F.lit("N"), F.substring("l1", 2, 9)).alias("category")).distinct(), V.category_vectors(t.papers.filter("l1 IS NOT NULL").select(F.concat(F.lit("N"), F.substring("l1", 2, 9)).alias("category"), F.col("paper_id").alias("word"), F.lit(1.0).alias("weight")), t.emb.select(F.col("paper_id").alias("word"), F.col("embedding").alias("vec")), "proportional", 32), 64).select("paper_id", "category", F.aggregate("vec", F.lit(0.0), lambda a, x: a + x).alias("total"))))
 query("e12_compare_measures", """, bf AS (SELECT paper_id, v FROM emb WHERE paper_id % 11 <> 0), af AS (SELECT paper_id, list_transform(v, lambda x, i: CASE WHEN i > len(v) / 2 THEN 2 * x ELSE x END) AS v FROM bf),
 bo AS (SELECT 0 AS w, paper_id, v, l1, l2 FROM bf JOIN papers USING (paper_id) UNION ALL SELECT 1, paper_id, v, l1, l2 FROM af JOIN papers USING (paper_id)), bu AS (SELECT *, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM bo WHERE l1 IS NOT NULL),

@@ -149,4 +149,4 @@ query("e11_subcategory_cohesion", ", c AS (SELECT p.l1, p.l2, avg(list_dot_produ
 query("e11_separation", "SELECT p.l1, round(avg(list_dot_product(x.u, y.u)), 6) AS cosine FROM papers p JOIN papers q ON q.l1 = 'C0' AND p.paper_id <> q.paper_id JOIN unitv x ON x.paper_id = p.paper_id JOIN unitv y ON y.paper_id = q.paper_id WHERE p.l1 IS NOT NULL GROUP BY 1")(lambda t: rounded(V.category_separation(t.emb, t.papers, "C0")))
 query("e3_scaled_coefficients", TFIDF + " SELECT substr(term, 1, 1) AS \"group\", term, round(idf / max(abs(idf)) OVER (PARTITION BY substr(term, 1, 1)), 6) AS coef FROM voc")(lambda t: rounded(T.scaled_coefficients(T.fit_tfidf(T.term_counts(D.texts_of(t.spark, t.dir), "abstract", STOP), D.texts_of(t.spark, t.dir), 500, 2).select(F.substring("term", 1, 1).alias("group"), "term", F.col("idf").alias("coef")), ["group"])))
 query("a7_category_distribution_of_liked", "SELECT l2, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM papers WHERE paper_id IN (SELECT paper_id FROM rat WHERE rating = 1) GROUP BY 1")(lambda t: P.category_distribution(t.papers, "l2", t.rat.filter("rating = 1")))
-query("t6_compare_runs_less_is_better", ", r AS (SELECT a.user_id, round(b.value, 9) AS new, round(a.value, 9) AS old, round(a.value, 9) - round(b.value, 9) AS diff FROM res a JOIN res b ON a.user_id = b.user_id AND a.combination_idx = 0 AND b.combination_idx = 1 AND a.score = 'mrr' AND b.score = 'mrr'), k AS ((SELECT *, 'best' AS side FROM r ORDER BY diff DESC, user_id LIMIT 5) UNION ALL (SELECT *, 'worst' AS side FROM r ORDER BY diff, user_id LIMIT 5)) SELECT user_id, round(new, 6) AS new, round(old, 6) AS old, round(diff, 6) AS diff, side FROM k")(lambda t: rounded(R.compare_runs(*[t.res.withColumn("value", F.round("value", 9)).filter(F.col("combination_idx") == k) for k in (0, 1)], "mrr", 5, False)))
+query("t6_compare_runs_less_is_better", ", r AS (SELECT a.user_id, round(b.value, 9) AS new, round(a.value, 9) AS old, round(a.value, 9) - round(b.value, 9) AS diff FROM res a JOIN res b ON a.user_id = b.user_id AND a.combination_idx = 0 AND b.combination_idx = 1 AND a.score = 'mrr' AND b.score = 'mrr'), k AS ((SELECT *, 'best' AS side FROM r ORDER BY diff DESC, user_id LIMIT 5) UNION ALL (SELECT *, 'worst' AS side FROM r ORDER BY diff, user_id LIMIT 5)) SELECT user_id, round(new, 6) AS new, round(old, 6) AS old, round(diff, 6) AS diff, side FROM k")(lambda t: rounded(R.compare_runs(*t.runs("mrr"), "mrr", 5, False)))

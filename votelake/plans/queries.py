@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors as V
 from ..functions.blocks import shared_path
+from ..functions.blocks import written as written_once
 from ..operators import prepare as P
 from ..operators import reports as R
 from ..operators import sampling as S
@@ -115,8 +117,9 @@ class Tables:
     def closest(self) -> DataFrame:
         return S.closest_negatives(self.sess)
 
-    @property
+    @cached_property
     def profiles(self) -> DataFrame:
+        """One DataFrame, so that a plan that needs it in several places shuffles its sums once."""
         return M.mean_positive_embedding(self.split.filter("split = 'train'"), self.emb)
 
     def scored(self, pairs: DataFrame) -> DataFrame:
@@ -131,15 +134,28 @@ class Tables:
         c = self.closest.select("user_id", F.col("paper_id").alias("pos"), "t", F.col("neg_paper_id").alias("paper_id"))
         return self.scored(c).select("user_id", F.col("pos").alias("paper_id"), "t", "logit")
 
+    @cached_property
+    def logits(self) -> DataFrame:
+        """user_id, paper_id, logit of what users with a profile have rated: one product for a paper, however many votes and negatives have it."""
+        pairs = self.sess.select("user_id", "paper_id").distinct().join(self.profiles.select("user_id"), "user_id", "left_semi")
+        return self.scored(pairs).select("user_id", "paper_id", "logit")
+
     @property
     def ranked(self) -> DataFrame:
-        return M.rank_positives(self.pred.filter("label = 1").drop("label"), self.negs, ["user_id", "paper_id", "t"])
+        ups = self.split.filter("rating = 1").select("user_id", "split", "session_id", "paper_id", "t").join(self.logits, ["user_id", "paper_id"])
+        downs = self.closest.select("user_id", F.col("paper_id").alias("pos"), "t", F.col("neg_paper_id").alias("paper_id")).join(self.logits, ["user_id", "paper_id"])
+        return M.rank_positives(ups.select("user_id", "split", "session_id", "paper_id", "t", "logit"), downs.select("user_id", F.col("pos").alias("paper_id"), "t", "logit"), ["user_id", "paper_id", "t"])
 
     @property
     def res(self) -> DataFrame:
         m = M.ranking_metrics(self.ranked, ["user_id", "split"])
         return m.unpivot(["user_id", "split"], ["ndcg", "mrr", "hr1"], "score", "value").select("user_id", F.when(F.col("split") == "train", 0).otherwise(1).alias("combination_idx"), "score", "value")
 
+    def runs(self, score: str) -> list[DataFrame]:
+        """Rows of the score (rounded to 9 digits) of combinations 0 and 1, which take the place of two runs. Written once, as comparisons read them several times."""
+        rows = written_once(self.res.filter(F.col("score") == score).withColumn("value", F.round("value", 9)))
+        return [rows.filter(F.col("combination_idx") == i) for i in (0, 1)]
+
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])
@@ -215,7 +231,7 @@ query("t1_val_sessions", "SELECT user_id, count(DISTINCT session_id) FILTER (spl
 query("t3_best_combinations", "SELECT combination_idx, score, round(avg(value), 6) AS value FROM res WHERE score = 'ndcg' GROUP BY ALL ORDER BY value DESC, combination_idx LIMIT 1")(lambda t: rounded(R.best_combinations(R.average_over_users(t.res), "ndcg").drop("std")))
 query("t4_best_per_user", "SELECT user_id, combination_idx, score, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(value, 9) DESC, combination_idx) AS i FROM res WHERE score = 'ndcg') WHERE i = 1")(lambda t: rounded(R.best_combination_per_user(t.res.withColumn("value", F.round("value", 9)), "ndcg")))
 query("t5_gain", ", r AS (SELECT user_id, combination_idx, round(value, 9) AS value FROM res WHERE score = 'ndcg') SELECT a.user_id, round(own, 6) AS own, round(value, 6) AS overall, round(own - value, 6) AS gain FROM (SELECT user_id, max(value) AS own FROM r GROUP BY 1) a JOIN r b ON a.user_id = b.user_id AND b.combination_idx = 1 ORDER BY own - value DESC, a.user_id LIMIT 10")(lambda t: rounded(R.performance_gain(t.res.withColumn("value", F.round("value", 9)), "ndcg", 1, 10)))
-query("t6_compare_runs", ", r AS (SELECT a.user_id, round(b.value, 9) AS new, round(a.value, 9) AS old, round(b.value, 9) - round(a.value, 9) AS diff FROM res a JOIN res b ON a.user_id = b.user_id AND a.combination_idx = 0 AND b.combination_idx = 1 AND a.score = 'mrr' AND b.score = 'mrr'), k AS ((SELECT *, 'best' AS side FROM r ORDER BY diff DESC, user_id LIMIT 5) UNION ALL (SELECT *, 'worst' AS side FROM r ORDER BY diff, user_id LIMIT 5)) SELECT user_id, round(new, 6) AS new, round(old, 6) AS old, round(diff, 6) AS diff, side FROM k")(lambda t: rounded(R.compare_runs(*[t.res.withColumn("value", F.round("value", 9)).filter(F.col("combination_idx") == i) for i in (0, 1)], "mrr", 5)))
+query("t6_compare_runs", ", r AS (SELECT a.user_id, round(b.value, 9) AS new, round(a.value, 9) AS old, round(b.value, 9) - round(a.value, 9) AS diff FROM res a JOIN res b ON a.user_id = b.user_id AND a.combination_idx = 0 AND b.combination_idx = 1 AND a.score = 'mrr' AND b.score = 'mrr'), k AS ((SELECT *, 'best' AS side FROM r ORDER BY diff DESC, user_id LIMIT 5) UNION ALL (SELECT *, 'worst' AS side FROM r ORDER BY diff, user_id LIMIT 5)) SELECT user_id, round(new, 6) AS new, round(old, 6) AS old, round(diff, 6) AS diff, side FROM k")(lambda t: rounded(R.compare_runs(*t.runs("mrr"), "mrr", 5)))
 query("x1_partition_users", "SELECT user_id, CASE WHEN i IS NULL THEN 'train' WHEN i <= 10 THEN 'test' ELSE 'val' END AS selection FROM (SELECT DISTINCT user_id FROM sess) LEFT JOIN (SELECT user_id, row_number() OVER (ORDER BY md5('42|users|' || user_id), user_id) AS i FROM best) USING (user_id)")(lambda t: X.partition_users(t.split, t.sess, 10, SEED))
 query("x3_category_quota", ", r AS (SELECT l1 AS category, count(*)::DOUBLE / sum(count(*)) OVER () AS ratio FROM papers WHERE l1 IS NOT NULL GROUP BY 1) SELECT category, (whole + (row_number() OVER (ORDER BY cut DESC, md5('42|quota|' || category), category) <= 97 - sum(whole) OVER ())::INT)::BIGINT AS quota FROM (SELECT category, floor(ratio * 97 + 1e-10) AS whole, ratio * 97 - floor(ratio * 97 + 1e-10) > 1e-10 AS cut FROM r)")(lambda t: S.category_quota(P.category_distribution(t.papers.filter("l1 IS NOT NULL")).select(F.col("l1").alias("category"), F.col("share").alias("ratio")), 97, SEED))
 query("x4_sample_by_category", "SELECT paper_id, category, rank::INT AS rank FROM pool")(lambda t: t.pool)
